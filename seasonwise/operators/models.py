@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seasonwise.functions.dates import month_label
-from seasonwise.functions.numeric import ratio, round_half_even, truncate
 from seasonwise.functions.windows import by_entity
 from seasonwise.operators.series import MODEL_MONTHS
 from seasonwise.schemas import ENTITY, MAX_HORIZON
@@ -19,112 +18,107 @@ from seasonwise.schemas import ENTITY, MAX_HORIZON
 TRENDS = ("linear", "polynomial2", "polynomial3", "log", "exp", "pow")
 SEASONALITIES = ("add", "mul")
 YEAR = 12
+OVER_ENTITY = "OVER (PARTITION BY level, entity)"
 
+_GRID = range(1, MODEL_MONTHS + 1)
+MEAN_LOG = sum(math.log(t) for t in _GRID) / MODEL_MONTHS
 
-def poly1(t):
-    return t * 2.0 - 25.0
 
+# Expressions in t are SQL text: a model needs hundreds of small terms, and one parsed
+# expression is much cheaper to build than a tree of Column calls.
 
-def poly2(t):
-    return (poly1(t) * poly1(t) * 3.0 - 575.0) / 4.0
+def poly1(t: str) -> str:
+    return f"({t} * 2.0D - 25.0D)"
 
 
-def poly3(t):
-    return poly1(t) * poly1(t) * poly1(t) * 5.0 - poly1(t) * 1721.0
+def poly2(t: str) -> str:
+    return f"(({poly1(t)} * {poly1(t)} * 3.0D - 575.0D) / 4.0D)"
 
 
-_GRID = range(1, MODEL_MONTHS + 1)
-NORM1, NORM2, NORM3 = (sum(p(t) ** 2 for t in _GRID) for p in (poly1, poly2, poly3))
-MEAN_LOG = sum(math.log(t) for t in _GRID) / MODEL_MONTHS
-NORM_LOG = sum((math.log(t) - MEAN_LOG) ** 2 for t in _GRID)
+def poly3(t: str) -> str:
+    return f"({poly1(t)} * {poly1(t)} * {poly1(t)} * 5.0D - {poly1(t)} * 1721.0D)"
 
 
-def centred_log(t: Column) -> Column:
-    return F.ln(t) - MEAN_LOG
+def centred_log(t: str) -> str:
+    return f"(ln({t}) - {MEAN_LOG!r}D)"
 
 
-def _whole(fit: Column) -> Column:
-    """Round to a whole number; noise in the last digits must not decide exact halves.
-
-    Adding zero turns a negative zero into a plain one.
-    """
-    return round_half_even(round_half_even(fit, 6)) + 0.0
+# Sums of the squared weights over the window.
+_ODD = [2 * t - 25 for t in _GRID]
+NORM1 = f"{float(sum(k * k for k in _ODD))!r}D"
+NORM2 = f"{float(sum(((3 * k * k - 575) // 4) ** 2 for k in _ODD))!r}D"
+NORM3 = f"{float(sum((5 * k ** 3 - 1721 * k) ** 2 for k in _ODD))!r}D"
+NORM_LOG = f"{sum((math.log(t) - MEAN_LOG) ** 2 for t in _GRID)!r}D"
 
 
 def paired_years(window: DataFrame) -> DataFrame:
     """One row per entity and month position 0..11 with the values of both years."""
-    first = F.col("t") <= YEAR
-    return window.groupBy(*ENTITY, ((F.col("t") - 1) % YEAR).alias("pos")).agg(
-        F.max(F.when(first, F.col("turnover"))).alias("y1"),
-        F.max(F.when(~first, F.col("turnover"))).alias("y2"),
+    return window.groupBy(*ENTITY, F.expr("(t - 1) % 12 AS pos")).agg(
+        F.expr("max(CASE WHEN t <= 12 THEN turnover END) AS y1"),
+        F.expr("max(CASE WHEN t > 12 THEN turnover END) AS y2"),
         F.min("month_start").alias("month1"), F.max("month_start").alias("month2"))
 
 
-def _weighted_sum(weight, first: Column, second: Column, t1: Column, t2: Column) -> Column:
-    return F.sum(weight(t1) * first + weight(t2) * second).over(by_entity())
-
-
 def trend_coefficients(pairs: DataFrame) -> DataFrame:
     """Add the coefficients of all trends; those on ln(y) are NULL unless every y > 0."""
-    y1, y2 = F.col("y1"), F.col("y2")
-    t1, t2 = F.col("pos") + 1, F.col("pos") + YEAR + 1
-    positive = F.min(F.least(y1, y2)).over(by_entity()) > 0
-    ln1, ln2 = (F.when(y > 0, F.ln(y)) for y in (y1, y2))
-    fitted = pairs.select(
+    def weighted(weight, first="y1", second="y2"):
+        return (f"sum({weight('(pos + 1)')} * {first} + {weight('(pos + 13)')} * {second}) "
+                f"{OVER_ENTITY}")
+    positive = f"min(least(y1, y2)) {OVER_ENTITY} > 0"
+    logs = ("CASE WHEN y1 > 0 THEN ln(y1) END", "CASE WHEN y2 > 0 THEN ln(y2) END")
+    fitted = pairs.selectExpr("*", f"{logs[0]} AS ln1", f"{logs[1]} AS ln2").selectExpr(
         "*",
-        (F.sum(y1 + y2).over(by_entity()) / MODEL_MONTHS).alias("c0"),
-        (_weighted_sum(poly1, y1, y2, t1, t2) / NORM1).alias("c1"),
-        (_weighted_sum(poly2, y1, y2, t1, t2) / NORM2).alias("c2"),
-        (_weighted_sum(poly3, y1, y2, t1, t2) / NORM3).alias("c3"),
-        (_weighted_sum(centred_log, y1, y2, t1, t2) / NORM_LOG).alias("c_log"),
-        F.when(positive, F.sum(ln1 + ln2).over(by_entity()) / MODEL_MONTHS).alias("e0"),
-        F.when(positive, _weighted_sum(poly1, ln1, ln2, t1, t2) / NORM1).alias("e1"),
-        F.when(positive, _weighted_sum(centred_log, ln1, ln2, t1, t2) / NORM_LOG)
-        .alias("e_log"))
-    spread = (y1 - F.col("c0")) * (y1 - F.col("c0")) + (y2 - F.col("c0")) * (y2 - F.col("c0"))
-    return fitted.withColumn("ss_tot", F.sum(spread).over(by_entity()))
-
-
-def trend_value(trend: str, t: Column) -> Column:
+        f"sum(y1 + y2) {OVER_ENTITY} / 24 AS c0",
+        f"{weighted(poly1)} / {NORM1} AS c1",
+        f"{weighted(poly2)} / {NORM2} AS c2",
+        f"{weighted(poly3)} / {NORM3} AS c3",
+        f"{weighted(centred_log)} / {NORM_LOG} AS c_log",
+        f"CASE WHEN {positive} THEN sum(ln1 + ln2) {OVER_ENTITY} / 24 END AS e0",
+        f"CASE WHEN {positive} THEN {weighted(poly1, 'ln1', 'ln2')} / {NORM1} END AS e1",
+        f"CASE WHEN {positive} THEN {weighted(centred_log, 'ln1', 'ln2')} / {NORM_LOG} END "
+        "AS e_log")
+    return fitted.selectExpr(
+        "*", f"sum((y1 - c0) * (y1 - c0) + (y2 - c0) * (y2 - c0)) {OVER_ENTITY} AS ss_tot")
+
+
+def trend_value(trend: str, t: str) -> str:
     """Value of a fitted trend at any t, also beyond the window."""
-    c0 = F.col("c0")
-    if trend == "linear":
-        return c0 + F.col("c1") * poly1(t)
-    if trend == "polynomial2":
-        return c0 + F.col("c1") * poly1(t) + F.col("c2") * poly2(t)
-    if trend == "polynomial3":
-        return (c0 + F.col("c1") * poly1(t) + F.col("c2") * poly2(t)
-                + F.col("c3") * poly3(t))
-    if trend == "log":
-        return c0 + F.col("c_log") * centred_log(t)
-    if trend == "exp":
-        return F.exp(F.col("e0") + F.col("e1") * poly1(t))
-    if trend == "pow":
-        return F.exp(F.col("e0") + F.col("e_log") * centred_log(t))
-    raise ValueError(f"unknown trend: {trend}")
+    return {
+        "linear": f"c0 + c1 * {poly1(t)}",
+        "polynomial2": f"c0 + c1 * {poly1(t)} + c2 * {poly2(t)}",
+        "polynomial3": f"c0 + c1 * {poly1(t)} + c2 * {poly2(t)} + c3 * {poly3(t)}",
+        "log": f"c0 + c_log * {centred_log(t)}",
+        "exp": f"exp(e0 + e1 * {poly1(t)})",
+        "pow": f"exp(e0 + e_log * {centred_log(t)})",
+    }[trend]
 
 
 def parameters(window: DataFrame) -> DataFrame:
     """One row per entity with the coefficients in the usual form of each trend.
 
-    linear k, b; log a, b; exp and pow k, b; polynomials highest power first.
+    linear k, b; log a, b; exp and pow k, b; polynomials highest power first. They follow
+    from poly2 = 3t^2 - 75t + 325 and poly3 = 40t^3 - 1500t^2 + 15308t - 35100.
     """
-    one = trend_coefficients(paired_years(window)).filter("pos = 0")
-    c0, c1, c2, c3 = (F.col(c) for c in ("c0", "c1", "c2", "c3"))
-    # Powers of t in poly2 = 3t^2 - 75t + 325 and poly3 = 40t^3 - 1500t^2 + 15308t - 35100.
-    return one.select(
+    return trend_coefficients(paired_years(window)).filter("pos = 0").selectExpr(
         *ENTITY,
-        (c1 * 2.0).alias("linear_k"), (c0 - c1 * 25.0).alias("linear_b"),
-        (c2 * 3.0).alias("poly2_a"), (c1 * 2.0 - c2 * 75.0).alias("poly2_b"),
-        (c0 - c1 * 25.0 + c2 * 325.0).alias("poly2_c"),
-        (c3 * 40.0).alias("poly3_a"), (c2 * 3.0 - c3 * 1500.0).alias("poly3_b"),
-        (c1 * 2.0 - c2 * 75.0 + c3 * 15308.0).alias("poly3_c"),
-        (c0 - c1 * 25.0 + c2 * 325.0 - c3 * 35100.0).alias("poly3_d"),
-        F.col("c_log").alias("log_a"), (c0 - F.col("c_log") * MEAN_LOG).alias("log_b"),
-        (F.col("e1") * 2.0).alias("exp_k"),
-        F.exp(F.col("e0") - F.col("e1") * 25.0).alias("exp_b"),
-        F.col("e_log").alias("pow_k"),
-        F.exp(F.col("e0") - F.col("e_log") * MEAN_LOG).alias("pow_b"))
+        "2 * c1 AS linear_k", "c0 - 25 * c1 AS linear_b",
+        "3 * c2 AS poly2_a", "2 * c1 - 75 * c2 AS poly2_b",
+        "c0 - 25 * c1 + 325 * c2 AS poly2_c",
+        "40 * c3 AS poly3_a", "3 * c2 - 1500 * c3 AS poly3_b",
+        "2 * c1 - 75 * c2 + 15308 * c3 AS poly3_c",
+        "c0 - 25 * c1 + 325 * c2 - 35100 * c3 AS poly3_d",
+        "c_log AS log_a", f"c0 - c_log * {MEAN_LOG!r}D AS log_b",
+        "2 * e1 AS exp_k", "exp(e0 - 25 * e1) AS exp_b",
+        "e_log AS pow_k", f"exp(e0 - e_log * {MEAN_LOG!r}D) AS pow_b")
+
+
+def _whole(fit: str) -> str:
+    """Round half-even to a whole number.
+
+    Noise in the last digits must not decide exact halves, and adding zero turns a negative
+    zero into a plain one.
+    """
+    return f"rint(rint(({fit}) * 1e6) / 1e6) + 0.0D"
 
 
 def model_points(window: DataFrame, trends=TRENDS, seasonalities=SEASONALITIES,
@@ -135,40 +129,35 @@ def model_points(window: DataFrame, trends=TRENDS, seasonalities=SEASONALITIES,
     ``index_rows`` rows (24 or 12). Multiplicative index: mean ratio divided by a twelfth of
     the total of twelve rows. Fitted values are rounded to whole numbers. ``trend3`` is the
     trend one year further on, for forecasts.
+
+    The twelve totals come from one window before the models are spread to rows, so rows
+    are neither shuffled nor sorted again.
     """
-    y1, y2 = F.col("y1"), F.col("y2")
-    t1, t2, t3 = (F.col("pos") + 1 + YEAR * year for year in range(3))
-    fitted = trend_coefficients(paired_years(window))
-    for trend in trends:
-        fitted = fitted.withColumns({f"{trend}_{i}": trend_value(trend, t)
-                                     for i, t in enumerate((t1, t2, t3), start=1)})
-    raw_index = {}
-    for trend in trends:
-        v1, v2 = F.col(f"{trend}_1"), F.col(f"{trend}_2")
-        raw_index[trend, "add"] = ((y1 - v1) + (y2 - v2)) / 2
-        raw_index[trend, "mul"] = (ratio(y1, v1) + ratio(y2, v2)) / 2
+    raw_index = {
+        "add": "((y1 - {v}_1) + (y2 - {v}_2)) / 2",
+        "mul": "(try_divide(y1, {v}_1) + try_divide(y2, {v}_2)) / 2",
+    }
+    index = {
+        "add": f"{{m}} - {{m}}_total * {index_rows / YEAR!r}D / 12",
+        "mul": "try_divide({m}, {m}_total / 12)",
+    }
     wanted = [(t, s) for t in TRENDS if t in trends for s in SEASONALITIES if s in seasonalities]
-    indexed = fitted.withColumns({f"{t}_{s}": raw_index[t, s] for t, s in wanted})
-    totals = indexed.select("*", *[F.sum(f"{t}_{s}").over(by_entity()).alias(f"{t}_{s}_total")
-                                   for t, s in wanted])
-    models = []
-    for trend, season in wanted:
-        v1, v2 = F.col(f"{trend}_1"), F.col(f"{trend}_2")
-        raw, total = F.col(f"{trend}_{season}"), F.col(f"{trend}_{season}_total")
-        if season == "add":
-            index = raw - total * (index_rows / YEAR) / YEAR
-            fit1, fit2 = v1 + index, v2 + index
-        else:
-            index = ratio(raw, total / YEAR)
-            fit1, fit2 = v1 * index, v2 * index
-        models.append(F.struct(
-            F.lit(TRENDS.index(trend) * 2 + SEASONALITIES.index(season)).alias("ord"),
-            F.lit(trend).alias("trend"), F.lit(season).alias("seasonality"),
-            v1.alias("trend1"), v2.alias("trend2"), F.col(f"{trend}_3").alias("trend3"),
-            index.alias("index"), _whole(fit1).alias("fit1"), _whole(fit2).alias("fit2")))
-    return totals.select(*ENTITY, "pos", "month1", "month2", "y1", "y2", "ss_tot",
-                         F.explode(F.array(*models)).alias("_m")).select(
-        *ENTITY, "pos", "month1", "month2", "y1", "y2", "ss_tot", "_m.*")
+    fitted = trend_coefficients(paired_years(window)).selectExpr(
+        *ENTITY, "pos", "month1", "month2", "y1", "y2", "ss_tot",
+        *[f"{trend_value(trend, f'(pos + {1 + YEAR * year})')} AS {trend}_{year + 1}"
+          for trend in trends for year in range(3)])
+    indexed = fitted.selectExpr("*", *[f"{raw_index[s].format(v=t)} AS {t}_{s}"
+                                       for t, s in wanted])
+    totals = indexed.selectExpr("*", *[f"sum({t}_{s}) {OVER_ENTITY} AS {t}_{s}_total"
+                                       for t, s in wanted])
+    models = ", ".join(
+        f"struct({TRENDS.index(t) * 2 + SEASONALITIES.index(s)} AS ord, '{t}' AS trend, "
+        f"'{s}' AS seasonality, {t}_1 AS trend1, {t}_2 AS trend2, {t}_3 AS trend3, "
+        f"{index[s].format(m=f'{t}_{s}')} AS index)" for t, s in wanted)
+    spread = totals.selectExpr(*ENTITY, "pos", "month1", "month2", "y1", "y2", "ss_tot",
+                               f"inline(array({models}))")
+    fit = "CASE WHEN seasonality = 'add' THEN trend{i} + index ELSE trend{i} * index END"
+    return spread.selectExpr("*", *[f"{_whole(fit.format(i=i))} AS fit{i}" for i in (1, 2)])
 
 
 def model_scores(points: DataFrame) -> DataFrame:
@@ -177,32 +166,25 @@ def model_scores(points: DataFrame) -> DataFrame:
     A model whose fit is undefined (a logarithm of a month without sales, a zero trend) has
     NULL scores; MAPE alone is NULL when a month has no sales.
     """
-    y1, y2, f1, f2 = (F.col(c) for c in ("y1", "y2", "fit1", "fit2"))
-    def over_both(error):
-        return error(y1, f1) + error(y2, f2)
     sums = points.groupBy(*ENTITY, "ord", "trend", "seasonality").agg(
-        F.max("ss_tot").alias("_tot"),
-        (F.count("fit1") + F.count("fit2")).alias("_fits"),
-        F.sum(over_both(lambda y, f: (y - f) * (y - f))).alias("_res"),
-        F.sum(over_both(lambda y, f: F.abs(y - f))).alias("_abs"),
-        F.sum(over_both(lambda y, f: ratio(F.abs(y - f), y))).alias("_rel"),
-        F.min(F.least(y1, y2)).alias("_least"),
-        F.collect_list(F.struct("pos", "month1", "month2", "y1", "y2", "trend1", "trend2",
-                                "trend3", "index", "fit1", "fit2")).alias("points"))
-    whole = F.col("_fits") == MODEL_MONTHS
-    flat = F.when(F.col("_res") == 0, 1.0).otherwise(0.0)
-    r2 = F.when(F.col("_tot") == 0, flat).otherwise(
-        1 - ratio(F.col("_res"), F.col("_tot")))
-    mse = F.col("_res") / MODEL_MONTHS
-    return sums.select(
-        *ENTITY, "ord", "trend", "seasonality",
-        F.when(whole, r2).alias("r2_exact"),
-        F.when(whole, round_half_even(r2, 3)).alias("r2"),
-        F.when(whole & (F.col("_least") != 0),
-               round_half_even(F.col("_rel") / MODEL_MONTHS * 100, 3)).alias("mape"),
-        F.when(whole, truncate(F.col("_abs") / MODEL_MONTHS)).alias("mae"),
-        F.when(whole, truncate(mse)).alias("mse"),
-        F.when(whole, truncate(F.sqrt(mse))).alias("rmse"), "points")
+        F.max("ss_tot").alias("tot"), F.expr("count(fit1) + count(fit2) = 24 AS whole"),
+        F.expr("sum((y1 - fit1) * (y1 - fit1) + (y2 - fit2) * (y2 - fit2)) AS res"),
+        F.expr("sum(abs(y1 - fit1) + abs(y2 - fit2)) AS gap"),
+        F.expr("sum(try_divide(abs(y1 - fit1), y1) + try_divide(abs(y2 - fit2), y2)) AS rel"),
+        F.expr("min(least(y1, y2)) AS least_y"),
+        F.expr("collect_list(struct(pos, month1, month2, y1, y2, trend1, trend2, trend3, "
+               "index, fit1, fit2)) AS points"))
+    rated = sums.selectExpr(
+        "*", "CASE WHEN NOT whole THEN NULL WHEN tot = 0 THEN if(res = 0, 1.0D, 0.0D) "
+        "ELSE 1 - res / tot END AS r2_exact")
+    return rated.selectExpr(
+        *ENTITY, "ord", "trend", "seasonality", "r2_exact",
+        "rint(r2_exact * 1000) / 1000 AS r2",
+        "CASE WHEN whole AND least_y <> 0 THEN rint(rel / 24 * 100 * 1000) / 1000 END AS mape",
+        "CASE WHEN whole THEN CAST(gap / 24 AS BIGINT) END AS mae",
+        "CASE WHEN whole THEN CAST(res / 24 AS BIGINT) END AS mse",
+        "CASE WHEN whole THEN CAST(sqrt(res / 24) AS BIGINT) END AS rmse",
+        "points")
 
 
 def best_models(scores: DataFrame) -> DataFrame:
@@ -242,24 +224,6 @@ def _check_horizon(horizon: int):
         raise ValueError(f"horizon must be 0..{MAX_HORIZON} months")
 
 
-def _two_years(p: Column):
-    return [F.struct((p["pos"] + 1 + YEAR * (i - 1)).cast("int").alias("t"),
-                     p[f"month{i}"].alias("month_start"), p[f"y{i}"].alias("actual"),
-                     p[f"trend{i}"].alias("trend_value"), p["index"].alias("index"),
-                     p[f"fit{i}"].alias("fit"), F.lit(False).alias("is_forecast"))
-            for i in (1, 2)]
-
-
-def _next_year(p: Column, season: Column) -> Column:
-    value = F.when(season == "add", p["trend3"] + p["index"]).otherwise(
-        p["trend3"] * p["index"])
-    return F.struct((p["pos"] + 1 + YEAR * 2).cast("int").alias("t"),
-                    F.add_months(p["month2"], YEAR).cast("date").alias("month_start"),
-                    F.lit(None).cast("double").alias("actual"),
-                    p["trend3"].alias("trend_value"), p["index"].alias("index"),
-                    value.alias("fit"), F.lit(True).alias("is_forecast"))
-
-
 def chart_frame(best: DataFrame, horizon: int = 0,
                 shown_years: dict[int, int] | None = None) -> DataFrame:
     """Actual, fitted and forecast values of each entity's best model in one table.
@@ -267,15 +231,18 @@ def chart_frame(best: DataFrame, horizon: int = 0,
     Fitted values are rounded, forecast ones are not.
     """
     _check_horizon(horizon)
-    p = F.col("_p")
-    rows = best.select(*ENTITY, "trend", "seasonality", F.explode("points").alias("_p"))
-    future = F.when(p["pos"] < horizon, F.array(_next_year(p, F.col("seasonality"))))
-    series = F.concat(F.array(*_two_years(p)), F.coalesce(future, F.array()))
-    if horizon == 0:
-        series = F.array(*_two_years(p))
-    return (rows.select(*ENTITY, "trend", "seasonality", F.explode(series).alias("_r"))
-            .select(*ENTITY, "trend", "seasonality", "_r.*")
-            .withColumn("month_label", month_label(F.col("month_start"), shown_years)))
+    known = ", ".join(
+        f"struct(p.pos + {1 + YEAR * (i - 1)} AS t, p.month{i} AS month_start, "
+        f"p.y{i} AS actual, p.trend{i} AS trend_value, p.index AS index, p.fit{i} AS fit, "
+        "false AS is_forecast)" for i in (1, 2))
+    ahead = ("struct(p.pos + 25 AS t, add_months(p.month2, 12) AS month_start, "
+             "CAST(NULL AS DOUBLE) AS actual, p.trend3 AS trend_value, p.index AS index, "
+             "CASE WHEN seasonality = 'add' THEN p.trend3 + p.index ELSE p.trend3 * p.index END "
+             "AS fit, true AS is_forecast)")
+    rows = (best.selectExpr(*ENTITY, "trend", "seasonality", "explode(points) AS p")
+            .selectExpr(*ENTITY, "trend", "seasonality", f"inline(array({known}, {ahead}))")
+            .filter(F.col("t") <= MODEL_MONTHS + horizon))
+    return rows.withColumn("month_label", month_label(F.col("month_start"), shown_years))
 
 
 def fitted_series(best: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasonwise.functions.dates import month_start, months_spanned
-from seasonwise.functions.windows import by_entity
 from seasonwise.operators.clean import attach_hierarchy
 from seasonwise.schemas import ENTITY, HIERARCHY, LEVEL_COLUMNS, LEVELS
 
@@ -41,12 +40,9 @@ def level_totals(totals: DataFrame, products: DataFrame | None = None,
 
 def expand_levels(rows: DataFrame, levels=LEVELS) -> DataFrame:
     """Repeat every row once per level with its ``level`` and ``entity``."""
-    pairs = [F.struct(F.lit(level).alias("level"),
-                      F.col(LEVEL_COLUMNS[level]).cast("string").alias("entity"))
-             for level in levels]
-    return (rows.withColumn("_e", F.explode(F.array(*pairs)))
-            .withColumn("level", F.col("_e.level")).withColumn("entity", F.col("_e.entity"))
-            .drop("_e").filter(F.col("entity").isNotNull()))
+    pairs = ", ".join(f"struct('{level}' AS level, CAST(`{LEVEL_COLUMNS[level]}` AS STRING) "
+                      "AS entity)" for level in levels)
+    return rows.selectExpr("*", f"inline(array({pairs}))").filter("entity IS NOT NULL")
 
 
 def fill_gaps(totals: DataFrame, time: str) -> DataFrame:
@@ -54,27 +50,23 @@ def fill_gaps(totals: DataFrame, time: str) -> DataFrame:
 
     Also adds, per entity, the first and last period, their number, the total and the mean.
     """
-    after = F.lead(time).over(by_entity().orderBy(time))
-    spanned = totals.select(
-        "*", after.alias("_after"),
-        F.min(time).over(by_entity()).alias("first"), F.max(time).over(by_entity()).alias("last"),
-        F.sum("turnover").over(by_entity()).alias("total"))
+    over = "OVER (PARTITION BY level, entity)"
+    spanned = totals.selectExpr(
+        *ENTITY, f"{time} AS seen", "turnover",
+        f"lead({time}) OVER (PARTITION BY level, entity ORDER BY {time}) AS after",
+        f"min({time}) {over} AS first", f"max({time}) {over} AS last",
+        f"sum(turnover) {over} AS total")
     if time == "month_start":
-        until, step = F.add_months("_after", -1), F.expr("INTERVAL 1 MONTH")
-        periods = months_spanned(F.col("first"), F.col("last"))
+        until, step, periods = ("add_months(after, -1)", "INTERVAL 1 MONTH",
+                                "(year(last) - year(first)) * 12 + month(last) - month(first) + 1")
     else:
-        until, step = F.date_sub("_after", 1), F.expr("INTERVAL 1 DAY")
-        periods = F.datediff("last", "first") + 1
-    run = F.sequence(F.col(time), F.coalesce(until, F.col(time)), step)
-    filled = spanned.select(*ENTITY, F.col(time).alias("_seen"), "turnover", "first", "last",
-                            periods.alias("periods"), "total",
-                            (F.col("total") / periods).alias("mean"),
-                            F.explode(run).alias(time))
-    return filled.select(
-        *ENTITY, time,
-        F.when(F.col(time) == F.col("_seen"), F.col("turnover")).otherwise(0.0)
-        .alias("turnover"),
-        "first", "last", "periods", "total", "mean")
+        until, step, periods = "date_sub(after, 1)", "INTERVAL 1 DAY", "datediff(last, first) + 1"
+    filled = spanned.selectExpr(
+        "*", f"{periods} AS periods",
+        f"explode(sequence(seen, coalesce({until}, seen), {step})) AS {time}")
+    return filled.selectExpr(
+        *ENTITY, time, f"CASE WHEN {time} = seen THEN turnover ELSE 0.0D END AS turnover",
+        "first", "last", "periods", "total", "total / periods AS mean")
 
 
 def monthly_spans(sales: DataFrame, products: DataFrame | None = None,

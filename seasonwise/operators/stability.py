@@ -28,21 +28,38 @@ def complete_year_totals(sales: DataFrame, year: int | None,
     return complete
 
 
-def _variation():
-    return (ratio(F.stddev_samp("turnover"), F.avg("turnover")) * 100).alias("variation")
+def _variation(totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Sample deviation over mean of the month totals of each key, in percent.
+
+    The windows add up in calendar order, so equal series give equal values however their
+    rows arrive; the values are compared with limits that may equal them exactly.
+    """
+    months = Window.partitionBy(*keys).orderBy("month")
+    whole = months.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    centred = totals.select(
+        *keys, "month", F.avg("turnover").over(whole).alias("_mean"),
+        (F.col("turnover") - F.avg("turnover").over(whole)).alias("_d"))
+    rated = centred.select(
+        *keys, "_mean", F.row_number().over(months).alias("_rn"),
+        F.sum(F.col("_d") * F.col("_d")).over(whole).alias("_squares"),
+        F.count("_d").over(whole).alias("_n"))
+    deviation = F.sqrt(ratio(F.col("_squares"), (F.col("_n") - 1).cast("double")))
+    return rated.filter("_rn = 1").select(
+        *keys, (ratio(deviation, F.col("_mean")) * 100).alias("variation"))
 
 
 def product_variation(complete: DataFrame) -> DataFrame:
-    """Sample deviation over mean of the month totals, in percent, per product."""
-    return (complete.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in HIERARCHY))
-            .groupBy("product_code", *HIERARCHY).agg(_variation()))
+    """Variation of the month totals of each product with a full hierarchy."""
+    named = complete.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in HIERARCHY))
+    return _variation(named, ["product_code", *HIERARCHY])
 
 
 def group_variation(complete: DataFrame) -> DataFrame:
-    """The same for whole groups, built from their complete products."""
-    return (complete.filter("category IS NOT NULL AND `group` IS NOT NULL")
-            .groupBy("category", "group", "month").agg(F.sum("turnover").alias("turnover"))
-            .groupBy("category", "group").agg(_variation()))
+    """Variation of whole groups, built from their complete products."""
+    keys = ["category", "group"]
+    totals = (complete.filter("category IS NOT NULL AND `group` IS NOT NULL")
+              .groupBy(*keys, "month").agg(F.sum("turnover").alias("turnover")))
+    return _variation(totals, keys)
 
 
 def category_limits(variation: DataFrame, percents=XYZ_PERCENTS) -> DataFrame:

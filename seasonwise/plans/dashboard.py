@@ -82,19 +82,23 @@ def dashboard_view(sales: DataFrame, view: str, start_date=None, end_date=None,
         if view == "table_predskaz":
             return models.metrics_card(scores)
         return models.chart_frame(models.best_models(scores), horizon)
-    if _single_product(selected):
-        return sales.limit(0)
+    single = _single_product(selected)
     if view in ("xyz_graph", "xyz_table"):
         limits = stability.category_limits(stability.product_variation(
             stability.complete_year_totals(sales, year)))
         complete = stability.complete_year_totals(selected, year)
         if view == "xyz_graph":
-            return stability.group_curve(
+            rows = stability.group_curve(
                 stability.classify(stability.group_variation(complete), limits))
-        return stability.product_table(
-            stability.classify(stability.product_variation(complete), limits))
+        else:
+            rows = stability.product_table(
+                stability.classify(stability.product_variation(complete), limits))
+        return rows.limit(0) if single else rows
     months = clusters.product_months(selected)
-    labels = clusters.fit_clusters(clusters.monthly_profiles(months)).labels()
+    if single:
+        labels = selected.sparkSession.createDataFrame([], "product_code bigint, cluster int")
+    else:
+        labels = clusters.fit_clusters(clusters.monthly_profiles(months)).labels()
     if view == "cluster_graph":
         return clusters.cluster_profiles(labels, months)
     return clusters.cluster_table(labels, sold_products(selected))

@@ -612,7 +612,8 @@ SELECT product_code, CAST(month(date) AS INTEGER) AS month, sum(turnover_qty) AS
        category, "group", subgroup FROM {source}
 GROUP BY product_code, month(date), category, "group", subgroup
 QUALIFY count(*) OVER (PARTITION BY product_code) = 12""", source)
-VARIATION = "stddev_samp(turnover) / nullif(avg(turnover), 0) * 100 AS variation"
+VARIATION = ("stddev_samp(turnover ORDER BY month) / nullif(avg(turnover), 0) * 100 "
+             "AS variation")
 cte("vary", f"""
 SELECT product_code, category, "group", subgroup, {VARIATION} FROM full1 GROUP BY ALL""", "full1")
 cte("limits", """
@@ -748,5 +749,6 @@ SELECT *, strftime(month_start, '%m/%Y') AS month_label FROM (
                                  "best_fitted", "future")
 SQL["view_xyz_table"] = statement(f"""
 SELECT category, "group", subgroup, product_code, {shown("variation", 2)} AS variation, sector
-FROM sectors WHERE category = 'ASIA' ORDER BY category, "group", subgroup, product_code LIMIT 30""",
-                                  "sectors")
+FROM sectors WHERE category = 'ASIA'
+     AND (SELECT count(DISTINCT product_code) FROM f1_year WHERE category = 'ASIA') <> 1
+ORDER BY category, "group", subgroup, product_code LIMIT 30""", "sectors", "f1_year")
