@@ -19,10 +19,14 @@ def money_to_double(text: Column) -> Column:
     return F.translate(text, ", ", ".").cast("double")
 
 
+def is_quantity(text: Column) -> Column:
+    """Whether a quantity is a number once blanks are removed; '1,5' is none."""
+    return F.translate(text, " ", "").rlike(NUMBER)
+
+
 def quantity_to_double(text: Column) -> Column:
-    """'1 200' -> 1200.0; NULL for anything that is not a number, such as '1,5'."""
-    digits = F.translate(text, " ", "")
-    return F.when(digits.rlike(NUMBER), digits.try_cast("double"))
+    """'1 200' -> 1200.0; only for texts that pass ``is_quantity``."""
+    return F.translate(text, " ", "").cast("double")
 
 
 def strip_brackets(name: Column) -> Column:

@@ -4,28 +4,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasonwise.functions.joins import salted_join
-from seasonwise.functions.text import (money_to_double, percent_to_double, quantity_to_double,
-                                       strip_brackets)
+from seasonwise.functions.text import (is_quantity, money_to_double, percent_to_double,
+                                       quantity_to_double, strip_brackets)
 from seasonwise.schemas import DATE_FORMAT, HIERARCHY
 
 
 def without_returns(quantity):
     """A negative quantity counts as nothing sold."""
-    return F.when(quantity < 0, F.lit(0.0)).otherwise(quantity)
+    return F.greatest(quantity, F.lit(0.0))
 
 
 def clean_sales(raw: DataFrame, date_format: str = DATE_FORMAT,
                 year: int | None = None) -> DataFrame:
-    """Typed sales; rows whose quantity is not a number are dropped."""
-    quantity = quantity_to_double(F.col("turnover_qty"))
-    sales = raw.select(
+    """Typed sales; rows whose quantity is not a number are dropped.
+
+    The check is a filter below the projection, so each text is parsed once.
+    """
+    sales = raw.filter(is_quantity(F.col("turnover_qty"))).select(
         F.to_date("date", date_format).alias("date"),
         F.col("product_code").cast("bigint").alias("product_code"),
-        quantity.alias("turnover_qty"),
+        without_returns(quantity_to_double(F.col("turnover_qty"))).alias("turnover_qty"),
         percent_to_double(F.col("discount_pct")).alias("discount_pct"),
-        money_to_double(F.col("turnover_net")).alias("turnover_net"),
-    ).filter(F.col("turnover_qty").isNotNull())
-    sales = sales.withColumn("turnover_qty", without_returns(F.col("turnover_qty")))
+        money_to_double(F.col("turnover_net")).alias("turnover_net"))
     return keep_year(sales, year)
 
 

@@ -7,9 +7,10 @@ product code.
 """
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from operator import add
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -25,8 +26,8 @@ MONTHS = [f"m{month}" for month in range(1, 13)]
 K_RANGE = range(3, 9)
 MAX_ITERATIONS = 10
 SEED = 42
-PROFILES_PER_PARTITION = 200_000
-MIN_PARTITIONS = 8
+PARALLEL_FITS = 6
+PROFILES_PER_PARTITION = 100_000
 
 
 def product_months(sales: DataFrame) -> DataFrame:
@@ -85,25 +86,34 @@ class ProfileClusters:
 
 
 def fit_clusters(profiles: DataFrame, k_range=K_RANGE, max_iterations: int = MAX_ITERATIONS,
-                 seed: int = SEED) -> ProfileClusters:
+                 seed: int = SEED, parallelism: int = PARALLEL_FITS) -> ProfileClusters:
     """Fit every k and rate it by silhouette (squared Euclidean, which needs one pass)."""
     scaled = cut_lineage(standardised_profiles(profiles))
     n = scaled.count()
-    partitions = max(MIN_PARTITIONS, -(-n // PROFILES_PER_PARTITION))
+    partitions = max(1, -(-n // PROFILES_PER_PARTITION))
     vectors = (VectorAssembler(inputCols=MONTHS, outputCol="features")
                .transform(scaled.repartition(partitions, "product_code"))
                .select("product_code", "features").sortWithinPartitions("product_code")
                .persist(StorageLevel.MEMORY_AND_DISK))
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
                                     distanceMeasure="squaredEuclidean")
-    models, silhouettes = {}, {}
-    for k in (k for k in k_range if k < n):
+
+    def rate(k):
         model = KMeans(k=k, maxIter=max_iterations, seed=seed, tol=1e-6).fit(vectors)
-        if sum(size > 0 for size in model.summary.clusterSizes) > 1:
-            models[k], silhouettes[k] = model, evaluator.evaluate(model.transform(vectors))
-    if not models:
+        if len({tuple(centre) for centre in model.clusterCenters()}) < 2:
+            return k, model, None
+        return k, model, evaluator.evaluate(model.transform(vectors))
+
+    candidates = [k for k in k_range if k < n]
+    vectors.count()  # fill the cache once, before the fits share it
+    # The fits are independent jobs; small ones overlap, large ones queue for the executors.
+    with ThreadPool(max(1, min(parallelism, len(candidates)))) as pool:
+        rated = pool.map(inheritable_thread_target(vectors.sparkSession)(rate), candidates)
+    rated = [r for r in rated if r[2] is not None]
+    if not rated:
         raise ValueError("too few different profiles to form clusters")
-    return ProfileClusters(vectors, models, silhouettes)
+    return ProfileClusters(vectors, {k: model for k, model, _ in rated},
+                           {k: silhouette for k, _, silhouette in rated})
 
 
 def cluster_table(labels: DataFrame, hierarchy: DataFrame,

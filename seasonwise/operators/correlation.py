@@ -74,8 +74,8 @@ def correlation_table(correlations: DataFrame) -> DataFrame:
 
 def parent_models(window: DataFrame, best: DataFrame) -> DataFrame:
     """Linear additive model of each product's best parent beside both actual series."""
-    pairs = model_points(window.filter(F.col("level") != "product"), trends=("linear",),
-                         seasonalities=("add",), index_rows=12)
+    pairs = model_points(window.filter(F.col("level") != "product"),
+                         models=(("linear", "add"),), index_rows=12)
     years = F.array(*[F.struct((F.col("pos") + 1 + 12 * (i - 1)).alias("t"),
                                F.col(f"y{i}").alias("parent_turnover"),
                                F.col(f"fit{i}").alias("parent_fit")) for i in (1, 2)])

@@ -17,6 +17,7 @@ from seasonwise.schemas import ENTITY, MAX_HORIZON
 
 TRENDS = ("linear", "polynomial2", "polynomial3", "log", "exp", "pow")
 SEASONALITIES = ("add", "mul")
+MODELS = tuple((trend, season) for trend in TRENDS for season in SEASONALITIES)
 YEAR = 12
 OVER_ENTITY = "OVER (PARTITION BY level, entity)"
 
@@ -121,8 +122,7 @@ def _whole(fit: str) -> str:
     return f"rint(rint(({fit}) * 1e6) / 1e6) + 0.0D"
 
 
-def model_points(window: DataFrame, trends=TRENDS, seasonalities=SEASONALITIES,
-                 index_rows: int = 24) -> DataFrame:
+def model_points(window: DataFrame, models=MODELS, index_rows: int = 24) -> DataFrame:
     """Both years' points of every model: (level, entity, model) x month position.
 
     Additive index: mean residual of the two years minus a twelfth of the total, which sums
@@ -130,38 +130,37 @@ def model_points(window: DataFrame, trends=TRENDS, seasonalities=SEASONALITIES,
     the total of twelve rows. Fitted values are rounded to whole numbers. ``trend3`` is the
     trend one year further on, for forecasts.
 
-    The twelve totals come from one window before the models are spread to rows, so rows
-    are neither shuffled nor sorted again.
+    The totals of all models come from one window before the models are spread to rows, on
+    the partitions that are there already.
     """
     raw_index = {
-        "add": "((y1 - {v}_1) + (y2 - {v}_2)) / 2",
-        "mul": "(try_divide(y1, {v}_1) + try_divide(y2, {v}_2)) / 2",
+        "add": "((y1 - {t}_1) + (y2 - {t}_2)) / 2",
+        "mul": "(try_divide(y1, {t}_1) + try_divide(y2, {t}_2)) / 2",
     }
     index = {
         "add": f"{{m}} - {{m}}_total * {index_rows / YEAR!r}D / 12",
         "mul": "try_divide({m}, {m}_total / 12)",
     }
-    wanted = [(t, s) for t in TRENDS if t in trends for s in SEASONALITIES if s in seasonalities]
-    fitted = trend_coefficients(paired_years(window)).selectExpr(
-        *ENTITY, "pos", "month1", "month2", "y1", "y2", "ss_tot",
-        *[f"{trend_value(trend, f'(pos + {1 + YEAR * year})')} AS {trend}_{year + 1}"
-          for trend in trends for year in range(3)])
-    indexed = fitted.selectExpr("*", *[f"{raw_index[s].format(v=t)} AS {t}_{s}"
-                                       for t, s in wanted])
-    totals = indexed.selectExpr("*", *[f"sum({t}_{s}) {OVER_ENTITY} AS {t}_{s}_total"
-                                       for t, s in wanted])
-    models = ", ".join(
-        f"struct({TRENDS.index(t) * 2 + SEASONALITIES.index(s)} AS ord, '{t}' AS trend, "
-        f"'{s}' AS seasonality, {t}_1 AS trend1, {t}_2 AS trend2, {t}_3 AS trend3, "
-        f"{index[s].format(m=f'{t}_{s}')} AS index)" for t, s in wanted)
-    spread = totals.selectExpr(*ENTITY, "pos", "month1", "month2", "y1", "y2", "ss_tot",
-                               f"inline(array({models}))")
+    trends = list(dict.fromkeys(trend for trend, _ in models))
+    keys = [*ENTITY, "pos", "month1", "month2", "y1", "y2", "ss_tot"]
+    fitted = trend_coefficients(paired_years(window)).selectExpr(*keys, *[
+        f"{trend_value(trend, f'(pos + {1 + YEAR * (year - 1)})')} AS {trend}_{year}"
+        for trend in trends for year in (1, 2, 3)])
+    raw = fitted.selectExpr("*", *[f"{raw_index[s].format(t=t)} AS {t}_{s}"
+                                   for t, s in models])
+    totals = raw.selectExpr("*", *[f"sum({t}_{s}) {OVER_ENTITY} AS {t}_{s}_total"
+                                   for t, s in models])
+    rows = ", ".join(
+        f"struct({MODELS.index((t, s))} AS ord, '{t}' AS trend, '{s}' AS seasonality, "
+        f"{t}_1 AS trend1, {t}_2 AS trend2, {t}_3 AS trend3, "
+        f"{index[s].format(m=f'{t}_{s}')} AS index)" for t, s in models)
     fit = "CASE WHEN seasonality = 'add' THEN trend{i} + index ELSE trend{i} * index END"
-    return spread.selectExpr("*", *[f"{_whole(fit.format(i=i))} AS fit{i}" for i in (1, 2)])
+    return totals.selectExpr(*keys, f"inline(array({rows}))").selectExpr(
+        "*", *[f"{_whole(fit.format(i=i))} AS fit{i}" for i in (1, 2)])
 
 
 def model_scores(points: DataFrame) -> DataFrame:
-    """One row per entity and model: accuracy on the rounded fit, and its twelve points.
+    """One row per entity and model: accuracy on the rounded fit.
 
     A model whose fit is undefined (a logarithm of a month without sales, a zero trend) has
     NULL scores; MAPE alone is NULL when a month has no sales.
@@ -171,28 +170,40 @@ def model_scores(points: DataFrame) -> DataFrame:
         F.expr("sum((y1 - fit1) * (y1 - fit1) + (y2 - fit2) * (y2 - fit2)) AS res"),
         F.expr("sum(abs(y1 - fit1) + abs(y2 - fit2)) AS gap"),
         F.expr("sum(try_divide(abs(y1 - fit1), y1) + try_divide(abs(y2 - fit2), y2)) AS rel"),
-        F.expr("min(least(y1, y2)) AS least_y"),
-        F.expr("collect_list(struct(pos, month1, month2, y1, y2, trend1, trend2, trend3, "
-               "index, fit1, fit2)) AS points"))
-    rated = sums.selectExpr(
+        F.expr("min(least(y1, y2)) AS least_y"))
+    return sums.selectExpr(
         "*", "CASE WHEN NOT whole THEN NULL WHEN tot = 0 THEN if(res = 0, 1.0D, 0.0D) "
-        "ELSE 1 - res / tot END AS r2_exact")
-    return rated.selectExpr(
+        "ELSE 1 - res / tot END AS r2_exact").selectExpr(
         *ENTITY, "ord", "trend", "seasonality", "r2_exact",
         "rint(r2_exact * 1000) / 1000 AS r2",
         "CASE WHEN whole AND least_y <> 0 THEN rint(rel / 24 * 100 * 1000) / 1000 END AS mape",
         "CASE WHEN whole THEN CAST(gap / 24 AS BIGINT) END AS mae",
         "CASE WHEN whole THEN CAST(res / 24 AS BIGINT) END AS mse",
-        "CASE WHEN whole THEN CAST(sqrt(res / 24) AS BIGINT) END AS rmse",
-        "points")
+        "CASE WHEN whole THEN CAST(sqrt(res / 24) AS BIGINT) END AS rmse")
 
 
 def best_models(scores: DataFrame) -> DataFrame:
     """Model with the largest unrounded R2; the earlier name wins a tie."""
-    rank = F.struct(F.col("r2_exact"), -F.col("ord"))
-    columns = [c for c in scores.columns if c not in ENTITY]
-    return (scores.filter(F.col("r2_exact").isNotNull()).groupBy(*ENTITY)
-            .agg(F.max_by(F.struct(*columns), rank).alias("_b")).select(*ENTITY, "_b.*"))
+    order = by_entity().orderBy(F.desc("r2_exact"), "ord")
+    return (scores.filter(F.col("r2_exact").isNotNull())
+            .withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn"))
+
+
+def best_points(points: DataFrame) -> DataFrame:
+    """Points of each entity's best model, twelve rows per entity.
+
+    Rating is done by windows on the points themselves: one sort inside the partitions that
+    are there already, instead of a join of the points with their scores.
+    """
+    rated = points.selectExpr(
+        "*", "sum(coalesce((y1 - fit1) * (y1 - fit1) + (y2 - fit2) * (y2 - fit2), "
+        "double('Infinity'))) OVER (PARTITION BY level, entity, ord) AS res")
+    scored = rated.selectExpr(
+        "*", "CASE WHEN res = double('Infinity') THEN NULL "
+        "WHEN ss_tot = 0 THEN if(res = 0, 1.0D, 0.0D) ELSE 1 - res / ss_tot END AS r2_exact")
+    return (scored.selectExpr("*", f"max(struct(r2_exact, -ord AS last)) {OVER_ENTITY} AS top")
+            .filter("r2_exact IS NOT NULL AND top.last = -ord")
+            .drop("ss_tot", "res", "top"))
 
 
 METRICS = ["r2", "mape", "mae", "mse", "rmse"]
@@ -224,35 +235,34 @@ def _check_horizon(horizon: int):
         raise ValueError(f"horizon must be 0..{MAX_HORIZON} months")
 
 
-def chart_frame(best: DataFrame, horizon: int = 0,
+def chart_frame(points: DataFrame, horizon: int = 0,
                 shown_years: dict[int, int] | None = None) -> DataFrame:
     """Actual, fitted and forecast values of each entity's best model in one table.
 
-    Fitted values are rounded, forecast ones are not.
+    ``points`` comes from ``best_points``. Fitted values are rounded, forecast ones are not.
     """
     _check_horizon(horizon)
     known = ", ".join(
-        f"struct(p.pos + {1 + YEAR * (i - 1)} AS t, p.month{i} AS month_start, "
-        f"p.y{i} AS actual, p.trend{i} AS trend_value, p.index AS index, p.fit{i} AS fit, "
+        f"struct(pos + {1 + YEAR * (i - 1)} AS t, month{i} AS month_start, y{i} AS actual, "
+        f"trend{i} AS trend_value, index AS season_index, fit{i} AS fit, "
         "false AS is_forecast)" for i in (1, 2))
-    ahead = ("struct(p.pos + 25 AS t, add_months(p.month2, 12) AS month_start, "
-             "CAST(NULL AS DOUBLE) AS actual, p.trend3 AS trend_value, p.index AS index, "
-             "CASE WHEN seasonality = 'add' THEN p.trend3 + p.index ELSE p.trend3 * p.index END "
-             "AS fit, true AS is_forecast)")
-    rows = (best.selectExpr(*ENTITY, "trend", "seasonality", "explode(points) AS p")
-            .selectExpr(*ENTITY, "trend", "seasonality", f"inline(array({known}, {ahead}))")
+    ahead = ("struct(pos + 25 AS t, add_months(month2, 12) AS month_start, "
+             "CAST(NULL AS DOUBLE) AS actual, trend3 AS trend_value, index AS season_index, "
+             "CASE WHEN seasonality = 'add' THEN trend3 + index ELSE trend3 * index END AS fit, "
+             "true AS is_forecast)")
+    rows = (points.selectExpr(*ENTITY, "trend", "seasonality", f"inline(array({known}, {ahead}))")
             .filter(F.col("t") <= MODEL_MONTHS + horizon))
     return rows.withColumn("month_label", month_label(F.col("month_start"), shown_years))
 
 
-def fitted_series(best: DataFrame) -> DataFrame:
+def fitted_series(points: DataFrame) -> DataFrame:
     """t, month, actual, trend, index and fit of the best model."""
-    return chart_frame(best).drop("is_forecast")
+    return chart_frame(points).drop("is_forecast")
 
 
-def forecast(best: DataFrame, horizon: int = 2,
+def forecast(points: DataFrame, horizon: int = 2,
              shown_years: dict[int, int] | None = None) -> DataFrame:
     """Continuation of the best model: its own trend with the index of the same month."""
-    return (chart_frame(best, horizon, shown_years).filter("is_forecast")
+    return (chart_frame(points, horizon, shown_years).filter("is_forecast")
             .select(*ENTITY, "trend", "seasonality", "t", "month_start", "month_label",
                     "trend_value", F.col("fit").alias("forecast")))

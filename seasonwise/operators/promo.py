@@ -88,17 +88,18 @@ def promo_free_months(sales: DataFrame, promo_day: int = PROMO_DAY,
         F.count(F.when(ordinary, quantity)).alias("_ordinary_rows"),
         F.sum(F.when(~ordinary, quantity)).alias("_promo"),
         F.count(F.when(~ordinary, quantity)).alias("_promo_rows"))
-    month = F.month("month_start")
+    # Calendar months as bits: which ones were sold at all, and which on ordinary days.
+    bit = F.expr("shiftleft(1, month(month_start))")
+    gated = sums.select(
+        "*", F.month("month_start").alias("_month"),
+        F.bit_count(F.bit_or(bit).over(by_product())).alias("all_months"),
+        F.bit_count(F.coalesce(F.bit_or(F.when(F.col("_ordinary_rows") > 0, bit))
+                               .over(by_product()), F.lit(0))).alias("base_months")
+    ).filter(_complete(min_months))
+    # These windows need no new shuffle: a product is in one partition already.
     pooled = Window.partitionBy("product_code", "_month")
-    pooled_rows = sums.withColumn("_month", month).select(
-        "*",
-        round_half_even(ratio(F.sum("_ordinary").over(pooled),
-                              F.sum("_ordinary_rows").over(pooled))).alias("baseline"))
-    months_seen = F.size(F.collect_set("_month").over(by_product()))
-    months_based = F.size(F.collect_set(
-        F.when(F.col("baseline").isNotNull(), F.col("_month"))).over(by_product()))
-    gated = pooled_rows.select("*", months_based.alias("base_months"),
-                               months_seen.alias("all_months")).filter(_complete(min_months))
+    gated = gated.withColumn("baseline", round_half_even(ratio(
+        F.sum("_ordinary").over(pooled), F.sum("_ordinary_rows").over(pooled))))
     promo = F.coalesce(F.col("baseline") * F.col("_promo_rows"), F.col("_promo"), F.lit(0.0))
     return gated.select(*keys, "month_start",
                         (F.coalesce("_ordinary", F.lit(0.0)) + promo).alias("turnover"))

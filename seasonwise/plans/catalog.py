@@ -100,10 +100,9 @@ def cln2_money(spark, sf_dir):
 
 @query
 def cln3_quantity(spark, sf_dir):
-    return (fx.dirty_sales(spark, sf_dir)
-            .select("turnover_qty",
-                    text.quantity_to_double(F.col("turnover_qty")).alias("value"))
-            .filter(F.col("value").isNotNull()))
+    raw = fx.dirty_sales(spark, sf_dir).filter(text.is_quantity(F.col("turnover_qty")))
+    return raw.select("turnover_qty",
+                      text.quantity_to_double(F.col("turnover_qty")).alias("value"))
 
 
 @query
@@ -400,7 +399,8 @@ def _window(spark, sf_dir):
 
 
 def _points(spark, sf_dir, seasons=models.SEASONALITIES):
-    points = models.model_points(_window(spark, sf_dir), seasonalities=seasons)
+    points = models.model_points(_window(spark, sf_dir), models=[
+        (trend, season) for trend, season in models.MODELS if season in seasons])
     return points.select(*ENTITY, "trend", "seasonality",
                          F.explode(F.array(*[F.struct(
                              (F.col("pos") + 1 + 12 * (i - 1)).cast("int").alias("t"),
@@ -414,6 +414,10 @@ def _scores(spark, sf_dir):
     return models.model_scores(models.model_points(_window(spark, sf_dir)))
 
 
+def _best(spark, sf_dir):
+    return models.best_points(models.model_points(_window(spark, sf_dir)))
+
+
 def _trend(spark, sf_dir, columns):
     return tidy(models.parameters(_window(spark, sf_dir)).select(*ENTITY, *columns), 5)
 
@@ -486,25 +490,24 @@ def mod13_metrics_card(spark, sf_dir):
 
 @query
 def mod14_fitted_series(spark, sf_dir):
-    return tidy(models.fitted_series(models.best_models(_scores(spark, sf_dir))), 4)
+    return tidy(models.fitted_series(_best(spark, sf_dir)), 4)
 
 
 @query
 def mod15_forecast(spark, sf_dir):
-    return tidy(models.forecast(models.best_models(_scores(spark, sf_dir)), 12)
+    return tidy(models.forecast(_best(spark, sf_dir), 12)
                 .drop("month_label"), 4)
 
 
 @query
 def mod16_forecast_labels(spark, sf_dir):
-    return models.forecast(models.best_models(_scores(spark, sf_dir)), 2).select(
+    return models.forecast(_best(spark, sf_dir), 2).select(
         *ENTITY, "t", "month_start", "month_label")
 
 
 @query
 def mod17_chart(spark, sf_dir):
-    return tidy(models.chart_frame(models.best_models(_scores(spark, sf_dir)), 2,
-                                   SHOWN_YEARS), 4)
+    return tidy(models.chart_frame(_best(spark, sf_dir), 2, SHOWN_YEARS), 4)
 
 
 # Correlation

@@ -78,10 +78,10 @@ def dashboard_view(sales: DataFrame, view: str, start_date=None, end_date=None,
         return table.withColumn("month_name", month_name(F.col("month_start")))
     if view in ("graph_predskaz", "table_predskaz"):
         window = series.model_window(selection_spans(selected))
-        scores = models.model_scores(models.model_points(window))
+        points = models.model_points(window)
         if view == "table_predskaz":
-            return models.metrics_card(scores)
-        return models.chart_frame(models.best_models(scores), horizon)
+            return models.metrics_card(models.model_scores(points))
+        return models.chart_frame(models.best_points(points), horizon)
     single = _single_product(selected)
     if view in ("xyz_graph", "xyz_table"):
         limits = stability.category_limits(stability.product_variation(

@@ -77,28 +77,21 @@ def part_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("subgroup"))
 
 
-def _blanked(text):
-    """Blank as thousands separator: 12345 -> 12 345."""
-    return F.regexp_replace(text, r"([0-9])([0-9]{3})($|[.])", "$1 $2$3")
-
-
 def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3 facts: text with percent signs, decimal commas, blanks, returns and junk."""
     line, quantity = F.col("l_linenumber"), F.col("l_quantity").cast("bigint")
     signed = F.when(F.col("l_returnflag") == "R", -quantity).otherwise(quantity)
     text = (F.when(line == 7, "n/a").when(line == 6, "1,5").when(line == 5, "1d")
-            .when(line == 4, _blanked((signed * 1000).cast("string")))
+            .when(line == 4, F.translate(F.format_number(signed * 1000, 0), ",", " "))
             .otherwise(signed.cast("string")))
-    def decimal(value):
-        return value.cast("decimal(18,2)").cast("string")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").cast("string").alias("product_code"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
         text.alias("turnover_qty"),
-        F.translate(_blanked(decimal(F.col("l_extendedprice"))), ".", ",")
-        .alias("turnover_net"),
-        F.concat(F.translate(decimal(F.col("l_discount") * 100), ".", ","), F.lit("%"))
-        .alias("discount_pct"))
+        # 12,345.67 -> 12 345,67
+        F.translate(F.format_number("l_extendedprice", 2), ",.", " ,").alias("turnover_net"),
+        F.concat(F.translate((F.col("l_discount") * 100).cast("decimal(18,2)").cast("string"),
+                             ".", ","), F.lit("%")).alias("discount_pct"))
 
 
 def _bracketed(name: str):

@@ -537,7 +537,7 @@ cte("best_fitted", """
 SELECT f.* FROM fitted f JOIN best b ON f.level = b.level AND f.entity = b.entity
      AND f.ord = b.ord""", "fitted", "best")
 FITTED_COLUMNS = f"""level, entity, trend, seasonality, t, month_start, turnover AS actual,
-       {r("trend_value", 4)} AS trend_value, {r("season_index", 4)} AS "index", fit"""
+       {r("trend_value", 4)} AS trend_value, {r("season_index", 4)} AS season_index, fit"""
 SQL["mod14_fitted_series"] = statement(f"""
 SELECT {FITTED_COLUMNS}, strftime(month_start, '%m/%Y') AS month_label FROM best_fitted""",
                                        "best_fitted")
