@@ -1,8 +1,13 @@
-"""Joins whose keys may be heavily skewed."""
+"""Joins of large tables whose keys may be heavily skewed."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seasonwise.session import cut_lineage
+
+# At a few dozen bytes per row, some megabytes on each executor.
+BROADCAST_ROWS = 200_000
+
 
 def salted_join(large: DataFrame, small: DataFrame, on: list[str], salt_by: list[str],
                 how: str = "inner", salts: int = 8) -> DataFrame:
@@ -17,3 +22,17 @@ def salted_join(large: DataFrame, small: DataFrame, on: list[str], salt_by: list
     left = large.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def checked_join(facts: DataFrame, small: DataFrame, on: list[str], salt_by: list[str],
+                 how: str = "inner", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join that spares facts their shuffle if the other side is small enough.
+
+    The other side is written to the shared folder and counted before the plan is chosen:
+    up to ``broadcast_rows`` rows it is broadcast and the facts stay where they are, beyond
+    that both sides are shuffled with salt.
+    """
+    small = cut_lineage(small)
+    if small.count() <= broadcast_rows:
+        return facts.join(F.broadcast(small), on, how)
+    return salted_join(facts, small, on, salt_by, how)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonwise.functions.joins import salted_join
+from seasonwise.functions.joins import checked_join
 from seasonwise.functions.text import (is_quantity, money_to_double, percent_to_double,
                                        quantity_to_double, strip_brackets)
 from seasonwise.schemas import DATE_FORMAT, HIERARCHY
@@ -72,5 +72,5 @@ def attach_hierarchy(rows: DataFrame, products: DataFrame) -> DataFrame:
 
 def attach_hierarchy_to_facts(sales: DataFrame, products: DataFrame) -> DataFrame:
     """The same for single facts, where one product may hold a large share of all rows."""
-    return salted_join(sales, products.select("product_code", *HIERARCHY), ["product_code"],
-                       salt_by=["date", "turnover_qty", "turnover_net"], how="left")
+    return checked_join(sales, products.select("product_code", *HIERARCHY), ["product_code"],
+                        salt_by=["date", "turnover_qty", "turnover_net"], how="left")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasonwise.operators.clean import attach_hierarchy
-from seasonwise.operators.series import monthly_series
+from seasonwise.operators.series import fill_gaps, product_totals
 from seasonwise.schemas import HIERARCHY, TABLE_ROWS
 from seasonwise.session import cut_lineage
 
@@ -32,9 +32,9 @@ PROFILES_PER_PARTITION = 100_000
 
 def product_months(sales: DataFrame) -> DataFrame:
     """Gap-filled months of every product: (product_code, month_start, month, turnover)."""
-    return monthly_series(sales, levels=("product",)).select(
-        F.col("entity").cast("bigint").alias("product_code"), "month_start",
-        F.month("month_start").alias("month"), "turnover")
+    totals = product_totals(sales.drop(*HIERARCHY))
+    return fill_gaps(totals, "month_start", ["product_code"]).select(
+        "product_code", "month_start", F.month("month_start").alias("month"), "turnover")
 
 
 def monthly_profiles(months: DataFrame) -> DataFrame:

@@ -3,10 +3,10 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seasonwise.functions.dates import month_start
-from seasonwise.functions.joins import salted_join
+from seasonwise.functions.joins import checked_join
 from seasonwise.functions.numeric import ratio, round_half_even
 from seasonwise.functions.windows import by_product
+from seasonwise.operators.series import period_column
 from seasonwise.schemas import HIERARCHY, MIN_MONTHS, PROMO_DAY
 
 
@@ -61,37 +61,38 @@ def neutralise_promo(sales: DataFrame, promo_day: int = PROMO_DAY,
     """Facts of complete products with promo-day quantities replaced by the baseline.
 
     Facts are read twice but joined once, against a table of at most twelve rows per
-    product; hot products are spread by salt.
+    product. Series do not need this: ``promo_free_totals`` gives their sums without a join.
     """
     rules = (promo_rules(sales, promo_day, min_months).filter("keep")
              .select("product_code", "month", "baseline"))
     facts = sales.withColumn("month", F.month("date"))
-    joined = salted_join(facts, rules, ["product_code", "month"],
-                         salt_by=["date", "turnover_qty"])
+    joined = checked_join(facts, rules, ["product_code", "month"],
+                          salt_by=["date", "turnover_qty"])
     replaced = F.when(F.dayofmonth("date") == promo_day,
                       F.coalesce("baseline", "turnover_qty")).otherwise(F.col("turnover_qty"))
     return joined.withColumn("turnover_qty", replaced).select(*sales.columns, "month")
 
 
-def promo_free_months(sales: DataFrame, promo_day: int = PROMO_DAY,
+def promo_free_totals(sales: DataFrame, period: str = "month", promo_day: int = PROMO_DAY,
                       min_months: int = MIN_MONTHS) -> DataFrame:
-    """Monthly product totals of ``neutralise_promo`` in one pass over the facts.
+    """Product totals per month or day of ``neutralise_promo`` in one pass over the facts.
 
     A promo-day row contributes either its month's baseline or its own quantity, so sums
-    and row counts per product and month are enough; the facts need no join at all.
+    and row counts per product and period are enough; the facts need no join at all.
     """
     ordinary = F.dayofmonth("date") != promo_day
     quantity = F.col("turnover_qty")
     keys = ["product_code", *[c for c in HIERARCHY if c in sales.columns]]
-    sums = sales.groupBy(*keys, month_start(F.col("date")).alias("month_start")).agg(
+    name, start = period_column(period)
+    sums = sales.groupBy(*keys, start.alias(name)).agg(
         F.sum(F.when(ordinary, quantity)).alias("_ordinary"),
         F.count(F.when(ordinary, quantity)).alias("_ordinary_rows"),
         F.sum(F.when(~ordinary, quantity)).alias("_promo"),
         F.count(F.when(~ordinary, quantity)).alias("_promo_rows"))
     # Calendar months as bits: which ones were sold at all, and which on ordinary days.
-    bit = F.expr("shiftleft(1, month(month_start))")
+    bit = F.expr(f"shiftleft(1, month({name}))")
     gated = sums.select(
-        "*", F.month("month_start").alias("_month"),
+        "*", F.month(name).alias("_month"),
         F.bit_count(F.bit_or(bit).over(by_product())).alias("all_months"),
         F.bit_count(F.coalesce(F.bit_or(F.when(F.col("_ordinary_rows") > 0, bit))
                                .over(by_product()), F.lit(0))).alias("base_months")
@@ -101,5 +102,5 @@ def promo_free_months(sales: DataFrame, promo_day: int = PROMO_DAY,
     gated = gated.withColumn("baseline", round_half_even(ratio(
         F.sum("_ordinary").over(pooled), F.sum("_ordinary_rows").over(pooled))))
     promo = F.coalesce(F.col("baseline") * F.col("_promo_rows"), F.col("_promo"), F.lit(0.0))
-    return gated.select(*keys, "month_start",
+    return gated.select(*keys, name,
                         (F.coalesce("_ordinary", F.lit(0.0)) + promo).alias("turnover"))

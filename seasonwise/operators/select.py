@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonwise.functions.joins import salted_join
+from seasonwise.functions.joins import checked_join
 from seasonwise.operators.series import expand_levels
 from seasonwise.schemas import HIERARCHY, LEVEL_COLUMNS
 from seasonwise.sources.requests import read_requests
@@ -50,12 +50,12 @@ def request_rows(sales: DataFrame, resolved: DataFrame, hierarchy: DataFrame) ->
     """All facts of each resolved request.
 
     Requests are turned into product codes on the dimension, so facts meet one join and are
-    not expanded to every level. Products with many facts are spread by salt.
+    not expanded to every level.
     """
     facts = sales.drop(*HIERARCHY)
     wanted = requested_products(resolved, hierarchy).select(
         "product_code", "request_id", *HIERARCHY)
-    return salted_join(facts, wanted, ["product_code"], salt_by=["date", "turnover_qty"])
+    return checked_join(facts, wanted, ["product_code"], salt_by=["date", "turnover_qty"])
 
 
 def filter_sales(sales: DataFrame, category=None, group=None, subgroup=None,

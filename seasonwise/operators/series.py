@@ -15,24 +15,27 @@ from seasonwise.schemas import ENTITY, HIERARCHY, LEVEL_COLUMNS, LEVELS
 MODEL_MONTHS = 24
 
 
+def period_column(period: str):
+    """Name and expression of the start of each fact's period, ``month`` or ``day``."""
+    if period == "month":
+        return "month_start", month_start(F.col("date"))
+    if period == "day":
+        return "day", F.col("date")
+    raise ValueError(f"unknown period: {period}")
+
+
 def product_totals(sales: DataFrame, period: str = "month") -> DataFrame:
     """Sum per product and month (or day), keeping hierarchy columns that are present."""
     keys = ["product_code", *[c for c in HIERARCHY if c in sales.columns]]
-    if period == "month":
-        time = month_start(F.col("date")).alias("month_start")
-    else:
-        time = F.col("date").alias("day")
-    return sales.groupBy(*keys, time).agg(F.sum("turnover_qty").alias("turnover"))
+    name, start = period_column(period)
+    return sales.groupBy(*keys, start.alias(name)).agg(F.sum("turnover_qty").alias("turnover"))
 
 
 def level_totals(totals: DataFrame, products: DataFrame | None = None,
-                 levels=LEVELS, time: str = "month_start") -> DataFrame:
+                 levels=LEVELS) -> DataFrame:
     """Product totals summed for every entity of ``levels``; unnamed entities are left out."""
-    if tuple(levels) == ("product",):
-        return totals.groupBy(F.lit("product").alias("level"),
-                              F.col("product_code").cast("string").alias("entity"),
-                              time).agg(F.sum("turnover").alias("turnover"))
-    if products is not None:
+    time = "month_start" if "month_start" in totals.columns else "day"
+    if products is not None and tuple(levels) != ("product",):
         totals = attach_hierarchy(totals.select("product_code", time, "turnover"), products)
     return (expand_levels(totals, levels).groupBy(*ENTITY, time)
             .agg(F.sum("turnover").alias("turnover")))
@@ -45,15 +48,16 @@ def expand_levels(rows: DataFrame, levels=LEVELS) -> DataFrame:
     return rows.selectExpr("*", f"inline(array({pairs}))").filter("entity IS NOT NULL")
 
 
-def fill_gaps(totals: DataFrame, time: str) -> DataFrame:
+def fill_gaps(totals: DataFrame, time: str, keys=ENTITY) -> DataFrame:
     """Add the missing periods between the first and last one of each entity as zeros.
 
     Also adds, per entity, the first and last period, their number, the total and the mean.
     """
-    over = "OVER (PARTITION BY level, entity)"
+    by = ", ".join(keys)
+    over = f"OVER (PARTITION BY {by})"
     spanned = totals.selectExpr(
-        *ENTITY, f"{time} AS seen", "turnover",
-        f"lead({time}) OVER (PARTITION BY level, entity ORDER BY {time}) AS after",
+        *keys, f"{time} AS seen", "turnover",
+        f"lead({time}) OVER (PARTITION BY {by} ORDER BY {time}) AS after",
         f"min({time}) {over} AS first", f"max({time}) {over} AS last",
         f"sum(turnover) {over} AS total")
     if time == "month_start":
@@ -65,20 +69,30 @@ def fill_gaps(totals: DataFrame, time: str) -> DataFrame:
         "*", f"{periods} AS periods",
         f"explode(sequence(seen, coalesce({until}, seen), {step})) AS {time}")
     return filled.selectExpr(
-        *ENTITY, time, f"CASE WHEN {time} = seen THEN turnover ELSE 0.0D END AS turnover",
+        *keys, time, f"CASE WHEN {time} = seen THEN turnover ELSE 0.0D END AS turnover",
         "first", "last", "periods", "total", "total / periods AS mean")
 
 
+def _spans(sales: DataFrame, products: DataFrame | None, levels, period: str) -> DataFrame:
+    name, _ = period_column(period)
+    if tuple(levels) == ("product",):
+        totals = product_totals(sales.drop(*HIERARCHY), period)
+        return fill_gaps(totals, name, ["product_code"]).selectExpr(
+            "'product' AS level", "CAST(product_code AS STRING) AS entity", name, "turnover",
+            "first", "last", "periods", "total", "mean")
+    return fill_gaps(level_totals(product_totals(sales, period), products, levels), name)
+
+
 def monthly_spans(sales: DataFrame, products: DataFrame | None = None,
                   levels=LEVELS) -> DataFrame:
     """Gap-filled months of every entity with its span and mean."""
-    return fill_gaps(level_totals(product_totals(sales), products, levels), "month_start")
+    return _spans(sales, products, levels, "month")
 
 
 def daily_spans(sales: DataFrame, products: DataFrame | None = None,
                 levels=LEVELS) -> DataFrame:
     """Gap-filled days of every entity with its span and mean."""
-    return fill_gaps(level_totals(product_totals(sales, "day"), products, levels, "day"), "day")
+    return _spans(sales, products, levels, "day")
 
 
 def monthly_series(sales: DataFrame, products: DataFrame | None = None,

@@ -172,7 +172,20 @@ def prm4_complete(spark, sf_dir):
 
 @query
 def prm_months(spark, sf_dir):
-    return promo.promo_free_months(fx.part_sales(spark, sf_dir))
+    return promo.promo_free_totals(fx.part_sales(spark, sf_dir), "month")
+
+
+@query
+def prm_days(spark, sf_dir):
+    return promo.promo_free_totals(fx.part_sales(spark, sf_dir), "day")
+
+
+@query
+def prm_group_months(spark, sf_dir):
+    totals = promo.promo_free_totals(fx.part_sales(spark, sf_dir), "month")
+    levels = series.level_totals(totals, fx.part_products(spark, sf_dir),
+                                 ("subgroup", "group", "category"))
+    return series.fill_gaps(levels, "month_start").select(*ENTITY, "month_start", "turnover")
 
 
 # Selection

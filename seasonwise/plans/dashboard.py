@@ -38,13 +38,12 @@ def selection_thresholds(selected: DataFrame, category: str | None,
 def _classed(selected: DataFrame, category, by_category) -> DataFrame:
     """Month classes by the threshold of the selection's category, the first by name.
 
-    Both sides are tiny: one threshold, one row per month.
+    The threshold is a single number, so it goes into the plan as a literal.
     """
-    limit = (selection_thresholds(selected, category, by_category)
-             .agg(F.min_by("threshold", "category").alias("threshold"))
-             .withColumn("level", F.lit("selection")))
-    spans = selection_spans(selected).join(limit, "level")
-    return seasonality.month_classes(spans, threshold=None)
+    first = selection_thresholds(selected, category, by_category).orderBy("category").first()
+    threshold = F.lit(first["threshold"] if first else None).cast("double")
+    return seasonality.month_classes(
+        selection_spans(selected).withColumn("threshold", threshold), threshold=None)
 
 
 def _single_product(selected: DataFrame) -> bool:

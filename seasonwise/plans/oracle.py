@@ -232,6 +232,16 @@ SQL["prm_months"] = statement("""
 SELECT product_code, CAST(date_trunc('month', date) AS DATE) AS month_start,
        sum(turnover_qty) AS turnover FROM free2 GROUP BY ALL""", "free2")
 
+SQL["prm_days"] = statement("""
+SELECT product_code, date AS day, sum(turnover_qty) AS turnover FROM free2 GROUP BY ALL""",
+                            "free2")
+cte("free2_named", """
+SELECT date, product_code, turnover_qty, p_type AS category, p_brand AS "group",
+       p_brand || '#' || CAST(p_size AS VARCHAR) AS subgroup
+FROM free2 LEFT JOIN part ON product_code = p_partkey""", "free2")
+series_cte("m2_free", "free2_named", "month", UPPER)
+SQL["prm_group_months"] = statement("SELECT * FROM m2_free", "m2_free")
+
 # Selection
 
 SQL["sel1_resolve"] = statement("SELECT * FROM resolved", "resolved")

@@ -1,3 +1,5 @@
+import pytest
+
 from pyspark.sql import functions as F
 
 from seasonwise.operators import promo
@@ -48,11 +50,12 @@ def test_ordinary_days_and_duplicates_are_kept(spark):
     assert promo.neutralise_promo(twice).count() == 2 * promo.neutralise_promo(frame).count()
 
 
-def test_months_in_one_pass_equal_the_replaced_facts(spark):
+@pytest.mark.parametrize("period, time", [("month", "month_start"), ("day", "day")])
+def test_totals_in_one_pass_equal_the_replaced_facts(spark, period, time):
     frame = sales(spark)
-    expected = rows_of(product_totals(promo.neutralise_promo(frame)),
-                       "product_code", "month_start", "turnover")
-    assert rows_of(promo.promo_free_months(frame), "product_code", "month_start",
+    expected = rows_of(product_totals(promo.neutralise_promo(frame), period),
+                       "product_code", time, "turnover")
+    assert rows_of(promo.promo_free_totals(frame, period), "product_code", time,
                    "turnover") == expected
 
 
