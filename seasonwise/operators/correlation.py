@@ -53,7 +53,8 @@ def parent_correlations(window: DataFrame, hierarchy: DataFrame) -> DataFrame:
                       F.lit(0.0), lambda total, x: total + x)
     return both.select("product_code", F.col("ord").alias("parent_ord"),
                        F.col("level").alias("parent_level"), F.col("entity").alias("parent"),
-                       round_half_even(dot, 3).alias("correlation"))
+                       # Adding zero turns a negative zero into a plain one.
+                       (round_half_even(dot, 3) + 0.0).alias("correlation"))
 
 
 def best_parents(correlations: DataFrame,
