@@ -36,23 +36,17 @@ def clean_products(raw: DataFrame) -> DataFrame:
 
 
 def keep_year(sales: DataFrame, year: int | None) -> DataFrame:
-    """One calendar year, or everything for None.
-
-    A range on the date itself, so it reaches the scan as a pushed filter.
-    """
-    if year is None:
-        return sales
-    return sales.filter(F.col("date").between(F.make_date(F.lit(year), F.lit(1), F.lit(1)),
-                                              F.make_date(F.lit(year), F.lit(12), F.lit(31))))
+    """Facts (or month totals) of one calendar year, or everything for None."""
+    return sales if year is None else keep_years(sales, (year,))
 
 
 def keep_years(sales: DataFrame, years) -> DataFrame:
-    """Several calendar years."""
+    """Several calendar years, as ranges on the date itself that a scan can use."""
+    time = "date" if "date" in sales.columns else "month_start"
     within = F.lit(False)
     for year in years:
-        within = within | F.col("date").between(
-            F.make_date(F.lit(year), F.lit(1), F.lit(1)),
-            F.make_date(F.lit(year), F.lit(12), F.lit(31)))
+        within = within | F.col(time).between(F.make_date(F.lit(year), F.lit(1), F.lit(1)),
+                                              F.make_date(F.lit(year), F.lit(12), F.lit(31)))
     return sales.filter(within)
 
 

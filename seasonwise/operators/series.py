@@ -25,9 +25,15 @@ def period_column(period: str):
 
 
 def product_totals(sales: DataFrame, period: str = "month") -> DataFrame:
-    """Sum per product and month (or day), keeping hierarchy columns that are present."""
-    keys = ["product_code", *[c for c in HIERARCHY if c in sales.columns]]
+    """Sum per product and month (or day), keeping hierarchy columns that are present.
+
+    Totals that are there already, such as promo-free ones, pass through; so every operator
+    that starts here takes either facts or totals.
+    """
     name, start = period_column(period)
+    if name in sales.columns:
+        return sales
+    keys = ["product_code", *[c for c in HIERARCHY if c in sales.columns]]
     return sales.groupBy(*keys, start.alias(name)).agg(F.sum("turnover_qty").alias("turnover"))
 
 
@@ -129,7 +135,9 @@ def calendar_totals(totals: DataFrame, key: list[str]) -> DataFrame:
 
 
 def calendar_product_totals(sales: DataFrame) -> DataFrame:
-    """``calendar_totals`` per product straight from the facts, with hierarchy if present."""
+    """``calendar_totals`` per product from facts or month totals, with hierarchy if present."""
     keys = ["product_code", *[c for c in HIERARCHY if c in sales.columns]]
+    if "month_start" in sales.columns:
+        return calendar_totals(sales, keys)
     return (sales.groupBy(*keys, F.month("date").alias("month"))
             .agg(F.sum("turnover_qty").alias("turnover")))

@@ -10,7 +10,7 @@ from seasonwise.operators import (clean, clusters, correlation, describe, models
 from seasonwise.plans import fixtures as fx
 from seasonwise.plans.dashboard import dashboard_view
 from seasonwise.schemas import ENTITY
-from seasonwise.session import scratch_path
+from seasonwise.session import cut_lineage, scratch_path
 from seasonwise.sources import files
 from seasonwise.sources.requests import read_requests
 
@@ -188,7 +188,7 @@ def prm_group_months(spark, sf_dir):
     return series.fill_gaps(levels, "month_start").select(*ENTITY, "month_start", "turnover")
 
 
-# Selection
+# Selection. Where the sold products are used twice they are written once, not found twice.
 
 @query
 def sel1_resolve(spark, sf_dir):
@@ -197,7 +197,7 @@ def sel1_resolve(spark, sf_dir):
 
 @query
 def sel2_rows(spark, sf_dir):
-    hierarchy = _hierarchy(spark, sf_dir)
+    hierarchy = cut_lineage(_hierarchy(spark, sf_dir))
     resolved = select.resolve_requests(fx.requests(spark, sf_dir), hierarchy)
     return select.request_rows(fx.supplier_sales(spark, sf_dir), resolved, hierarchy).select(
         "request_id", "date", "product_code", "turnover_qty", "category", "group", "subgroup")
@@ -234,7 +234,7 @@ def sel6_bounds(spark, sf_dir):
 
 @query
 def sel7_level(spark, sf_dir):
-    hierarchy = _hierarchy(spark, sf_dir)
+    hierarchy = cut_lineage(_hierarchy(spark, sf_dir))
     resolved = select.resolve_requests(fx.requests(spark, sf_dir), hierarchy)
     return select.selection_level(select.requested_products(resolved, hierarchy)
                                   .select("request_id", "product_code", "category", "group",
@@ -353,9 +353,16 @@ def sea2_threshold_parts(spark, sf_dir):
     return seasonality.category_thresholds(_coefficients(spark, sf_dir))
 
 
+@query
+def sea2_threshold_promo_free(spark, sf_dir):
+    totals = promo.promo_free_totals(fx.part_sales(spark, sf_dir))
+    return seasonality.category_thresholds(
+        seasonality.product_month_coefficients(totals, fx.part_products(spark, sf_dir)))
+
+
 @query
 def sea3_request_category(spark, sf_dir):
-    hierarchy = _hierarchy(spark, sf_dir)
+    hierarchy = cut_lineage(_hierarchy(spark, sf_dir))
     return seasonality.request_categories(
         select.resolve_requests(fx.requests(spark, sf_dir), hierarchy), hierarchy)
 
@@ -399,9 +406,12 @@ def sea10_markers(spark, sf_dir):
 
 @query
 def sea11_own_threshold(spark, sf_dir):
+    products = fx.supplier_products(spark, sf_dir)
+    totals = series.product_totals(fx.supplier_sales(spark, sf_dir))
+    thresholds = seasonality.category_thresholds(
+        seasonality.product_month_coefficients(totals, products), by_category=SPECIAL_PERCENT)
     spans = seasonality.with_category_threshold(
-        _monthly(spark, sf_dir), _thresholds(spark, sf_dir),
-        fx.supplier_products(spark, sf_dir))
+        series.monthly_spans(totals, products), thresholds, products)
     return tidy(seasonality.month_classes(spans, threshold=None))
 
 

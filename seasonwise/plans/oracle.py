@@ -364,6 +364,13 @@ SQL["sea2_threshold"] = statement("SELECT * FROM threshold1", "threshold1")
 SQL["sea2_threshold_parts"] = statement(f"""
 SELECT category, {even("quantile_cont(coefficient, 0.75)", 2)} AS threshold
 FROM coef2 GROUP BY category""", "coef2")
+SQL["sea2_threshold_promo_free"] = statement(f"""
+SELECT category, {even("quantile_cont(coefficient, 0.75)", 2)} AS threshold
+FROM (SELECT product_code, category,
+             turnover / nullif(avg(turnover) OVER (PARTITION BY product_code), 0) AS coefficient
+      FROM (SELECT product_code, category, month(date) AS month, sum(turnover_qty) AS turnover
+            FROM free2_named GROUP BY ALL))
+GROUP BY category""", "free2_named")
 SQL["sea3_request_category"] = statement("""
 SELECT request_id, level, entity, min(category) AS category
 FROM resolved JOIN known_long USING (level, entity) GROUP BY ALL""", "resolved", "known_long")
