@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonwise.llm import token_counts
+from seasonwise.llm import packing, sentencepieces, token_counts
 from seasonwise.llm.common import read
 
 QUERIES = {}
@@ -19,3 +19,14 @@ def query(function):
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), "word_bpe_49k.json")
+
+
+@query
+def op8_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), "byte_bpe_50k.json", window=2048,
+                        end_id=1)
+
+
+@query
+def op10_sentencepieces(spark, sf_dir):
+    return sentencepieces.digests(read(spark, sf_dir, "documents"), "piece_bpe_32k.model")
