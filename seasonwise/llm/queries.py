@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonwise.llm import packing, sentencepieces, token_counts
+from seasonwise.llm import minhash, packing, sentencepieces, token_counts
 from seasonwise.llm.common import read
 
 QUERIES = {}
@@ -30,3 +30,8 @@ def op8_packing(spark, sf_dir):
 @query
 def op10_sentencepieces(spark, sf_dir):
     return sentencepieces.digests(read(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+
+
+@query
+def op2_minhash_dedup(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
