@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonwise.llm import minhash, packing, sentencepieces, token_counts
+from seasonwise.llm import language, minhash, packing, sentencepieces, token_counts
 from seasonwise.llm.common import read
 
 QUERIES = {}
@@ -35,3 +35,9 @@ def op10_sentencepieces(spark, sf_dir):
 @query
 def op2_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@query
+def op4_language(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs, per_language=1000))
