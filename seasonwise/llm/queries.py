@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonwise.llm import language, minhash, packing, sentencepieces, token_counts
+from seasonwise.llm import embedding_dedup, language, minhash, packing, sentencepieces, token_counts
 from seasonwise.llm.common import read
 
 QUERIES = {}
@@ -41,3 +41,8 @@ def op2_minhash_dedup(spark, sf_dir):
 def op4_language(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return language.predict(docs, language.fit(docs, per_language=1000))
+
+
+@query
+def op7_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), least=0.98)
