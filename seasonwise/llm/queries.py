@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonwise.llm import embedding_dedup, language, minhash, packing, sentencepieces, token_counts
+from seasonwise.llm import (embedding_dedup, hnsw, language, minhash, packing,
+                            sentencepieces, token_counts)
 from seasonwise.llm.common import read
 
 QUERIES = {}
@@ -46,3 +47,8 @@ def op4_language(spark, sf_dir):
 @query
 def op7_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), least=0.98)
+
+
+@query
+def op1_nearest_neighbours(spark, sf_dir):
+    return hnsw.nearest(read(spark, sf_dir, "embeddings"), every=20, k=20)
