@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonwise.llm import (embedding_dedup, hnsw, language, minhash, packing,
+from seasonwise.llm import (embedding_dedup, hnsw, html_text, language, minhash, packing,
                             sentencepieces, token_counts)
 from seasonwise.llm.common import read
 
@@ -52,3 +52,8 @@ def op7_embedding_dedup(spark, sf_dir):
 @query
 def op1_nearest_neighbours(spark, sf_dir):
     return hnsw.nearest(read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+@query
+def op3_html_text(spark, sf_dir):
+    return html_text.extract(read(spark, sf_dir, "pages"))
