@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seasonwise.llm import (embedding_dedup, hnsw, html_text, language, minhash, packing,
-                            sentencepieces, token_counts)
+                            secrets, sentencepieces, token_counts)
 from seasonwise.llm.common import read
 
 QUERIES = {}
@@ -57,3 +57,8 @@ def op1_nearest_neighbours(spark, sf_dir):
 @query
 def op3_html_text(spark, sf_dir):
     return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op6_secrets(spark, sf_dir):
+    return secrets.scan(read(spark, sf_dir, "documents")).drop("row", "value")

@@ -1,0 +1,269 @@
+"""Secrets in texts: candidates by pattern, false positives removed by a random forest.
+
+Everything is DataFrame work: candidates and the text around them come from two regular
+expression passes over whole texts, features are column expressions, and the forest is the
+library's. It is trained from labelled findings; `labelled_findings` makes them from the
+corpus itself, by strict public formats and by altered copies of what was found.
+"""
+
+from dataclasses import dataclass
+
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from seasonwise.llm.common import cut_lineage
+
+# Public formats of keys and tokens (fixed values).
+VENDOR = (r"(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{24,}"
+          r"|xox[abprs]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20}")
+PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|sk_live_|sk_test_|xox[abprs]-|AIza|glpat-)"
+KEYWORD = (r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key"
+           r"|private[_-]?key|credential|bearer)")
+ASSIGNED = rf"(?i:{KEYWORD}[A-Za-z0-9_-]{{0,12}}[\"']?\s{{0,2}}(?:=>|[:=])\s{{0,2}}[\"']?)"
+PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|0000|1234|abcd|test|todo|<|\{|\$"
+# A run of at least 16 characters with a digit or all in capitals, or what follows a keyword.
+CANDIDATE = (rf"(?<={ASSIGNED})[^\s\"',;]{{6,}}"
+             r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,200}[0-9]|[A-Z0-9]{16})"
+             r"[A-Za-z0-9_+/-]{16,}={0,2}")
+AROUND = 48
+MASK = "[SECRET]"
+FEATURES = ("length", "digits", "capitals", "letters", "others", "changes", "transitions",
+            "distinct", "repeats", "hexadecimal", "dictionary", "keyword", "assigned", "quoted",
+            "vendor", "prefix", "path", "placeholder", "word_before", "word_after")
+
+
+def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, row, start, length, value, before, after`` of every candidate.
+
+    ``start`` counts code points from 0; ``row`` tells repeated rows apart.
+    """
+    found = docs.select(
+        F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
+        F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("text"))
+    found = found.filter(F.col("text").rlike(CANDIDATE))
+    # What lies between candidates are the pieces of a split at the same pattern.
+    found = found.select("doc_id", "row",
+                         F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("values"),
+                         F.split("text", CANDIDATE, -1).alias("gaps"))
+    each = found.select("doc_id", "row", F.posexplode("values").alias("k", "value"), "gaps")
+    gap, after = F.expr("gaps[k]"), F.expr("gaps[k + 1]")
+    each = each.select("doc_id", "row", "k", "value", F.length(gap).alias("gap"),
+                       F.expr(f"right(gaps[k], {AROUND})").alias("before"),
+                       F.substring(after, 1, AROUND).alias("after"))
+    so_far = Window.partitionBy("row").orderBy("k")
+    start = F.sum(F.col("gap") + F.length("value")).over(so_far) - F.length("value")
+    return each.select("doc_id", "row", start.alias("start"),
+                       F.length("value").cast("long").alias("length"), "value", "before", "after")
+
+
+def _share(value: Column, pattern: str) -> Column:
+    return F.length(F.regexp_replace(value, f"[^{pattern}]", "")) / F.length(value)
+
+
+def _flag(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False)).cast("double")
+
+
+@dataclass
+class Language:
+    """What ordinary text looks like: its frequent words and letter transitions."""
+
+    words: list[str]
+    transitions: list[float]  # log probability by 27 * first + second letter, 0 for the rest
+
+
+def language_of(findings: DataFrame, words: int = 400) -> Language:
+    """Statistics of the text around findings (a bounded frame)."""
+    around = findings.select(F.explode(F.split(F.lower(F.concat_ws(
+        " ", "before", "after")), "[^a-z]+")).alias("w")).filter(F.length("w") > 2)
+    around = around.filter(~F.col("w").rlike(KEYWORD))
+    common = [r.w for r in around.groupBy("w").count().filter(F.length("w") > 3)
+              .orderBy(F.desc("count"), "w").limit(words).collect()]
+    letters = around.select(F.explode(F.expr(
+        "transform(sequence(1, length(w) - 1), i -> 27 * (ascii(substr(w, i, 1)) - 96) "
+        "+ ascii(substr(w, i + 1, 1)) - 96)")).alias("pair"))
+    counts = {r["pair"]: r["count"] for r in letters.groupBy("pair").count().collect()}
+    import math
+    table = []
+    for first in range(27):
+        row = [counts.get(27 * first + second, 0) + 0.5 for second in range(27)]
+        table += [math.log(n / sum(row)) for n in row]
+    return Language(common, table)
+
+
+def features(findings: DataFrame, language: Language) -> DataFrame:
+    """``findings`` with a column per name in ``FEATURES``."""
+    value, before, after = F.col("value"), F.col("before"), F.col("after")
+    lower = F.lower(value)
+    words = "|".join(sorted(language.words, key=lambda w: (-len(w), w))) or "$^"
+    table = F.array(*[F.lit(float(x)) for x in language.transitions])
+    code = "greatest(0, least(26, if(substr({0}, {1}, 1) between 'a' and 'z', " \
+           "ascii(substr({0}, {1}, 1)) - 96, 0)))"
+    pairs = F.expr("transform(sequence(1, greatest(1, length(value) - 1)), i -> 27 * "
+                   f"{code.format('lower(value)', 'i')} + {code.format('lower(value)', 'i + 1')})")
+
+    def word_share(text):
+        word = F.lower(F.regexp_replace(text, "[^A-Za-z]", ""))
+        return F.when(F.length(word) == 0, 0.0).otherwise(
+            1 - F.length(F.regexp_replace(word, words, "")) / F.length(word))
+
+    near = F.concat(before, F.lit(" "))
+    return findings.withColumn("_table", table).withColumns({
+        "length": F.length(value).cast("double"),
+        "digits": _share(value, "0-9"), "capitals": _share(value, "A-Z"),
+        "letters": _share(value, "a-z"), "others": 1 - _share(value, "A-Za-z0-9"),
+        "changes": F.regexp_count(value, F.lit(
+            r"(?<=[0-9])(?=[^0-9])|(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])")) / F.length(value),
+        "transitions": F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.get("_table", p))
+        / F.greatest(F.lit(1), F.length(value) - 1),
+        "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.length(value),
+        "repeats": _flag(value.rlike(r"(.)\1{3}")),
+        "hexadecimal": _flag(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
+        "dictionary": 1 - F.length(F.regexp_replace(lower, words, "")) / F.length(value),
+        "keyword": _flag(near.rlike(rf"(?i){KEYWORD}[^\n]{{0,16}}$")),
+        "assigned": _flag(before.rlike(rf"{ASSIGNED}$")),
+        "quoted": _flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
+        "vendor": _flag(value.rlike(f"^(?:{VENDOR})$")), "prefix": _flag(value.rlike(PREFIX)),
+        "path": _flag(before.rlike(r"[/\\]$|://\S*$|[@.]$") | value.rlike("/.*/|^/")
+                      | after.rlike(r"^(?:\.[a-z]{2,4}\b|/|@)")),
+        "placeholder": _flag(value.rlike(PLACEHOLDER)),
+        "word_before": word_share(F.regexp_extract(before, r"(\S*)\s*$", 1)),
+        "word_after": word_share(F.regexp_extract(after, r"^\s*(\S*)", 1)),
+    }).drop("_table")
+
+
+def labelled_findings(found: DataFrame, most: int = 4000) -> DataFrame:
+    """Findings with a ``label``: 1.0 for a secret, 0.0 for a false positive.
+
+    At most about ``most`` of each kind are drawn by a hash of their content. Secrets: vendor formats,
+    and mixed values of 16 or more after a keyword and sign. False positives: runs that are
+    neither. Altered copies teach what the corpus may lack: other formats in the same
+    surroundings, and placeholders, words, numbers and paths where secrets were.
+    """
+    mixed = F.col("value").rlike("^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/=-]{16,}$") \
+        & ~F.col("value").rlike(PLACEHOLDER)
+    vendor = F.col("value").rlike(f"^(?:{VENDOR})$") & ~F.col("value").rlike("(?i)example")
+    assigned = F.col("before").rlike(rf"{ASSIGNED}$")
+    secret = vendor | (assigned & mixed)
+    kinds = found.select("value", "before", "after", F.when(secret, 1.0).when(
+        ~assigned & ~F.col("value").rlike(PREFIX), 0.0).alias("label")).filter("label IS NOT NULL")
+    sizes = {r.label: r.n for r in kinds.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    draw = F.pmod(F.xxhash64("value", "before"), F.lit(1 << 20))
+    share = F.lit(0.0)
+    for label, n in sizes.items():
+        share = F.when(F.col("label") == label, min(1.0, most / n)).otherwise(share)
+    drawn = kinds.filter(draw < share * (1 << 20))
+
+    n, digest = F.length("value"), F.sha2(F.concat("value", "before"), 512)
+    word = F.lower(F.regexp_replace(F.concat("before", "after"), "[^A-Za-z]", ""))
+    wide = F.base64(F.unhex(digest))
+    plain = F.regexp_replace(wide, "[^A-Za-z0-9]", "")
+    neutral = F.regexp_replace("before", rf"{ASSIGNED}$", "")
+    bare = F.regexp_replace("after", "^[\"']", "")
+    secrets = [  # value, before
+        (F.concat(F.lit("ghp_"), F.substring(plain, 1, 36)), neutral),
+        (F.concat(F.lit("sk_live_"), F.substring(plain, 3, 24)), neutral),
+        (F.substring(plain, 1, 32), F.concat(neutral, F.lit("api_key: "))),
+        (F.concat(F.lit("AKIA"), F.translate(F.upper(F.substring(plain, 5, 16)), "0189", "ZQXK")),
+         neutral)]
+    others = [
+        (F.substring(F.concat(word, word, F.lit("wordwordword")), 1, 14), F.col("before")),
+        (F.expr("repeat('x', length(value))"), F.col("before")),
+        (F.substring(F.lit("12345678901234567890123456789012345678901234"), 1, 20), F.col("before")),
+        (F.concat(F.lit("your_"), F.substring(word, 1, 8), F.lit("_here")), F.col("before")),
+        (F.concat(F.substring("value", 1, 9), F.lit("EXAMPLEKEY")), F.col("before")),
+        (F.concat(F.lit("/usr/"), F.substring(word, 1, 7), F.lit("/v2/"), F.substring(word, 8, 8)),
+         F.col("before")),
+        (F.substring(digest, 1, 40), F.concat(neutral, F.lit("commit "))),
+        (F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4),
+                     F.substring(digest, 13, 4), F.substring(digest, 17, 12)), neutral)]
+    is_secret = drawn.filter("label = 1")
+    out = drawn
+    for value, before, label in ([(*s, 1.0) for s in secrets] + [(*o, 0.0) for o in others]):
+        out = out.unionByName(is_secret.select(
+            value.alias("value"), before.alias("before"), bare.alias("after"),
+            F.lit(label).alias("label")))
+    return out.filter(n >= 6)
+
+
+@dataclass
+class Scanner:
+    language: Language
+    forest: RandomForestClassificationModel | None
+
+    def judge(self, findings: DataFrame) -> DataFrame:
+        """``findings`` with ``score`` (0 to 1) and ``secret``."""
+        if self.forest is None:  # nothing to learn from: the strict formats alone
+            strict = _flag(F.col("value").rlike(f"^(?:{VENDOR})$"))
+            return findings.withColumn("score", strict).withColumn("secret", strict > 0.5)
+        names = [f"_{name}" for name in FEATURES]
+        described = features(findings.select("value", "before", "after").distinct(), self.language)
+        described = described.select("value", "before", "after", *[
+            F.col(name).alias(f"_{name}") for name in FEATURES])
+        vectors = VectorAssembler(inputCols=names, outputCol="_x").transform(described)
+        judged = self.forest.transform(vectors).select(
+            "value", "before", "after", vector_to_array("_probability")[1].alias("score"))
+        return findings.join(judged, ["value", "before", "after"]).withColumn(
+            "secret", F.col("score") > 0.5)
+
+
+def train(labelled: DataFrame, seed: int = 7) -> Scanner:
+    """A scanner of labelled findings: ``value, before, after, label`` (a bounded frame)."""
+    labelled = cut_lineage(labelled)
+    language = language_of(labelled.filter("label = 0"))
+    kinds = labelled.select("label").distinct().count()
+    if kinds < 2:
+        return Scanner(language, None)
+    rows = features(labelled, language).select("label", "value", "before", "after", *FEATURES)
+    # One sorted partition of a bounded frame: the same forest every time.
+    rows = rows.coalesce(1).sortWithinPartitions("label", "value", "before", "after")
+    rows = cut_lineage(VectorAssembler(inputCols=list(FEATURES), outputCol="_x")
+                       .transform(rows).select("label", "_x"))
+    forest = RandomForestClassifier(
+        labelCol="label", featuresCol="_x", probabilityCol="_probability",
+        rawPredictionCol="_raw", predictionCol="_prediction", numTrees=24, maxDepth=8, seed=seed)
+    return Scanner(language, forest.fit(rows))
+
+
+def scan(docs: DataFrame, scanner: Scanner | None = None, doc_id: str = "doc_id",
+         text: str = "text", labelled: int = 4000) -> DataFrame:
+    """One row per secret: ``doc_id, start, length, kind, masked, value_sha256, score, row, value``.
+
+    Without a ``scanner`` one is trained from findings of the corpus, at most about
+    ``labelled`` of each label. Whole texts are read; null and empty ones have no findings;
+    repeated rows each have theirs; other columns are not looked at; an empty table gives no
+    rows. ``kind`` is the vendor prefix, else the keyword before the value.
+    """
+    found = cut_lineage(candidates(docs, doc_id, text))
+    scanner = scanner or train(labelled_findings(found, labelled))
+    kind = F.coalesce(
+        F.nullif(F.regexp_extract("value", PREFIX, 0), F.lit("")),
+        F.nullif(F.lower(F.regexp_extract("before", rf"(?i)({KEYWORD})[^\n]{{0,16}}$", 1)), F.lit("")),
+        F.lit("other"))
+    return scanner.judge(found).filter("secret").select(
+        "doc_id", "start", "length", kind.alias("kind"),
+        F.concat(F.substring("value", 1, 4), F.lit("...")).alias("masked"),
+        F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"),
+        "row", "value")
+
+
+def redact(docs: DataFrame, scanner: Scanner | None = None, doc_id: str = "doc_id",
+           text: str = "text") -> DataFrame:
+    """``docs`` with every found secret replaced by a mask; rows and columns stay.
+
+    Rows with candidates only are looked at again; the others pass through.
+    """
+    has = F.coalesce(F.col(f"`{text}`").rlike(CANDIDATE), F.lit(False))
+    touched = docs.filter(has).withColumn("_key", F.xxhash64(f"`{text}`"))
+    found = cut_lineage(candidates(touched.select("_key", text), "_key", text))
+    scanner = scanner or train(labelled_findings(found))
+    secrets = (scanner.judge(found).filter("secret").select(F.col("doc_id").alias("_key"), "value")
+               .distinct().groupBy("_key").agg(F.array_sort(F.collect_list("value")).alias("_v")))
+    longest_first = F.expr("array_sort(_v, (a, b) -> length(b) - length(a))")
+    masked = touched.join(secrets, "_key", "left").withColumn(text, F.when(
+        F.col("_v").isNull(), F.col(f"`{text}`")).otherwise(F.aggregate(
+            longest_first, F.col(f"`{text}`"), lambda t, v: F.replace(t, v, F.lit(MASK)))))
+    return docs.filter(~has).unionByName(masked.select(*[f"`{c}`" for c in docs.columns]))
