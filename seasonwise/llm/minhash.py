@@ -3,17 +3,18 @@
 Copies (equal shingle sets) collapse into classes first. Classes that share a band of MinHash
 samples are candidates; their parity bitmaps, compared by an exclusive or and a population
 count, turn away pairs that are far from the threshold; the rest is confirmed on full sets.
-Groups stay cheap because candidates are taken in rounds: each class with the smallest class
-of its band, then classes with their nearest class of another component, and last every pair
-across components that is left. So the components are those of all links, while links inside
-a component need not all be looked at.
+Groups stay cheap because each class is first compared with the smallest class of its bands;
+then the members of a band that hang together in different components are compared in blocks,
+nearest first, skipping pairs that meanwhile belong together. So the components are those of
+all links, while links inside a component need not all be looked at, and no pair is emitted
+unless it joins two components.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasonwise.llm.common import cut_lineage, map_rows, written
@@ -21,8 +22,8 @@ from seasonwise.llm.components import components
 from seasonwise.llm.shingles import Sketcher, most_odd_bits, shingle_set
 
 BANDS, ROWS, BITS = 20, 4, 256
-# Classes of a band that one task compares with each other at a time.
-BLOCK = 1024
+# Classes of a band that one task compares with as many others at a time.
+BLOCK = 512
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -63,49 +64,91 @@ def _groups(batches: Iterator[list], keys: int) -> Iterator[tuple]:
         yield at, held
 
 
-def cross_pairs(mixed: DataFrame, limit: int, nearest: int | None) -> DataFrame:
-    """Pairs ``a < b`` of a band, of different components, within ``limit`` odd bits.
+def _cells(crowd: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of bands that hold several components, dealt to the cells of their comparison.
 
-    ``mixed``: ``band, rep, component, parity, blocks``. Large bands are compared block by
-    block, so a task holds two blocks at most. With ``nearest`` only that many partners per
-    class and block are given.
+    The largest component of a band is passive: its members are compared with the others, not
+    with each other. ``band, passive, i, j, own, role, rep, component``.
     """
-    salted = mixed.withColumn("own", F.expr("pmod(xxhash64(rep), blocks)"))
-    dealt = salted.select(
-        "band", F.explode(F.expr(
-            "transform(sequence(0, blocks - 1), j -> named_struct('i', least(own, j), "
-            "'j', greatest(own, j)))")).alias("p"), "own", "rep", "component", "parity")
-    dealt = dealt.select("band", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "own", "rep",
-                         "component", "parity")
-    sorted_rows = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep")
+    joined = crowd.select("band", "rep").join(
+        found.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "band", "rep", F.coalesce("component", "rep").alias("component"))
+    sizes = joined.groupBy("band", "component").agg(F.count("*").alias("n"))
+    bands = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"),
+                                      F.sum("n").alias("n")).filter("most.n < n")
+    bands = bands.select("band", F.col("most.component").alias("main"), F.expr(
+        f"(n - most.n + {BLOCK - 1}) div {BLOCK}").alias("active"), F.expr(
+        f"(most.n + {BLOCK - 1}) div {BLOCK}").alias("rest"))
+    rows = joined.join(bands, "band").withColumn("role", F.expr("int(component = main)"))
+    rows = rows.withColumn("own", F.expr(
+        "pmod(xxhash64(rep), if(role = 0, active, rest))"))
+    cells = F.expr("""if(role = 1,
+        transform(sequence(0, active - 1), k -> named_struct('passive', 1, 'i', k, 'j', own)),
+        concat(transform(sequence(0, rest - 1), k -> named_struct('passive', 1, 'i', own, 'j', k)),
+               transform(sequence(0, active - 1), k -> named_struct('passive', 0,
+                         'i', least(own, k), 'j', greatest(own, k)))))""")
+    return rows.select("band", F.explode(cells).alias("cell"), "own", "role", "rep", "component"
+                       ).select("band", "cell.passive", "cell.i", "cell.j", "own", "role", "rep",
+                                "component")
+
+
+def join_components(cells: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
+                    percent: int, limit: int) -> DataFrame:
+    """Links ``a, b`` that join the components of a band: a spanning set of them per cell."""
+    described = cells.join(classes.select("rep", "keys", "parity"), "rep").join(texts, "rep")
+    order = ["band", "passive", "i", "j", "rep"]
+    rows = (described.select("band", "passive", "i", "j", "own", "role", "rep", "component", "keys",
+                             "parity", "text").repartition(*order[:4])
+            .sortWithinPartitions(*order))
 
     def run(batches):
-        for (_, i, j), rows in _groups(batches, 3):
-            own, reps, component, parity = map(np.array, zip(*rows))
-            sketch = np.stack(parity).astype(np.int64).view(np.uint64)
-            left = np.flatnonzero(own == i)
-            right = left if i == j else np.flatnonzero(own == j)
+        for (band, passive, i, j), members in _groups(batches, 4):
+            own, role, reps, component, keys, parity, text = zip(*members)
+            own, role, component = np.array(own), np.array(role), np.array(component)
+            left = np.flatnonzero((role == 0) & (own == i))
+            right = np.flatnonzero((role == 1) if passive else (role == 0) & (own == j))
             if not len(left) or not len(right):
                 continue
+            sketch = np.array(parity, dtype=np.int64).view(np.uint64)
             odd = np.bitwise_count(sketch[left, None] ^ sketch[None, right]).sum(
                 axis=2, dtype=np.int64)
             odd[component[left, None] == component[None, right]] = BITS + 1
-            if nearest is None:
-                x, y = np.nonzero(odd <= limit)
-            else:
-                found = set()
-                for values, turn in ((odd, False), (odd.T, True)):
-                    best = np.argsort(values, axis=1, kind="stable")[:, :nearest]
-                    for x, ys in enumerate(best):
-                        found.update((y, x) if turn else (x, y)
-                                     for y in ys if values[x, y] <= limit)
-                x, y = (np.array(sorted(found)).T if found else
-                        (np.empty(0, int), np.empty(0, int)))
-            a, b = reps[left[x]], reps[right[y]]
-            yield from set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(),
-                               odd[x, y].tolist()))
-
-    return map_rows(sorted_rows, run, "a long, b long, odd int").distinct()
+            x, y = np.nonzero(odd <= limit)
+            near = np.argsort(odd[x, y], kind="stable")
+            x, y = left[x[near]], right[y[near]]
+            # A pair is looked at in the first band that it shares.
+            keys = np.array(keys)
+            first = (keys[x] == keys[y]).argmax(axis=1)
+            mine = keys[x, first] == band
+            group = {c: c for c in component.tolist()}
+
+            def root(c):
+                while group[c] != c:
+                    group[c] = group[group[c]]
+                    c = group[c]
+                return c
+
+            sets = {}
+            for a, b in zip(x[mine].tolist(), y[mine].tolist()):
+                one, other = root(int(component[a])), root(int(component[b]))
+                if one == other:
+                    continue
+                for k in (a, b):
+                    if k not in sets:
+                        sets[k] = shingle_set(text[k], width)
+                if _similar(sets[a], sets[b], percent):
+                    group[one] = other
+                    yield reps[a], reps[b]
+
+    return map_rows(rows, run, "a long, b long")
+
+
+def _similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    small, large = sorted((len(one), len(other)))
+    if 100 * small < percent * large:
+        return False
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * both >= percent * (small + large - both)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -133,15 +176,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                 if role == 0:
                     at, centre = (key, part), shingles
                 elif at == (key, part):
-                    both = len(np.intersect1d(centre, shingles, assume_unique=True))
-                    if 100 * both >= percent * (len(centre) + len(shingles) - both):
+                    if _similar(centre, shingles, percent):
                         yield key, rep
 
     return map_rows(rows, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id",
-                    text: str = "text", rounds: int = 3) -> DataFrame:
+                    text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
     Documents are linked if their sets of ``width``-word shingles have a Jaccard similarity of
@@ -165,10 +207,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     limit = most_odd_bits(BANDS * ROWS, BITS, percent / 100)
     banded = classes.select(F.explode("keys").alias("band"), "rep", "parity")
     shared = (classes.select(F.explode("keys").alias("band"), "rep").groupBy("band")
-              .agg(F.min("rep").alias("centre"), F.max("rep").alias("last"),
-                   F.count("*").alias("members")).filter("centre <> last"))
-    crowd = cut_lineage(banded.join(shared, "band").select(
-        "band", "rep", "parity", "centre", F.col("members").cast("long").alias("members")))
+              .agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre <> last"))
+    crowd = cut_lineage(banded.join(shared, "band").select("band", "rep", "parity", "centre"))
     wanted = crowd.select("rep").distinct().join(classes.select("rep", "text_key"), "rep")
     texts = written(
         docs.withColumn("text_key", F.xxhash64("text"))
@@ -182,31 +222,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
              .dropDuplicates(["rep", "centre"]).join(centres, "centre")
              .withColumn("odd", _odd_bits("parity", "other")).filter(F.col("odd") <= limit))
     first = stars.groupBy("rep").agg(F.min(F.struct("odd", "centre")).alias("m"))
-    tested = cut_lineage(first.select(F.col("m.centre").alias("a"), F.col("rep").alias("b")))
-    links = cut_lineage(confirm(tested, texts, width, percent))
-    nearest_rounds = rounds - 1
-    while True:
-        found = components(links)
-        joined = crowd.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "band", "rep", F.coalesce("component", "rep").alias("component"), "parity", "members")
-        several = joined.groupBy("band").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"))
-        mixed = joined.join(several.filter("low <> high").select("band"), "band").withColumn(
-            "blocks", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}"))
-        last = nearest_rounds == 0
-        fresh = cross_pairs(mixed, limit, None if last else 4).join(tested, ["a", "b"], "left_anti")
-        if not last:  # the nearest untested partner of each class
-            order = F.row_number().over(Window.partitionBy("b").orderBy("odd", "a"))
-            fresh = fresh.withColumn("n", order).filter("n = 1")
-        fresh = cut_lineage(fresh.select("a", "b"))
-        if not fresh.isEmpty():
-            links = cut_lineage(links.union(confirm(fresh, texts, width, percent)))
-            tested = cut_lineage(tested.union(fresh))
-        elif not last:  # nothing near is left: go on to all pairs
-            nearest_rounds = 1
-        if last:
-            break
-        nearest_rounds -= 1
+    pairs = first.select(F.col("m.centre").alias("a"), F.col("rep").alias("b"))
+    links = cut_lineage(confirm(pairs, texts, width, percent))
+    cells = _cells(crowd, components(links))
+    links = cut_lineage(links.union(join_components(cells, classes, texts, width, percent, limit)))
     found = components(links).withColumnRenamed("node", "rep")
     named = classes.select("set_key", "rep").join(found, "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id"))
