@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seasonwise.llm import (embedding_dedup, hnsw, html_text, language, minhash, packing,
-                            secrets, sentencepieces, token_counts)
+                            pseudo_likelihood, secrets, sentencepieces, token_counts)
 from seasonwise.llm.common import read
 
 QUERIES = {}
@@ -62,3 +62,9 @@ def op3_html_text(spark, sf_dir):
 @query
 def op6_secrets(spark, sf_dir):
     return secrets.scan(read(spark, sf_dir, "documents")).drop("row", "value")
+
+
+@query
+def op5_pseudo_likelihood(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs))
