@@ -167,6 +167,8 @@ def labelled_findings(found: DataFrame, most: int = 4000) -> DataFrame:
         (F.concat(F.lit("ghp_"), F.substring(plain, 1, 36)), neutral),
         (F.concat(F.lit("sk_live_"), F.substring(plain, 3, 24)), neutral),
         (F.substring(plain, 1, 32), F.concat(neutral, F.lit("api_key: "))),
+        (F.substring(digest, 1, 18), F.concat(neutral, F.lit("password="))),
+        (F.substring(digest, 41, 32), F.concat(neutral, F.lit("secret: "))),
         (F.concat(F.lit("AKIA"), F.translate(F.upper(F.substring(plain, 5, 16)), "0189", "ZQXK")),
          neutral)]
     others = [
@@ -175,6 +177,8 @@ def labelled_findings(found: DataFrame, most: int = 4000) -> DataFrame:
         (F.substring(F.lit("12345678901234567890123456789012345678901234"), 1, 20), F.col("before")),
         (F.concat(F.lit("your_"), F.substring(word, 1, 8), F.lit("_here")), F.col("before")),
         (F.concat(F.substring("value", 1, 9), F.lit("EXAMPLEKEY")), F.col("before")),
+        (F.concat(F.substring("value", 1, 13), F.lit("EXAMPLE")), F.col("before")),
+        (F.concat(F.substring(F.upper(plain), 1, 13), F.lit("EXAMPLE")), neutral),
         (F.concat(F.lit("/usr/"), F.substring(word, 1, 7), F.lit("/v2/"), F.substring(word, 8, 8)),
          F.col("before")),
         (F.substring(digest, 1, 40), F.concat(neutral, F.lit("commit "))),
@@ -224,7 +228,8 @@ def train(labelled: DataFrame, seed: int = 7) -> Scanner:
                        .transform(rows).select("label", "_x"))
     forest = RandomForestClassifier(
         labelCol="label", featuresCol="_x", probabilityCol="_probability",
-        rawPredictionCol="_raw", predictionCol="_prediction", numTrees=24, maxDepth=8, seed=seed)
+        rawPredictionCol="_raw", predictionCol="_prediction", numTrees=32, maxDepth=8,
+        featureSubsetStrategy="0.5", seed=seed)
     return Scanner(language, forest.fit(rows))
 
 
