@@ -10,6 +10,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,3 +177,28 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id",
                          held_out(doc_id).alias("held_out"), F.col(f"`{text}`").alias("text"))
     return map_rows(chosen, run, "doc_id long, held_out boolean, lang_pred string, "
                                  "score double, ambiguous boolean")
+
+
+def recognised(docs: DataFrame, model: Model | None, text: str = "text",
+               lang: str = "lang") -> DataFrame:
+    """``docs`` without texts of no recognisable language; ``lang`` holds the predicted one.
+
+    Dropped are texts that are null or without a letter, and those whose two nearest codewords
+    are about equally near. All columns stay as they are but ``lang``; without a model nothing
+    is recognised.
+    """
+    at = docs.columns.index(text)
+    named = docs.columns.index(lang) if lang in docs.columns else None
+
+    def run(batches):
+        for batch in batches:
+            found = [model.predict(value) if model is not None and has_letter(value)
+                     else (None, 0.0, True) for value in batch.column(at).to_pylist()]
+            kept = pa.array([not doubtful for _, _, doubtful in found])
+            if named is not None:
+                field = batch.schema.field(named)
+                batch = batch.set_column(named, field.name, pa.array(
+                    [language for language, _, _ in found], type=field.type))
+            yield batch.filter(kept)
+
+    return docs.mapInArrow(run, docs.schema)
