@@ -20,12 +20,13 @@ from seasonwise.llm.common import cut_lineage
 VENDOR = (r"(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{24,}"
           r"|xox[abprs]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20}")
 PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|sk_live_|sk_test_|xox[abprs]-|AIza|glpat-)"
-KEYWORD = (r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key"
-           r"|private[_-]?key|credential|bearer)")
+KEYWORD = (r"(?:p(?:ass(?:word|wd|phrase)|wd|rivate[_-]?key)|secret|token"
+           r"|a(?:pi|ccess|uth)[_-]?key|credential|bearer)")
 ASSIGNED = rf"(?i:{KEYWORD}[A-Za-z0-9_-]{{0,12}}[\"']?\s{{0,2}}(?:=>|[:=])\s{{0,2}}[\"']?)"
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|0000|1234|abcd|test|todo|<|\{|\$"
-# A run of at least 16 characters with a digit or all in capitals, or what follows a keyword.
-CANDIDATE = (rf"(?<={ASSIGNED})[^\s\"',;]{{6,}}"
+# What follows a keyword and sign, matched with them; or a run of at least 16 characters with a
+# digit or all in capitals.
+CANDIDATE = (rf"{ASSIGNED}[^\s\"',;]{{6,}}"
              r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,200}[0-9]|[A-Z0-9]{16})"
              r"[A-Za-z0-9_+/-]{16,}={0,2}")
 AROUND = 48
@@ -49,10 +50,13 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                          F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("values"),
                          F.split("text", CANDIDATE, -1).alias("gaps"))
     each = found.select("doc_id", "row", F.posexplode("values").alias("k", "value"), "gaps")
-    gap, after = F.expr("gaps[k]"), F.expr("gaps[k + 1]")
-    each = each.select("doc_id", "row", "k", "value", F.length(gap).alias("gap"),
-                       F.expr(f"right(gaps[k], {AROUND})").alias("before"),
-                       F.substring(after, 1, AROUND).alias("after"))
+    after, lead = F.expr("gaps[k + 1]"), F.regexp_extract("value", f"^{ASSIGNED}", 0)
+    each = each.select("doc_id", "row", "k", "value", "gaps", lead.alias("lead"))
+    each = each.select(
+        "doc_id", "row", "k", F.expr("length(gaps[k]) + length(lead)").alias("gap"),
+        F.expr("substr(value, length(lead) + 1)").alias("value"),
+        F.expr(f"right(concat(right(gaps[k], {AROUND}), lead), {AROUND})").alias("before"),
+        F.substring(after, 1, AROUND).alias("after"))
     so_far = Window.partitionBy("row").orderBy("k")
     start = F.sum(F.col("gap") + F.length("value")).over(so_far) - F.length("value")
     return each.select("doc_id", "row", start.alias("start"),
