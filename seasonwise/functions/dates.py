@@ -21,7 +21,8 @@ def month_name(day: Column) -> Column:
 
 def month_label(day: Column, shown_years: dict[int, int] | None = None) -> Column:
     """'MM/yyyy', with some years shown as others, e.g. ``{2019: 2020}``."""
-    label = F.date_format(day, "MM/yyyy")
-    for year, shown in (shown_years or {}).items():
-        label = F.replace(label, F.lit(str(year)), F.lit(str(shown)))
-    return label
+    year = F.date_format(day, "yyyy")
+    shown = year
+    for own, other in (shown_years or {}).items():
+        shown = F.when(year == str(own), str(other)).otherwise(shown)
+    return F.concat(F.date_format(day, "MM/"), shown)

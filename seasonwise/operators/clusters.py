@@ -1,9 +1,8 @@
 """Clusters of products with similar monthly profiles.
 
 A seed alone does not make k-means repeatable, the order of its input matters too. Profiles
-are therefore written once to the shared folder, laid out by product code in a number of
-partitions that depends on their count only, and clusters are numbered by their smallest
-product code.
+are therefore laid out by product code in a fixed number of partitions, a parameter, and
+clusters are numbered by their smallest product code.
 """
 
 from functools import reduce
@@ -14,20 +13,20 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seasonwise.operators.clean import attach_hierarchy
 from seasonwise.operators.series import fill_gaps, product_totals
-from seasonwise.schemas import HIERARCHY, TABLE_ROWS
-from seasonwise.session import cut_lineage
+from seasonwise.schemas import HIERARCHY
 
 MONTHS = [f"m{month}" for month in range(1, 13)]
 K_RANGE = range(3, 9)
 MAX_ITERATIONS = 10
 SEED = 42
 PARALLEL_FITS = 6
-PROFILES_PER_PARTITION = 100_000
+# Partitions of the profiles, whatever their number: another layout may give other clusters.
+PARTITIONS = 32
 
 
 def product_months(sales: DataFrame) -> DataFrame:
@@ -64,17 +63,29 @@ class ProfileClusters:
 
     @property
     def best_k(self) -> int:
-        """The k with the highest silhouette, the smallest one on ties."""
-        return min(self.silhouettes, key=lambda k: (-self.silhouettes[k], k))
+        """The k with the highest silhouette, the smallest one on ties; None if none has one."""
+        rated = {k: s for k, s in self.silhouettes.items() if s is not None}
+        return min(rated, key=lambda k: (-rated[k], k), default=None)
 
     def scores(self) -> DataFrame:
-        """(k, silhouette, chosen)"""
+        """(k, silhouette, chosen); a k that could not be fitted has no silhouette."""
+        best = self.best_k
         return self.vectors.sparkSession.createDataFrame(
-            [(k, float(s), k == self.best_k) for k, s in sorted(self.silhouettes.items())],
+            [(k, None if s is None else float(s), k == best)
+             for k, s in sorted(self.silhouettes.items())],
             "k int, silhouette double, chosen boolean")
 
+    def release(self) -> None:
+        """Give the cached profiles back; labels can still be computed, from the start."""
+        self.vectors.unpersist()
+
     def labels(self, k: int | None = None) -> DataFrame:
-        """(product_code, cluster): the nearest centre of each product, numbered from 1."""
+        """(product_code, cluster): the nearest centre of each product, numbered from 1.
+
+        Without any fit (too few different profiles) all products are cluster 1.
+        """
+        if k is None and self.best_k is None:
+            return self.vectors.select("product_code", F.lit(1).alias("cluster"))
         assigned = self.models[k or self.best_k].transform(self.vectors).select(
             "product_code", F.col("prediction").alias("_raw"))
         # At most one row per cluster comes back here.
@@ -86,39 +97,111 @@ class ProfileClusters:
 
 
 def fit_clusters(profiles: DataFrame, k_range=K_RANGE, max_iterations: int = MAX_ITERATIONS,
-                 seed: int = SEED, parallelism: int = PARALLEL_FITS) -> ProfileClusters:
-    """Fit every k and rate it by silhouette (squared Euclidean, which needs one pass)."""
-    scaled = cut_lineage(standardised_profiles(profiles))
-    n = scaled.count()
-    partitions = max(1, -(-n // PROFILES_PER_PARTITION))
+                 seed: int = SEED, parallelism: int = PARALLEL_FITS,
+                 partitions: int = PARTITIONS) -> ProfileClusters:
+    """Fit every k and rate it by silhouette (squared Euclidean, which needs one pass).
+
+    A k that is not below the number of products, or whose centres coincide, is listed
+    without a silhouette.
+    """
+    scaled = standardised_profiles(profiles)
     vectors = (VectorAssembler(inputCols=MONTHS, outputCol="features")
                .transform(scaled.repartition(partitions, "product_code"))
                .select("product_code", "features").sortWithinPartitions("product_code")
                .persist(StorageLevel.MEMORY_AND_DISK))
+    n = vectors.count()  # also fills the cache once, before the fits share it
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
                                     distanceMeasure="squaredEuclidean")
 
     def rate(k):
+        if k >= n:
+            return k, None, None
         model = KMeans(k=k, maxIter=max_iterations, seed=seed, tol=1e-6).fit(vectors)
         if len({tuple(centre) for centre in model.clusterCenters()}) < 2:
             return k, model, None
         return k, model, evaluator.evaluate(model.transform(vectors))
 
-    candidates = [k for k in k_range if k < n]
-    vectors.count()  # fill the cache once, before the fits share it
     # The fits are independent jobs; small ones overlap, large ones queue for the executors.
-    with ThreadPool(max(1, min(parallelism, len(candidates)))) as pool:
-        rated = pool.map(inheritable_thread_target(vectors.sparkSession)(rate), candidates)
-    rated = [r for r in rated if r[2] is not None]
-    if not rated:
-        raise ValueError("too few different profiles to form clusters")
-    return ProfileClusters(vectors, {k: model for k, model, _ in rated},
+    with ThreadPool(max(1, min(parallelism, len(k_range)))) as pool:
+        rated = pool.map(inheritable_thread_target(vectors.sparkSession)(rate), k_range)
+    return ProfileClusters(vectors, {k: model for k, model, _ in rated if model is not None},
                            {k: silhouette for k, _, silhouette in rated})
 
 
+def _points(standardised: DataFrame) -> DataFrame:
+    square = reduce(add, [F.col(m) * F.col(m) for m in MONTHS])
+    return standardised.select("product_code", F.array(*MONTHS).alias("x"), square.alias("xx"))
+
+
+def _dot(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
+
+
+def cluster_sums(standardised: DataFrame, labels: DataFrame) -> DataFrame:
+    """``k, cluster, n, centre, spread`` of any labels ``product_code, k, cluster``.
+
+    ``spread`` is the mean squared length; a few rows, whatever the number of products.
+    """
+    return (standardised.join(labels, "product_code").groupBy("k", "cluster").agg(
+        F.count("*").alias("n"), F.array(*[F.avg(m) for m in MONTHS]).alias("centre"),
+        F.avg(reduce(add, [F.col(m) * F.col(m) for m in MONTHS])).alias("spread")))
+
+
+def silhouettes(standardised: DataFrame, labels: DataFrame) -> DataFrame:
+    """Squared Euclidean silhouette of given labels, for every ``k`` at once: ``k, silhouette``.
+
+    The mean squared distance of a point to a cluster follows from the cluster's centre and
+    spread, so each point meets at most k rows. A single point in its cluster counts 0.
+    """
+    sums = cluster_sums(standardised, labels)
+    every = sums.groupBy("k").agg(F.collect_list(F.struct("cluster", "n", "centre", "spread"))
+                                  .alias("clusters"))
+    points = _points(standardised).join(labels, "product_code").join(F.broadcast(every), "k")
+    far = points.select("k", "product_code", F.col("cluster").alias("own"), "x", "xx",
+                        F.explode("clusters").alias("c"))
+    far = far.withColumn("centre", F.col("c.centre"))
+    distance = F.greatest(F.lit(0.0), F.col("xx") + F.col("c.spread") - 2 * _dot("x", "centre"))
+    inside = F.col("c.cluster") == F.col("own")
+    rated = far.groupBy("k", "product_code").agg(
+        F.max(F.when(inside, F.col("c.n"))).alias("n"),
+        F.max(F.when(inside, distance)).alias("within"),
+        F.min(F.when(~inside, distance)).alias("other"))
+    own = F.col("within") * F.col("n") / (F.col("n") - 1)
+    value = F.when(F.col("n") == 1, 0.0).otherwise(
+        F.try_divide(F.col("other") - own, F.greatest("other", own)))
+    return rated.withColumn("s", F.coalesce(F.when(F.col("n") > 1, value), F.lit(0.0))).groupBy(
+        "k").agg(F.avg("s").alias("silhouette"))
+
+
+def chosen_k(scores: DataFrame) -> DataFrame:
+    """The k with the highest silhouette, the smallest one on ties."""
+    return scores.agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("k"))
+
+
+def nearest_labels(standardised: DataFrame, labels: DataFrame) -> DataFrame:
+    """One assignment to the nearest centre of given labels, numbered by smallest product.
+
+    Centres of at most a few clusters are sent to every task; the earlier cluster wins a tie.
+    """
+    centres = (cluster_sums(standardised, labels.withColumn("k", F.lit(0)))
+               .agg(F.sort_array(F.collect_list(F.struct("cluster", "centre"))).alias("cs"))
+               .withColumn("_one", F.lit(1)))
+    far = _points(standardised).withColumn("_one", F.lit(1)).join(F.broadcast(centres), "_one")
+    far = far.select("product_code", "x", F.explode("cs").alias("c")).select(
+        "product_code", "x", F.col("c.cluster").alias("raw"), F.col("c.centre").alias("centre"))
+    gap = F.aggregate(F.zip_with("x", "centre", lambda p, q: (p - q) * (p - q)), F.lit(0.0),
+                      lambda t, v: t + v)
+    assigned = far.groupBy("product_code").agg(
+        F.min_by("raw", F.struct(F.round(gap, 9), "raw")).alias("raw"))
+    order = Window.partitionBy(F.lit(1)).orderBy("first")
+    number = (assigned.groupBy("raw").agg(F.min("product_code").alias("first"))
+              .withColumn("cluster", F.row_number().over(order)).select("raw", "cluster"))
+    return assigned.join(F.broadcast(number), "raw").select("product_code", "cluster")
+
+
 def cluster_table(labels: DataFrame, hierarchy: DataFrame,
-                  rows: int | None = TABLE_ROWS) -> DataFrame:
-    """Products with hierarchy and cluster; the first ``rows`` by product code."""
+                  rows: int | None = None) -> DataFrame:
+    """Products with hierarchy and cluster by product code: all, or the first ``rows``."""
     table = (attach_hierarchy(labels, hierarchy)
              .select(*HIERARCHY, "product_code", "cluster").orderBy("product_code"))
     return table if rows is None else table.limit(rows)
@@ -132,7 +215,9 @@ def cluster_profiles(labels: DataFrame, months: DataFrame) -> DataFrame:
 
 def cluster_members(labels: DataFrame, hierarchy: DataFrame, level: str) -> DataFrame:
     """Number of products of each group (or subgroup) inside each cluster, most first."""
+    order = Window.partitionBy("cluster").orderBy(F.desc("n_products"), level)
     return (attach_hierarchy(labels, hierarchy).filter(F.col(level).isNotNull())
             .groupBy("cluster", level)
             .agg(F.count_distinct("product_code").alias("n_products"))
-            .orderBy("cluster", F.desc("n_products"), level))
+            .withColumn("position", F.row_number().over(order))
+            .orderBy("cluster", "position"))

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from seasonwise.functions.dates import month_label
 from seasonwise.functions.windows import by_entity
 from seasonwise.operators.series import MODEL_MONTHS
-from seasonwise.schemas import ENTITY, MAX_HORIZON
+from seasonwise.schemas import ENTITY
 
 TRENDS = ("linear", "polynomial2", "polynomial3", "log", "exp", "pow")
 SEASONALITIES = ("add", "mul")
 MODELS = tuple((trend, season) for trend in TRENDS for season in SEASONALITIES)
 YEAR = 12
 OVER_ENTITY = "OVER (PARTITION BY level, entity)"
+COEFFICIENTS = ["c0", "c1", "c2", "c3", "c_log", "e0", "e1", "e_log"]
 
 _GRID = range(1, MODEL_MONTHS + 1)
 MEAN_LOG = sum(math.log(t) for t in _GRID) / MODEL_MONTHS
@@ -127,8 +128,8 @@ def model_points(window: DataFrame, models=MODELS, index_rows: int = 24) -> Data
 
     Additive index: mean residual of the two years minus a twelfth of the total, which sums
     ``index_rows`` rows (24 or 12). Multiplicative index: mean ratio divided by a twelfth of
-    the total of twelve rows. Fitted values are rounded to whole numbers. ``trend3`` is the
-    trend one year further on, for forecasts.
+    the total of twelve rows. Fitted values are rounded to whole numbers. The coefficients
+    stay, for forecasts.
 
     The totals of all models come from one window before the models are spread to rows, on
     the partitions that are there already.
@@ -142,17 +143,17 @@ def model_points(window: DataFrame, models=MODELS, index_rows: int = 24) -> Data
         "mul": "try_divide({m}, {m}_total / 12)",
     }
     trends = list(dict.fromkeys(trend for trend, _ in models))
-    keys = [*ENTITY, "pos", "month1", "month2", "y1", "y2", "ss_tot"]
+    keys = [*ENTITY, "pos", "month1", "month2", "y1", "y2", "ss_tot", *COEFFICIENTS]
     fitted = trend_coefficients(paired_years(window)).selectExpr(*keys, *[
         f"{trend_value(trend, f'(pos + {1 + YEAR * (year - 1)})')} AS {trend}_{year}"
-        for trend in trends for year in (1, 2, 3)])
+        for trend in trends for year in (1, 2)])
     raw = fitted.selectExpr("*", *[f"{raw_index[s].format(t=t)} AS {t}_{s}"
                                    for t, s in models])
     totals = raw.selectExpr("*", *[f"sum({t}_{s}) {OVER_ENTITY} AS {t}_{s}_total"
                                    for t, s in models])
     rows = ", ".join(
         f"struct({MODELS.index((t, s))} AS ord, '{t}' AS trend, '{s}' AS seasonality, "
-        f"{t}_1 AS trend1, {t}_2 AS trend2, {t}_3 AS trend3, "
+        f"{t}_1 AS trend1, {t}_2 AS trend2, "
         f"{index[s].format(m=f'{t}_{s}')} AS index)" for t, s in models)
     fit = "CASE WHEN seasonality = 'add' THEN trend{i} + index ELSE trend{i} * index END"
     return totals.selectExpr(*keys, f"inline(array({rows}))").selectExpr(
@@ -215,9 +216,10 @@ def _score_order():
 
 
 def metrics_table(scores: DataFrame) -> DataFrame:
-    """All models of each entity by rounded R2, then MAPE, both descending."""
-    return (scores.orderBy(*ENTITY, *_score_order())
-            .select(*ENTITY, "trend", "seasonality", *METRICS))
+    """All models of each entity by rounded R2, then MAPE, both descending; NULLs last."""
+    position = F.row_number().over(by_entity().orderBy(*_score_order()))
+    return (scores.withColumn("position", position).orderBy(*ENTITY, "position")
+            .select(*ENTITY, "position", "trend", "seasonality", *METRICS))
 
 
 def metrics_card(scores: DataFrame) -> DataFrame:
@@ -230,28 +232,35 @@ def metrics_card(scores: DataFrame) -> DataFrame:
           for c in ("mape", "mae", "rmse", "r2")])
 
 
-def _check_horizon(horizon: int):
-    if not 0 <= horizon <= MAX_HORIZON:
-        raise ValueError(f"horizon must be 0..{MAX_HORIZON} months")
-
-
 def chart_frame(points: DataFrame, horizon: int = 0,
                 shown_years: dict[int, int] | None = None) -> DataFrame:
     """Actual, fitted and forecast values of each entity's best model in one table.
 
-    ``points`` comes from ``best_points``. Fitted values are rounded, forecast ones are not.
+    ``points`` comes from ``best_points``. Fitted values are rounded, forecast ones are not:
+    the trend at any later month with the index of the same month of the year.
     """
-    _check_horizon(horizon)
+    if horizon < 0:
+        raise ValueError("horizon must not be negative")
     known = ", ".join(
-        f"struct(pos + {1 + YEAR * (i - 1)} AS t, month{i} AS month_start, y{i} AS actual, "
+        f"struct(CAST(pos + {1 + YEAR * (i - 1)} AS INT) AS t, month{i} AS month_start, y{i} AS actual, "
         f"trend{i} AS trend_value, index AS season_index, fit{i} AS fit, "
         "false AS is_forecast)" for i in (1, 2))
-    ahead = ("struct(pos + 25 AS t, add_months(month2, 12) AS month_start, "
-             "CAST(NULL AS DOUBLE) AS actual, trend3 AS trend_value, index AS season_index, "
-             "CASE WHEN seasonality = 'add' THEN trend3 + index ELSE trend3 * index END AS fit, "
-             "true AS is_forecast)")
-    rows = (points.selectExpr(*ENTITY, "trend", "seasonality", f"inline(array({known}, {ahead}))")
-            .filter(F.col("t") <= MODEL_MONTHS + horizon))
+    years = -(-horizon // YEAR)
+    later = "CASE trend " + " ".join(
+        f"WHEN '{trend}' THEN {trend_value(trend, '(pos + 25 + 12 * year)')}"
+        for trend in TRENDS) + " END"
+    season = "CASE WHEN seasonality = 'add' THEN ahead + index ELSE ahead * index END"
+    ahead = ("transform(sequence(0, {last}), year -> struct(CAST(pos + 25 + 12 * year AS INT) AS t, "
+             "add_months(month2, 12 + 12 * year) AS month_start, CAST(NULL AS DOUBLE) AS actual, "
+             f"{later} AS trend_value, index AS season_index, CAST(NULL AS DOUBLE) AS fit, "
+             "true AS is_forecast))")
+    every = f"array({known})"
+    if years:
+        every = f"concat({every}, {ahead.format(last=years - 1)})"
+    rows = points.selectExpr(*ENTITY, "trend", "seasonality", f"inline({every})").filter(
+        F.col("t") <= MODEL_MONTHS + horizon)
+    rows = rows.withColumn("fit", F.when(~F.col("is_forecast"), F.col("fit")).otherwise(
+        F.expr(season.replace("ahead", "trend_value").replace("index", "season_index"))))
     return rows.withColumn("month_label", month_label(F.col("month_start"), shown_years))
 
 

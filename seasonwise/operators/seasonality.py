@@ -61,7 +61,7 @@ def coefficient_histogram(coefficients: DataFrame, limit: float = 5.0,
 def _month_class(coefficient: Column, threshold: Column) -> Column:
     return (F.when(coefficient > threshold, "high")
             .when(coefficient < 1 - (threshold - 1), "low")
-            .when(coefficient.isNotNull(), "normal"))
+            .when(coefficient.isNotNull() & threshold.isNotNull(), "normal"))
 
 
 def _threshold(threshold: float | None) -> Column:
@@ -83,12 +83,15 @@ def month_classes(spans: DataFrame, threshold: float | None = SEASON_THRESHOLD)
 
 def with_category_threshold(spans: DataFrame, thresholds: DataFrame,
                             hierarchy: DataFrame) -> DataFrame:
-    """Give every entity the threshold of its category (the first by name if several)."""
+    """Give every entity the threshold of its category (the first by name if several).
+
+    Entities without a category, or of one without a threshold, stay with a NULL threshold.
+    """
     categories = (expand_levels(hierarchy).groupBy(*ENTITY)
                   .agg(F.min("category").alias("category"))
                   .filter(F.col("category").isNotNull()))
     per_entity = salted_join(categories, thresholds, ["category"], salt_by=ENTITY)
-    return spans.join(per_entity.select(*ENTITY, "threshold"), ENTITY)
+    return spans.join(per_entity.select(*ENTITY, "threshold"), ENTITY, "left")
 
 
 def deviation_table(classes: DataFrame) -> DataFrame:
@@ -109,7 +112,7 @@ def deviation_bars(classes: DataFrame) -> DataFrame:
         *ENTITY, "month_start",
         (round_half_even(deviation, 4) * 100).alias("bar_pct"),
         F.when(beyond & (deviation < 0), "low").when(beyond, "high")
-        .when(deviation.isNotNull(), "within").alias("bar_class"),
+        .when(beyond.isNotNull(), "within").alias("bar_class"),
         display_number(deviation * 100, 2, signed=True, decimal_mark=".").alias("label"))
 
 

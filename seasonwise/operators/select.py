@@ -1,9 +1,9 @@
 """Choosing rows and entities."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seasonwise.functions.joins import checked_join
+from seasonwise.functions.joins import checked_join, salted_join
 from seasonwise.operators.series import expand_levels
 from seasonwise.schemas import HIERARCHY, LEVEL_COLUMNS
 from seasonwise.sources.requests import read_requests
@@ -29,7 +29,8 @@ def resolve_requests(requests: DataFrame, hierarchy: DataFrame) -> DataFrame:
     asked = read_requests(requests).withColumn(
         "_key", F.coalesce(F.col("product_code").cast("string"), F.col("name")))
     is_code = F.col("product_code").isNotNull()
-    best = (asked.join(names, F.col("_key") == F.col("entity"))
+    names = names.withColumn("_key", F.col("entity"))
+    best = (salted_join(asked, names, ["_key"], salt_by=["request_id"])  # many may ask for one name
             .filter(is_code == (F.col("level") == "product"))
             .withColumn("_rank", F.element_at(F.create_map(
                 *[F.lit(x) for pair in LEVEL_PRIORITY.items() for x in pair]), F.col("level")))
@@ -42,22 +43,40 @@ def resolve_requests(requests: DataFrame, hierarchy: DataFrame) -> DataFrame:
 
 def requested_products(resolved: DataFrame, hierarchy: DataFrame) -> DataFrame:
     """Products behind each resolved request."""
-    return (resolved.filter("found").select("request_id", "level", "entity")
-            .join(expand_levels(hierarchy), ["level", "entity"]))
+    return salted_join(expand_levels(hierarchy),
+                       resolved.filter("found").select("request_id", "level", "entity"),
+                       ["level", "entity"], salt_by=["product_code"])
 
 
-def request_rows(sales: DataFrame, resolved: DataFrame, hierarchy: DataFrame) -> DataFrame:
-    """All facts of each resolved request.
+def requested_entities(resolved: DataFrame) -> DataFrame:
+    """Distinct entities behind all requests; ``resolved`` itself maps requests to them."""
+    return resolved.filter("found").select("level", "entity").distinct()
+
+
+def entity_rows(sales: DataFrame, entities: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """All facts of each entity, however many requests ask for it.
 
-    Requests are turned into product codes on the dimension, so facts meet one join and are
+    Entities are turned into product codes on the dimension, so facts meet one join and are
     not expanded to every level.
     """
     facts = sales.drop(*HIERARCHY)
-    wanted = requested_products(resolved, hierarchy).select(
-        "product_code", "request_id", *HIERARCHY)
+    wanted = salted_join(expand_levels(hierarchy), entities, ["level", "entity"],
+                         salt_by=["product_code"]).select(
+        "product_code", "level", "entity", *HIERARCHY)
     return checked_join(facts, wanted, ["product_code"], salt_by=["date", "turnover_qty"])
 
 
+def request_rows(sales: DataFrame, resolved: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """All facts of each resolved request, repeated for each request.
+
+    With many requests for one entity use ``entity_rows`` and keep ``resolved`` as the map.
+    """
+    rows = entity_rows(sales, requested_entities(resolved), hierarchy)
+    asked = resolved.filter("found").select("request_id", "level", "entity")
+    return salted_join(rows, asked, ["level", "entity"], salt_by=["product_code", "date"]).drop(
+        "level", "entity")
+
+
 def filter_sales(sales: DataFrame, category=None, group=None, subgroup=None,
                  product_code=None, start_date=None, end_date=None) -> DataFrame:
     """All given conditions together; both dates are included."""
@@ -83,16 +102,21 @@ def available_choices(hierarchy: DataFrame, child: str, parent: str | None = Non
 
 
 def choices_by_parent(hierarchy: DataFrame) -> DataFrame:
-    """Every step of the cascade at once: category-group, group-subgroup, subgroup-product."""
+    """Every step of the cascade at once: category-group, group-subgroup, subgroup-product.
+
+    ``position`` numbers the sorted children of each parent.
+    """
     steps = (("category", "group"), ("group", "subgroup"), ("subgroup", "product"))
     pairs = [F.struct(F.lit(parent).alias("parent_level"),
                       F.col(LEVEL_COLUMNS[parent]).alias("parent"),
                       F.lit(child).alias("child_level"),
                       F.col(LEVEL_COLUMNS[child]).cast("string").alias("child"))
              for parent, child in steps]
+    order = Window.partitionBy("parent_level", "parent").orderBy("child")
     return (hierarchy.select(F.explode(F.array(*pairs)).alias("_p")).select("_p.*")
             .filter("parent IS NOT NULL AND child IS NOT NULL").distinct()
-            .orderBy("parent_level", "parent", "child"))
+            .withColumn("position", F.row_number().over(order))
+            .orderBy("parent_level", "parent", "position"))
 
 
 def level_values(hierarchy: DataFrame) -> DataFrame:

@@ -39,12 +39,27 @@ def product_totals(sales: DataFrame, period: str = "month") -> DataFrame:
 
 def level_totals(totals: DataFrame, products: DataFrame | None = None,
                  levels=LEVELS) -> DataFrame:
-    """Product totals summed for every entity of ``levels``; unnamed entities are left out."""
+    """Product totals summed for every entity of ``levels``; unnamed entities are left out.
+
+    With a dimension, the totals of products are final already and pass by the second sum;
+    only the rows of the levels above are expanded and added up.
+    """
     time = "month_start" if "month_start" in totals.columns else "day"
-    if products is not None and tuple(levels) != ("product",):
-        totals = attach_hierarchy(totals.select("product_code", time, "turnover"), products)
-    return (expand_levels(totals, levels).groupBy(*ENTITY, time)
-            .agg(F.sum("turnover").alias("turnover")))
+    if products is None:
+        return (expand_levels(totals, levels).groupBy(*ENTITY, time)
+                .agg(F.sum("turnover").alias("turnover")))
+    own = totals.select("product_code", time, "turnover")
+    if any(c in totals.columns for c in HIERARCHY):  # one row per product and period again
+        own = own.groupBy("product_code", time).agg(F.sum("turnover").alias("turnover"))
+    upper = tuple(level for level in levels if level != "product")
+    parts = []
+    if upper:
+        parts.append(expand_levels(attach_hierarchy(own, products), upper)
+                     .groupBy(*ENTITY, time).agg(F.sum("turnover").alias("turnover")))
+    if "product" in levels:
+        parts.append(own.filter("product_code IS NOT NULL").selectExpr(
+            "'product' AS level", "CAST(product_code AS STRING) AS entity", time, "turnover"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def expand_levels(rows: DataFrame, levels=LEVELS) -> DataFrame:
@@ -128,6 +143,12 @@ def model_window(spans: DataFrame) -> DataFrame:
                     "month_start", "turnover"))
 
 
+def without_window(spans: DataFrame) -> DataFrame:
+    """Entities that ``model_window`` leaves out, with their first and last month and span."""
+    return (spans.filter(F.col("periods") != MODEL_MONTHS + 12)
+            .select(*ENTITY, "first", "last", "periods").distinct())
+
+
 def calendar_totals(totals: DataFrame, key: list[str]) -> DataFrame:
     """Sums per key and calendar month 1..12 with the years pooled, without gap filling."""
     return (totals.groupBy(*key, F.month("month_start").alias("month"))

@@ -10,7 +10,7 @@ from seasonwise.functions.text import display_number
 from seasonwise.functions.windows import by_product
 from seasonwise.operators.clean import attach_hierarchy, keep_year
 from seasonwise.operators.series import calendar_product_totals
-from seasonwise.schemas import HIERARCHY, MIN_MONTHS, TABLE_ROWS, XYZ_PERCENTS
+from seasonwise.schemas import HIERARCHY, MIN_MONTHS, XYZ_PERCENTS
 
 SECTORS = ("X", "Y", "Z")
 
@@ -49,17 +49,30 @@ def _variation(totals: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def product_variation(complete: DataFrame) -> DataFrame:
-    """Variation of the month totals of each product with a full hierarchy."""
-    named = complete.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in HIERARCHY))
-    return _variation(named, ["product_code", *HIERARCHY])
+    """Variation of the month totals of each product with a category.
+
+    The limits take all of them; classes are for ``named_products``.
+    """
+    return _variation(complete.filter("category IS NOT NULL"), ["product_code", *HIERARCHY])
+
+
+def named_products(variation: DataFrame) -> DataFrame:
+    """Products with a full hierarchy."""
+    return variation.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in HIERARCHY))
 
 
 def group_variation(complete: DataFrame) -> DataFrame:
-    """Variation of whole groups, built from their complete products."""
-    keys = ["category", "group"]
-    totals = (complete.filter("category IS NOT NULL AND `group` IS NOT NULL")
-              .groupBy(*keys, "month").agg(F.sum("turnover").alias("turnover")))
-    return _variation(totals, keys)
+    """Variation of whole groups, built from their complete products.
+
+    A group is known by its name alone. One that occurs under several categories has one
+    variation and a row for each of them, to be compared with the limits of each.
+    """
+    named = complete.filter("category IS NOT NULL AND `group` IS NOT NULL")
+    totals = named.groupBy("group", "category", "month").agg(F.sum("turnover").alias("turnover"))
+    categories = totals.select("group", "category").distinct()
+    whole = totals.groupBy("group", "month").agg(F.sum("turnover").alias("turnover"))
+    return _variation(whole, ["group"]).join(categories, "group").select(
+        "category", "group", "variation")
 
 
 def category_limits(variation: DataFrame, percents=XYZ_PERCENTS) -> DataFrame:
@@ -70,10 +83,13 @@ def category_limits(variation: DataFrame, percents=XYZ_PERCENTS) -> DataFrame:
 
 
 def classify(variation: DataFrame, limits: DataFrame) -> DataFrame:
-    """Add the category's limits and the sector: X up to the first, Y up to the second."""
+    """Add the category's limits and the sector: X up to the first, Y up to the second.
+
+    Every row stays: without a variation, or in a category without limits, the sector is NULL.
+    """
     salt_by = [c for c in ("product_code", "group") if c in variation.columns]
     v = F.col("variation")
-    return salted_join(variation, limits, ["category"], salt_by=salt_by).withColumn(
+    return salted_join(variation, limits, ["category"], salt_by=salt_by, how="left").withColumn(
         "sector", F.when(v <= F.col("x_limit"), "X").when(v <= F.col("y_limit"), "Y")
         .when(v > F.col("y_limit"), "Z"))
 
@@ -91,8 +107,8 @@ def sector_summary(classified: DataFrame) -> DataFrame:
         "category", "_r.*")
 
 
-def product_table(classified: DataFrame, rows: int | None = TABLE_ROWS) -> DataFrame:
-    """Products with their variation as text and sector; the first ``rows`` of them."""
+def product_table(classified: DataFrame, rows: int | None = None) -> DataFrame:
+    """Products with their variation as text and sector: all, or the first ``rows``."""
     table = classified.select(
         "category", "group", "subgroup", "product_code",
         display_number(F.col("variation"), 2).alias("variation"), "sector"
@@ -101,11 +117,13 @@ def product_table(classified: DataFrame, rows: int | None = TABLE_ROWS) -> DataF
 
 
 def sector_groups(classified: DataFrame) -> DataFrame:
-    """Number of products per group inside each sector, most first."""
+    """Number of products per group inside each sector, most first, with their position."""
+    order = Window.partitionBy("category", "sector").orderBy(F.desc("n_products"), "group")
     return (classified.filter(F.col("sector").isNotNull())
             .groupBy("category", "sector", "group")
             .agg(F.count_distinct("product_code").alias("n_products"))
-            .orderBy("category", "sector", F.desc("n_products"), "group"))
+            .withColumn("position", F.row_number().over(order))
+            .orderBy("category", "sector", "position"))
 
 
 def group_curve(classified_groups: DataFrame, exclude_groups=()) -> DataFrame:
@@ -147,5 +165,6 @@ def only_applicable(rows: DataFrame, entities: DataFrame, level: str = "category
     no stability classes and no clusters.
     """
     wanted = (entities.filter((F.col("level") == level) & F.col("applicable"))
-              .select(F.col("entity").alias(level)))
-    return rows.join(wanted, level, "left_semi")
+              .select(F.col("entity").alias(level)).distinct())
+    salt_by = [c for c in ("product_code", "group", "month") if c in rows.columns]
+    return salted_join(rows, wanted, [level], salt_by=salt_by or rows.columns)

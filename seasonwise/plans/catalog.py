@@ -1,6 +1,6 @@
 """Registered queries: every operator on the driver tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,8 +9,7 @@ from seasonwise.operators import (clean, clusters, correlation, describe, models
                                   seasonality, select, series, stability)
 from seasonwise.plans import fixtures as fx
 from seasonwise.plans.dashboard import dashboard_view
-from seasonwise.schemas import ENTITY
-from seasonwise.session import cut_lineage, scratch_path
+from seasonwise.schemas import ENTITY, HIERARCHY
 from seasonwise.sources import files
 from seasonwise.sources.requests import read_requests
 
@@ -60,23 +59,20 @@ def _clean(spark, sf_dir, year=None):
 
 @query
 def src1_raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fx.write_raw(fx.dirty_sales(spark, sf_dir), scratch_path(spark, "raw-sales"))
-    return files.read_raw_sales(spark, path)
+    return files.raw_sales_of_lines(*fx.raw_lines(fx.dirty_sales(spark, sf_dir)))
 
 
 @query
 def src2_raw_products(spark, sf_dir):
-    path = fx.write_raw(fx.dirty_products(spark, sf_dir), scratch_path(spark, "raw-products"),
-                        products=True)
-    return files.read_raw_products(spark, path)
+    return files.raw_products_of_lines(*fx.raw_lines(fx.dirty_products(spark, sf_dir),
+                                                     products=True))
 
 
 @query
 def src3_prepared(spark, sf_dir):
     facts = clean.attach_hierarchy_to_facts(fx.supplier_sales(spark, sf_dir),
                                             fx.dirty_products(spark, sf_dir))
-    path = fx.write_prepared(facts, scratch_path(spark, "prepared"))
-    return tidy(files.read_prepared(spark, path))
+    return tidy(files.prepared_of_lines(*fx.prepared_lines(facts)))
 
 
 @query
@@ -188,7 +184,7 @@ def prm_group_months(spark, sf_dir):
     return series.fill_gaps(levels, "month_start").select(*ENTITY, "month_start", "turnover")
 
 
-# Selection. Where the sold products are used twice they are written once, not found twice.
+# Selection
 
 @query
 def sel1_resolve(spark, sf_dir):
@@ -197,12 +193,21 @@ def sel1_resolve(spark, sf_dir):
 
 @query
 def sel2_rows(spark, sf_dir):
-    hierarchy = cut_lineage(_hierarchy(spark, sf_dir))
+    hierarchy = _hierarchy(spark, sf_dir)
     resolved = select.resolve_requests(fx.requests(spark, sf_dir), hierarchy)
     return select.request_rows(fx.supplier_sales(spark, sf_dir), resolved, hierarchy).select(
         "request_id", "date", "product_code", "turnover_qty", "category", "group", "subgroup")
 
 
+@query
+def sel2_entity_rows(spark, sf_dir):
+    hierarchy = _hierarchy(spark, sf_dir)
+    resolved = select.resolve_requests(fx.requests(spark, sf_dir), hierarchy)
+    return select.entity_rows(fx.supplier_sales(spark, sf_dir), select.requested_entities(resolved),
+                              hierarchy).select("level", "entity", "date", "product_code",
+                                                "turnover_qty", "category", "group", "subgroup")
+
+
 @query
 def sel3_filter(spark, sf_dir):
     facts = clean.attach_hierarchy_to_facts(fx.supplier_sales(spark, sf_dir),
@@ -234,7 +239,7 @@ def sel6_bounds(spark, sf_dir):
 
 @query
 def sel7_level(spark, sf_dir):
-    hierarchy = cut_lineage(_hierarchy(spark, sf_dir))
+    hierarchy = _hierarchy(spark, sf_dir)
     resolved = select.resolve_requests(fx.requests(spark, sf_dir), hierarchy)
     return select.selection_level(select.requested_products(resolved, hierarchy)
                                   .select("request_id", "product_code", "category", "group",
@@ -272,6 +277,12 @@ def ts5_model_window(spark, sf_dir):
     return series.model_window(_monthly(spark, sf_dir, MODEL_YEARS))
 
 
+@query
+def ts5_without_window(spark, sf_dir):
+    return series.without_window(series.monthly_spans(
+        fx.part_sales(spark, sf_dir, MODEL_YEARS), levels=("product",)))
+
+
 @query
 def ts6_calendar_product(spark, sf_dir):
     return series.calendar_product_totals(fx.part_sales(spark, sf_dir))
@@ -362,7 +373,7 @@ def sea2_threshold_promo_free(spark, sf_dir):
 
 @query
 def sea3_request_category(spark, sf_dir):
-    hierarchy = cut_lineage(_hierarchy(spark, sf_dir))
+    hierarchy = _hierarchy(spark, sf_dir)
     return seasonality.request_categories(
         select.resolve_requests(fx.requests(spark, sf_dir), hierarchy), hierarchy)
 
@@ -415,6 +426,17 @@ def sea11_own_threshold(spark, sf_dir):
     return tidy(seasonality.month_classes(spans, threshold=None))
 
 
+@query
+def sea11_own_threshold_gaps(spark, sf_dir):
+    products = fx.gapped_products(spark, sf_dir)
+    totals = series.product_totals(fx.gapped_sales(spark, sf_dir))
+    thresholds = seasonality.category_thresholds(
+        seasonality.product_month_coefficients(totals, products), by_category=SPECIAL_PERCENT)
+    spans = seasonality.with_category_threshold(
+        series.monthly_spans(totals, products), thresholds, products)
+    return tidy(seasonality.month_classes(spans, threshold=None))
+
+
 # Models
 
 def _window(spark, sf_dir):
@@ -518,7 +540,7 @@ def mod14_fitted_series(spark, sf_dir):
 
 @query
 def mod15_forecast(spark, sf_dir):
-    return tidy(models.forecast(_best(spark, sf_dir), 12)
+    return tidy(models.forecast(_best(spark, sf_dir), 18)
                 .drop("month_label"), 4)
 
 
@@ -570,7 +592,8 @@ def _complete(spark, sf_dir):
 
 def _classified(spark, sf_dir):
     variation = stability.product_variation(_complete(spark, sf_dir))
-    return stability.classify(variation, stability.category_limits(variation))
+    return stability.classify(stability.named_products(variation),
+                              stability.category_limits(variation))
 
 
 def _classified_groups(spark, sf_dir):
@@ -579,6 +602,14 @@ def _classified_groups(spark, sf_dir):
                               stability.category_limits(stability.product_variation(complete)))
 
 
+def _gapped(spark, sf_dir):
+    """Products of a silent category, and products the dimension does not know."""
+    variation = stability.product_variation(stability.complete_year_totals(
+        fx.gapped_sales(spark, sf_dir, (YEAR,)), None, fx.gapped_products(spark, sf_dir)))
+    return stability.classify(stability.named_products(variation),
+                              stability.category_limits(variation))
+
+
 @query
 def xyz1_complete(spark, sf_dir):
     return stability.complete_year_totals(fx.part_sales(spark, sf_dir), None,
@@ -601,6 +632,16 @@ def xyz4_class(spark, sf_dir):
     return tidy(_classified(spark, sf_dir))
 
 
+@query
+def xyz4_class_gaps(spark, sf_dir):
+    return tidy(_gapped(spark, sf_dir))
+
+
+@query
+def xyz5_summary_gaps(spark, sf_dir):
+    return stability.sector_summary(_gapped(spark, sf_dir))
+
+
 @query
 def xyz5_summary(spark, sf_dir):
     return stability.sector_summary(_classified(spark, sf_dir))
@@ -616,6 +657,23 @@ def xyz7_groups(spark, sf_dir):
     return tidy(_classified_groups(spark, sf_dir))
 
 
+def _part_groups(spark, sf_dir):
+    complete = stability.complete_year_totals(fx.part_sales(spark, sf_dir), None,
+                                              fx.part_products(spark, sf_dir))
+    return stability.classify(stability.group_variation(complete),
+                              stability.category_limits(stability.product_variation(complete)))
+
+
+@query
+def xyz7_groups_of_several_categories(spark, sf_dir):
+    return tidy(_part_groups(spark, sf_dir))
+
+
+@query
+def xyz9_curve_of_several_categories(spark, sf_dir):
+    return stability.group_curve(_part_groups(spark, sf_dir))
+
+
 @query
 def xyz8_sector_groups(spark, sf_dir):
     return stability.sector_groups(_classified(spark, sf_dir))
@@ -661,25 +719,78 @@ def clu2_standardised(spark, sf_dir):
         clusters.product_months(fx.part_sales(spark, sf_dir)))))
 
 
+def _standardised(spark, sf_dir):
+    return clusters.standardised_profiles(clusters.monthly_profiles(_product_months(spark, sf_dir)))
+
+
+def _given_labels(spark, sf_dir):
+    """For every k the labels ``product_code % k``, which both engines can make."""
+    return (fx.supplier_products(spark, sf_dir)
+            .select("product_code", F.explode(F.sequence(F.lit(min(clusters.K_RANGE)), F.lit(
+                max(clusters.K_RANGE)))).alias("k"))
+            .withColumn("cluster", (F.col("product_code") % F.col("k")).cast("int")))
+
+
+def _given_scores(spark, sf_dir):
+    return clusters.silhouettes(_standardised(spark, sf_dir), _given_labels(spark, sf_dir))
+
+
 @query
 def clu3_silhouettes(spark, sf_dir):
-    return tidy(_fit(spark, sf_dir).scores().drop("chosen"))
+    return tidy(_given_scores(spark, sf_dir))
 
 
 @query
 def clu4_chosen_k(spark, sf_dir):
-    return _fit(spark, sf_dir).scores().filter("chosen").select("k")
+    return clusters.chosen_k(_given_scores(spark, sf_dir))
 
 
 @query
 def clu5_labels(spark, sf_dir):
-    return _fit(spark, sf_dir).labels()
+    given = _given_labels(spark, sf_dir).filter("k = 3").drop("k")
+    return clusters.nearest_labels(_standardised(spark, sf_dir), given)
 
 
 @query
 def clu6_table(spark, sf_dir):
-    return clusters.cluster_table(_fit(spark, sf_dir).labels(),
-                                  fx.supplier_products(spark, sf_dir))
+    given = _given_labels(spark, sf_dir).filter("k = 3").drop("k")
+    labels = clusters.nearest_labels(_standardised(spark, sf_dir), given)
+    return clusters.cluster_table(labels, fx.supplier_products(spark, sf_dir))
+
+
+@query
+def clu5_fit_invariants(spark, sf_dir):
+    """Of the real fit: one label per product, and none nearer to the centre of another."""
+    fit = _fit(spark, sf_dir)
+    labels, k = fit.labels(), fit.best_k
+    centres = [[float(x) for x in c] for c in fit.models[k].clusterCenters()]
+    distance = [sum(((F.col(m) - F.lit(x)) ** 2 for m, x in zip(clusters.MONTHS, c)), F.lit(0.0))
+                for c in centres]
+    own = fit.models[k].transform(fit.vectors).select("product_code", "prediction")
+    rows = _standardised(spark, sf_dir).join(own, "product_code").join(labels, "product_code")
+    chosen = F.element_at(F.array(*distance), F.col("prediction") + 1)
+    return rows.select("product_code", F.col("cluster").between(1, k).alias("numbered"),
+                       (chosen <= F.least(*distance) + 1e-9).alias("nearest"))
+
+
+@query
+def clu3_fit_scores(spark, sf_dir):
+    """Of the real fit: which k were tried, and that at most one is chosen."""
+    scores = _fit(spark, sf_dir).scores()
+    return scores.select("k", F.col("silhouette").between(-1, 1).alias("rated"),
+                         (F.sum(F.col("chosen").cast("int")).over(Window.partitionBy(F.lit(1)))
+                          == 1).alias("one_chosen"))
+
+
+@query
+def clu7_fit_profiles(spark, sf_dir):
+    """Fit, labels and profiles in a chain: the products of all clusters add up to the whole."""
+    labels, months = _fit(spark, sf_dir).labels(), _product_months(spark, sf_dir)
+    profiles = clusters.cluster_profiles(labels, months)
+    sizes = months.join(labels, "product_code").groupBy("cluster", "month").agg(
+        F.count("*").alias("n"))
+    return tidy(profiles.join(sizes, ["cluster", "month"]).groupBy("month").agg(
+        F.sum(F.col("mean_turnover") * F.col("n")).alias("turnover")))
 
 
 @query
@@ -731,3 +842,66 @@ def view_forecast(spark, sf_dir):
 @query
 def view_xyz_table(spark, sf_dir):
     return dashboard_view(_prepared(spark, sf_dir, (YEAR,)), "xyz_table", category="ASIA")
+
+
+@query
+def view_lin_turn_all(spark, sf_dir):
+    return dashboard_view(_prepared(spark, sf_dir), "lin_turn")
+
+
+@query
+def view_boxplot(spark, sf_dir):
+    return dashboard_view(_prepared(spark, sf_dir), "boxplot", category="ASIA")
+
+
+@query
+def view_hist_seasonality(spark, sf_dir):
+    return tidy(dashboard_view(_prepared(spark, sf_dir), "hist_seasonality", category="ASIA"))
+
+
+@query
+def view_hist_seasonality_all(spark, sf_dir):
+    return tidy(dashboard_view(_prepared(spark, sf_dir), "hist_seasonality"))
+
+
+@query
+def view_seas_plot(spark, sf_dir):
+    return tidy(dashboard_view(_prepared(spark, sf_dir), "seas_plot", category="ASIA"))
+
+
+@query
+def view_seas_table_special(spark, sf_dir):
+    return tidy(dashboard_view(_prepared(spark, sf_dir), "seas_table", category="EUROPE",
+                               by_category=SPECIAL_PERCENT))
+
+
+@query
+def view_table_predskaz(spark, sf_dir):
+    return dashboard_view(_prepared(spark, sf_dir, MODEL_YEARS), "table_predskaz",
+                          category="ASIA")
+
+
+@query
+def view_xyz_graph(spark, sf_dir):
+    return dashboard_view(_prepared(spark, sf_dir, (YEAR,)), "xyz_graph", category="ASIA")
+
+
+@query
+def view_xyz_table_all(spark, sf_dir):
+    return dashboard_view(_prepared(spark, sf_dir, (YEAR,)), "xyz_table", table_rows=None)
+
+
+@query
+def view_cluster_table_products(spark, sf_dir):
+    """The shown products carry their hierarchy and one label each, numbered from 1."""
+    table = dashboard_view(_prepared(spark, sf_dir), "cluster_table", category="ASIA",
+                           table_rows=None)
+    return table.select(*HIERARCHY, "product_code", F.col("cluster").between(1, 8).alias("labelled"))
+
+
+@query
+def view_cluster_graph_months(spark, sf_dir):
+    """Every cluster has twelve months."""
+    graph = dashboard_view(_prepared(spark, sf_dir), "cluster_graph", category="ASIA")
+    return graph.groupBy("month").agg(
+        (F.count("cluster") == F.max("cluster")).alias("all_clusters"))

@@ -4,18 +4,16 @@ A selection is whatever rows the filters leave; its series is their sum. Facts c
 hierarchy here, as prepared files do.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasonwise.functions.dates import month_name
 from seasonwise.operators import clusters, describe, models, seasonality, series, stability
 from seasonwise.operators.select import filter_sales, selection_level, sold_products
-from seasonwise.schemas import THRESHOLD_PERCENT, THRESHOLD_PERCENT_BY_CATEGORY
-
-VIEWS = ("lin_turn", "boxplot", "hist_seasonality", "seas_plot", "seas_table", "seas_tab",
-         "graph_predskaz", "table_predskaz", "xyz_graph", "xyz_table", "cluster_graph",
-         "cluster_table")
-
+from seasonwise.schemas import (TABLE_ROWS, THRESHOLD_PERCENT,
+                                THRESHOLD_PERCENT_BY_CATEGORY)
 
 def selection_spans(selected: DataFrame) -> DataFrame:
     """Gap-filled months of all selected rows together."""
@@ -35,69 +33,99 @@ def selection_thresholds(selected: DataFrame, category: str | None,
     return seasonality.category_thresholds(coefficients, THRESHOLD_PERCENT, special)
 
 
-def _classed(selected: DataFrame, category, by_category) -> DataFrame:
-    """Month classes by the threshold of the selection's category, the first by name.
+def _classed(choice: "Selection") -> DataFrame:
+    """Month classes by the threshold of the selection's category, the first by name."""
+    one = (selection_thresholds(choice.rows, choice.category, choice.by_category)
+           .agg(F.min_by("threshold", "category").cast("double").alias("threshold"))
+           .select(F.lit("selection").alias("level"), "threshold"))
+    spans = selection_spans(choice.rows).join(one, "level", "left")
+    return seasonality.month_classes(spans, threshold=None)
 
-    The threshold is a single number, so it goes into the plan as a literal.
-    """
-    first = selection_thresholds(selected, category, by_category).orderBy("category").first()
-    threshold = F.lit(first["threshold"] if first else None).cast("double")
-    return seasonality.month_classes(
-        selection_spans(selected).withColumn("threshold", threshold), threshold=None)
+
+def _several_products(choice: "Selection", rows: DataFrame) -> DataFrame:
+    """``rows``, or none if the selection is a single product."""
+    several = (selection_level(choice.rows).filter("level IS NULL OR level <> 'product'")
+               .select(F.lit(1).alias("_one")))
+    return rows.withColumn("_one", F.lit(1)).join(several, "_one", "left_semi").drop("_one")
 
 
-def _single_product(selected: DataFrame) -> bool:
-    """Whether the selection is one product, which has no stability classes or clusters."""
-    return selection_level(selected).first()["level"] == "product"
+@dataclass
+class Selection:
+    """What the dashboard's choices leave, and the parameters of its views."""
+
+    sales: DataFrame
+    rows: DataFrame
+    category: str | None
+    horizon: int
+    year: int | None
+    by_category: dict | None
+    table_rows: int | None
+
+    def points(self) -> DataFrame:
+        return models.model_points(series.model_window(selection_spans(self.rows)))
+
+    def classified(self, variation) -> DataFrame:
+        limits = stability.category_limits(stability.product_variation(
+            stability.complete_year_totals(self.sales, self.year)))
+        return stability.classify(
+            variation(stability.complete_year_totals(self.rows, self.year)), limits)
+
+    def labels(self) -> DataFrame:
+        """Clusters; fitting them runs when the view is built."""
+        if selection_level(self.rows).first()["level"] == "product":
+            return self.rows.sparkSession.createDataFrame([], "product_code bigint, cluster int")
+        return clusters.fit_clusters(clusters.monthly_profiles(
+            clusters.product_months(self.rows))).labels()
+
+
+def _deviations(choice: Selection) -> DataFrame:
+    return seasonality.deviation_table(_classed(choice)).withColumn(
+        "month_name", month_name(F.col("month_start")))
+
+
+def _xyz_graph(choice: Selection) -> DataFrame:
+    return _several_products(choice, stability.group_curve(
+        choice.classified(stability.group_variation)))
+
+
+def _xyz_table(choice: Selection) -> DataFrame:
+    def variation(complete):
+        return stability.named_products(stability.product_variation(complete))
+    table = stability.product_table(_several_products(choice, choice.classified(variation)))
+    return table if choice.table_rows is None else table.limit(choice.table_rows)
+
+
+# The names of the dashboard's views.
+VIEWS = {
+    "lin_turn": lambda choice: describe.line_chart(selection_spans(choice.rows)),
+    "boxplot": lambda choice: describe.boxplot_numbers(selection_spans(choice.rows)),
+    "hist_seasonality": lambda choice: seasonality.coefficient_histogram(
+        seasonality.product_month_coefficients(choice.rows)),
+    "seas_plot": lambda choice: seasonality.deviation_bars(_classed(choice)),
+    "seas_table": _deviations,
+    "seas_tab": _deviations,
+    "graph_predskaz": lambda choice: models.chart_frame(
+        models.best_points(choice.points()), choice.horizon),
+    "table_predskaz": lambda choice: models.metrics_card(models.model_scores(choice.points())),
+    "xyz_graph": _xyz_graph,
+    "xyz_table": _xyz_table,
+    "cluster_graph": lambda choice: clusters.cluster_profiles(
+        choice.labels(), clusters.product_months(choice.rows)),
+    "cluster_table": lambda choice: clusters.cluster_table(
+        choice.labels(), sold_products(choice.rows), choice.table_rows),
+}
 
 
 def dashboard_view(sales: DataFrame, view: str, start_date=None, end_date=None, category=None,
                    group=None, subgroup=None, product_code=None, horizon: int = 0,
-                   year: int | None = None, by_category=None) -> DataFrame:
+                   year: int | None = None, by_category=None,
+                   table_rows: int | None = TABLE_ROWS) -> DataFrame:
     """Rows shown by ``view`` for one selection.
 
     ``horizon`` is the number of forecast months, ``year`` the one the stability classes
-    look at (None pools all).
+    look at (None pools all), ``table_rows`` the length of the product tables (None: all).
     """
     if view not in VIEWS:
         raise ValueError(f"unknown view: {view}")
-    selected = filter_sales(sales, category, group, subgroup, product_code,
-                            start_date, end_date)
-    if view == "lin_turn":
-        return describe.line_chart(selection_spans(selected))
-    if view == "boxplot":
-        return describe.boxplot_numbers(selection_spans(selected))
-    if view == "hist_seasonality":
-        return seasonality.coefficient_histogram(
-            seasonality.product_month_coefficients(selected))
-    if view == "seas_plot":
-        return seasonality.deviation_bars(_classed(selected, category, by_category))
-    if view in ("seas_table", "seas_tab"):
-        table = seasonality.deviation_table(_classed(selected, category, by_category))
-        return table.withColumn("month_name", month_name(F.col("month_start")))
-    if view in ("graph_predskaz", "table_predskaz"):
-        window = series.model_window(selection_spans(selected))
-        points = models.model_points(window)
-        if view == "table_predskaz":
-            return models.metrics_card(models.model_scores(points))
-        return models.chart_frame(models.best_points(points), horizon)
-    single = _single_product(selected)
-    if view in ("xyz_graph", "xyz_table"):
-        limits = stability.category_limits(stability.product_variation(
-            stability.complete_year_totals(sales, year)))
-        complete = stability.complete_year_totals(selected, year)
-        if view == "xyz_graph":
-            rows = stability.group_curve(
-                stability.classify(stability.group_variation(complete), limits))
-        else:
-            rows = stability.product_table(
-                stability.classify(stability.product_variation(complete), limits))
-        return rows.limit(0) if single else rows
-    months = clusters.product_months(selected)
-    if single:
-        labels = selected.sparkSession.createDataFrame([], "product_code bigint, cluster int")
-    else:
-        labels = clusters.fit_clusters(clusters.monthly_profiles(months)).labels()
-    if view == "cluster_graph":
-        return clusters.cluster_profiles(labels, months)
-    return clusters.cluster_table(labels, sold_products(selected))
+    rows = filter_sales(sales, category, group, subgroup, product_code, start_date, end_date)
+    return VIEWS[view](Selection(sales, rows, category, horizon, year, by_category, table_rows))

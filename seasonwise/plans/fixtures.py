@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from seasonwise.schemas import RAW_PRODUCT_HEADERS, RAW_SALES_HEADERS
 
-
 # Given schemas spare the job that would read file footers to find them.
 TABLES = {
     "region": "r_regionkey int, r_name string",
@@ -122,21 +121,34 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.col("c_name"))))
 
 
-def write_raw(frame: DataFrame, path: str, products: bool = False) -> str:
-    """Store dirty facts or products as ``;`` separated text with the original headers."""
+def raw_lines(frame: DataFrame, products: bool = False) -> tuple[DataFrame, str]:
+    """Dirty facts or products as ``;`` separated lines, and the original header line."""
     headers = RAW_PRODUCT_HEADERS if products else RAW_SALES_HEADERS
     first, *others = headers
-    named = frame.select(F.col(headers[first]).alias(first),
-                         *[F.col(headers[h]).alias(f" {h}") for h in others])
-    named.write.csv(path, sep=";", header=True, ignoreLeadingWhiteSpace=False,
-                    ignoreTrailingWhiteSpace=False)
-    return path
-
-
-def write_prepared(frame: DataFrame, path: str) -> str:
-    """Store clean facts with hierarchy as comma separated text."""
-    frame.select("date", "product_code", F.col("turnover_qty").alias("turnoverOfGoods"),
-                 F.col("discount_pct").alias("percentOfDisc"),
-                 F.col("turnover_net").alias("turnoverWithDisc"),
-                 "category", "group", "subgroup").write.csv(path, header=True)
-    return path
+    line = F.to_csv(F.struct(*[F.col(name) for name in headers.values()]), {"sep": ";"})
+    return frame.select(line.alias("line")), ";".join([first, *[f" {h}" for h in others]])
+
+
+def prepared_lines(frame: DataFrame) -> tuple[DataFrame, str]:
+    """Clean facts with hierarchy as comma separated lines, and their header line."""
+    names = {"date": "date", "product_code": "product_code", "turnoverOfGoods": "turnover_qty",
+             "percentOfDisc": "discount_pct", "turnoverWithDisc": "turnover_net",
+             "category": "category", "group": "group", "subgroup": "subgroup"}
+    line = F.to_csv(F.struct(*[F.col(name).alias(shown) for shown, name in names.items()]))
+    return frame.select(line.alias("line")), ",".join(names)
+
+
+def gapped_sales(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
+    """F1 facts in which every product of one region sold nothing."""
+    silent = (table(spark, sf_dir, "supplier")
+              .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+              .select(F.col("s_suppkey").alias("product_code"),
+                      (F.col("n_regionkey") == 4).alias("_silent")))
+    return (supplier_sales(spark, sf_dir, years).join(silent, "product_code", "left")
+            .withColumn("turnover_qty", F.when(F.col("_silent"), 0.0)
+                        .otherwise(F.col("turnover_qty"))).drop("_silent"))
+
+
+def gapped_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 dimension without every tenth product."""
+    return supplier_products(spark, sf_dir).filter("product_code % 10 <> 7")

@@ -146,6 +146,8 @@ series_cte("m1_two_top", "f1", "month", ("group", "category"))
 series_cte("m1_pair", "f1_two", "month")
 series_cte("m1_product", "f1", "month", ("product",))
 series_cte("m2", "f2", "month")
+cte("f2_two", f"SELECT * FROM f2 WHERE year(date) IN {MODEL_YEARS}", "f2")
+series_cte("m2_pair", "f2_two", "month", ("product",))
 series_cte("m2_product", "f2", "month", ("product",))
 series_cte("d1", "f1", "day")
 series_cte("d1_upper", "f1", "day", UPPER)
@@ -250,14 +252,22 @@ SELECT request_id, date, product_code, turnover_qty, category, "group", subgroup
 FROM resolved JOIN f1 ON CASE level WHEN 'product' THEN CAST(product_code AS VARCHAR)
      WHEN 'category' THEN category WHEN 'group' THEN "group" ELSE subgroup END = entity""",
     "resolved", "f1")
+SQL["sel2_entity_rows"] = statement("""
+SELECT a.level, a.entity, date, product_code, turnover_qty, category, "group", subgroup
+FROM (SELECT DISTINCT level, entity FROM resolved WHERE found) a
+JOIN f1 ON CASE a.level WHEN 'product' THEN CAST(product_code AS VARCHAR)
+     WHEN 'category' THEN category WHEN 'group' THEN "group" ELSE subgroup END = a.entity""",
+    "resolved", "f1")
 SQL["sel3_filter"] = statement("""
 SELECT date, product_code, turnover_qty, category, "group", subgroup FROM f1
 WHERE category = 'ASIA' AND date BETWEEN DATE '1996-03-01' AND DATE '1998-09-30'""", "f1")
 SQL["sel4_choices"] = statement("""
+SELECT *, CAST(rank() OVER (PARTITION BY parent_level, parent ORDER BY child) AS INTEGER)
+       AS position FROM (
 SELECT DISTINCT 'category' AS parent_level, category AS parent, 'group' AS child_level,
        "group" AS child FROM f1
 UNION ALL SELECT DISTINCT 'group', "group", 'subgroup', subgroup FROM f1
-UNION ALL SELECT DISTINCT 'subgroup', subgroup, 'product', CAST(product_code AS VARCHAR) FROM f1
+UNION ALL SELECT DISTINCT 'subgroup', subgroup, 'product', CAST(product_code AS VARCHAR) FROM f1)
 """, "f1")
 SQL["sel4_groups_of_category"] = statement(
     "SELECT DISTINCT \"group\" FROM f1 WHERE category = 'ASIA'", "f1")
@@ -294,6 +304,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY level, entity ORDER BY month_sta
 WHERE rn <= 12 OR rn >= 25
 QUALIFY count(*) OVER (PARTITION BY level, entity) = 24""", "m1_pair")
 SQL["ts5_model_window"] = statement("SELECT * FROM w24", "w24")
+SQL["ts5_without_window"] = statement("""
+SELECT level, entity, min(month_start) AS first, max(month_start) AS last,
+       CAST(count(*) AS INTEGER) AS periods FROM m2_pair GROUP BY level, entity
+HAVING count(*) <> 36""", "m2_pair")
 SQL["ts6_calendar_product"] = statement("""
 SELECT product_code, CAST(month(date) AS INTEGER) AS month, sum(turnover_qty) AS turnover
 FROM f2 GROUP BY ALL""", "f2")
@@ -432,6 +446,37 @@ FROM (SELECT rated.* EXCLUDE (threshold, month_class), threshold1.threshold FROM
            USING (level, entity)
       JOIN threshold1 USING (category))""", "rated", "dim1_long", "threshold1")
 
+cte("f1_gaps", """
+SELECT f.date, f.product_code, CASE WHEN n_regionkey = 4 THEN 0.0::DOUBLE ELSE f.turnover_qty END
+       AS turnover_qty, d.category, d."group", d.subgroup
+FROM f1_all f LEFT JOIN supplier ON f.product_code = s_suppkey
+     LEFT JOIN nation ON s_nationkey = n_nationkey
+     LEFT JOIN (SELECT * FROM dim1 WHERE product_code % 10 <> 7) d ON f.product_code = d.product_code
+""", "f1_all", "dim1")
+series_cte("m1_gaps", "f1_gaps", "month")
+cte("coef_gaps", """
+SELECT category, turnover / nullif(avg(turnover) OVER (PARTITION BY product_code), 0) AS coefficient
+FROM (SELECT product_code, category, month(date) AS month, sum(turnover_qty) AS turnover
+      FROM f1_gaps GROUP BY ALL)""", "f1_gaps")
+cte("threshold_gaps", f"""
+SELECT category, {even(f'''CASE WHEN category = '{SPECIAL}'
+       THEN quantile_cont(coefficient, {PERCENT / 100}) ELSE quantile_cont(coefficient, 0.75) END''',
+                       2)} AS threshold FROM coef_gaps WHERE category IS NOT NULL GROUP BY category""",
+    "coef_gaps")
+cte("dim_gaps_long", long_form("(SELECT * FROM dim1 WHERE product_code % 10 <> 7)"), "dim1")
+CLASS_OR_NULL = f"CASE WHEN threshold IS NOT NULL THEN {CLASS} END"
+SQL["sea11_own_threshold_gaps"] = statement(f"""
+SELECT level, entity, month_start, turnover, {r("coefficient")} AS coefficient,
+       {r("threshold")} AS threshold, {CLASS_OR_NULL} AS month_class
+FROM (SELECT m.level, m.entity, month_start, turnover,
+             turnover / nullif(avg(turnover) OVER (PARTITION BY m.level, m.entity), 0) AS coefficient,
+             threshold
+      FROM m1_gaps m
+      LEFT JOIN (SELECT level, entity, min(category) AS category FROM dim_gaps_long GROUP BY ALL) c
+           ON m.level = c.level AND m.entity = c.entity
+      LEFT JOIN threshold_gaps t ON c.category = t.category)""",
+    "m1_gaps", "dim_gaps_long", "threshold_gaps")
+
 # Models
 
 Q1 = "(2 * {t} - 25)"
@@ -538,11 +583,18 @@ SELECT level, entity, trend, seasonality, t, {r("trend_value", 4)} AS trend_valu
 SQL["mod9_fitted"] = statement(
     "SELECT level, entity, trend, seasonality, t, fit FROM fitted", "fitted")
 METRICS = f'{even("r2_exact", 3)} AS r2, mape, mae, mse, rmse'
+cte("shown", f"""
+SELECT *, coalesce(r2, -1e300) AS a, coalesce(mape, -1e300) AS b
+FROM (SELECT level, entity, ord, trend, seasonality, {METRICS} FROM scored)""", "scored")
 SQL["mod10_metrics"] = statement(
     f"SELECT level, entity, trend, seasonality, {METRICS} FROM scored", "scored")
 SQL["mod11_best"] = statement(
     f"SELECT level, entity, trend, seasonality, {r('r2_exact')} AS r2_exact FROM best", "best")
-SQL["mod12_metrics_table"] = SQL["mod10_metrics"]
+SQL["mod12_metrics_table"] = statement(f"""
+SELECT level, entity, trend, seasonality, r2, mape, mae, mse, rmse,
+       CAST(1 + (SELECT count(*) FROM shown o WHERE o.level = s.level AND o.entity = s.entity
+             AND (o.a, o.b, -o.ord) > (s.a, s.b, -s.ord)) AS INTEGER) AS position
+FROM shown s""", "shown")
 SQL["mod13_metrics_card"] = statement(f"""
 SELECT level, entity, trend, seasonality, replace(CAST(mape AS VARCHAR), '.', ',') AS mape,
        CAST(mae AS VARCHAR) AS mae, CAST(rmse AS VARCHAR) AS rmse,
@@ -564,13 +616,14 @@ cte("future", f"""
 SELECT *, CASE WHEN seasonality = 'add' THEN next_trend + season_index
                ELSE next_trend * season_index END AS forecast
 FROM (SELECT *, {NEXT_TREND} AS next_trend
-      FROM (SELECT level, entity, trend, seasonality, t + 12 AS n, season_index,
-                   CAST(month_start + INTERVAL 1 year AS DATE) AS next_month
-            FROM best_fitted WHERE t > 12) JOIN fits USING (level, entity))""",
+      FROM (SELECT level, entity, trend, seasonality, t + 12 * ahead AS n, season_index,
+                   CAST(month_start + ahead * INTERVAL 1 year AS DATE) AS next_month
+            FROM best_fitted, (VALUES (1), (2)) a(ahead) WHERE t > 12) JOIN fits USING (level, entity))""",
     "best_fitted", "fits")
 SQL["mod15_forecast"] = statement(f"""
 SELECT level, entity, trend, seasonality, CAST(n AS INTEGER) AS t, next_month AS month_start,
-       {r("next_trend", 4)} AS trend_value, {r("forecast", 4)} AS forecast FROM future""", "future")
+       {r("next_trend", 4)} AS trend_value, {r("forecast", 4)} AS forecast FROM future
+WHERE n <= 42""", "future")
 SQL["mod16_forecast_labels"] = statement("""
 SELECT level, entity, CAST(n AS INTEGER) AS t, next_month AS month_start,
        strftime(next_month, '%m/%Y') AS month_label FROM future WHERE n <= 26""", "future")
@@ -638,13 +691,32 @@ SELECT category, quantile_cont(variation, 0.33) AS x_limit, quantile_cont(variat
 FROM vary GROUP BY category""", "vary")
 SECTOR = """CASE WHEN variation <= x_limit THEN 'X' WHEN variation <= y_limit THEN 'Y'
      WHEN variation > y_limit THEN 'Z' END AS sector"""
-cte("sectors", f"SELECT *, {SECTOR} FROM vary JOIN limits USING (category)", "vary", "limits")
-cte("vary_group", f"""
-SELECT category, "group", {VARIATION} FROM (
-  SELECT category, "group", month, sum(turnover) AS turnover FROM full1 GROUP BY ALL)
-GROUP BY ALL""", "full1")
-cte("sectors_group", f"SELECT *, {SECTOR} FROM vary_group JOIN limits USING (category)",
-    "vary_group", "limits")
+cte("sectors", f"SELECT *, {SECTOR} FROM vary LEFT JOIN limits USING (category)", "vary", "limits")
+cte("full_gaps", f"""
+SELECT product_code, CAST(month(date) AS INTEGER) AS month, sum(turnover_qty) AS turnover,
+       category, "group", subgroup FROM f1_gaps WHERE year(date) = {YEAR}
+GROUP BY product_code, month(date), category, "group", subgroup
+QUALIFY count(*) OVER (PARTITION BY product_code) = 12""", "f1_gaps")
+cte("vary_gaps", f"""
+SELECT product_code, category, "group", subgroup, {VARIATION} FROM full_gaps
+WHERE category IS NOT NULL GROUP BY ALL""", "full_gaps")
+cte("limits_gaps", """
+SELECT category, quantile_cont(variation, 0.33) AS x_limit, quantile_cont(variation, 0.66) AS y_limit
+FROM vary_gaps GROUP BY category HAVING count(variation) > 0""", "vary_gaps")
+cte("sectors_gaps", f"SELECT *, {SECTOR} FROM vary_gaps LEFT JOIN limits_gaps USING (category)",
+    "vary_gaps", "limits_gaps")
+cte("limits2", f"""
+SELECT category, quantile_cont(variation, 0.33) AS x_limit, quantile_cont(variation, 0.66) AS y_limit
+FROM (SELECT product_code, category, {VARIATION} FROM full2 GROUP BY ALL) GROUP BY category""", "full2")
+for source, limit, name in (("full1", "limits", "sectors_group"),
+                            ("full2", "limits2", "sectors_group2")):
+    cte(f"vary_{name}", f"""
+SELECT "group", {VARIATION} FROM (
+  SELECT "group", month, sum(turnover) AS turnover FROM {source} GROUP BY ALL)
+GROUP BY "group\"""", source)
+    cte(name, f"""
+SELECT *, {SECTOR} FROM vary_{name} JOIN (SELECT DISTINCT category, "group" FROM {source})
+     USING ("group") LEFT JOIN {limit} USING (category)""", f"vary_{name}", source, limit)
 ROUNDED = f'{r("variation")} AS variation, {r("x_limit")} AS x_limit, {r("y_limit")} AS y_limit'
 SQL["xyz1_complete"] = statement("SELECT * FROM full2", "full2")
 SQL["xyz2_variation"] = statement(
@@ -654,6 +726,9 @@ SQL["xyz3_limits"] = statement(
     f'SELECT category, {r("x_limit")} AS x_limit, {r("y_limit")} AS y_limit FROM limits', "limits")
 SQL["xyz4_class"] = statement(
     f'SELECT category, product_code, "group", subgroup, {ROUNDED}, sector FROM sectors', "sectors")
+SQL["xyz4_class_gaps"] = statement(
+    f'SELECT category, product_code, "group", subgroup, {ROUNDED}, sector FROM sectors_gaps',
+    "sectors_gaps")
 LIMIT_X, LIMIT_Y = (f"printf('%.0f', {even(c)})" for c in ("x_limit", "y_limit"))
 SQL["xyz5_summary"] = statement(f"""
 SELECT l.category, k.sector, count(s.product_code) AS n_products,
@@ -664,15 +739,32 @@ CROSS JOIN (VALUES ('X'), ('Y'), ('Z')) k(sector)
 LEFT JOIN (SELECT product_code, category, sector FROM sectors) s
      ON s.category = l.category AND s.sector = k.sector
 GROUP BY l.category, k.sector""", "limits", "sectors")
+SQL["xyz5_summary_gaps"] = statement(f"""
+SELECT l.category, k.sector, count(s.product_code) AS n_products,
+       any_value(CASE k.sector WHEN 'X' THEN 'V<=' || {LIMIT_X}
+            WHEN 'Y' THEN {LIMIT_X} || '<V<=' || {LIMIT_Y} ELSE 'V>' || {LIMIT_Y} END) AS limits
+FROM (SELECT DISTINCT category, x_limit, y_limit FROM sectors_gaps) l
+CROSS JOIN (VALUES ('X'), ('Y'), ('Z')) k(sector)
+LEFT JOIN (SELECT product_code, category, sector FROM sectors_gaps) s
+     ON s.category = l.category AND s.sector = k.sector
+GROUP BY l.category, k.sector""", "sectors_gaps")
 SQL["xyz6_table"] = statement(f"""
 SELECT category, "group", subgroup, product_code, {shown("variation", 2)} AS variation, sector
-FROM sectors ORDER BY category, "group", subgroup, product_code LIMIT 30""", "sectors")
+FROM sectors""", "sectors")
+SQL["xyz7_groups_of_several_categories"] = statement(
+    f'SELECT category, "group", {ROUNDED}, sector FROM sectors_group2', "sectors_group2")
 SQL["xyz7_groups"] = statement(
     f'SELECT category, "group", {ROUNDED}, sector FROM sectors_group', "sectors_group")
-SQL["xyz8_sector_groups"] = statement("""
+cte("per_sector", """
 SELECT category, sector, "group", count(DISTINCT product_code) AS n_products
 FROM sectors WHERE sector IS NOT NULL GROUP BY ALL""", "sectors")
-cte("curve", """
+SQL["xyz8_sector_groups"] = statement("""
+SELECT a.*, CAST(1 + count(b.n_products) AS INTEGER) AS position FROM per_sector a
+LEFT JOIN per_sector b ON a.category = b.category AND a.sector = b.sector
+     AND (b.n_products > a.n_products OR b.n_products = a.n_products AND b."group" < a."group")
+GROUP BY ALL""", "per_sector")
+for suffix in ("", "2"):
+    cte(f"curve{suffix}", f"""
 SELECT *, row_number() OVER (PARTITION BY category ORDER BY variation, "group") AS position,
        row_number() OVER (PARTITION BY category, variation >= x_limit ORDER BY variation, "group")
        AS from_x,
@@ -684,8 +776,8 @@ SELECT *, row_number() OVER (PARTITION BY category ORDER BY variation, "group")
        sum(CASE WHEN variation >= x_limit AND variation < y_limit THEN 1 ELSE 0 END)
            OVER (PARTITION BY category) AS n_y,
        sum(CASE WHEN variation >= y_limit THEN 1 ELSE 0 END) OVER (PARTITION BY category) AS n_z
-FROM sectors_group""", "sectors_group")
-SQL["xyz9_curve"] = statement(f"""
+FROM sectors_group{suffix}""", f"sectors_group{suffix}")
+CURVE = f"""
 SELECT category, CAST(position AS INTEGER) AS position, "group",
        {even("variation", 2)} AS variation,
        variation >= x_limit AND from_x = 1 AS x_line, variation >= y_limit AND from_y = 1 AS y_line,
@@ -693,7 +785,9 @@ SELECT category, CAST(position AS INTEGER) AS position, "group",
        variation >= x_limit AND variation < y_limit AND in_y = 1 + {even("n_y / 2.0::DOUBLE")}
        AS y_label,
        variation >= y_limit AND from_y = 1 + {even("n_z / 2.0::DOUBLE")} AS z_label
-FROM curve""", "curve")
+FROM curve"""
+SQL["xyz9_curve"] = statement(CURVE, "curve")
+SQL["xyz9_curve_of_several_categories"] = statement(CURVE + "2", "curve2")
 SQL["xyz10_applicable"] = statement(f"""
 SELECT subgroup, product_code, category, "group", {r("variation")} AS variation FROM vary
 WHERE subgroup IN (SELECT subgroup FROM f1 GROUP BY subgroup
@@ -725,12 +819,66 @@ SQL["clu7_cluster_profiles"] = statement(f"""
 SELECT cluster, CAST(month(month_start) AS INTEGER) AS month, {r("avg(turnover)")} AS mean_turnover
 FROM m1_product JOIN labels1 ON entity = CAST(product_code AS VARCHAR) GROUP BY ALL""",
                                          "m1_product", "labels1")
-SQL["clu8_groups"] = statement("""
-SELECT cluster, "group", count(DISTINCT product_code) AS n_products FROM labels1 GROUP BY ALL""",
-                               "labels1")
-SQL["clu9_subgroups"] = statement("""
-SELECT cluster, subgroup, count(DISTINCT product_code) AS n_products FROM labels1 GROUP BY ALL""",
-                                  "labels1")
+for key, column in (("clu8_groups", '"group"'), ("clu9_subgroups", "subgroup")):
+    SQL[key] = statement(f"""
+SELECT a.*, CAST(1 + count(b.n_products) AS INTEGER) AS position
+FROM (SELECT cluster, {column}, count(DISTINCT product_code) AS n_products FROM labels1 GROUP BY ALL) a
+LEFT JOIN (SELECT cluster, {column} AS name, count(DISTINCT product_code) AS n_products FROM labels1
+           GROUP BY ALL) b ON a.cluster = b.cluster AND (b.n_products > a.n_products
+     OR b.n_products = a.n_products AND b.name < a.{column})
+GROUP BY ALL""", "labels1")
+# Coordinates in long form: distances add up over the twelve months, point by point.
+cte("coordinates", f"""
+SELECT product_code, month, CASE WHEN min(v) OVER p = max(v) OVER p THEN 0.0::DOUBLE
+       ELSE (v - avg(v) OVER p) / stddev_pop(v) OVER p END AS z
+FROM (SELECT product_code, unnest(generate_series(1, 12)) AS month,
+             unnest([{", ".join(f"m{i}" for i in range(1, 13))}]) AS v FROM profile1)
+WINDOW p AS (PARTITION BY product_code)""", "profile1")
+cte("given", """
+SELECT product_code, k, CAST(product_code % k AS INTEGER) AS cluster
+FROM (SELECT DISTINCT product_code FROM coordinates), generate_series(3, 8) g(k)""", "coordinates")
+# Mean squared distance of a point to all points of a cluster, from sums per month.
+cte("to_cluster", """
+SELECT x.product_code, g.k, g.cluster AS own, c.cluster, any_value(c.n) AS n,
+       sum(x.z * x.z - 2 * x.z * c.first / c.n + c.second / c.n) AS distance
+FROM given g JOIN coordinates x USING (product_code)
+JOIN (SELECT k, cluster, month, count(*) AS n, sum(z) AS first, sum(z * z) AS second
+      FROM given JOIN coordinates USING (product_code) GROUP BY ALL) c
+     ON c.k = g.k AND c.month = x.month
+GROUP BY x.product_code, g.k, g.cluster, c.cluster""", "given", "coordinates")
+cte("silhouette", """
+SELECT k, avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0.0::DOUBLE ELSE (b - a) / greatest(a, b) END)
+       AS silhouette
+FROM (SELECT product_code, k, max(n) FILTER (WHERE cluster = own) AS n,
+             max(distance * n / nullif(n - 1, 0)) FILTER (WHERE cluster = own) AS a,
+             min(distance) FILTER (WHERE cluster <> own) AS b
+      FROM to_cluster GROUP BY product_code, k) GROUP BY k""", "to_cluster")
+SQL["clu3_silhouettes"] = statement(
+    f"SELECT CAST(k AS INTEGER) AS k, {r('silhouette')} AS silhouette FROM silhouette", "silhouette")
+SQL["clu4_chosen_k"] = statement("""
+SELECT CAST(k AS INTEGER) AS k FROM silhouette ORDER BY silhouette DESC, k LIMIT 1""", "silhouette")
+cte("assigned", """
+SELECT product_code, raw, dense_rank() OVER (ORDER BY first) AS cluster FROM (
+  SELECT product_code, raw, min(product_code) OVER (PARTITION BY raw) AS first FROM (
+    SELECT x.product_code, c.cluster AS raw FROM coordinates x
+    JOIN (SELECT cluster, month, avg(z) AS centre FROM given JOIN coordinates USING (product_code)
+          WHERE k = 3 GROUP BY ALL) c USING (month)
+    GROUP BY x.product_code, c.cluster
+    QUALIFY row_number() OVER (PARTITION BY x.product_code
+            ORDER BY round(sum((x.z - c.centre) ** 2), 9), c.cluster) = 1))""", "coordinates", "given")
+SQL["clu5_labels"] = statement(
+    "SELECT product_code, CAST(cluster AS INTEGER) AS cluster FROM assigned", "assigned")
+SQL["clu6_table"] = statement("""
+SELECT category, "group", subgroup, product_code, CAST(cluster AS INTEGER) AS cluster
+FROM assigned LEFT JOIN dim1 USING (product_code)""", "assigned", "dim1")
+SQL["clu5_fit_invariants"] = statement(
+    "SELECT product_code, true AS numbered, true AS nearest FROM profile1", "profile1")
+SQL["clu3_fit_scores"] = statement("""
+SELECT CAST(k AS INTEGER) AS k, CASE WHEN k < (SELECT count(*) FROM profile1) THEN true END AS rated,
+       true AS one_chosen FROM generate_series(3, 8) g(k)""", "profile1")
+SQL["clu7_fit_profiles"] = statement(f"""
+SELECT CAST(month(month_start) AS INTEGER) AS month, {r("sum(turnover)")} AS turnover
+FROM m1_product GROUP BY ALL""", "m1_product")
 SQL["clu10_applicable"] = statement("""
 SELECT level, entity, count(DISTINCT product_code) AS n_products,
        count(DISTINCT product_code) <> 1 AS applicable
@@ -769,3 +917,48 @@ SELECT category, "group", subgroup, product_code, {shown("variation", 2)} AS var
 FROM sectors WHERE category = 'ASIA'
      AND (SELECT count(DISTINCT product_code) FROM f1_year WHERE category = 'ASIA') <> 1
 ORDER BY category, "group", subgroup, product_code LIMIT 30""", "sectors", "f1_year")
+SELECTED = "* REPLACE ('selection' AS level, 'selection' AS entity)"
+IN_ASIA = "WHERE level = 'category' AND entity = 'ASIA'"
+cte("m1_whole", """
+SELECT CAST(date_trunc('month', date) AS DATE) AS month_start, sum(turnover_qty) AS turnover
+FROM f1 GROUP BY ALL""", "f1")
+SQL["view_lin_turn_all"] = statement(f"""
+SELECT 'selection' AS level, 'selection' AS entity, month_start,
+       {NAME_LIST}[month(month_start)] AS month_name, turnover FROM m1_whole""", "m1_whole")
+SQL["view_boxplot"] = f"SELECT {SELECTED} FROM ({SQL['dsc3_boxplot']}) {IN_ASIA}"
+for key, condition in (("view_hist_seasonality", "category = 'ASIA'"),
+                       ("view_hist_seasonality_all", "category IS NOT NULL")):
+    SQL[key] = statement(f"""
+SELECT category, {r("bin / 10.0::DOUBLE")} AS bin_start, n,
+       {r("n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY category)")} AS share_pct
+FROM (SELECT category, floor(coefficient * 10) AS bin, count(*) AS n FROM coef1
+      WHERE coefficient < 5 AND {condition} GROUP BY ALL)""", "coef1")
+SQL["view_seas_plot"] = statement(f"""
+SELECT level, entity, month_start, {r(even("coefficient - 1", 4) + " * 100")} AS bar_pct,
+       CASE WHEN abs(coefficient - 1) * 100 > (threshold - 1) * 100
+            THEN CASE WHEN coefficient < 1 THEN 'low' ELSE 'high' END
+            WHEN coefficient IS NOT NULL THEN 'within' END AS bar_class,
+       printf('%+.2f', {even("(coefficient - 1) * 100", 2)}) AS label
+FROM asia_rated""", "asia_rated")
+SQL["view_seas_table_special"] = statement(f"""
+SELECT 'selection' AS level, 'selection' AS entity, month_start, turnover,
+       {r("coefficient * 100 - 100")} AS deviation_pct, {shown("turnover", 0)} AS turnover_text,
+       {shown("coefficient * 100 - 100", 2, "+")} AS deviation_text, {CLASS} AS month_class,
+       {NAME_LIST}[month(month_start)] AS month_name
+FROM (SELECT month_start, turnover, turnover / nullif(avg(turnover) OVER (), 0) AS coefficient,
+             (SELECT threshold FROM threshold1 WHERE category = 'EUROPE') AS threshold
+      FROM m1 WHERE level = 'category' AND entity = 'EUROPE')""", "m1", "threshold1")
+SQL["view_table_predskaz"] = f"SELECT {SELECTED} FROM ({SQL['mod13_metrics_card']}) {IN_ASIA}"
+# Views of several products are empty for a selection of a single one.
+SEVERAL = "(SELECT count(DISTINCT s_suppkey) FROM supplier JOIN nation ON s_nationkey = n_nationkey " \
+          "JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA') <> 1"
+SQL["view_xyz_graph"] = f"SELECT * FROM ({SQL['xyz9_curve']}) WHERE category = 'ASIA' AND {SEVERAL}"
+SQL["view_xyz_table_all"] = statement(f"""
+SELECT category, "group", subgroup, product_code, {shown("variation", 2)} AS variation, sector
+FROM sectors""", "sectors")
+SQL["view_cluster_table_products"] = statement("""
+SELECT DISTINCT category, "group", subgroup, product_code, true AS labelled FROM f1
+WHERE category = 'ASIA' AND """ + SEVERAL, "f1")
+SQL["view_cluster_graph_months"] = statement(
+    "SELECT CAST(m AS INTEGER) AS month, true AS all_clusters FROM generate_series(1, 12) g(m) "
+    f"WHERE {SEVERAL}")

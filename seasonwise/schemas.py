@@ -75,5 +75,5 @@ THRESHOLD_PERCENT = 75
 THRESHOLD_PERCENT_BY_CATEGORY = {"для окраски волос": 65}
 XYZ_PERCENTS = (33, 66)
 MIN_PARENT_CORRELATION = 0.5
+# Rows that the dashboard's tables show; the operators give all.
 TABLE_ROWS = 30
-MAX_HORIZON = 12

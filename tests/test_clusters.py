@@ -80,6 +80,19 @@ def test_tables(spark, data, fit):
 
 
 def test_too_few_products(spark):
-    with pytest.raises(ValueError):
-        clusters.fit_clusters(clusters.monthly_profiles(
-            clusters.product_months(sales(spark, 2))))
+    fit = clusters.fit_clusters(clusters.monthly_profiles(clusters.product_months(sales(spark, 2))))
+    assert [tuple(r) for r in fit.scores().collect()] == [(k, None, False) for k in range(3, 9)]
+    assert rows_of(fit.labels(), "product_code", "cluster") == [(1, 1), (2, 1)]
+    fit.release()
+
+
+def test_silhouette_of_given_labels(spark, fit, data):
+    """Closed form beside the library's evaluator."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.sql import functions as F
+    scaled = clusters.standardised_profiles(clusters.monthly_profiles(clusters.product_months(data)))
+    labels = fit.labels(5).withColumn("k", F.lit(5))
+    got = clusters.silhouettes(scaled, labels).first()
+    rated = fit.vectors.join(fit.labels(5).withColumn("prediction", F.col("cluster").cast("double")),
+                             "product_code")
+    assert got.k == 5 and got.silhouette == pytest.approx(ClusteringEvaluator().evaluate(rated))

@@ -1,6 +1,6 @@
 import pytest
 
-from seasonwise.functions.joins import checked_join, salted_join
+from seasonwise.functions.joins import checked_join, salted_join, salts_for
 from tests.helpers import rows_of
 
 
@@ -21,8 +21,8 @@ def test_same_rows_as_a_plain_join(frames, how):
         return sorted((tuple(r) for r in df.select("k", "v", "name").collect()), key=str)
     wanted = rows(large.join(small, "k", how))
     assert rows(salted_join(large, small, ["k"], ["v"], how)) == wanted
-    for limit in (0, 1000):
-        assert rows(checked_join(large, small, ["k"], ["v"], how, broadcast_rows=limit)) == wanted
+    for limit in (0, 1 << 20):
+        assert rows(checked_join(large, small, ["k"], ["v"], how, broadcast_bytes=limit)) == wanted
 
 
 def test_hot_key_is_spread(spark, frames):
@@ -38,12 +38,27 @@ def test_hot_key_is_spread(spark, frames):
     assert len(sizes) > 2 and max(r["count"] for r in sizes) < 900
 
 
-def test_broadcast_depends_on_the_size(frames):
-    large, small = frames
+def test_broadcast_depends_on_the_size(spark, frames):
+    large = frames[0]
+    small = spark.range(9).selectExpr("id AS k", "id * 2 AS name")
     def plan(limit):
-        joined = checked_join(large, small, ["k"], ["v"], broadcast_rows=limit)
+        joined = checked_join(large, small, ["k"], ["v"], broadcast_bytes=limit)
         return joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(1000) and "broadcast" not in plan(3)
+    assert "broadcast" in plan(1 << 20) and "broadcast" not in plan(3)
+
+
+def test_shares_follow_the_cluster(spark, frames):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "10000")
+        assert salts_for(frames[0]) == 100
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_nothing_runs_while_a_join_is_planned(spark, frames):
+    fails = spark.range(10).selectExpr("id AS k", "assert_true(id < 0) AS name")
+    checked_join(frames[0], fails, ["k"], ["v"])
 
 
 def test_other_join_types_are_refused(frames):

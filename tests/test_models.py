@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from seasonwise.operators import models, series
-from tests.helpers import sales_frame
+from tests.helpers import day, sales_frame
 
 T = np.arange(1, 25)
 
@@ -155,7 +155,21 @@ def test_chart_and_horizon(spark):
     labels = {r["month_label"] for r in chart.collect()}
     assert "01/2020" in labels and "01/2019" not in labels
     with pytest.raises(ValueError):
-        models.chart_frame(best, 13)
+        models.chart_frame(best, -1)
+
+
+def test_forecasts_reach_as_far_as_asked(spark):
+    """Trend at any later month, index of the same month of the year, for every model."""
+    points = models.model_points(window(spark, {1: SERIES[1]}))
+    ahead = models.forecast(points.filter("trend = 'polynomial3' AND seasonality = 'add'"), 30)
+    rows = ahead.orderBy("t").collect()
+    assert [r["t"] for r in rows] == list(range(25, 55))
+    fit = np.polyfit(T, np.asarray(SERIES[1], float), 3)
+    assert [r["trend_value"] for r in rows] == pytest.approx(
+        [np.polyval(fit, t) for t in range(25, 55)], rel=1e-6, abs=1e-6)
+    indices = [r["forecast"] - r["trend_value"] for r in rows]
+    assert indices[:18] == pytest.approx(indices[12:], abs=1e-6)
+    assert rows[-1]["month_start"] == day("2024-06-01")
 
 
 def test_table_order_and_card(spark):

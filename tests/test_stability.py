@@ -32,7 +32,8 @@ def classified(frames):
 def test_classes_against_numpy(frames):
     rows = {r["product_code"]: r for r in classified(frames).collect()}
     assert 11 not in rows
-    assert 10 not in rows  # no variation, so its category has no limits either
+    # No variation, so its category has no limits either; the product stays.
+    assert (rows[10]["variation"], rows[10]["x_limit"], rows[10]["sector"]) == (None, None, None)
     for category, members in (("c", range(1, 8)), ("d", (8, 9))):
         v = {p: variation(VALUES[p]) for p in members}
         x, y = np.percentile(list(v.values()), [33, 66])
@@ -44,7 +45,8 @@ def test_classes_against_numpy(frames):
 def test_summary_has_three_rows_and_all_products(frames):
     summary = stability.sector_summary(classified(frames))
     counts = rows_of(summary, "category", "sector", "n_products", "limits")
-    assert [c[:2] for c in counts] == [(c, s) for c in "cd" for s in "XYZ"]
+    assert [c[:2] for c in counts] == [(c, s) for c in "cde" for s in "XYZ"]
+    assert [c[2:] for c in counts[6:]] == [(0, None)] * 3
     assert sum(c[2] for c in counts if c[0] == "c") == 7
     x = np.percentile([variation(VALUES[p]) for p in range(1, 8)], 33)
     assert counts[0][3] == f"V<={x:.0f}"
@@ -90,7 +92,22 @@ def test_members_per_sector(frames):
     assert sum(r["n_products"] for r in rows) == 9
 
 
+def test_a_group_is_known_by_name(spark):
+    """One below two categories has one variation, compared with the limits of both."""
+    products = products_frame(spark, [(1, "c", "g", "s"), (2, "d", "g", "s"), (3, "d", "h", None)])
+    rows = [(d, p, v) for p in (1, 2, 3) for d, v in months(2021, VALUES[p])]
+    complete = stability.complete_year_totals(sales_frame(spark, rows), 2021, products)
+    found = {(r.category, r.group): r.variation for r in stability.group_variation(complete).collect()}
+    whole = pytest.approx(variation(VALUES[1] + VALUES[2]))
+    assert found == {("c", "g"): whole, ("d", "g"): whole,
+                     ("d", "h"): pytest.approx(variation(VALUES[3]))}
+    # Limits take products without a subgroup too, the class table does not.
+    each = stability.product_variation(complete)
+    assert each.count() == 3 and stability.named_products(each).count() == 2
+
+
 def test_table_is_limited(frames):
+    assert stability.product_table(classified(frames)).count() == 10
     table = stability.product_table(classified(frames), 3).collect()
     assert [r["product_code"] for r in table] == [3, 6, 1]
     assert "," in table[0]["variation"]
