@@ -43,6 +43,22 @@ def pre_token_table(docs: DataFrame, file: str, text: str = "text") -> DataFrame
     return map_rows(totals, pieces, "pre_token string, total long, n_pieces long")
 
 
+def _most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """``pre_token, n_pieces`` above the lowest frequency that leaves at most ``most`` rows.
+
+    A small histogram of frequencies gives that bound, so only the chosen rows travel.
+    """
+    step = F.floor(F.log2("total") * 8)
+    chosen, lowest = 0, None
+    for row in (table.groupBy(step.alias("step")).count().orderBy(F.desc("step"))).collect():
+        chosen += row["count"]
+        if chosen > most:
+            break
+        lowest = row["step"]
+    kept = table.filter(step >= lowest) if lowest is not None else table.limit(0)
+    return kept.select("pre_token", "n_pieces")
+
+
 def _pre_tokens(words: PreTokens, units: Counter):
     totals = Counter()
     for unit, n in units.items():
@@ -64,8 +80,7 @@ def token_counts(docs: DataFrame, file: str = "word_bpe_49k.json", limit: int =
                        F.col(f"`{text}`").alias("text"))
     table = cut_lineage(pre_token_table(docs, file))
     short = table.filter(F.length("pre_token") <= HEAD_CHARS)
-    frequent = short.orderBy(F.desc("total"), "pre_token").limit(head)
-    known = {r[0]: r[1] for r in frequent.select("pre_token", "n_pieces").collect()}
+    known = {r[0]: r[1] for r in _most_frequent(short, head).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def per_document(batches):
