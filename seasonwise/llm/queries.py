@@ -8,8 +8,46 @@ from seasonwise.llm import (embedding_dedup, hnsw, html_text, language, minhash,
 from seasonwise.llm.common import read
 
 QUERIES = {}
-# Queries that SQL can express.
-SQL = {}
+# Queries that SQL can express, by exact sets and distances and a recursion over links.
+REACH = """reach AS (SELECT a AS node, b AS other FROM links
+          UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+lowest AS (SELECT node, min(other) AS other FROM reach GROUP BY node)"""
+SQL = {
+    "op2_minhash_dedup": rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4
+         THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2),
+         lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+{REACH}
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles,
+       least(doc_id, coalesce(other, doc_id)) AS component_id,
+       doc_id <= coalesce(other, doc_id) AS kept
+FROM sets LEFT JOIN lowest ON node = doc_id""",
+    "op7_embedding_dedup": f"""
+WITH RECURSIVE points AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM points a JOIN points b USING (label)
+  WHERE a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        AND list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v)
+            * list_inner_product(b.v, b.v)) >= 0.98),
+{REACH}
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links,
+       least(vec_id, coalesce(other, vec_id)) AS component_id,
+       vec_id <= coalesce(other, vec_id) AS kept
+FROM embeddings LEFT JOIN lowest ON node = vec_id""",
+}
 
 
 def query(function):
