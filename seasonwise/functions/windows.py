@@ -10,9 +10,5 @@ def by_entity() -> WindowSpec:
     return Window.partitionBy(*ENTITY)
 
 
-def by_entity_month() -> WindowSpec:
-    return Window.partitionBy(*ENTITY, "month_start")
-
-
 def by_product() -> WindowSpec:
     return Window.partitionBy("product_code")

@@ -8,7 +8,7 @@ from seasonwise.functions.joins import salted_join
 from seasonwise.functions.numeric import ratio, round_half_even
 from seasonwise.functions.percentiles import exact_percentiles
 from seasonwise.functions.text import display_number
-from seasonwise.functions.windows import by_entity, by_entity_month, by_product
+from seasonwise.functions.windows import by_product
 from seasonwise.operators.clean import attach_hierarchy
 from seasonwise.operators.select import requested_products
 from seasonwise.operators.series import calendar_product_totals, expand_levels
@@ -122,45 +122,75 @@ def season_markers(classes: DataFrame) -> DataFrame:
             .select(*ENTITY, "month_start", "month_class", "turnover"))
 
 
-def peak_days(daily_spans: DataFrame, threshold: float = SEASON_THRESHOLD,
+def _month_days(days: DataFrame, threshold: float) -> DataFrame:
+    """Months of high and low demand with the days of each that are known.
+
+    ``days`` holds sold days; gap-filled ones do as well. Months without any between the first
+    and the last count too. A month is one row: ``sold`` maps its known days to their turnover,
+    ``since`` and ``until`` bound those of its days that lie within the entity's life.
+    """
+    months = (days.groupBy(*ENTITY, F.trunc("day", "MM").alias("seen"))
+              .agg(F.sum("turnover").alias("turnover"), F.min("day").alias("_first"),
+                   F.max("day").alias("_last"),
+                   F.map_from_entries(F.collect_list(F.struct("day", "turnover"))).alias("sold")))
+    over = "OVER (PARTITION BY level, entity)"
+    spanned = months.selectExpr(
+        *ENTITY, "seen", "turnover", "sold",
+        "lead(seen) OVER (PARTITION BY level, entity ORDER BY seen) AS after",
+        f"min(_first) {over} AS first", f"max(_last) {over} AS last", f"sum(turnover) {over} AS total")
+    filled = spanned.selectExpr(
+        "*", "explode(sequence(seen, coalesce(add_months(after, -1), seen), INTERVAL 1 MONTH)) "
+        "AS month_start")
+    known = F.col("month_start") == F.col("seen")
+    turnover = F.when(known, F.col("turnover")).otherwise(0.0)
+    coefficient = ratio(turnover, F.col("total") / months_spanned(F.col("first"), F.col("last")))
+    rated = filled.select(
+        *ENTITY, "month_start", coefficient.alias("coefficient"),
+        F.when(known, F.col("sold")).alias("sold"),
+        F.greatest("month_start", "first").alias("since"),
+        F.least(F.last_day("month_start"), F.col("last")).alias("until"))
+    return rated.withColumn("month_class", _month_class(
+        F.col("coefficient"), F.lit(float(threshold)))).filter(
+        F.col("month_class").isin("high", "low"))
+
+
+# Days as (day, turnover): those that are known, or all of the month with zeros.
+_SOLD = "coalesce(map_entries(sold), array())"
+_EVERY = ("transform(sequence(since, until), d -> struct(d AS key, "
+          "coalesce(element_at(sold, d), 0.0D) AS value))")
+
+
+def peak_days(days: DataFrame, threshold: float = SEASON_THRESHOLD,
               promo_day: int = PROMO_DAY) -> DataFrame:
     """Day with most sales of each high month and with least of each low one.
 
     The promo day does not count and the earlier day wins a tie. The deviation is positive
-    for low months too.
+    for low months too. Only low months, and high ones that sold on the promo day alone, are
+    looked at day by day.
     """
-    candidate = F.dayofmonth("day") != promo_day
-    day_number = F.dayofmonth("day")
-    monthly = (daily_spans.withColumn("month_start", F.trunc("day", "MM"))
-               .groupBy(*ENTITY, "month_start").agg(
-        F.sum("turnover").alias("turnover"),
-        F.max_by("day", F.when(candidate, F.struct("turnover", -day_number))).alias("_most"),
-        F.min_by("day", F.when(candidate, F.struct("turnover", day_number))).alias("_least")))
-    coefficient = ratio(F.col("turnover"), F.avg("turnover").over(by_entity()))
-    rated = monthly.withColumn("_c", coefficient).withColumn(
-        "month_class", _month_class(F.col("_c"), F.lit(float(threshold))))
+    ordinary = f"e -> dayofmonth(e.key) <> {int(promo_day)}"
     high = F.col("month_class") == "high"
-    return rated.filter(F.col("month_class").isin("high", "low")).select(
-        *ENTITY, "month_start", "month_class",
-        F.when(high, F.col("_most")).otherwise(F.col("_least")).alias("day"),
-        round_half_even(F.when(high, F.col("_c") - 1).otherwise(1 - F.col("_c")) * 100, 2)
-        .alias("deviation_pct"))
-
-
-def extreme_days(daily_spans: DataFrame, threshold: float = SEASON_THRESHOLD) -> DataFrame:
+    chosen = _month_days(days, threshold).withColumn("_sold", F.expr(
+        f"filter({_SOLD}, {ordinary})")).withColumn("_days", F.expr(
+            f"CASE WHEN month_class = 'high' AND exists(_sold, e -> e.value > 0) THEN _sold "
+            f"ELSE filter({_EVERY}, {ordinary}) END"))
+    most = F.expr("array_max(transform(_days, e -> struct(e.value AS v, "
+                  "-dayofmonth(e.key) AS n, e.key AS day))).day")
+    least = F.expr("array_min(transform(_days, e -> struct(e.value AS v, "
+                   "dayofmonth(e.key) AS n, e.key AS day))).day")
+    c = F.col("coefficient")
+    return chosen.select(
+        *ENTITY, "month_start", "month_class", F.when(high, most).otherwise(least).alias("day"),
+        round_half_even(F.when(high, c - 1).otherwise(1 - c) * 100, 2).alias("deviation_pct"))
+
+
+def extreme_days(days: DataFrame, threshold: float = SEASON_THRESHOLD) -> DataFrame:
     """All days that equal the maximum of a high month or the minimum of a low one."""
-    month = F.trunc("day", "MM")
-    months = months_spanned(F.col("first"), F.col("last"))
-    days = daily_spans.select(
-        *ENTITY, "day", "turnover", month.alias("month_start"),
-        (F.col("total") / months).alias("_mean"))
-    rated = days.select(
-        "*", F.sum("turnover").over(by_entity_month()).alias("_total"),
-        F.max("turnover").over(by_entity_month()).alias("_most"),
-        F.min("turnover").over(by_entity_month()).alias("_least"))
-    classed = rated.withColumn("month_class", _month_class(
-        ratio(F.col("_total"), F.col("_mean")), F.lit(float(threshold))))
-    return classed.filter(
-        ((F.col("month_class") == "high") & (F.col("turnover") == F.col("_most")))
-        | ((F.col("month_class") == "low") & (F.col("turnover") == F.col("_least")))
-    ).select(*ENTITY, "month_start", "month_class", "day", "turnover")
+    listed = _month_days(days, threshold).withColumn("_days", F.expr(
+        f"CASE WHEN month_class = 'high' THEN {_SOLD} ELSE {_EVERY} END"))
+    wanted = ("CASE WHEN month_class = 'high' THEN array_max(transform(_days, e -> e.value)) "
+              "ELSE array_min(transform(_days, e -> e.value)) END")
+    return (listed.withColumn("_wanted", F.expr(wanted))
+            .selectExpr(*ENTITY, "month_start", "month_class",
+                        "inline(filter(_days, e -> e.value = _wanted))")
+            .withColumnsRenamed({"key": "day", "value": "turnover"}))

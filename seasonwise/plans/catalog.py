@@ -46,9 +46,9 @@ def _monthly(spark, sf_dir, years=None, levels=series.LEVELS):
                                 fx.supplier_products(spark, sf_dir), levels)
 
 
-def _daily(spark, sf_dir, levels=series.LEVELS):
-    return series.daily_spans(fx.supplier_sales(spark, sf_dir),
-                              fx.supplier_products(spark, sf_dir), levels)
+def _sold_days(spark, sf_dir):
+    return series.level_totals(series.product_totals(fx.supplier_sales(spark, sf_dir), "day"),
+                               fx.supplier_products(spark, sf_dir))
 
 
 def _clean(spark, sf_dir, year=None):
@@ -402,12 +402,12 @@ def sea7_bars(spark, sf_dir):
 
 @query
 def sea8_peak_days(spark, sf_dir):
-    return tidy(seasonality.peak_days(_daily(spark, sf_dir)))
+    return tidy(seasonality.peak_days(_sold_days(spark, sf_dir)))
 
 
 @query
 def sea9_extreme_days(spark, sf_dir):
-    return seasonality.extreme_days(_daily(spark, sf_dir))
+    return seasonality.extreme_days(_sold_days(spark, sf_dir))
 
 
 @query
