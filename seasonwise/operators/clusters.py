@@ -184,9 +184,8 @@ def nearest_labels(standardised: DataFrame, labels: DataFrame) -> DataFrame:
     Centres of at most a few clusters are sent to every task; the earlier cluster wins a tie.
     """
     centres = (cluster_sums(standardised, labels.withColumn("k", F.lit(0)))
-               .agg(F.sort_array(F.collect_list(F.struct("cluster", "centre"))).alias("cs"))
-               .withColumn("_one", F.lit(1)))
-    far = _points(standardised).withColumn("_one", F.lit(1)).join(F.broadcast(centres), "_one")
+               .agg(F.sort_array(F.collect_list(F.struct("cluster", "centre"))).alias("cs")))
+    far = _points(standardised).withColumn("cs", centres.scalar())
     far = far.select("product_code", "x", F.explode("cs").alias("c")).select(
         "product_code", "x", F.col("c.cluster").alias("raw"), F.col("c.centre").alias("centre"))
     gap = F.aggregate(F.zip_with("x", "centre", lambda p, q: (p - q) * (p - q)), F.lit(0.0),

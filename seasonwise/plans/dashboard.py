@@ -36,17 +36,15 @@ def selection_thresholds(selected: DataFrame, category: str | None,
 def _classed(choice: "Selection") -> DataFrame:
     """Month classes by the threshold of the selection's category, the first by name."""
     one = (selection_thresholds(choice.rows, choice.category, choice.by_category)
-           .agg(F.min_by("threshold", "category").cast("double").alias("threshold"))
-           .select(F.lit("selection").alias("level"), "threshold"))
-    spans = selection_spans(choice.rows).join(one, "level", "left")
+           .agg(F.min_by("threshold", "category").cast("double").alias("threshold")))
+    spans = selection_spans(choice.rows).withColumn("threshold", one.scalar())
     return seasonality.month_classes(spans, threshold=None)
 
 
 def _several_products(choice: "Selection", rows: DataFrame) -> DataFrame:
     """``rows``, or none if the selection is a single product."""
-    several = (selection_level(choice.rows).filter("level IS NULL OR level <> 'product'")
-               .select(F.lit(1).alias("_one")))
-    return rows.withColumn("_one", F.lit(1)).join(several, "_one", "left_semi").drop("_one")
+    level = selection_level(choice.rows).select(F.coalesce("level", F.lit("several")))
+    return rows.filter(level.scalar() != "product")
 
 
 @dataclass
