@@ -4,11 +4,14 @@ Every token is predicted from the two tokens on either side; a document's score
 the conditional log-probabilities of all its tokens. The output is a softmax in two steps, over
 groups of tokens and within the group, so every probability is exact and cheap.
 
-The vocabulary comes from counts over all documents. A bounded sample gives the first weights;
-then every partition trains on positions of all its documents, and the weights of the
-partitions are averaged by the number of positions.
+The vocabulary is every word of all documents. Frequent words are outputs of their own; the
+others share classes by their last letters, and the network's probability of the class is
+multiplied by that of the word in its class, from counts over all documents. A bounded sample
+gives the first weights; then every partition trains on positions of all its documents, and
+the weights of the partitions are averaged by the number of positions.
 """
 
+import hashlib
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -17,19 +20,48 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonwise.llm.common import map_rows
+from seasonwise.llm.common import map_rows, written
 from seasonwise.llm.units import Remembered
 
-GROUPS, IN_GROUP = 16, 32
+GROUPS, IN_GROUP = 64, 128
 SIZE = GROUPS * IN_GROUP
-ENDINGS = 64  # rarer words fall into classes by their last letters
+ENDINGS = 64  # rarer words fall into classes by their last letters, all in the last group
 SIDES, WIDTH, HIDDEN = (-2, -1, 1, 2), 16, 32
 PAD = SIZE
 GATHERED = 300_000
+HELD = 131_072  # counted words that every task holds; rarer ones are joined
+LONG = 64
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """Ids of the most frequent words of all documents; groups hold words of like frequency."""
+@dataclass
+class Vocabulary:
+    """Counts of all words.
+
+    Ids up to ``PAD`` are those of the network, in groups of like frequency; the last ``ENDINGS``
+    of them stand for a word of that class seen once or never. Ids above are held words of
+    classes. ``rest`` has the words that occur more than once and are not held, with ``n``.
+    """
+
+    words: dict[str, int]
+    outputs: np.ndarray  # id -> id of the network
+    shares: np.ndarray  # id -> log P(word | output)
+    totals: np.ndarray  # tokens by id of the network
+    rest: DataFrame | None
+
+
+def _key(word: str) -> str:
+    """The word, or a digest of a long one (with a blank, which no word has)."""
+    return word if len(word) <= LONG else " " + hashlib.blake2b(
+        word.encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
+def _ending(word: str) -> int:
+    return zlib.crc32(word[-3:].encode("utf-8", "replace")) % ENDINGS
+
+
+def vocabulary(docs: DataFrame, text: str = "text", held: int = HELD) -> Vocabulary:
+    """All words of all documents; of those that share a class, a word that was seen ``n`` times
+    has ``max(n, 1)`` in ``1 + all tokens of the class`` (the one is for all unseen words)."""
     def count(batches):
         counts = Counter()
         for (texts,) in batches:
@@ -37,20 +69,49 @@ def vocabulary(docs: DataFrame, text: str = "text") -> dict[str, int]:
                 if value:
                     counts.update(value.lower().split())
                 if len(counts) > GATHERED:
-                    yield from counts.items()
+                    yield from ((_key(w), _ending(w), n) for w, n in counts.items())
                     counts.clear()
-        yield from counts.items()
-
-    totals = map_rows(docs.select(F.col(f"`{text}`")), count, "word string, n long")
-    top = (totals.filter(F.length("word") <= 64).groupBy("word").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "word").limit(SIZE - ENDINGS).collect())
-    return {r.word: k for k, r in enumerate(top)}
+        yield from ((_key(w), _ending(w), n) for w, n in counts.items())
+
+    totals = map_rows(docs.select(F.col(f"`{text}`")), count, "word string, ending int, n long")
+    counts = written(totals.groupBy("word", "ending").agg(F.sum("n").alias("n")), "words")
+    tokens = np.zeros(ENDINGS)
+    for r in counts.groupBy("ending").agg(F.sum("n").alias("n")).collect():
+        tokens[r.ending] = r.n
+    # Every word above a frequency is held, so far as memory goes.
+    least, so_far = 2, 0
+    sizes = counts.filter("n > 1").groupBy("n").agg(F.count("*").alias("words")).collect()
+    for r in sorted(sizes, key=lambda r: -r.n):
+        so_far += r.words
+        if so_far > held:
+            least = r.n + 1
+            break
+    top = sorted(counts.filter(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.word))
+    if len(top) < SIZE - ENDINGS:  # a small table: words seen once are outputs, too
+        top += counts.filter(F.col("n") < least).orderBy(F.desc("n"), "word").limit(
+            SIZE - ENDINGS - len(top)).collect()
+    own, others = top[:SIZE - ENDINGS], top[SIZE - ENDINGS:]
+    for r in own:
+        tokens[r.ending] -= r.n
+    words = {r.word: k for k, r in enumerate(own)}
+    words.update((r.word, PAD + 1 + k) for k, r in enumerate(others))
+    ending = np.array([r.ending for r in others], dtype=np.int64)
+    seen = np.array([r.n for r in others], dtype=np.float64)
+    first = SIZE - ENDINGS
+    return Vocabulary(
+        words, np.concatenate([np.arange(PAD + 1), first + ending]),
+        np.concatenate([np.zeros(first), -np.log(tokens + 1), [0.0],
+                        np.log(seen) - np.log(tokens[ending] + 1)]),
+        np.concatenate([[r.n for r in own], np.zeros(first - len(own)), tokens]),
+        counts.filter(F.col("n").between(2, least - 1)).select("word", "n") if least > 2 else None)
 
 
 def token_ids(words: dict[str, int]) -> Remembered:
-    """Id of any word: its own, or that of the class of its last three letters."""
-    return Remembered(lambda word: words[word] if word in words else SIZE - ENDINGS + zlib.crc32(
-        word[-3:].encode("utf-8", "replace")) % ENDINGS, 200_000)
+    """Id of any word: its own, or that of a rare word of the class of its last three letters."""
+    def find(word):
+        known = words.get(_key(word))
+        return SIZE - ENDINGS + _ending(word) if known is None else known
+    return Remembered(find, 200_000)
 
 
 @dataclass
@@ -89,6 +150,36 @@ class Network:
             at += a.size
         return Network(*out)
 
+    def started(self, totals: np.ndarray) -> "Network":
+        """With small output weights and biases that give the frequencies of ``totals``."""
+        totals = (totals + 0.1).reshape(GROUPS, IN_GROUP)
+        within = totals / totals.sum(axis=1, keepdims=True)
+        return Network(self.embed, self.into, self.bias, self.group * np.float32(0.1),
+                       np.log(totals.sum(axis=1) / totals.sum()).astype(np.float32),
+                       self.within * np.float32(0.1), np.log(within).astype(np.float32))
+
+    def of_words(self, vocabulary: Vocabulary) -> "Network":
+        """The same probabilities as a plain network over the vocabulary's ids.
+
+        A held word has the weights of its class and its share in the bias. The last ids are what
+        each class has beyond the words held and one rare word.
+        """
+        outputs, shares = vocabulary.outputs, vocabulary.shares
+        first = SIZE - ENDINGS
+        taken = np.bincount(outputs[first:] - first, np.exp(shares[first:]) *
+                            (outputs[first:] != PAD), ENDINGS + 1)[:ENDINGS]
+        left = np.where(taken < 1 - 1e-9, np.log(np.maximum(1 - taken, 1e-300)), -np.inf)
+        more = np.concatenate([outputs[PAD + 1:], np.arange(first, SIZE)]) - (SIZE - IN_GROUP)
+        bias = self.within_bias[-1] + shares[SIZE - IN_GROUP:SIZE]
+        extra = self.within_bias[-1][more] + np.concatenate([shares[PAD + 1:], left])
+        weights = self.within[-1].astype(np.float64)
+        return Network(
+            self.embed[np.concatenate([outputs, np.arange(first, SIZE)])], self.into, self.bias,
+            self.group, self.group_bias,
+            [*self.within[:-1], np.concatenate(
+                [weights, np.zeros((HIDDEN, 1)), weights[:, more]], axis=1)],
+            [*self.within_bias[:-1], np.concatenate([bias, [-np.inf], extra])])
+
     def log_probabilities(self, ids: np.ndarray, block: int = 16_384) -> np.ndarray:
         """Conditional log-probability of every token, from both sides.
 
@@ -125,9 +216,9 @@ def _chosen_log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 class Trainer:
     """Adaptive gradient steps on batches of positions."""
 
-    def __init__(self, network: Network, rate: float = 0.05, batch: int = 1024):
+    def __init__(self, network: Network, rate: float = 0.05, batch: int = 1024, damping: float = 1e-2):
         self.network, self.rate, self.batch = Network(*[a.copy() for a in network.arrays()]), rate, batch
-        self.squares = [np.full(a.shape, 1e-2, np.float32) for a in network.arrays()]
+        self.squares = [np.full(a.shape, damping, np.float32) for a in network.arrays()]
         self.held_context, self.held_target, self.held, self.seen = [], [], 0, 0
 
     def add(self, ids: np.ndarray, stride: int, offset: int) -> None:
@@ -188,8 +279,16 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    words: dict[str, int]
-    network: Network
+    vocabulary: Vocabulary
+    classes: Network  # over the ids of the network
+
+    @property
+    def words(self) -> dict[str, int]:
+        return self.vocabulary.words
+
+    @property
+    def network(self) -> Network:
+        return self.classes.of_words(self.vocabulary)
 
 
 def _ids(text: str | None, of_word) -> np.ndarray:
@@ -207,20 +306,20 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
     """
     chosen = docs.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{doc_id}`"),
                                                                         F.length(F.col(f"`{text}`"))).alias("h"))
-    words = vocabulary(chosen, "text")
-    shared_words = docs.sparkSession.sparkContext.broadcast(words)
+    known = vocabulary(chosen, "text")
+    shared_words = docs.sparkSession.sparkContext.broadcast((known.words, known.outputs))
     total = chosen.count()
     share = min(1.0, sample / max(1, total))
 
     def encode(batches):
-        of_word = token_ids(shared_words.value)
+        of_word, outputs = token_ids(shared_words.value[0]), shared_words.value[1]
         for hashes, texts in batches:
             for h, value in zip(hashes, texts):
-                yield h, _ids(value, of_word).astype(np.int16).tobytes()
+                yield h, outputs[_ids(value, of_word)].astype(np.int16).tobytes()
 
     first = chosen.filter(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).select("h", "text")
     rows = sorted((r.h, bytes(r.ids)) for r in map_rows(first, encode, "h long, ids binary").collect())
-    trainer = Trainer(Network.fresh())
+    trainer = Trainer(Network.fresh().started(known.totals), damping=1e-6)
     for turn in range(passes):
         for h, data in rows:
             trainer.add(np.frombuffer(data, np.int16).astype(np.int64), 4, (h + turn) % 4)
@@ -228,10 +327,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
     start = docs.sparkSession.sparkContext.broadcast(trainer.network)
 
     def train(batches):
-        of_word, local = token_ids(shared_words.value), Trainer(start.value, rate=0.02)
+        of_word, outputs = token_ids(shared_words.value[0]), shared_words.value[1]
+        local = Trainer(start.value, rate=0.02, damping=1e-6)
         for hashes, texts in batches:
             for h, value in zip(hashes, texts):
-                local.add(_ids(value, of_word), stride, h % stride)
+                local.add(outputs[_ids(value, of_word)], stride, h % stride)
         local.flush()
         if local.seen:
             weights = local.network.flat()
@@ -255,7 +355,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
     if parts:
         network = network.with_flat(np.concatenate(
             [np.frombuffer(data, np.float32) for _, data in parts]))
-    return Model(words, network)
+    return Model(known, network)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,27 +364,45 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     Null, empty and blank texts have no tokens, a sum of 0 and null means. Repeated rows each
     get a row; other columns are not looked at; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    known = model.vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (known.words, known.outputs, known.shares, model.classes))
+    joined_rest = known.rest is not None
 
     def run(batches):
-        of_word, network = token_ids(shared.value.words), shared.value.network
-        for keys, texts in batches:
+        words, outputs, shares, network = shared.value
+        of_word, first = token_ids(words), SIZE - ENDINGS
+        for rows, keys, texts in batches:
             ids = [_ids(value, of_word) for value in texts]
             # Documents one after the other, padded apart: one pass for the batch.
             gap = np.full(2, PAD)
             for at in range(0, len(ids), 64):
                 some = ids[at:at + 64]
                 joined = np.concatenate([part for one in some for part in (one, gap)])
-                found = network.log_probabilities(joined)
+                found = network.log_probabilities(outputs[joined]) + shares[joined]
                 end = 0
-                for key, one in zip(keys[at:at + 64], some):
+                for k, one in enumerate(some, at):
                     total = float(found[end:end + len(one)].sum(dtype=np.float64))
                     end += len(one) + 2
-                    mean = total / len(one) if len(one) else None
-                    yield (key, len(one), total, mean,
-                           None if mean is None else float(np.exp(min(-mean, 700))))
-
-    chosen = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
+                    # A blank keeps the row's own entry from any word, and rows apart.
+                    yield rows[k], keys[k], len(one), total, f" {rows[k]}", 0
+                    rare = (one >= first) & (one < SIZE) if joined_rest else None
+                    if joined_rest and rare.any():
+                        split = texts[k].lower().split()
+                        for word, n in Counter(split[j] for j in np.flatnonzero(rare)).items():
+                            yield rows[k], None, None, None, _key(word), n
+
+    chosen = docs.select(F.monotonically_increasing_id().alias("row"),
+                         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                          F.col(f"`{text}`").alias("text"))
-    return map_rows(chosen, run, "doc_id long, n_tokens long, log_likelihood double, "
-                                 "mean_log_prob double, perplexity double")
+    scored = map_rows(chosen, run, "row long, doc_id long, n_tokens long, log_likelihood double, "
+                                   "word string, times long")
+    if joined_rest:
+        # Words seen n times, not held: the class's share of a single word, times n.
+        share = F.coalesce("log_likelihood", F.col("times") * F.log(F.coalesce("n", F.lit(1))))
+        scored = scored.join(known.rest, "word", "left").groupBy("row").agg(
+            F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
+            F.sum(share).alias("log_likelihood"))
+    mean = F.col("log_likelihood") / F.nullif("n_tokens", F.lit(0))
+    return scored.select("doc_id", "n_tokens", "log_likelihood", mean.alias("mean_log_prob"),
+                         F.when(mean.isNotNull(), F.exp(F.least(-mean, F.lit(700.0)))).alias("perplexity"))

@@ -1,6 +1,7 @@
 """Pseudo-likelihood: exact sums, gradients, and that the network learns."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -106,3 +107,30 @@ def test_whole_table(spark):
         if len(ids) < 3000:
             want = one_by_one(model.network, ids).sum()
             assert abs(by_id[i].log_likelihood - want) < 1e-2 * max(1, len(ids) ** 0.5)
+
+
+def test_words_of_a_class_have_probabilities_of_their_own(spark):
+    """Held or joined, a rare word counts by its frequency; all words sum to one."""
+    words = [f"w{k:05d}ing" for k in range(pl.SIZE + 500)]  # all end alike
+    text = [" ".join(words + words[:pl.SIZE] + words[-3:] * 4), "x " * 9 + words[-1], words[-9] + " y",
+            "neverseening " + "z" * 500 + "ing"]
+    docs = spark.createDataFrame(list(enumerate(text[:3])), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    model, counts = pl.fit(docs), Counter(" ".join(text[:3]).split())
+    known = model.vocabulary
+    shared = [w for w in counts if w[-3:] == "ing" and known.words.get(w, pl.SIZE) >= pl.SIZE]
+    ending = pl._ending("ing")
+    tokens = sum(counts[w] for w in shared)
+    assert shared and known.totals[pl.SIZE - pl.ENDINGS + ending] == tokens
+    ids = pl.token_ids(known.words)
+    for word in ["neverseening", *shared]:
+        assert abs(known.shares[ids[word]] - np.log(max(1, counts[word]) / (tokens + 1))) < 1e-9
+    plain = {r.doc_id: r.log_likelihood for r in pl.score(asked, model).collect()}
+    for k in (1, 2, 3):
+        assert abs(plain[k] - one_by_one(model.network, [ids[w] for w in text[k].split()]).sum()) < 1e-2
+    # Nothing held beyond the network's own words: the same sums by the join.
+    joined = pl.vocabulary(docs, held=0)
+    assert joined.rest is not None and joined.rest.count() > len(joined.words) - pl.SIZE
+    got = {r.doc_id: r.log_likelihood for r in pl.score(asked, pl.Model(joined, model.classes)).collect()}
+    same = all(joined.words.get(w) == k for w, k in known.words.items() if k < pl.SIZE)
+    assert same and all(abs(got[k] - plain[k]) < 1e-6 * max(1, abs(plain[k])) for k in plain)
