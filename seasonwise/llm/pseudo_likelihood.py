@@ -7,7 +7,7 @@ groups of tokens and within the group, so every probability is exact and cheap.
 The vocabulary is every word of all documents. Frequent words are outputs of their own; the
 others share classes by their last letters, and the network's probability of the class is
 multiplied by that of the word in its class, from counts over all documents. A bounded sample
-gives the first weights; then every partition trains on positions of all its documents, and
+gives the first weights; then every partition trains on all positions of its documents, and
 the weights of the partitions are averaged by the number of positions.
 """
 
@@ -262,11 +262,15 @@ class Trainer:
             d_within[g], d_within_bias[g] = hidden[own].T @ part, part.sum(axis=0)
             d_hidden[own] += part @ net.within[g].T
         d_z = d_hidden * (1 - hidden ** 2)
-        d_embed = np.zeros_like(net.embed)
-        np.add.at(d_embed, context.ravel(), (d_z @ net.into.T).reshape(-1, WIDTH))
-        slopes = [d_embed, x.T @ d_z, d_z.sum(axis=0), hidden.T @ slope, slope.sum(axis=0),
+        # Embeddings in the batch only: the others have no slope.
+        order = np.argsort(context, axis=None, kind="stable")
+        rows, starts = np.unique(context.ravel()[order], return_index=True)
+        d_embed = np.add.reduceat((d_z @ net.into.T).reshape(-1, WIDTH)[order], starts) / n
+        self.squares[0][rows] += d_embed ** 2
+        net.embed[rows] -= self.rate * d_embed / np.sqrt(self.squares[0][rows])
+        slopes = [x.T @ d_z, d_z.sum(axis=0), hidden.T @ slope, slope.sum(axis=0),
                   d_within, d_within_bias]
-        for value, gradient, square in zip(net.arrays(), slopes, self.squares):
+        for value, gradient, square in zip(net.arrays()[1:], slopes, self.squares[1:]):
             gradient /= n
             square += gradient ** 2
             value -= self.rate * gradient / np.sqrt(square)
@@ -297,12 +301,13 @@ def _ids(text: str | None, of_word) -> np.ndarray:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 2000,
-        stride: int = 16, passes: int = 3) -> Model:
+        stride: int = 1, passes: int = 3) -> Model:
     """A model of all documents.
 
     First weights come from about ``sample`` documents, chosen by a hash, ``passes`` times.
-    Then each partition goes on from there with every ``stride``-th position of all its
-    documents (the first one changes from document to document); the results are averaged.
+    Then each partition goes on from there with every position of all its documents (with a
+    ``stride``, every so many-th; the first one changes from document to document); the results
+    are averaged.
     """
     chosen = docs.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{doc_id}`"),
                                                                         F.length(F.col(f"`{text}`"))).alias("h"))
@@ -328,7 +333,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
 
     def train(batches):
         of_word, outputs = token_ids(shared_words.value[0]), shared_words.value[1]
-        local = Trainer(start.value, rate=0.02, damping=1e-6)
+        local = Trainer(start.value, rate=0.02, batch=4096, damping=1e-6)
         for hashes, texts in batches:
             for h, value in zip(hashes, texts):
                 local.add(outputs[_ids(value, of_word)], stride, h % stride)

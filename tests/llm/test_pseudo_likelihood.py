@@ -134,3 +134,19 @@ def test_words_of_a_class_have_probabilities_of_their_own(spark):
     got = {r.doc_id: r.log_likelihood for r in pl.score(asked, pl.Model(joined, model.classes)).collect()}
     same = all(joined.words.get(w) == k for w, k in known.words.items() if k < pl.SIZE)
     assert same and all(abs(got[k] - plain[k]) < 1e-6 * max(1, abs(plain[k])) for k in plain)
+
+
+def test_every_position_is_a_target(spark, monkeypatch):
+    """By default the distributed pass sees each token once, those of short documents too."""
+    frames, plain = [], pl.map_rows
+
+    def kept(df, function, schema, **more):
+        frames.append((schema, plain(df, function, schema, **more)))
+        return frames[-1][1]
+
+    monkeypatch.setattr(pl, "map_rows", kept)
+    docs = spark.createDataFrame([(i, "a b c" if i % 2 else "one") for i in range(60)],
+                                 "doc_id long, text string").repartition(4)
+    pl.fit(docs)
+    trained = next(frame for schema, frame in frames if "seen" in schema)
+    assert sum(r.seen for r in trained.filter("part = 0").collect()) == 120
