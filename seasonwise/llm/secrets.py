@@ -22,11 +22,11 @@ VENDOR = (r"(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)
 PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|sk_live_|sk_test_|xox[abprs]-|AIza|glpat-)"
 KEYWORD = (r"(?:p(?:ass(?:word|wd|phrase)|wd|rivate[_-]?key)|secret|token"
            r"|a(?:pi|ccess|uth)[_-]?key|credential|bearer)")
-ASSIGNED = rf"(?i:{KEYWORD}[A-Za-z0-9_-]{{0,12}}[\"']?\s{{0,2}}(?:=>|[:=])\s{{0,2}}[\"']?)"
+ASSIGNED = rf"(?i:{KEYWORD}[A-Za-z0-9_-]{{0,12}}[\"']?\s{{0,2}}(?:=>|[:=]{{1,2}})\s{{0,2}}[\"']?)"
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|0000|1234|abcd|test|todo|<|\{|\$"
-# What follows a keyword and sign, matched with them; or a run of at least 16 characters with a
-# digit or all in capitals.
-CANDIDATE = (rf"{ASSIGNED}[^\s\"',;]{{6,}}"
+# What follows a keyword and sign, whatever was matched before; or a run of at least 16 characters
+# with a digit or all in capitals. The short looks behind spare most places the long one.
+CANDIDATE = (rf"(?<=[:=>\s\"'])(?<=[:=>]\s{{0,2}}[\"']?)(?<={ASSIGNED})(?![=>])[^\s\"',;]{{6,}}"
              r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,200}[0-9]|[A-Z0-9]{16})"
              r"[A-Za-z0-9_+/-]{16,}={0,2}")
 AROUND = 48
@@ -49,14 +49,16 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     found = found.select("doc_id", "row",
                          F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("values"),
                          F.split("text", CANDIDATE, -1).alias("gaps"))
-    each = found.select("doc_id", "row", F.posexplode("values").alias("k", "value"), "gaps")
-    after, lead = F.expr("gaps[k + 1]"), F.regexp_extract("value", f"^{ASSIGNED}", 0)
-    each = each.select("doc_id", "row", "k", "value", "gaps", lead.alias("lead"))
-    each = each.select(
-        "doc_id", "row", "k", F.expr("length(gaps[k]) + length(lead)").alias("gap"),
-        F.expr("substr(value, length(lead) + 1)").alias("value"),
-        F.expr(f"right(concat(right(gaps[k], {AROUND}), lead), {AROUND})").alias("before"),
-        F.substring(after, 1, AROUND).alias("after"))
+    # The text around a candidate goes on across its neighbours: a value has 6 characters or
+    # more, so eight pieces of gap and value fill it.
+    piece = "transform(gaps, (g, k) -> {0}(concat(g, coalesce(get(values, k), '')), {1}))"
+    found = found.withColumns({"heads": F.expr(piece.format("left", AROUND)),
+                               "tails": F.expr(piece.format("right", AROUND))})
+    each = found.select("doc_id", "row", F.posexplode(F.expr(
+        "transform(values, (v, k) -> struct(v AS value, length(gaps[k]) AS gap, right(concat("
+        f"array_join(slice(tails, greatest(1, k - 7), least(k, 8)), ''), gaps[k]), {AROUND}) AS before, "
+        f"left(array_join(slice(heads, k + 2, 8), ''), {AROUND}) AS after))")).alias("k", "v"))
+    each = each.select("doc_id", "row", "k", "v.*")
     so_far = Window.partitionBy("row").orderBy("k")
     start = F.sum(F.col("gap") + F.length("value")).over(so_far) - F.length("value")
     return each.select("doc_id", "row", start.alias("start"),
