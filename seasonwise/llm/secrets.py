@@ -144,7 +144,8 @@ def features(findings: DataFrame, language: Language) -> DataFrame:
 def labelled_findings(found: DataFrame, most: int = 4000) -> DataFrame:
     """Findings with a ``label``: 1.0 for a secret, 0.0 for a false positive.
 
-    At most about ``most`` of each kind are drawn by a hash of their content. Secrets: vendor formats,
+    Copies count once: at most about ``most`` distinct ones of each kind are drawn by a hash of
+    their content, all if there are no more, so no kind can vanish. Secrets: vendor formats,
     and mixed values of 16 or more after a keyword and sign. False positives: runs that are
     neither. Altered copies teach what the corpus may lack: other formats in the same
     surroundings, and placeholders, words, numbers and paths where secrets were.
@@ -156,8 +157,9 @@ def labelled_findings(found: DataFrame, most: int = 4000) -> DataFrame:
     secret = vendor | (assigned & mixed)
     kinds = found.select("value", "before", "after", F.when(secret, 1.0).when(
         ~assigned & ~F.col("value").rlike(PREFIX), 0.0).alias("label")).filter("label IS NOT NULL")
+    kinds = cut_lineage(kinds.distinct())
     sizes = {r.label: r.n for r in kinds.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("value", "before"), F.lit(1 << 20))
+    draw = F.pmod(F.xxhash64("value", "before", "after"), F.lit(1 << 20))
     share = F.lit(0.0)
     for label, n in sizes.items():
         share = F.when(F.col("label") == label, min(1.0, most / n)).otherwise(share)

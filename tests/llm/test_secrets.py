@@ -99,3 +99,15 @@ def test_text_around_crosses_candidates(spark):
     for r in rows:
         end = r.start + r.length
         assert (text[r.start:end], text[:r.start][-48:], text[end:end + 48]) == (r.value, r.before, r.after)
+
+
+def test_copies_count_once_in_the_sample(spark):
+    """A few secrets among large groups of copies: all are drawn, each once."""
+    pairs = [(f"9f8e7d6c5b4a39{k:02d}aabb", "the password=", " of that", 500) for k in range(3)]
+    pairs += [(f"see/v{k:02d}/thereandthat", "of the ", " then", 400) for k in range(5)]
+    found = spark.createDataFrame([p[:3] for p in pairs for _ in range(p[3])],
+                                  "value string, before string, after string")
+    for most in (8, 100):
+        kept = [r.value for r in secrets.labelled_findings(found, most).collect()
+                if r.value in {p[0] for p in pairs}]
+        assert sorted(kept) == sorted(p[0] for p in pairs)
