@@ -29,6 +29,8 @@ PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|0000|123
 CANDIDATE = (rf"(?<=[:=>\s\"'])(?<=[:=>]\s{{0,2}}[\"']?)(?<={ASSIGNED})(?![=>])[^\s\"',;]{{6,}}"
              r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,200}[0-9]|[A-Z0-9]{16})"
              r"[A-Za-z0-9_+/-]{16,}={0,2}")
+# Vendor formats are looked for by themselves, too: without a digit or inside a longer run.
+PATTERNS = (CANDIDATE, VENDOR)
 AROUND = 48
 MASK = "[SECRET]"
 FEATURES = ("length", "digits", "capitals", "letters", "others", "changes", "transitions",
@@ -44,25 +46,34 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     found = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
         F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("text"))
-    found = found.filter(F.col("text").rlike(CANDIDATE))
+    found = found.filter(_has_any(F.col("text")))
     # What lies between candidates are the pieces of a split at the same pattern.
-    found = found.select("doc_id", "row",
-                         F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("values"),
-                         F.split("text", CANDIDATE, -1).alias("gaps"))
+    found = found.select("doc_id", "row", F.posexplode(F.array(*[F.struct(
+        F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("values"),
+        F.split("text", pattern, -1).alias("gaps")) for pattern in PATTERNS])).alias("pattern", "m"))
+    found = found.select("doc_id", "row", "pattern", "m.*")
     # The text around a candidate goes on across its neighbours: a value has 6 characters or
     # more, so eight pieces of gap and value fill it.
     piece = "transform(gaps, (g, k) -> {0}(concat(g, coalesce(get(values, k), '')), {1}))"
     found = found.withColumns({"heads": F.expr(piece.format("left", AROUND)),
                                "tails": F.expr(piece.format("right", AROUND))})
-    each = found.select("doc_id", "row", F.posexplode(F.expr(
+    each = found.select("doc_id", "row", "pattern", F.posexplode(F.expr(
         "transform(values, (v, k) -> struct(v AS value, length(gaps[k]) AS gap, right(concat("
         f"array_join(slice(tails, greatest(1, k - 7), least(k, 8)), ''), gaps[k]), {AROUND}) AS before, "
         f"left(array_join(slice(heads, k + 2, 8), ''), {AROUND}) AS after))")).alias("k", "v"))
-    each = each.select("doc_id", "row", "k", "v.*")
-    so_far = Window.partitionBy("row").orderBy("k")
+    each = each.select("doc_id", "row", "pattern", "k", "v.*")
+    so_far = Window.partitionBy("row", "pattern").orderBy("k")
     start = F.sum(F.col("gap") + F.length("value")).over(so_far) - F.length("value")
     return each.select("doc_id", "row", start.alias("start"),
-                       F.length("value").cast("long").alias("length"), "value", "before", "after")
+                       F.length("value").cast("long").alias("length"), "value", "before", "after"
+                       ).dropDuplicates(["row", "start", "length"])
+
+
+def _has_any(text: Column) -> Column:
+    out = F.lit(False)
+    for pattern in PATTERNS:
+        out = out | text.rlike(pattern)
+    return out
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -269,7 +280,7 @@ def redact(docs: DataFrame, scanner: Scanner | None = None, doc_id: str = "doc_i
 
     Rows with candidates only are looked at again; the others pass through.
     """
-    has = F.coalesce(F.col(f"`{text}`").rlike(CANDIDATE), F.lit(False))
+    has = F.coalesce(_has_any(F.col(f"`{text}`")), F.lit(False))
     touched = docs.filter(has).withColumn("_key", F.xxhash64(f"`{text}`"))
     found = cut_lineage(candidates(touched.select("_key", text), "_key", text))
     scanner = scanner or train(labelled_findings(found))
