@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seasonwise.llm import (embedding_dedup, hnsw, html_text, language, minhash, packing,
-                            pseudo_likelihood, secrets, sentencepieces, token_counts)
+                            periodic_runs, pseudo_likelihood, secrets, sentencepieces,
+                            token_counts, url_filters, whitening)
 from seasonwise.llm.common import read
 
 QUERIES = {}
@@ -106,3 +107,79 @@ def op6_secrets(spark, sf_dir):
 def op5_pseudo_likelihood(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs))
+
+
+@query
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=16)
+
+
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
+             ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+@query
+def op12_url_filters(spark, sf_dir):
+    table = url_filters.rules(spark, URL_RULES, [(p, "block") for p in url_filters.PATTERNS])
+    return url_filters.judge(read(spark, sf_dir, "pages"), table)
+
+
+SQL["op12_url_filters"] = f"""
+WITH parts AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3)
+         ELSE '' END AS rest FROM pages),
+places AS (
+  SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS url,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+rules AS (
+  SELECT split_part(rule, '/', 1) AS host, substr(rule, instr(rule, '/')) AS path, rule, verdict
+  FROM (VALUES {", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)}) t(rule, verdict)),
+best AS (
+  SELECT page_id, p.url, p.host, p.path,
+         (SELECT arg_max(struct_pack(rule := r.rule, verdict := r.verdict), length(r.rule))
+          FROM rules r WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host))
+                             AND starts_with(p.path, r.path)) AS hit
+  FROM places p)
+SELECT page_id, host, path, hit.rule AS rule, coalesce(hit.verdict, CASE WHEN regexp_matches(url,
+  '(^|[^0-9a-z])({"|".join(p.strip("^").replace("^", "[^0-9a-z]") for p in url_filters.PATTERNS)
+  })([^0-9a-z]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM best"""
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
+    """Documents, one in ten with its words from one place on replaced by a repetition.
+
+    With h = crc32(doc_id) and g = floor(h / 10): if h % 10 = 0, word i >= a becomes word
+    a + (i - a) % p, where a = g % n and p = 1 + floor((n - a) / (3 + g % 8)).
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"),
+                                                     F.lit(1)))
+    docs = docs.select("doc_id", "text", words.alias("w"), F.floor(h / 10).alias("g"))
+    size = F.when(F.size("w") > 0, F.size("w"))
+    docs = docs.select("*", size.alias("n"), (F.col("g") % size).alias("a")).select(
+        "*", F.expr("1 + (n - a) div (3 + g % 8)").alias("p"))
+    place = "cast(if(i < a, i, a + (i - a) % p) as int)"
+    text = F.expr(f"array_join(transform(sequence(0, n - 1), i -> w[{place}]), ' ')")
+    return docs.select("doc_id", F.when(F.col("n").isNotNull(), text).otherwise(
+        F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic_runs.find_runs(_repeated(read(spark, sf_dir, "documents")),
+                                    least_words=6, least_repeats=4)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"),
+        (-r["period"]).alias("period"))))
+    lines = F.expr("array_join(transform(runs, r -> "
+                   "concat(concat_ws(',', r.start, r.length, r.period), '\\n')), '')")
+    rows = found.withColumn("best", longest)
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
