@@ -1,21 +1,18 @@
 """Clusters of products with similar monthly profiles.
 
-A seed alone does not make k-means repeatable, the order of its input matters too. Profiles
-are therefore laid out by product code in a fixed number of partitions, a parameter, and
-clusters are numbered by their smallest product code.
+Profiles are fitted on an integer grid by ``kmeans``, which gives the same clusters for any layout
+of the data; clusters are numbered by their smallest product code. The number of clusters is the
+one with the highest Euclidean silhouette, found by ``silhouette``.
 """
 
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 from operator import add
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seasonwise.operators import kmeans, silhouette
 from seasonwise.operators.clean import attach_hierarchy
 from seasonwise.operators.series import fill_gaps, product_totals
 from seasonwise.schemas import HIERARCHY
@@ -23,10 +20,6 @@ from seasonwise.schemas import HIERARCHY
 MONTHS = [f"m{month}" for month in range(1, 13)]
 K_RANGE = range(3, 9)
 MAX_ITERATIONS = 10
-SEED = 42
-PARALLEL_FITS = 6
-# Partitions of the profiles, whatever their number: another layout may give other clusters.
-PARTITIONS = 32
 
 
 def product_months(sales: DataFrame) -> DataFrame:
@@ -55,77 +48,79 @@ def standardised_profiles(profiles: DataFrame) -> DataFrame:
 
 
 class ProfileClusters:
-    """Fitted models for each k with their silhouettes, and the profiles they were fitted on."""
+    """Centres for each k, bounds of their silhouettes, and the points they were fitted on."""
 
-    def __init__(self, vectors: DataFrame, models: dict[int, KMeansModel],
-                 silhouettes: dict[int, float]):
-        self.vectors, self.models, self.silhouettes = vectors, models, silhouettes
+    def __init__(self, points: DataFrame, fit: kmeans.Fit, bounds: dict, k_range):
+        self.points, self.fit, self.bounds, self.k_range = points, fit, bounds, list(k_range)
 
     @property
-    def best_k(self) -> int:
+    def best_k(self) -> int | None:
         """The k with the highest silhouette, the smallest one on ties; None if none has one."""
-        rated = {k: s for k, s in self.silhouettes.items() if s is not None}
-        return min(rated, key=lambda k: (-rated[k], k), default=None)
+        return silhouette.best(self.bounds)
+
+    @property
+    def certain(self) -> bool:
+        """Whether the bounds leave no other k."""
+        return silhouette.certain(self.bounds)
 
     def scores(self) -> DataFrame:
-        """(k, silhouette, chosen); a k that could not be fitted has no silhouette."""
+        """(k, silhouette, chosen); a k that could not be fitted has no silhouette.
+
+        The silhouette is the middle of its bounds, which ``bounds`` holds.
+        """
         best = self.best_k
-        return self.vectors.sparkSession.createDataFrame(
-            [(k, None if s is None else float(s), k == best)
-             for k, s in sorted(self.silhouettes.items())],
-            "k int, silhouette double, chosen boolean")
+        return self.points.sparkSession.createDataFrame(
+            [(k, sum(self.bounds[k]) / 2 if k in self.bounds else None, k == best)
+             for k in sorted(self.k_range)], "k int, silhouette double, chosen boolean")
 
-    def release(self) -> None:
-        """Give the cached profiles back; labels can still be computed, from the start."""
-        self.vectors.unpersist()
+    def centres(self, k: int) -> list[list[float]]:
+        """Centres of standardised profiles, in the order of ``raw_labels``."""
+        return [[v / kmeans.SCALE for v in c] for c in self.fit.centres[k]]
+
+    def raw_labels(self, k: int) -> DataFrame:
+        """(product_code, raw): number of the nearest centre, from 0."""
+        return self.points.select(F.col("id").alias("product_code"),
+                                  kmeans.nearest("x", self.fit.centres[k]).alias("raw"))
 
     def labels(self, k: int | None = None) -> DataFrame:
         """(product_code, cluster): the nearest centre of each product, numbered from 1.
 
         Without any fit (too few different profiles) all products are cluster 1.
         """
-        if k is None and self.best_k is None:
-            return self.vectors.select("product_code", F.lit(1).alias("cluster"))
-        assigned = self.models[k or self.best_k].transform(self.vectors).select(
-            "product_code", F.col("prediction").alias("_raw"))
-        # At most one row per cluster comes back here.
-        first = (assigned.groupBy("_raw").agg(F.min("product_code").alias("_code"))
-                 .orderBy("_code").collect())
-        number = F.create_map(*[F.lit(x) for i, row in enumerate(first, start=1)
-                                for x in (row["_raw"], i)])
-        return assigned.select("product_code", number[F.col("_raw")].alias("cluster"))
+        k = k or self.best_k
+        if k is None:
+            return self.points.select(F.col("id").alias("product_code"),
+                                      F.lit(1).alias("cluster"))
+        return self.fit.labels(self.points, k).withColumnRenamed("id", "product_code")
+
+    def all_labels(self) -> DataFrame:
+        """(product_code, k, cluster) of every k that was fitted."""
+        return reduce(DataFrame.unionByName, [
+            self.labels(k).withColumn("k", F.lit(k)) for k in sorted(self.fit.centres)])
+
+    def release(self) -> None:
+        """Give points that were kept back; labels can still be computed, from the start."""
+        self.points.unpersist()
 
 
 def fit_clusters(profiles: DataFrame, k_range=K_RANGE, max_iterations: int = MAX_ITERATIONS,
-                 seed: int = SEED, parallelism: int = PARALLEL_FITS,
-                 partitions: int = PARTITIONS) -> ProfileClusters:
-    """Fit every k and rate it by silhouette (squared Euclidean, which needs one pass).
+                 keep: bool = False) -> ProfileClusters:
+    """Fit every k and rate it by its Euclidean silhouette.
 
-    A k that is not below the number of products, or whose centres coincide, is listed
+    Runs when called: a job per seed, iteration and level of the silhouette, each one pass over
+    the profiles for all k. They are cached meanwhile, and with ``keep`` until ``release``. A k
+    that is not below the number of products, or has not as many different profiles, is listed
     without a silhouette.
     """
-    scaled = standardised_profiles(profiles)
-    vectors = (VectorAssembler(inputCols=MONTHS, outputCol="features")
-               .transform(scaled.repartition(partitions, "product_code"))
-               .select("product_code", "features").sortWithinPartitions("product_code")
-               .persist(StorageLevel.MEMORY_AND_DISK))
-    n = vectors.count()  # also fills the cache once, before the fits share it
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
-                                    distanceMeasure="squaredEuclidean")
-
-    def rate(k):
-        if k >= n:
-            return k, None, None
-        model = KMeans(k=k, maxIter=max_iterations, seed=seed, tol=1e-6).fit(vectors)
-        if len({tuple(centre) for centre in model.clusterCenters()}) < 2:
-            return k, model, None
-        return k, model, evaluator.evaluate(model.transform(vectors))
-
-    # The fits are independent jobs; small ones overlap, large ones queue for the executors.
-    with ThreadPool(max(1, min(parallelism, len(k_range)))) as pool:
-        rated = pool.map(inheritable_thread_target(vectors.sparkSession)(rate), k_range)
-    return ProfileClusters(vectors, {k: model for k, model, _ in rated if model is not None},
-                           {k: silhouette for k, _, silhouette in rated})
+    points = kmeans.grid_points(standardised_profiles(profiles), "product_code", MONTHS)
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fit = kmeans.fit(points, k_range, max_iterations)
+        bounds = silhouette.rate(points, fit)
+    finally:
+        if not keep:
+            points.unpersist()
+    return ProfileClusters(points, fit, bounds, k_range)
 
 
 def _points(standardised: DataFrame) -> DataFrame:

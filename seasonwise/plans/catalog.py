@@ -736,41 +736,70 @@ def _given_scores(spark, sf_dir):
 
 
 @query
-def clu3_silhouettes(spark, sf_dir):
+def clu3_given_silhouettes(spark, sf_dir):
     return tidy(_given_scores(spark, sf_dir))
 
 
 @query
-def clu4_chosen_k(spark, sf_dir):
+def clu4_given_k(spark, sf_dir):
     return clusters.chosen_k(_given_scores(spark, sf_dir))
 
 
 @query
-def clu5_labels(spark, sf_dir):
+def clu5_given_labels(spark, sf_dir):
     given = _given_labels(spark, sf_dir).filter("k = 3").drop("k")
     return clusters.nearest_labels(_standardised(spark, sf_dir), given)
 
 
 @query
-def clu6_table(spark, sf_dir):
+def clu6_given_table(spark, sf_dir):
     given = _given_labels(spark, sf_dir).filter("k = 3").drop("k")
     labels = clusters.nearest_labels(_standardised(spark, sf_dir), given)
     return clusters.cluster_table(labels, fx.supplier_products(spark, sf_dir))
 
 
+@query
+def clu3_silhouettes(spark, sf_dir):
+    """Squared Euclidean silhouette of every fitted k."""
+    return tidy(clusters.silhouettes(_standardised(spark, sf_dir),
+                                     _fit(spark, sf_dir).all_labels()), 5)
+
+
+@query
+def clu4_chosen_k(spark, sf_dir):
+    """The k with the highest Euclidean silhouette."""
+    return _fit(spark, sf_dir).scores().filter("chosen").select("k")
+
+
+@query
+def clu5_labels(spark, sf_dir):
+    return _fit(spark, sf_dir).labels()
+
+
+@query
+def clu5_all_labels(spark, sf_dir):
+    """Labels of every fitted k."""
+    return _fit(spark, sf_dir).all_labels()
+
+
+@query
+def clu6_table(spark, sf_dir):
+    return clusters.cluster_table(_fit(spark, sf_dir).labels(), fx.supplier_products(spark, sf_dir))
+
+
 @query
 def clu5_fit_invariants(spark, sf_dir):
     """Of the real fit: one label per product, and none nearer to the centre of another."""
     fit = _fit(spark, sf_dir)
     labels, k = fit.labels(), fit.best_k
-    centres = [[float(x) for x in c] for c in fit.models[k].clusterCenters()]
     distance = [sum(((F.col(m) - F.lit(x)) ** 2 for m, x in zip(clusters.MONTHS, c)), F.lit(0.0))
-                for c in centres]
-    own = fit.models[k].transform(fit.vectors).select("product_code", "prediction")
-    rows = _standardised(spark, sf_dir).join(own, "product_code").join(labels, "product_code")
-    chosen = F.element_at(F.array(*distance), F.col("prediction") + 1)
+                for c in fit.centres(k)]
+    rows = _standardised(spark, sf_dir).join(fit.raw_labels(k), "product_code").join(
+        labels, "product_code")
+    chosen = F.element_at(F.array(*distance), F.col("raw") + 1)
+    # Points and centres are rounded to the grid, distances may differ by that much.
     return rows.select("product_code", F.col("cluster").between(1, k).alias("numbered"),
-                       (chosen <= F.least(*distance) + 1e-9).alias("nearest"))
+                       (chosen <= F.least(*distance) + 1e-4).alias("nearest"))
 
 
 @query
@@ -811,6 +840,24 @@ def clu9_subgroups(spark, sf_dir):
                                     fx.supplier_products(spark, sf_dir), "subgroup")
 
 
+@query
+def clu7_fitted_profiles(spark, sf_dir):
+    return tidy(clusters.cluster_profiles(_fit(spark, sf_dir).labels(),
+                                          _product_months(spark, sf_dir)))
+
+
+@query
+def clu8_fitted_groups(spark, sf_dir):
+    return clusters.cluster_members(_fit(spark, sf_dir).labels(),
+                                    fx.supplier_products(spark, sf_dir), "group")
+
+
+@query
+def clu9_fitted_subgroups(spark, sf_dir):
+    return clusters.cluster_members(_fit(spark, sf_dir).labels(),
+                                    fx.supplier_products(spark, sf_dir), "subgroup")
+
+
 @query
 def clu10_applicable(spark, sf_dir):
     return select.multi_product_entities(_hierarchy(spark, sf_dir))
@@ -891,6 +938,18 @@ def view_xyz_table_all(spark, sf_dir):
     return dashboard_view(_prepared(spark, sf_dir, (YEAR,)), "xyz_table", table_rows=None)
 
 
+@query
+def view_cluster_table(spark, sf_dir):
+    """All products of a selection, fitted by themselves."""
+    return dashboard_view(_prepared(spark, sf_dir), "cluster_table", category="ASIA",
+                          table_rows=None)
+
+
+@query
+def view_cluster_graph(spark, sf_dir):
+    return tidy(dashboard_view(_prepared(spark, sf_dir), "cluster_graph", category="ASIA"))
+
+
 @query
 def view_cluster_table_products(spark, sf_dir):
     """The shown products carry their hierarchy and one label each, numbered from 1."""

@@ -11,6 +11,8 @@ from seasonwise.schemas import MONTH_NAMES
 TEXT_NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 CTES = {}
+# Steps that several others build on.
+COMPUTED_ONCE = set()
 
 
 def cte(name: str, body: str, *needs: str):
@@ -28,7 +30,8 @@ def statement(final: str, *needs: str) -> str:
 
     for need in needs:
         visit(need)
-    parts = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered)
+    parts = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in COMPUTED_ONCE else ''}({CTES[n][1]})"
+                       for n in ordered)
     return f"WITH {parts}\n{final}" if parts else final
 
 
@@ -853,9 +856,9 @@ FROM (SELECT product_code, k, max(n) FILTER (WHERE cluster = own) AS n,
              max(distance * n / nullif(n - 1, 0)) FILTER (WHERE cluster = own) AS a,
              min(distance) FILTER (WHERE cluster <> own) AS b
       FROM to_cluster GROUP BY product_code, k) GROUP BY k""", "to_cluster")
-SQL["clu3_silhouettes"] = statement(
+SQL["clu3_given_silhouettes"] = statement(
     f"SELECT CAST(k AS INTEGER) AS k, {r('silhouette')} AS silhouette FROM silhouette", "silhouette")
-SQL["clu4_chosen_k"] = statement("""
+SQL["clu4_given_k"] = statement("""
 SELECT CAST(k AS INTEGER) AS k FROM silhouette ORDER BY silhouette DESC, k LIMIT 1""", "silhouette")
 cte("assigned", """
 SELECT product_code, raw, dense_rank() OVER (ORDER BY first) AS cluster FROM (
@@ -866,11 +869,131 @@ SELECT product_code, raw, dense_rank() OVER (ORDER BY first) AS cluster FROM (
     GROUP BY x.product_code, c.cluster
     QUALIFY row_number() OVER (PARTITION BY x.product_code
             ORDER BY round(sum((x.z - c.centre) ** 2), 9), c.cluster) = 1))""", "coordinates", "given")
-SQL["clu5_labels"] = statement(
+SQL["clu5_given_labels"] = statement(
     "SELECT product_code, CAST(cluster AS INTEGER) AS cluster FROM assigned", "assigned")
-SQL["clu6_table"] = statement("""
+SQL["clu6_given_table"] = statement("""
 SELECT category, "group", subgroup, product_code, CAST(cluster AS INTEGER) AS cluster
 FROM assigned LEFT JOIN dim1 USING (product_code)""", "assigned", "dim1")
+
+# The fit itself, step by step: integer points, seeds drawn by hash, ten rounds of assignment and
+# rounded means, labels by smallest product, silhouettes of all pairs.
+AXES = range(1, 13)
+
+
+def axes(form: str, glue: str = ", ") -> str:
+    return glue.join(form.replace("#", str(i)) for i in AXES)
+
+
+def gap(a: str, b: str) -> str:
+    return "(" + axes(f"({a}.x# - {b}.x#) * ({a}.x# - {b}.x#)", " + ") + ")"
+
+
+def mean_silhouette(distance: str, labels: str) -> str:
+    """``k, silhouette`` over all pairs of labelled points."""
+    return f"""
+SELECT k, avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0.0::DOUBLE
+                   ELSE (b - a) / greatest(a, b) END) AS silhouette
+FROM (SELECT product_code, k, max(n) FILTER (WHERE own) AS n,
+             max(total / nullif(n - 1, 0)) FILTER (WHERE own) AS a,
+             min(total / n) FILTER (WHERE NOT own) AS b
+      FROM (SELECT p.product_code, p.k, q.cluster = p.cluster AS own, count(*) AS n,
+                   sum({distance}) AS total
+            FROM {labels} p JOIN {labels} q USING (k)
+            GROUP BY p.product_code, p.k, q.cluster, own)
+      GROUP BY product_code, k)
+GROUP BY k"""
+
+
+def fit_ctes(f: str, profile: str):
+    """Expressions of a fit on ``profile``; their names begin with ``f``."""
+    def step(name, body, *needs):
+        cte(f + name, body, *needs)
+        COMPUTED_ONCE.add(f + name)
+
+    step("points", f"""
+SELECT product_code,
+       {axes("CAST(round(coalesce(d# / nullif(s, 0), 0.0::DOUBLE) * 1000000) AS BIGINT) AS x#")}
+FROM (SELECT *, sqrt(({axes("d# * d#", " + ")}) / 12) AS s
+      FROM (SELECT product_code, {axes("m# - mean AS d#")}
+            FROM (SELECT *, ({axes("m#", " + ")}) / 12 AS mean FROM {profile})))""", profile)
+    for t in range(1, 9):
+        draw = (f"((CAST('0x' || substr(md5(product_code || '/{t}'), 1, 13) AS BIGINT) + 1)"
+                " / 4503599627370496.0::DOUBLE)")
+        before = " UNION ALL ".join(f"SELECT * FROM {f}seed{i}" for i in range(1, t))
+        rated, order = f"SELECT *, 1 AS gap FROM {f}points", draw
+        if before:
+            rated = (f"SELECT p.*, min({gap('p', 's')}) AS gap FROM {f}points p, ({before}) s "
+                     "GROUP BY ALL")
+            order = f"-ln({draw}) / gap"
+        step(f"seed{t}", f"""
+SELECT {t} AS c, {axes("x#")} FROM ({rated}) WHERE gap > 0 ORDER BY {order}, product_code LIMIT 1""",
+             f + "points", *[f"{f}seed{i}" for i in range(1, t)])
+    every = " UNION ALL ".join(f"SELECT * FROM {f}seed{i}" for i in range(1, 9))
+    step("centre0", f"""
+SELECT k, s.* FROM ({every}) s, generate_series(3, 8) g(k)
+WHERE c <= k AND k <= (SELECT count(*) FROM ({every})) AND k < (SELECT count(*) FROM {f}points)""",
+         *[f"{f}seed{i}" for i in range(1, 9)])
+    for t in range(11):
+        step(f"near{t}", f"""
+SELECT product_code, k, c, {axes("x#")}
+FROM (SELECT p.*, m.k, m.c, {gap("p", "m")} AS gap FROM {f}points p, {f}centre{t} m)
+QUALIFY row_number() OVER (PARTITION BY product_code, k ORDER BY gap, c) = 1""",
+             f + "points", f"{f}centre{t}")
+        if t < 10:
+            # Floor of (2 * sum + n) / (2 * n): the remainder is taken off first.
+            total = "(2 * CAST(s# AS BIGINT) + n)"
+            mean = f"({total} - (({total} % (2 * n)) + 2 * n) % (2 * n)) // (2 * n)"
+            step(f"centre{t + 1}", f"""
+SELECT m.k, m.c, {axes(f"coalesce({mean}, m.x#) AS x#")}
+FROM {f}centre{t} m LEFT JOIN (
+  SELECT k, c, count(*) AS n, {axes("sum(x#) AS s#")} FROM {f}near{t} GROUP BY k, c) USING (k, c)""",
+                 f"{f}centre{t}", f"{f}near{t}")
+    step("labels", f"""
+SELECT product_code, k, dense_rank() OVER (PARTITION BY k ORDER BY first) AS cluster, {axes("x#")}
+FROM (SELECT *, min(product_code) OVER (PARTITION BY k, c) AS first FROM {f}near10)""", f + "near10")
+    step("euclidean", mean_silhouette(f"sqrt({gap('p', 'q')}::DOUBLE)", f + "labels"), f + "labels")
+    step("fitted", f"""
+SELECT product_code, CAST(cluster AS INTEGER) AS cluster FROM {f}labels
+WHERE k = (SELECT k FROM {f}euclidean ORDER BY round(silhouette, 9) DESC, k LIMIT 1)""",
+         f + "labels", f + "euclidean")
+
+
+fit_ctes("f_", "profile1")
+SQL["clu5_all_labels"] = statement("""
+SELECT product_code, CAST(k AS INTEGER) AS k, CAST(cluster AS INTEGER) AS cluster FROM f_labels""",
+                                   "f_labels")
+SQL["clu4_chosen_k"] = statement("""
+SELECT CAST(k AS INTEGER) AS k FROM f_euclidean ORDER BY round(silhouette, 9) DESC, k LIMIT 1""",
+                                 "f_euclidean")
+# On grid points; five decimals do not see the grid.
+SQL["clu3_silhouettes"] = statement(f"""
+SELECT CAST(k AS INTEGER) AS k, {r("silhouette", 5)} AS silhouette
+FROM ({mean_silhouette(f"{gap('p', 'q')}::DOUBLE", "f_labels")})""", "f_labels")
+SQL["clu5_labels"] = statement("SELECT * FROM f_fitted", "f_fitted")
+SQL["clu6_table"] = statement("""
+SELECT category, "group", subgroup, product_code, cluster
+FROM f_fitted LEFT JOIN dim1 USING (product_code)""", "f_fitted", "dim1")
+SQL["clu7_fitted_profiles"] = statement(f"""
+SELECT cluster, CAST(month(month_start) AS INTEGER) AS month, {r("avg(turnover)")} AS mean_turnover
+FROM m1_product JOIN f_fitted ON entity = CAST(product_code AS VARCHAR) GROUP BY ALL""",
+                                        "m1_product", "f_fitted")
+for key, column in (("clu8_fitted_groups", '"group"'), ("clu9_fitted_subgroups", "subgroup")):
+    SQL[key] = statement(f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY n_products DESC, {column}) AS INTEGER)
+       AS position
+FROM (SELECT cluster, {column}, count(DISTINCT product_code) AS n_products
+      FROM f_fitted JOIN dim1 USING (product_code) GROUP BY ALL)""", "f_fitted", "dim1")
+cte("asia_profile", """
+SELECT * FROM profile1 SEMI JOIN (SELECT * FROM dim1 WHERE category = 'ASIA') USING (product_code)""",
+    "profile1", "dim1")
+fit_ctes("fa_", "asia_profile")
+SQL["view_cluster_table"] = statement("""
+SELECT category, "group", subgroup, product_code, cluster
+FROM fa_fitted LEFT JOIN dim1 USING (product_code)""", "fa_fitted", "dim1")
+SQL["view_cluster_graph"] = statement(f"""
+SELECT cluster, CAST(month(month_start) AS INTEGER) AS month, {r("avg(turnover)")} AS mean_turnover
+FROM m1_product JOIN fa_fitted ON entity = CAST(product_code AS VARCHAR) GROUP BY ALL""",
+                                      "m1_product", "fa_fitted")
 SQL["clu5_fit_invariants"] = statement(
     "SELECT product_code, true AS numbered, true AS nearest FROM profile1", "profile1")
 SQL["clu3_fit_scores"] = statement("""

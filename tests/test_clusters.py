@@ -1,7 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
 
-from seasonwise.operators import clusters
+from seasonwise.operators import clusters, kmeans, silhouette
 from tests.helpers import months, products_frame, rows_of, sales_frame
 
 RNG = np.random.default_rng(2)
@@ -38,21 +41,24 @@ def test_scores(fit):
     assert [r["k"] for r in rows if r["chosen"]] == [3]
 
 
-def test_assignment_is_the_nearest_centre(fit):
-    centres = np.array(fit.models[5].clusterCenters())
-    raw = fit.models[5].transform(fit.vectors).collect()
-    for row in raw:
-        distances = ((centres - row["features"].toArray()) ** 2).sum(axis=1)
-        assert distances[row["prediction"]] == pytest.approx(distances.min())
+def test_assignment_is_the_nearest_centre(fit, data):
+    centres = np.array(fit.centres(5))
+    scaled = {r["product_code"]: [r[m] for m in clusters.MONTHS] for r in
+              clusters.standardised_profiles(clusters.monthly_profiles(
+                  clusters.product_months(data))).collect()}
+    for code, raw in rows_of(fit.raw_labels(5), "product_code", "raw"):
+        distances = ((centres - scaled[code]) ** 2).sum(axis=1)
+        assert distances[raw] == pytest.approx(distances.min(), abs=1e-5)
 
 
-def test_order_of_input_does_not_matter(data, fit):
-    shuffled = data.repartition(5, "date", "turnover_qty")
-    again = clusters.fit_clusters(clusters.monthly_profiles(clusters.product_months(shuffled)))
-    assert again.best_k == fit.best_k
-    for k in fit.models:
-        assert rows_of(again.labels(k), "product_code", "cluster") == \
-            rows_of(fit.labels(k), "product_code", "cluster")
+@pytest.mark.parametrize("partitions", [1, 7, 200])
+def test_layout_does_not_matter(data, fit, partitions):
+    shuffled = data.repartition(partitions, "date", "turnover_qty")
+    profiles = clusters.monthly_profiles(clusters.product_months(shuffled))
+    again = clusters.fit_clusters(profiles.repartition(partitions))
+    assert (again.fit, again.best_k) == (fit.fit, fit.best_k)
+    assert rows_of(again.all_labels(), "k", "product_code", "cluster") == \
+        rows_of(fit.all_labels(), "k", "product_code", "cluster")
 
 
 def test_standardised_profiles(spark):
@@ -80,19 +86,90 @@ def test_tables(spark, data, fit):
 
 
 def test_too_few_products(spark):
-    fit = clusters.fit_clusters(clusters.monthly_profiles(clusters.product_months(sales(spark, 2))))
+    fit = clusters.fit_clusters(clusters.monthly_profiles(clusters.product_months(sales(spark, 2))),
+                                keep=True)
     assert [tuple(r) for r in fit.scores().collect()] == [(k, None, False) for k in range(3, 9)]
     assert rows_of(fit.labels(), "product_code", "cluster") == [(1, 1), (2, 1)]
     fit.release()
 
 
+def profiles_of(spark, rows):
+    schema = "product_code long, " + ", ".join(f"{m} double" for m in clusters.MONTHS)
+    return spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(rows)], schema)
+
+
+def test_no_products(spark):
+    fit = clusters.fit_clusters(profiles_of(spark, []))
+    assert fit.best_k is None and fit.certain and fit.labels().count() == 0
+
+
+def test_fewer_different_profiles_than_clusters(spark):
+    """Only k up to the number of different profiles are fitted; equal ones stay together."""
+    rows = [np.roll(range(12), i % 4) for i in range(20)]
+    fit = clusters.fit_clusters(profiles_of(spark, rows))
+    assert sorted(fit.fit.centres) == [3, 4] and fit.best_k == 4
+    assert rows_of(fit.labels(), "product_code", "cluster") == [(i, i % 4 + 1) for i in range(20)]
+    assert [r["k"] for r in fit.scores().collect() if r["silhouette"] is None] == [5, 6, 7, 8]
+
+
+def plain_silhouette(points, labels):
+    far = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+    values = []
+    for i, own in enumerate(labels):
+        mean = {c: far[i][labels == c].sum() / ((labels == c).sum() - (c == own))
+                for c in set(labels) if c != own or (labels == c).sum() > 1}
+        a, b = mean.get(own), min(v for c, v in mean.items() if c != own)
+        values.append(0.0 if a is None or max(a, b) == 0 else (b - a) / max(a, b))
+    return np.mean(values)
+
+
+def fitted_points(spark, rows):
+    frame = spark.createDataFrame([(i, [int(v) for v in row]) for i, row in enumerate(rows)],
+                                  "id long, x array<bigint>").cache()
+    return frame, kmeans.fit(frame, range(3, 7), 10)
+
+
+@pytest.mark.parametrize("levels", [(8,), (64,), (4096,)])
+def test_bounds_hold_the_plain_silhouette(spark, levels):
+    rows = np.round(RNG.normal(0, 1, (150, 4)) * 1e6)
+    points, fit = fitted_points(spark, rows)
+    # Not more points than half a level would be exact at once.
+    bounds = {k: b for k, b in silhouette.rate(points, fit, levels).items()}
+    for k in fit.centres:
+        labels = np.array([r["cluster"] for r in fit.labels(points, k).orderBy("id").collect()])
+        exact = plain_silhouette(rows / 1e6, labels)
+        low, high = bounds[k]
+        assert low - 1e-9 <= exact <= high + 1e-9
+        assert levels != (4096,) or high - low < 1e-6
+
+
+def test_clear_clusters_are_told_by_few_cells(spark):
+    """The best k is certain long before every point is a sub-centre."""
+    homes = np.eye(5) * 50
+    rows = np.round((homes[np.arange(3000) % 5] + RNG.normal(0, 1, (3000, 5))) * 1e6)
+    points, fit = fitted_points(spark, rows)
+    bounds = silhouette.rate(points, fit, (64, 512))
+    assert silhouette.best(bounds) == 5 and silhouette.certain(bounds)
+    labels = np.array([r["cluster"] for r in fit.labels(points, 5).orderBy("id").collect()])
+    low, high = bounds[5]
+    assert low <= plain_silhouette(rows / 1e6, labels) <= high < low + 0.2
+    # Fewer sub-centres than asked for when their cells would be too many.
+    assert silhouette.rate(points, fit, (64,), most_cells=3) == {}
+
+
+def test_best_and_certain():
+    assert silhouette.best({}) is None and silhouette.certain({})
+    assert silhouette.best({3: (0.1, 0.2), 4: (0.15, 0.15)}) == 3
+    assert not silhouette.certain({3: (0.1, 0.2), 4: (0.15, 0.15)})
+    assert silhouette.certain({3: (0.3, 0.4), 4: (0.1, 0.3)})
+
+
 def test_silhouette_of_given_labels(spark, fit, data):
     """Closed form beside the library's evaluator."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.sql import functions as F
     scaled = clusters.standardised_profiles(clusters.monthly_profiles(clusters.product_months(data)))
     labels = fit.labels(5).withColumn("k", F.lit(5))
     got = clusters.silhouettes(scaled, labels).first()
-    rated = fit.vectors.join(fit.labels(5).withColumn("prediction", F.col("cluster").cast("double")),
-                             "product_code")
+    vectors = VectorAssembler(inputCols=clusters.MONTHS, outputCol="features").transform(scaled)
+    rated = vectors.join(fit.labels(5).withColumn("prediction", F.col("cluster").cast("double")),
+                         "product_code")
     assert got.k == 5 and got.silhouette == pytest.approx(ClusteringEvaluator().evaluate(rated))

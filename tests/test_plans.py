@@ -8,7 +8,8 @@ from seasonwise.plans.catalog import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 # These fit models while the query is built.
-EAGER = ("clu3_fit", "clu5_fit", "clu7_fit", "view_cluster")
+EAGER = ("clu3_fit", "clu3_sil", "clu4_chosen", "clu5_all", "clu5_fit", "clu5_labels", "clu6_table",
+         "clu7_fit", "clu8_fit", "clu9_fit", "view_cluster")
 
 
 def initial(df) -> str:

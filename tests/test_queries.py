@@ -9,7 +9,7 @@ from tests.compare import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 # No subgroup has two products at this size.
-EMPTY = {"xyz10_applicable", "view_xyz_table", "view_xyz_graph", "view_cluster_table_products",
+EMPTY = {"xyz10_applicable", "view_xyz_table", "view_xyz_graph", "view_cluster_table_products", "view_cluster_table", "view_cluster_graph",
          "view_cluster_graph_months", "op6_secrets"}
 
 
