@@ -1,11 +1,13 @@
 """Exact percentiles of groups of any size."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seasonwise.functions.joins import salted_join
 
 SKETCH_ACCURACY = 10_000
+# Equal parts of a bracket.
+BINS = 4096
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str,
@@ -15,8 +17,10 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str,
     ``percentile`` would keep all values of a key in one buffer. Here a mergeable sketch of
     bounded size first gives, per key and percentile, two values that enclose the wanted
     ranks. Everything below the lower one is only counted, everything above the upper one
-    is dropped, and just the few values in between are ranked. The result is exact: the
-    sketch is off by at most n/accuracy ranks and the bracket reaches three times as far.
+    is dropped, and the few values in between are counted in ``BINS`` bins; just the values of
+    the bins with a wanted rank are sorted, so that no task sorts all values of a key. The
+    result is exact: the sketch is off by at most n/accuracy ranks and the bracket reaches
+    three times as far.
     Keys with no more than ``accuracy`` values are ranked without a bracket.
     """
     values = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
@@ -41,16 +45,26 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str,
     bracketed = salted_join(values, targets, keys, [*keys, "_v"]).filter(
         F.col("_high").isNull() | (F.col("_v") <= F.col("_high")))
     # NULL stands for all values below the bracket and sorts first.
-    counted = bracketed.groupBy(*keys, "_name", "_pos", F.when(
+    counted = bracketed.groupBy(*keys, "_name", "_pos", _bin().alias("_bin"), F.when(
         F.col("_low").isNull() | (F.col("_v") >= F.col("_low")), F.col("_v")).alias("_v")
     ).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = counted.withColumn("_upto", F.sum("_c").over(
-        Window.partitionBy(*keys, "_name").orderBy(F.col("_v").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, 0)))
 
     position, fraction = F.floor("_pos"), F.col("_pos") - F.floor("_pos")
     def holds(rank):
         return (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank)
+
+    # The bins that hold a wanted rank, by their counts: at most two per percentile.
+    bins = counted.groupBy(*keys, "_name", "_bin").agg(F.sum("_c").alias("_c"),
+                                                       F.max("_pos").alias("_pos"))
+    upto = Window.partitionBy(*keys, "_name").orderBy("_bin").rowsBetween(
+        Window.unboundedPreceding, 0)
+    wanted = (bins.withColumn("_upto", F.sum("_c").over(upto))
+              .filter(holds(position + 1) | holds(position + 2))
+              .select(*keys, "_name", "_bin", (F.col("_upto") - F.col("_c")).alias("_before")))
+    inside = Window.partitionBy(*keys, "_name", "_bin").orderBy(
+        F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.join(wanted, [*keys, "_name", "_bin"]).withColumn(
+        "_upto", F.col("_before") + F.sum("_c").over(inside))
     picked = ranked.groupBy(*keys, "_name").agg(
         F.max(F.when(holds(position + 1), F.col("_v"))).alias("_lower"),
         F.max(F.when(holds(position + 2), F.col("_v"))).alias("_upper"),
@@ -62,3 +76,14 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str,
     ).alias("_p"))
     return picked.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_name") == name, F.col("_p"))).alias(name) for name in names])
+
+
+def _bin() -> Column:
+    """Bin of a value in its bracket: never falls as the value grows; -1 below the bracket.
+
+    A bracket with an infinite end has its infinite values, or all, in the last bin.
+    """
+    low, high, v = F.col("_low"), F.col("_high"), F.col("_v")
+    share = F.when(high > low, (v - low) / (high - low)).otherwise(0.0)
+    return F.when(low.isNull(), 0).when(v < low, -1).when(F.isnan(share), BINS).otherwise(
+        F.floor(share * BINS)).cast("int")

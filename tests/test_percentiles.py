@@ -26,6 +26,7 @@ def test_against_numpy(spark, accuracy):
         "few distinct": rng.integers(0, 4, 3_000),
         "one value": np.full(1_500, 2.5),
         "mostly one value": np.r_[np.zeros(2_000), rng.normal(size=40)],
+        "far apart": 10.0 ** rng.uniform(-300, 300, 2_000),
         "tiny": [3.0, 1.0],
         "single": [9.0],
         "odd": rng.normal(size=1_001),
