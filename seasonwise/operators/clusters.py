@@ -12,6 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seasonwise.functions.ranks import with_position
 from seasonwise.operators import kmeans, silhouette
 from seasonwise.operators.clean import attach_hierarchy
 from seasonwise.operators.series import fill_gaps, product_totals
@@ -209,9 +210,8 @@ def cluster_profiles(labels: DataFrame, months: DataFrame) -> DataFrame:
 
 def cluster_members(labels: DataFrame, hierarchy: DataFrame, level: str) -> DataFrame:
     """Number of products of each group (or subgroup) inside each cluster, most first."""
-    order = Window.partitionBy("cluster").orderBy(F.desc("n_products"), level)
-    return (attach_hierarchy(labels, hierarchy).filter(F.col(level).isNotNull())
-            .groupBy("cluster", level)
-            .agg(F.count_distinct("product_code").alias("n_products"))
-            .withColumn("position", F.row_number().over(order))
-            .orderBy("cluster", "position"))
+    counted = (attach_hierarchy(labels, hierarchy).filter(F.col(level).isNotNull())
+               .groupBy("cluster", level)
+               .agg(F.count_distinct("product_code").alias("n_products")))
+    return with_position(counted, ["cluster"], [-F.col("n_products"), F.col(f"`{level}`")]).orderBy(
+        "cluster", "position")

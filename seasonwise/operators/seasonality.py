@@ -10,7 +10,7 @@ from seasonwise.functions.percentiles import exact_percentiles
 from seasonwise.functions.text import display_number
 from seasonwise.functions.windows import by_product
 from seasonwise.operators.clean import attach_hierarchy
-from seasonwise.operators.select import requested_products
+from seasonwise.operators.select import entity_products, per_request
 from seasonwise.operators.series import calendar_product_totals, expand_levels
 from seasonwise.schemas import (ENTITY, PROMO_DAY, SEASON_THRESHOLD, THRESHOLD_PERCENT,
                                 THRESHOLD_PERCENT_BY_CATEGORY)
@@ -40,9 +40,9 @@ def category_thresholds(coefficients: DataFrame, percent: float = THRESHOLD_PERC
 
 def request_categories(resolved: DataFrame, hierarchy: DataFrame) -> DataFrame:
     """Category each resolved request belongs to; the first by name if there are several."""
-    return (requested_products(resolved, hierarchy)
-            .groupBy("request_id", "level", "entity")
-            .agg(F.min("category").alias("category")))
+    by_entity = (entity_products(resolved, hierarchy).groupBy("level", "entity")
+                 .agg(F.min("category").alias("category")))
+    return per_request(by_entity, resolved).select("request_id", "level", "entity", "category")
 
 
 def coefficient_histogram(coefficients: DataFrame, limit: float = 5.0,

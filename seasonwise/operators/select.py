@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seasonwise.functions.joins import checked_join, salted_join
+from seasonwise.functions.ranks import with_position
 from seasonwise.operators.series import expand_levels
 from seasonwise.schemas import HIERARCHY, LEVEL_COLUMNS
 from seasonwise.sources.requests import read_requests
@@ -41,18 +42,74 @@ def resolve_requests(requests: DataFrame, hierarchy: DataFrame) -> DataFrame:
             .withColumn("found", F.col("level").isNotNull()))
 
 
-def requested_products(resolved: DataFrame, hierarchy: DataFrame) -> DataFrame:
-    """Products behind each resolved request."""
-    return salted_join(expand_levels(hierarchy),
-                       resolved.filter("found").select("request_id", "level", "entity"),
-                       ["level", "entity"], salt_by=["product_code"])
-
-
 def requested_entities(resolved: DataFrame) -> DataFrame:
     """Distinct entities behind all requests; ``resolved`` itself maps requests to them."""
     return resolved.filter("found").select("level", "entity").distinct()
 
 
+def entity_products(resolved: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """Products of each distinct entity that is asked for, however many requests do."""
+    return salted_join(expand_levels(hierarchy), requested_entities(resolved),
+                       ["level", "entity"], salt_by=["product_code"])
+
+
+def per_request(by_entity: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Results of entities (``level, entity, ...``) for each request: the last step."""
+    asked = resolved.filter("found").select("request_id", "level", "entity")
+    return salted_join(asked, by_entity, ["level", "entity"], salt_by=["request_id"])
+
+
+def request_levels(resolved: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """``request_id, level, entity`` of the narrowest level with a single value per request.
+
+    All requests for one entity select the same products, so entities are looked at, not requests.
+    """
+    found = selection_level(entity_products(resolved, hierarchy).withColumnsRenamed(
+        {"level": "_level", "entity": "_entity"}), ["_level", "_entity"])
+    found = found.select(F.col("_level").alias("level"), F.col("_entity").alias("entity"),
+                         F.col("level").alias("_l"), F.col("entity").alias("_e"))
+    return per_request(found, resolved).select(
+        "request_id", F.col("_l").alias("level"), F.col("_e").alias("entity"))
+
+
+def numbered_requests(resolved: DataFrame) -> DataFrame:
+    """Resolved requests that were found, with ``number`` from 1 in the order of their ids."""
+    found = resolved.filter("found").select("request_id", "level", "entity")
+    ranked = with_position(found, [], [F.col("request_id"), F.col("level"), F.col("entity")])
+    return ranked.select("request_id", "level", "entity",
+                         F.col("position").cast("long").alias("number"))
+
+
+def product_requests(numbered: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """Which requests want each product, as bitmaps: ``product_code, bucket, bitmap``.
+
+    Bit i of bucket b (from 1) stands for request number (b - 1) * 32768 + i + 1. Requests are gathered
+    per entity, and the bitmaps of a product's levels are united; requests never meet products one
+    by one, and each row stands for up to 32768 requests.
+    """
+    bitmaps = numbered.groupBy("level", "entity", F.bitmap_bucket_number("number").alias("bucket")
+                               ).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number"))
+                                     .alias("bitmap"))
+    wanted = salted_join(expand_levels(hierarchy).select("product_code", "level", "entity"),
+                         bitmaps, ["level", "entity"], salt_by=["product_code"])
+    return wanted.groupBy("product_code", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
+def wanted_rows(sales: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Facts that any request wants, each once per bucket of requests, with ``bitmap``."""
+    return checked_join(sales.drop(*HIERARCHY), bitmaps, ["product_code"],
+                        salt_by=["date", "turnover_qty"])
+
+
+def bitmap_numbers(bucket: str, bitmap: str):
+    """Request numbers in a bitmap, ascending."""
+    return F.expr(f"""
+        flatten(transform(sequence(1, length({bitmap})), i -> transform(
+            filter(sequence(0, 7), b -> getbit(
+                cast(conv(hex(substring({bitmap}, i, 1)), 16, 10) AS int), b) = 1),
+            b -> ({bucket} - 1) * 32768 + (i - 1) * 8 + b + 1)))""")
+
+
 def entity_rows(sales: DataFrame, entities: DataFrame, hierarchy: DataFrame) -> DataFrame:
     """All facts of each entity, however many requests ask for it.
 
@@ -104,7 +161,7 @@ def available_choices(hierarchy: DataFrame, child: str, parent: str | None = Non
 def choices_by_parent(hierarchy: DataFrame) -> DataFrame:
     """Every step of the cascade at once: category-group, group-subgroup, subgroup-product.
 
-    ``position`` numbers the sorted children of each parent.
+    ``position`` numbers the sorted children of each parent, however many they are.
     """
     steps = (("category", "group"), ("group", "subgroup"), ("subgroup", "product"))
     pairs = [F.struct(F.lit(parent).alias("parent_level"),
@@ -112,17 +169,16 @@ def choices_by_parent(hierarchy: DataFrame) -> DataFrame:
                       F.lit(child).alias("child_level"),
                       F.col(LEVEL_COLUMNS[child]).cast("string").alias("child"))
              for parent, child in steps]
-    order = Window.partitionBy("parent_level", "parent").orderBy("child")
-    return (hierarchy.select(F.explode(F.array(*pairs)).alias("_p")).select("_p.*")
-            .filter("parent IS NOT NULL AND child IS NOT NULL").distinct()
-            .withColumn("position", F.row_number().over(order))
-            .orderBy("parent_level", "parent", "position"))
+    children = (hierarchy.select(F.explode(F.array(*pairs)).alias("_p")).select("_p.*")
+                .filter("parent IS NOT NULL AND child IS NOT NULL").distinct())
+    return with_position(children, ["parent_level", "parent"], [F.col("child")]).orderBy(
+        "parent_level", "parent", "position")
 
 
 def level_values(hierarchy: DataFrame) -> DataFrame:
-    """Sorted distinct values of every level."""
-    return (expand_levels(hierarchy).select("level", F.col("entity").alias("value"))
-            .distinct().orderBy("level", "value"))
+    """Distinct values of every level, sorted, with their position."""
+    values = expand_levels(hierarchy).select("level", F.col("entity").alias("value")).distinct()
+    return with_position(values, ["level"], [F.col("value")]).orderBy("level", "position")
 
 
 def date_bounds(sales: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from seasonwise.functions.joins import salted_join
 from seasonwise.functions.numeric import ratio, round_half_even
 from seasonwise.functions.percentiles import exact_percentiles
+from seasonwise.functions.ranks import with_position
 from seasonwise.functions.text import display_number
 from seasonwise.functions.windows import by_product
 from seasonwise.operators.clean import attach_hierarchy, keep_year
@@ -118,12 +119,12 @@ def product_table(classified: DataFrame, rows: int | None = None) -> DataFrame:
 
 def sector_groups(classified: DataFrame) -> DataFrame:
     """Number of products per group inside each sector, most first, with their position."""
-    order = Window.partitionBy("category", "sector").orderBy(F.desc("n_products"), "group")
-    return (classified.filter(F.col("sector").isNotNull())
-            .groupBy("category", "sector", "group")
-            .agg(F.count_distinct("product_code").alias("n_products"))
-            .withColumn("position", F.row_number().over(order))
-            .orderBy("category", "sector", "position"))
+    counted = (classified.filter(F.col("sector").isNotNull())
+               .groupBy("category", "sector", "group")
+               .agg(F.count_distinct("product_code").alias("n_products")))
+    return with_position(counted, ["category", "sector"],
+                         [-F.col("n_products"), F.col("group")]).orderBy(
+        "category", "sector", "position")
 
 
 def group_curve(classified_groups: DataFrame, exclude_groups=()) -> DataFrame:
@@ -135,16 +136,12 @@ def group_curve(classified_groups: DataFrame, exclude_groups=()) -> DataFrame:
     rows = classified_groups
     if exclude_groups:
         rows = rows.filter(~F.col("group").isin(*exclude_groups))
-    by_category = Window.partitionBy("category")
     v, x, y = F.col("variation"), F.col("x_limit"), F.col("y_limit")
-    ranked = rows.select(
-        "category", "group", "variation",
-        F.row_number().over(by_category.orderBy(v.asc_nulls_last(), "group"))
-        .alias("position"),
-        F.count_if(v <= x).over(by_category).alias("_upto_x"),
-        F.count_if(v < x).over(by_category).alias("_below_x"),
-        F.count_if(v < y).over(by_category).alias("_below_y"),
-        F.count("variation").over(by_category).alias("_all"))
+    placed = with_position(rows, ["category"], [v.isNull(), v, F.col("group")])
+    parts = rows.groupBy(F.col("category").alias("_category")).agg(
+        F.count_if(v <= x).alias("_upto_x"), F.count_if(v < x).alias("_below_x"),
+        F.count_if(v < y).alias("_below_y"), F.count("variation").alias("_all"))
+    ranked = placed.join(parts, F.col("category").eqNullSafe(F.col("_category")))
     def middle(start, size):
         return F.col("position") == start + 1 + round_half_even(size / 2)
     y_size, z_size = (F.col("_below_y") - F.col("_below_x"), F.col("_all") - F.col("_below_y"))

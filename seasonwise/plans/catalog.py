@@ -208,6 +208,18 @@ def sel2_entity_rows(spark, sf_dir):
                                                 "turnover_qty", "category", "group", "subgroup")
 
 
+@query
+def sel2_wanted_rows(spark, sf_dir):
+    """Facts wanted by any request, once each, with the number of requests that want them."""
+    hierarchy = _hierarchy(spark, sf_dir)
+    resolved = select.resolve_requests(fx.requests(spark, sf_dir), hierarchy)
+    bitmaps = select.product_requests(select.numbered_requests(resolved), hierarchy)
+    counts = bitmaps.groupBy("product_code").agg(
+        F.sum(F.bitmap_count("bitmap")).alias("n_requests"))
+    return select.wanted_rows(fx.supplier_sales(spark, sf_dir), counts).select(
+        "date", "product_code", "turnover_qty", "n_requests")
+
+
 @query
 def sel3_filter(spark, sf_dir):
     facts = clean.attach_hierarchy_to_facts(fx.supplier_sales(spark, sf_dir),
@@ -241,9 +253,7 @@ def sel6_bounds(spark, sf_dir):
 def sel7_level(spark, sf_dir):
     hierarchy = _hierarchy(spark, sf_dir)
     resolved = select.resolve_requests(fx.requests(spark, sf_dir), hierarchy)
-    return select.selection_level(select.requested_products(resolved, hierarchy)
-                                  .select("request_id", "product_code", "category", "group",
-                                          "subgroup"), ["request_id"])
+    return select.request_levels(resolved, hierarchy)
 
 
 # Series

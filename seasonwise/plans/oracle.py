@@ -274,13 +274,18 @@ UNION ALL SELECT DISTINCT 'subgroup', subgroup, 'product', CAST(product_code AS
 """, "f1")
 SQL["sel4_groups_of_category"] = statement(
     "SELECT DISTINCT \"group\" FROM f1 WHERE category = 'ASIA'", "f1")
-SQL["sel5_values"] = statement(
-    "SELECT DISTINCT level, entity AS value FROM known_long", "known_long")
+SQL["sel5_values"] = statement("""
+SELECT *, CAST(row_number() OVER (PARTITION BY level ORDER BY value) AS INTEGER) AS position
+FROM (SELECT DISTINCT level, entity AS value FROM known_long)""", "known_long")
 SQL["sel6_bounds"] = statement(
     "SELECT min(date) AS min_date, max(date) AS max_date FROM f1_all", "f1_all")
 cte("selected", """
 SELECT request_id, k.* EXCLUDE (level, entity) FROM resolved JOIN known_long k
 USING (level, entity)""", "resolved", "known_long")
+SQL["sel2_wanted_rows"] = statement("""
+SELECT date, product_code, turnover_qty, n_requests FROM f1_all JOIN (
+  SELECT product_code, count(DISTINCT request_id) AS n_requests FROM selected GROUP BY product_code)
+USING (product_code)""", "f1_all", "selected")
 SQL["sel7_level"] = statement("""
 SELECT request_id,
        CASE WHEN count(DISTINCT product_code) = 1 THEN 'product'
