@@ -84,6 +84,8 @@ def _bin() -> Column:
     A bracket with an infinite end has its infinite values, or all, in the last bin.
     """
     low, high, v = F.col("_low"), F.col("_high"), F.col("_v")
-    share = F.when(high > low, (v - low) / (high - low)).otherwise(0.0)
-    return F.when(low.isNull(), 0).when(v < low, -1).when(F.isnan(share), BINS).otherwise(
+    # Also defined above the bracket, as the planner may compute it before such values are dropped;
+    # NaN counts as the greatest value.
+    share = F.when(high > low, F.least((v - low) / (high - low), F.lit(1.0))).otherwise(0.0)
+    return F.when(low.isNull(), 0).when(v < low, -1).otherwise(
         F.floor(share * BINS)).cast("int")
