@@ -22,20 +22,6 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     null keys are a group, nulls sort first, and equal rows have distinct places. ``order`` holds
     expressions that sort ascending, such as ``-F.col("n")``.
     """
-    return _cumulated(df, keys, order, F.lit(1), F.row_number(), name, "int", blocks)
-
-
-def with_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: str,
-                       name: str, blocks: int | None = None) -> DataFrame:
-    """``df`` with the sum of the longs ``weight`` up to each row, in the manner of positions.
-
-    Rows that are equal in keys and order are added in any sequence.
-    """
-    return _cumulated(df, keys, order, F.col(weight), F.sum(weight), name, "long", blocks)
-
-
-def _cumulated(df, keys, order, weight: Column, running: Column, name: str, kind: str,
-               blocks: int | None) -> DataFrame:
     blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = [F.col(f"`{k}`") for k in keys] + list(order)
     placed = df.withColumn("_s", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(whole)]))
@@ -43,16 +29,16 @@ def _cumulated(df, keys, order, weight: Column, running: Column, name: str, kind
     placed = placed.withColumn("_cuts", cuts.scalar()).withColumn("_block", _block(blocks)).drop(
         "_cuts")
     groups = ["_block", *keys]
-    totals = placed.groupBy(*groups).agg(F.sum(weight).alias("_total"))
+    totals = placed.groupBy(*groups).agg(F.count(F.lit(1)).alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1)
     before = totals.select(*[F.col(f"`{g}`").alias(f"_b{i}") for i, g in enumerate(groups)],
                            F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
     same = [F.col(f"`{g}`").eqNullSafe(F.col(f"_b{i}")) for i, g in enumerate(groups)]
-    local = Window.partitionBy(*groups).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
-    return placed.withColumn("_local", running.over(local)).join(before, same).select(
+    local = Window.partitionBy(*groups).orderBy("_s")
+    return placed.withColumn("_local", F.row_number().over(local)).join(before, same).select(
         *[f"`{c}`" for c in df.columns],
-        (F.col("_local") + F.col("_before")).cast(kind).alias(name))
+        (F.col("_local") + F.col("_before")).cast("int").alias(name))
 
 
 def _cuts(rows: DataFrame, blocks: int) -> DataFrame:

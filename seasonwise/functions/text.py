@@ -9,14 +9,24 @@ from seasonwise.functions.numeric import round_half_even
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def plain_percent(text: Column) -> Column:
+    """'7,5%' -> '7.5'"""
+    return F.translate(text, ",%", ".")
+
+
 def percent_to_double(text: Column) -> Column:
     """'7,5%' -> 7.5"""
-    return F.translate(text, ",%", ".").cast("double")
+    return plain_percent(text).cast("double")
+
+
+def plain_money(text: Column) -> Column:
+    """'12 345,60' -> '12345.60'"""
+    return F.translate(text, ", ", ".")
 
 
 def money_to_double(text: Column) -> Column:
     """'12 345,60' -> 12345.6"""
-    return F.translate(text, ", ", ".").cast("double")
+    return plain_money(text).cast("double")
 
 
 def is_quantity(text: Column) -> Column:

@@ -6,11 +6,11 @@ from pyspark.sql import types as T
 
 from seasonwise.functions import dates, text
 from seasonwise.operators import (clean, clusters, correlation, describe, models, promo,
-                                  seasonality, select, series, stability)
+                                  ranges, seasonality, select, series, stability)
 from seasonwise.plans import fixtures as fx
 from seasonwise.plans.dashboard import dashboard_view
 from seasonwise.schemas import ENTITY, HIERARCHY
-from seasonwise.sources import files
+from seasonwise.sources import files, lines
 from seasonwise.sources.requests import read_requests
 
 YEAR = 1996
@@ -75,6 +75,22 @@ def src3_prepared(spark, sf_dir):
     return tidy(files.prepared_of_lines(*fx.prepared_lines(facts)))
 
 
+@query
+def src1_folder_sales(spark, sf_dir):
+    """Usable lines of files with different headers."""
+    return lines.accepted(lines.checked_sales(fx.folder_lines(spark, sf_dir)))
+
+
+@query
+def src1_rejects(spark, sf_dir):
+    return lines.rejected(lines.checked_sales(fx.folder_lines(spark, sf_dir)))
+
+
+@query
+def src1_reject_counts(spark, sf_dir):
+    return lines.reject_counts(lines.checked_sales(fx.folder_lines(spark, sf_dir)))
+
+
 @query
 def src4_requests(spark, sf_dir):
     return read_requests(fx.requests(spark, sf_dir))
@@ -229,6 +245,13 @@ def sel3_filter(spark, sf_dir):
         "date", "product_code", "turnover_qty", "category", "group", "subgroup")
 
 
+@query
+def sel3_ranges(spark, sf_dir):
+    """Totals of many date ranges of entities of all levels."""
+    blocks = ranges.day_blocks(_sold_days(spark, sf_dir))
+    return tidy(ranges.range_totals(fx.ranges(spark, sf_dir), blocks))
+
+
 @query
 def sel4_choices(spark, sf_dir):
     return select.choices_by_parent(_hierarchy(spark, sf_dir))

@@ -14,6 +14,7 @@ TABLES = {
     "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
     "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
             "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
                 "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
                 "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
@@ -76,8 +77,11 @@ def part_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("subgroup"))
 
 
-def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F3 facts: text with percent signs, decimal commas, blanks, returns and junk."""
+def dirty_sales(spark: SparkSession, sf_dir: str, *others: str) -> DataFrame:
+    """F3 facts: text with percent signs, decimal commas, blanks, returns and junk.
+
+    ``others`` are stored columns to keep.
+    """
     line, quantity = F.col("l_linenumber"), F.col("l_quantity").cast("bigint")
     signed = F.when(F.col("l_returnflag") == "R", -quantity).otherwise(quantity)
     text = (F.when(line == 7, "n/a").when(line == 6, "1,5").when(line == 5, "1d")
@@ -90,7 +94,52 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         # 12,345.67 -> 12 345,67
         F.translate(F.format_number("l_extendedprice", 2), ",.", " ,").alias("turnover_net"),
         F.concat(F.translate((F.col("l_discount") * 100).cast("decimal(18,2)").cast("string"),
-                             ".", ","), F.lit("%")).alias("discount_pct"))
+                             ".", ","), F.lit("%")).alias("discount_pct"), *others)
+
+
+# Column orders of the files of a folder; the last one has no header.
+LAYOUTS = (("product_code", "date", "turnover_qty", "turnover_net", "discount_pct"),
+           ("discount_pct", "turnover_net", "note", "turnover_qty", "date", "product_code"),
+           ("date", "product_code", "discount_pct", "turnover_qty", "turnover_net"),
+           ("product_code", "date", "turnover_qty", "turnover_net", "discount_pct"))
+
+
+def folder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file, line`` of dirty facts in files of different layout, with lines that are broken."""
+    key = F.col("l_orderkey")
+    rows = dirty_sales(spark, sf_dir, "l_orderkey", "l_partkey").select(
+        F.when(key % 97 == 1, 3).otherwise(key % 3).cast("int").alias("n"), "l_orderkey",
+        "product_code", F.when(key % 41 == 0, "31.12.1996").otherwise(F.col("date")).alias("date"),
+        "turnover_qty", "discount_pct",
+        F.when(F.col("l_partkey") % 37 == 0, "abc").otherwise(F.col("turnover_net"))
+        .alias("turnover_net"), F.lit('"a;""b"""').alias("note"))
+    file = F.concat(F.lit("part-"), F.col("n").cast("string")).alias("file")
+    line = F.lit(None).cast("string")
+    for n, layout in enumerate(LAYOUTS):
+        line = F.when(F.col("n") == n, F.concat_ws(";", *layout)).otherwise(line)
+    cut = F.when(key % 50 == 0, F.substring_index(line, ";", 2)).otherwise(line)
+    names = {column: name for name, column in RAW_SALES_HEADERS.items()}
+    headers = spark.createDataFrame(
+        [(f"part-{n}", ";".join(f" {names.get(c, c)}" for c in layout))
+         for n, layout in enumerate(LAYOUTS[:-1])], "file string, line string")
+    return rows.select(file, cut.alias("line")).unionByName(headers)
+
+
+def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A date range for an entity of any level per order."""
+    key = F.col("o_orderkey")
+    start = F.col("o_orderdate").cast("date")
+    asked = table(spark, sf_dir, "orders").select(
+        key.alias("request_id"), (F.col("o_custkey") % 103).alias("product_code"),
+        F.when(key % 11 != 0, F.date_sub(start, 30)).alias("start_date"),
+        F.when(key % 13 != 0, F.date_add(start, (key % 700).cast("int") - 50)).alias("end_date"))
+    named = asked.withColumn("level", F.when(F.col("request_id") % 4 == 0, "product").when(
+        F.col("request_id") % 4 == 1, "subgroup").when(
+        F.col("request_id") % 4 == 2, "group").otherwise("category"))
+    named = named.join(supplier_products(spark, sf_dir), "product_code", "left")
+    return named.select("request_id", "level", F.expr(
+        "CASE level WHEN 'product' THEN CAST(product_code AS STRING) WHEN 'subgroup' THEN subgroup "
+        "WHEN 'group' THEN `group` ELSE category END").alias("entity"), "start_date", "end_date")
 
 
 def _bracketed(name: str):

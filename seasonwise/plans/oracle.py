@@ -178,6 +178,36 @@ SQL["src2_raw_products"] = statement("SELECT * FROM dirty_dim", "dirty_dim")
 SQL["src3_prepared"] = statement(
     f'SELECT date, product_code, turnover_qty, {r("discount_pct")} AS discount_pct, '
     f'{r("turnover_net")} AS turnover_net, category, "group", subgroup FROM f1', "f1")
+# Lines of a folder, written out again for each layout.
+cte("folder", CTES["dirty"][1].replace("SELECT CAST(l_suppkey", "SELECT l_orderkey, l_partkey, "
+                                       "CAST(l_suppkey", 1))
+cte("folder_lines", f"""
+SELECT 'part-' || n AS file, CASE WHEN l_orderkey % 50 = 0 THEN
+       array_to_string(string_split(line, ';')[1:2], ';') ELSE line END AS line, *
+       EXCLUDE (line),
+       CASE WHEN n = 3 THEN 'header' WHEN l_orderkey % 50 = 0 THEN 'columns'
+            WHEN l_orderkey % 41 = 0 THEN 'date'
+            WHEN NOT regexp_full_match(replace(turnover_qty, ' ', ''), '{TEXT_NUMBER}')
+            THEN 'quantity' WHEN l_partkey % 37 = 0 THEN 'money' END AS reason
+FROM (SELECT *, CASE n WHEN 1 THEN concat_ws(';', discount_pct, turnover_net, '"a;""b""' || '"',
+                                             turnover_qty, date, product_code)
+                       WHEN 2 THEN concat_ws(';', date, product_code, discount_pct, turnover_qty,
+                                             turnover_net)
+                       ELSE concat_ws(';', product_code, date, turnover_qty, turnover_net,
+                                      discount_pct) END AS line
+      FROM (SELECT * REPLACE (CASE WHEN l_orderkey % 41 = 0 THEN '31.12.1996' ELSE date END AS date,
+                              CASE WHEN l_partkey % 37 = 0 THEN 'abc' ELSE turnover_net END
+                              AS turnover_net),
+                   CASE WHEN l_orderkey % 97 = 1 THEN 3 ELSE l_orderkey % 3 END AS n
+            FROM folder))""", "folder")
+SQL["src1_folder_sales"] = statement("""
+SELECT product_code, date, turnover_qty, turnover_net, discount_pct FROM folder_lines
+WHERE reason IS NULL""", "folder_lines")
+SQL["src1_rejects"] = statement(
+    "SELECT file, reason, line FROM folder_lines WHERE reason IS NOT NULL", "folder_lines")
+SQL["src1_reject_counts"] = statement("""
+SELECT file, coalesce(reason, 'ok') AS reason, count(*) AS n_lines FROM folder_lines GROUP BY ALL""",
+                                      "folder_lines")
 SQL["src4_requests"] = statement("SELECT * FROM asked_parsed", "asked_parsed")
 SQL["cln1_percent"] = statement("""
 SELECT discount_pct, CAST(replace(replace(discount_pct, '%', ''), ',', '.') AS DOUBLE) AS value
@@ -264,6 +294,30 @@ JOIN f1 ON CASE a.level WHEN 'product' THEN CAST(product_code AS VARCHAR)
 SQL["sel3_filter"] = statement("""
 SELECT date, product_code, turnover_qty, category, "group", subgroup FROM f1
 WHERE category = 'ASIA' AND date BETWEEN DATE '1996-03-01' AND DATE '1998-09-30'""", "f1")
+cte("ranges", """
+SELECT request_id, level, CASE level WHEN 'product' THEN CAST(product_code AS VARCHAR)
+       WHEN 'subgroup' THEN subgroup WHEN 'group' THEN "group" ELSE category END AS entity,
+       start_date, end_date
+FROM (SELECT o_orderkey AS request_id, o_custkey % 103 AS product_code,
+             CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) - 30 END AS start_date,
+             CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderdate AS DATE)
+                  + CAST(o_orderkey % 700 AS INTEGER) - 50 END AS end_date,
+             ['product', 'subgroup', 'group', 'category'][o_orderkey % 4 + 1] AS level FROM orders)
+LEFT JOIN dim1 USING (product_code)""", "dim1")
+cte("sold_days", """
+SELECT 'product' AS level, CAST(product_code AS VARCHAR) AS entity, date, sum(turnover_qty) AS q
+FROM f1 GROUP BY ALL
+UNION ALL SELECT 'subgroup', subgroup, date, sum(turnover_qty) FROM f1 GROUP BY ALL
+UNION ALL SELECT 'group', "group", date, sum(turnover_qty) FROM f1 GROUP BY ALL
+UNION ALL SELECT 'category', category, date, sum(turnover_qty) FROM f1 GROUP BY ALL""", "f1")
+SQL["sel3_ranges"] = statement(f"""
+SELECT r.request_id, r.level, r.entity, start_date, end_date, CASE WHEN known THEN {r("coalesce(sum(q), 0.0::DOUBLE)")} END AS turnover,
+       CASE WHEN known THEN count(q) END AS active_days
+FROM (SELECT *, (level, entity) IN (SELECT (level, entity) FROM sold_days) AS known FROM ranges) r
+LEFT JOIN sold_days d ON d.level = r.level AND d.entity = r.entity
+     AND d.date >= coalesce(start_date, DATE '1900-01-01')
+     AND d.date <= coalesce(end_date, DATE '2900-01-01')
+GROUP BY r.request_id, r.level, r.entity, start_date, end_date, known""", "ranges", "sold_days")
 SQL["sel4_choices"] = statement("""
 SELECT *, CAST(rank() OVER (PARTITION BY parent_level, parent ORDER BY child) AS INTEGER)
        AS position FROM (
