@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from seasonwise.functions import dates, text
 from seasonwise.operators import (clean, clusters, correlation, describe, models, promo,
-                                  ranges, seasonality, select, series, stability)
+                                  ranges, seasonality, select, series, span_models, stability)
 from seasonwise.plans import fixtures as fx
 from seasonwise.plans.dashboard import dashboard_view
 from seasonwise.schemas import ENTITY, HIERARCHY
@@ -588,6 +588,61 @@ def mod17_chart(spark, sf_dir):
     return tidy(models.chart_frame(_best(spark, sf_dir), 2, SHOWN_YEARS), 4)
 
 
+# Models of any span
+
+def _spans(spark, sf_dir):
+    return span_models.span_window(_monthly(spark, sf_dir))
+
+
+def _part_spans(spark, sf_dir):
+    """Parts in the modelled years, most of which have no two-year window."""
+    return span_models.span_window(series.monthly_spans(
+        fx.part_sales(spark, sf_dir, MODEL_YEARS), levels=("product",)))
+
+
+@query
+def mod_any_span_coefficients(spark, sf_dir):
+    found = span_models.coefficients(_spans(spark, sf_dir)).filter("t = 1")
+    return found.selectExpr(
+        *ENTITY, "CAST(n AS INT) AS n", "round(2 * c1, 5) AS linear_k",
+        "round(c0 - c1 * (n + 1), 5) AS linear_b", "round(3 * c2, 5) AS poly2_a",
+        "round(40 * c3, 7) AS poly3_a", "round(c_log, 5) AS log_a", "round(2 * e1, 7) AS exp_k",
+        "round(e_log, 7) AS pow_k")
+
+
+@query
+def mod_any_span_metrics(spark, sf_dir):
+    scores = span_models.span_scores(span_models.span_points(_spans(spark, sf_dir)))
+    return scores.select(*ENTITY, "n", "trend", "seasonality", *models.METRICS)
+
+
+@query
+def mod_any_span_part_best(spark, sf_dir):
+    scores = span_models.span_scores(span_models.span_points(_part_spans(spark, sf_dir)))
+    return models.best_models(scores).select(
+        *ENTITY, "n", "trend", "seasonality", F.round("r2_exact", 6).alias("r2_exact"))
+
+
+@query
+def mod_any_span_fitted(spark, sf_dir):
+    best = span_models.best_span_points(span_models.span_points(_spans(spark, sf_dir)))
+    return best.select(*ENTITY, "trend", "seasonality", "t", "month_start", "y",
+                       F.round("trend_value", 4).alias("trend_value"),
+                       F.round("index", 4).alias("season_index"), "fit")
+
+
+@query
+def mod_any_span_forecast(spark, sf_dir):
+    best = span_models.best_span_points(span_models.span_points(_spans(spark, sf_dir)))
+    return tidy(span_models.span_forecast(best, 18), 4)
+
+
+@query
+def mod_any_span_part_forecast(spark, sf_dir):
+    best = span_models.best_span_points(span_models.span_points(_part_spans(spark, sf_dir)))
+    return tidy(span_models.span_forecast(best, 18), 4)
+
+
 # Correlation
 
 def _correlations(spark, sf_dir):

@@ -1144,3 +1144,99 @@ WHERE category = 'ASIA' AND """ + SEVERAL, "f1")
 SQL["view_cluster_graph_months"] = statement(
     "SELECT CAST(m AS INTEGER) AS month, true AS all_clusters FROM generate_series(1, 12) g(m) "
     f"WHERE {SEVERAL}")
+
+# Models of any span: normal equations on the months of each entity.
+
+def span_ctes(s: str, source: str):
+    """Expressions of all models of the monthly series ``source``; their names begin with ``s``."""
+    cte(s + "w", f"""
+SELECT level, entity, month_start, turnover AS y,
+       row_number() OVER (PARTITION BY level, entity ORDER BY month_start) AS t,
+       count(*) OVER (PARTITION BY level, entity) AS n
+FROM {source} QUALIFY n >= 24""", source)
+    cte(s + "sums", f"""
+SELECT level, entity, n, (n + 1) / 2.0::DOUBLE AS mid, avg(y) AS c0, sum(y) AS y0, sum(y * u) AS y1,
+       sum(y * u * u) AS y2, sum(y * u * u * u) AS y3, sum(u * u) AS s2, sum(u ** 4) AS s4,
+       sum(u ** 6) AS s6, regr_slope(y, t) AS lk, regr_intercept(y, t) AS lb,
+       regr_slope(y, ln(t)) AS gk, regr_intercept(y, ln(t)) AS gb,
+       CASE WHEN min(y) > 0 THEN regr_slope(ly, t) END AS ek,
+       CASE WHEN min(y) > 0 THEN regr_intercept(ly, t) END AS eb,
+       CASE WHEN min(y) > 0 THEN regr_slope(ly, ln(t)) END AS pk,
+       CASE WHEN min(y) > 0 THEN regr_intercept(ly, ln(t)) END AS pb
+FROM (SELECT *, t - (n + 1) / 2.0::DOUBLE AS u, CASE WHEN y > 0 THEN ln(y) END AS ly FROM {s}w)
+GROUP BY level, entity, n""", s + "w")
+    cte(s + "fits", f"""
+SELECT *, (y0 - a2 * s2) / n AS a0 FROM (
+  SELECT *, y1 / s2 AS b1, (n * y2 - s2 * y0) / (n * s4 - s2 * s2) AS a2,
+         (s2 * y3 - s4 * y1) / (s2 * s6 - s4 * s4) AS d3,
+         (y1 - (s2 * y3 - s4 * y1) / (s2 * s6 - s4 * s4) * s4) / s2 AS d1 FROM {s}sums)""",
+        s + "sums")
+    trends = {"linear": "lk * t + lb", "polynomial2": "a0 + b1 * (t - mid) + a2 * (t - mid) ** 2",
+              "polynomial3": "a0 + d1 * (t - mid) + a2 * (t - mid) ** 2 + d3 * (t - mid) ** 3",
+              "log": "gk * ln(t) + gb", "exp": "exp(ek * t + eb)", "pow": "exp(pk * ln(t) + pb)"}
+    cte(s + "trended", " UNION ALL ".join(
+        f"SELECT level, entity, n, t, month_start, y, c0, {2 * i} AS ord, '{name}' AS trend, "
+        f"{value} AS trend_value FROM {s}w JOIN {s}fits USING (level, entity, n)"
+        for i, (name, value) in enumerate(trends.items())), s + "w", s + "fits")
+    place = "OVER (PARTITION BY level, entity, trend, (t - 1) % 12)"
+    ratio = "y / nullif(trend_value, 0)"
+    cte(s + "raw", f"""
+SELECT *, 'add' AS seasonality, avg(y - trend_value) {place} AS raw FROM {s}trended
+UNION ALL
+SELECT * REPLACE (ord + 1 AS ord), 'mul',
+       CASE WHEN count({ratio}) {place} = count(*) {place} THEN avg({ratio}) {place} END
+FROM {s}trended""", s + "trended")
+    cycle = "avg(CASE WHEN t <= 12 THEN raw END) OVER (PARTITION BY level, entity, ord)"
+    cte(s + "fitted", f"""
+SELECT *, {even(even("CASE WHEN seasonality = 'add' THEN trend_value + season_index "
+                     "ELSE trend_value * season_index END", 6))} + 0.0 AS fit
+FROM (SELECT *, CASE WHEN seasonality = 'add' THEN raw - 2 * {cycle} ELSE raw / {cycle} END
+                AS season_index FROM {s}raw)""", s + "raw")
+    cte(s + "scored", f"""
+SELECT level, entity, n, ord, trend, seasonality,
+       CASE WHEN tot = 0 THEN CASE WHEN res = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+            ELSE 1 - res / tot END AS r2_exact,
+       CASE WHEN least_y <> 0 THEN {even("rel / n * 100", 3)} END AS mape,
+       {whole("gap / n")} AS mae, {whole("res / n")} AS mse, {whole("sqrt(res / n)")} AS rmse
+FROM (SELECT level, entity, n, ord, trend, seasonality, min(y) AS least_y,
+             CASE WHEN count(fit) = n THEN sum((y - fit) * (y - fit)) END AS res,
+             CASE WHEN count(fit) = n THEN sum(abs(y - fit)) END AS gap,
+             CASE WHEN count(fit) = n THEN sum(abs(y - fit) / nullif(y, 0)) END AS rel,
+             CASE WHEN count(fit) = n THEN round(sum((y - c0) * (y - c0)), 6) END AS tot
+      FROM {s}fitted GROUP BY level, entity, n, ord, trend, seasonality)""", s + "fitted")
+    cte(s + "best", f"""
+SELECT * FROM {s}scored WHERE r2_exact IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY level, entity ORDER BY r2_exact DESC, ord) = 1""",
+        s + "scored")
+    cte(s + "ahead", f"""
+SELECT level, entity, trend, seasonality, ord, season_index, t + 12 * j AS t, n,
+       CAST(month_start + to_months(CAST(12 * j AS INTEGER)) AS DATE) AS month_start
+FROM {s}fitted SEMI JOIN {s}best USING (level, entity, ord), generate_series(1, 2) g(j)
+WHERE t > n - 12 AND t + 12 * j <= n + 18""", s + "fitted", s + "best")
+    value = "CASE trend " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in trends.items()) + " END"
+    SQL[f"mod_any_span_{s}forecast".replace("_sp_", "_").replace("_sq_", "_part_")] = statement(f"""
+SELECT level, entity, trend, seasonality, CAST(t AS INTEGER) AS t, month_start,
+       strftime(month_start, '%m/%Y') AS month_label, {r("v", 4)} AS trend_value,
+       {r("CASE WHEN seasonality = 'add' THEN v + season_index ELSE v * season_index END", 4)}
+       AS forecast
+FROM (SELECT *, {value} AS v FROM {s}ahead JOIN {s}fits USING (level, entity, n))""",
+                                                                 s + "ahead", s + "fits")
+
+
+span_ctes("sp_", "m1")
+span_ctes("sq_", "m2_pair")
+SQL["mod_any_span_coefficients"] = statement(f"""
+SELECT level, entity, CAST(n AS INTEGER) AS n, {r("lk", 5)} AS linear_k, {r("lb", 5)} AS linear_b,
+       {r("a2", 5)} AS poly2_a, {r("d3", 7)} AS poly3_a, {r("gk", 5)} AS log_a,
+       {r("ek", 7)} AS exp_k, {r("pk", 7)} AS pow_k
+FROM sp_fits""", "sp_fits")
+SQL["mod_any_span_metrics"] = statement(f"""
+SELECT level, entity, CAST(n AS INTEGER) AS n, trend, seasonality,
+       {METRICS} FROM sp_scored""", "sp_scored")
+SQL["mod_any_span_part_best"] = statement(f"""
+SELECT level, entity, CAST(n AS INTEGER) AS n, trend, seasonality, {r("r2_exact")} AS r2_exact
+FROM sq_best""", "sq_best")
+SQL["mod_any_span_fitted"] = statement(f"""
+SELECT level, entity, trend, seasonality, CAST(t AS INTEGER) AS t, month_start, y,
+       {r("trend_value", 4)} AS trend_value, {r("season_index", 4)} AS season_index, fit
+FROM sp_fitted SEMI JOIN sp_best USING (level, entity, ord)""", "sp_fitted", "sp_best")
