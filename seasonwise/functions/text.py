@@ -3,8 +3,6 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seasonwise.functions.numeric import round_half_even
-
 # A plain decimal literal; keeps out forms such as '1d' that a cast would accept.
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -46,7 +44,12 @@ def strip_brackets(name: Column) -> Column:
 
 def display_number(value: Column, digits: int = 2, signed: bool = False,
                    decimal_mark: str = ",") -> Column:
-    """Fixed decimals, a decimal mark and, if asked, an explicit sign."""
-    pattern = f"%{'+' if signed else ''}.{digits}f"
-    text = F.format_string(pattern, round_half_even(value, digits))
-    return F.when(value.isNotNull(), F.translate(text, ".", decimal_mark))
+    """Fixed decimals, a decimal mark and, if asked, an explicit sign.
+
+    The stored binary value is rounded, exact halves to even: 1.115, which is a little less, shows
+    as 1,11.
+    """
+    plain = F.translate(F.format_number(value, digits), ",", "")
+    if signed:
+        plain = F.when(plain.startswith("-"), plain).otherwise(F.concat(F.lit("+"), plain))
+    return F.translate(plain, ".", decimal_mark)

@@ -233,7 +233,7 @@ SQL["cln9_month"] = statement(
 
 
 def shown(expression: str, digits: int, sign: str = "") -> str:
-    return f"replace(printf('%{sign}.{digits}f', {even(expression, digits)}), '.', ',')"
+    return f"replace(printf('%{sign}.{digits}f', {expression}), '.', ',')"
 
 
 SQL["cln10_display"] = statement(f"""

@@ -85,7 +85,8 @@ def test_prepared_file(spark, tmp_path):
 
 @pytest.mark.parametrize("value, digits, signed, expected", [
     (0.125, 2, False, "0,12"), (2.676, 2, False, "2,68"), (-3.0, 1, True, "-3,0"),
-    (12.0, 2, True, "+12,00"), (2.5, 0, False, "2"), (-0.001, 2, True, "-0,00")])
+    (12.0, 2, True, "+12,00"), (2.5, 0, False, "2"), (1.115, 2, False, "1,11"),
+    (1234567.885, 2, True, "+1234567,89"), (None, 2, True, None), (-0.001, 2, True, "-0,00")])
 def test_display_number(spark, value, digits, signed, expected):
     frame = spark.createDataFrame([(value,)], "v double")
     assert frame.select(display_number(F.col("v"), digits, signed)).first()[0] == expected
