@@ -8,18 +8,25 @@ byte pieces.
 
 import re
 import zlib
+from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasonwise.llm.common import map_rows, tokenizer_path
-from seasonwise.llm.units import Remembered, packed
 
 MARK = "▁"
 WORDS = re.compile(" *[^ ]+| +")
 # How far an unknown character ranks below the worst piece.
 UNKNOWN_PENALTY = 10.0
+# Characters of texts whose new words are cut together, and words and cells of one table.
+CHARS_TOGETHER = 4_000_000
+CUT_TOGETHER = 100_000
+MOST_CELLS = 2_000_000
+# Bytes of a character by its first byte.
+CHAR_BYTES = np.array([1] * 0x80 + [2] * 0x60 + [3] * 0x10 + [4] * 0x10)
 
 
 class DoubleArray:
@@ -98,78 +105,166 @@ class Pieces:
 
 
 class Codec:
-    """Encoder and decoder of one task; ``max_words`` bounds its memory."""
+    """Encoder and decoder of one task; ``max_words`` bounds its memory.
 
-    def __init__(self, pieces: Pieces, max_words: int = 300_000):
-        self.pieces = pieces
-        self.base, self.check = pieces.trie.base.tolist(), pieces.trie.check.tolist()
-        self.words = Remembered(lambda word: self._word(MARK + word), max_words)
-        self.parts = Remembered(lambda part: self._word(part.replace(" ", MARK)), max_words // 4)
+    Words that are new are cut together: the search runs over positions, and at each position
+    over all words at once in flat arrays.
+    """
 
-    def _word(self, word: str) -> tuple[bytes, float]:
-        ids, score = self.best_path(word)
-        return packed(ids), score
+    def __init__(self, pieces: Pieces, max_words: int = 300_000):
+        self.pieces, self.max_words = pieces, max_words
+        self.base, self.check = pieces.trie.base, pieces.trie.check
+        self.score_of = np.zeros(len(pieces.surface))
+        self.score_of[list(pieces.scores)] = list(pieces.scores.values())
+        # An unknown character counts once, with the first of its bytes.
+        self.byte_ids = np.array(pieces.byte_ids)
+        self.score_of[[i for b, i in enumerate(pieces.byte_ids) if b & 0xC0 != 0x80]] = \
+            pieces.unknown
+        self.known: dict[str, bytes] = {}
 
     def best_path(self, word: str) -> tuple[list[int], float]:
         """Pieces with the largest sum of scores; among equals the longer last piece."""
-        base, check, scores = self.base, self.check, self.pieces.scores
-        unknown, data = self.pieces.unknown, word.encode("utf-8", "replace")
-        size = len(data)
-        best = [0.0] + [None] * size
-        came, piece = [0] * (size + 1), [-1] * (size + 1)
-        for start in range(size):
-            so_far = best[start]
-            first = data[start]
-            if so_far is None or first & 0xC0 == 0x80:
+        ids = np.frombuffer(self._cut([word])[0], "<u4")
+        return ids.tolist(), float(self.score_of[ids].sum())
+
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.max_words:
+            self.known.clear()
+            new = list(words)
+        new.sort(key=len)
+        for first in range(0, len(new), CUT_TOGETHER):
+            part = new[first:first + CUT_TOGETHER]
+            self.known.update(zip(part, self._cut(part)))
+
+    def _cut(self, words: list[str]) -> list[bytes]:
+        """Ids of the best path of each word, as unsigned little-endian 32-bit numbers."""
+        data = [w.encode("utf-8", "replace") for w in words]
+        found, first = [], 0
+        while first < len(data):
+            # Words of like length share a table of positions.
+            last, width = first + 1, max(len(data[first]), 1)
+            while last < len(data) and (last - first) * width < MOST_CELLS \
+                    and len(data[last]) <= 2 * len(data[first]) + 4:
+                width = max(width, len(data[last]))
+                last += 1
+            found += self._cut_table(data[first:last], width)
+            first = last
+        return found
+
+    def _cut_table(self, data: list[bytes], width: int) -> list[bytes]:
+        n, base, check = len(data), self.base, self.check
+        sizes = np.array([len(d) for d in data])
+        owner = np.repeat(np.arange(n), sizes)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        letters = np.zeros((width + 4, n), np.uint8)
+        letters[place, owner] = np.frombuffer(b"".join(data), np.uint8)
+        best = np.full((width + 4, n), -np.inf)
+        came = np.zeros((width + 4, n), np.int32)
+        piece = np.full((width + 4, n), -1, np.int32)
+        best[0] = 0.0
+
+        def offer(end, lanes, score, start, ids):
+            better = score > best[end, lanes]
+            lanes = lanes[better]
+            best[end, lanes], came[end, lanes] = score[better], start
+            piece[end, lanes] = ids[better] if ids is not None else -1
+
+        single = np.zeros(n, bool)
+        for start in range(width):
+            lanes = np.flatnonzero((best[start] > -np.inf) & (sizes > start))
+            if not len(lanes):
                 continue
-            end_of_char = start + (1 if first < 0x80 else 2 if first < 0xE0 else
-                                   3 if first < 0xF0 else 4)
-            state, single = 0, False
-            for at in range(start, size):
-                step = base[state] + data[at]
-                if data[at] == 0 or check[step] != state:
+            single[lanes] = False
+            span = CHAR_BYTES[letters[start, lanes]]
+            live, state = lanes, np.zeros(len(lanes), np.int32)
+            so_far, wide = best[start, lanes], span
+            for at in range(start, width):
+                byte = letters[at, live]
+                step = base[state] + byte
+                ok = (check[step] == state) & (byte != 0)
+                live, state, so_far, wide = live[ok], step[ok], so_far[ok], wide[ok]
+                if not len(live):
                     break
-                state = step
                 leaf = base[state]
-                if check[leaf] == state:
-                    i = -1 - base[leaf]
-                    end = at + 1
-                    score = so_far + scores[i]
-                    if best[end] is None or score > best[end]:
-                        best[end], came[end], piece[end] = score, start, i
-                    single = single or end == end_of_char
-            if not single:
-                score = so_far + unknown
-                if best[end_of_char] is None or score > best[end_of_char]:
-                    best[end_of_char], came[end_of_char], piece[end_of_char] = score, start, -1
-        out, end = [], size
-        while end:
-            start = came[end]
-            if piece[end] >= 0:
-                out.append(piece[end])
-            else:
-                out.extend(self.pieces.byte_ids[b] for b in reversed(data[start:end]))
-            end = start
-        out.reverse()
-        return out, best[size]
+                hit = np.flatnonzero(check[leaf] == state)
+                if len(hit):
+                    ids = -1 - base[leaf[hit]]
+                    offer(at + 1, live[hit], so_far[hit] + self.score_of[ids], start, ids)
+                    single[live[hit[wide[hit] == at + 1 - start]]] = True
+            missed = ~single[lanes]
+            for size in np.unique(span[missed]):
+                some = lanes[missed & (span == size)]
+                offer(start + int(size), some, best[start, some] + self.pieces.unknown, start, None)
+        return self._trace(letters, sizes, came, piece)
+
+    def _trace(self, letters, sizes, came, piece) -> list[bytes]:
+        """Paths from their ends to their beginnings, then turned round."""
+        lanes, end = np.flatnonzero(sizes > 0), sizes[sizes > 0]
+        owners, places, ids = [], [], []
+        while len(lanes):
+            start, found = came[end, lanes], piece[end, lanes]
+            known = found >= 0
+            owners.append(lanes[known])
+            places.append(start[known])
+            ids.append(found[known])
+            some = np.flatnonzero(~known)
+            for k in range(int((end[some] - start[some]).max()) if len(some) else 0):
+                some = some[start[some] + k < end[some]]
+                at = start[some] + k
+                owners.append(lanes[some])
+                places.append(at)
+                ids.append(self.byte_ids[letters[at, lanes[some]]])
+            lanes, end = lanes[start > 0], start[start > 0]
+        if not owners:
+            return [b""] * len(sizes)
+        owner, place = np.concatenate(owners), np.concatenate(places)
+        order = np.lexsort((place, owner))
+        flat = np.concatenate(ids)[order].astype("<u4").tobytes()
+        ends = np.cumsum(np.bincount(owner, minlength=len(sizes))) * 4
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text (unsigned little-endian 32-bit numbers)."""
+        first = 0
+        while first < len(texts):
+            split, size, last = [], 0, first
+            while last < len(texts) and size < CHARS_TOGETHER:
+                split.append(_units(texts[last]))
+                size, last = size + len(texts[last]), last + 1
+            self._learn(set().union(*split))
+            for units in split:
+                yield b"".join(map(self.known.__getitem__, units))
+            first = last
 
     def encode(self, text: str) -> tuple[bytes, float]:
-        """Ids (unsigned little-endian 32-bit numbers) and their summed score."""
-        if not text:
-            return b"", 0.0
-        if MARK in text:
-            text = text.replace(MARK, " ")
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            found = list(map(self.parts.__getitem__, WORDS.findall(" " + text)))
-        else:
-            found = list(map(self.words.__getitem__, text.split(" ")))
-        return b"".join([f[0] for f in found]), sum([f[1] for f in found])
+        """Ids of one text and their summed score."""
+        data, = self.encode_all([text])
+        return data, self.score(np.frombuffer(data, "<u4"))
+
+    def score(self, ids: np.ndarray) -> float:
+        return float(self.score_of[ids].sum())
+
+    def surface(self, ids: list[int]) -> bytes:
+        """Bytes of ids; the marker that was put in front is taken away."""
+        data = (b"".join(itemgetter(*ids)(self.pieces.surface)) if len(ids) > 1 else
+                self.pieces.surface[ids[0]] if ids else b"")
+        return data[1:] if data[:1] == b" " else data
 
     def decode(self, ids) -> str:
-        """Text of ids; the marker that was put in front is taken away."""
-        data = b"".join(map(self.pieces.surface.__getitem__, ids))
-        return data[1:].decode("utf-8", "replace") if data[:1] == b" " else data.decode(
-            "utf-8", "replace")
+        """Text of ids."""
+        return self.surface(list(ids)).decode("utf-8", "replace")
+
+
+def _units(text: str) -> list[str]:
+    """Words of a text with the marker for the white space before them; joined, the whole text."""
+    if not text:
+        return []
+    if MARK in text:
+        text = text.replace(MARK, " ")
+    if "  " not in text and text[0] != " " and text[-1] != " ":
+        return (MARK + text.replace(" ", " " + MARK)).split(" ")
+    return [part.replace(" ", MARK) for part in WORDS.findall(" " + text)]
 
 
 def _shared(df: DataFrame, file: str):
@@ -189,9 +284,9 @@ def encode(docs: DataFrame, file: str = "piece_bpe_32k.model", doc_id: str = "do
     def run(batches):
         codec = Codec(shared.value)
         for keys, texts in batches:
-            for key, value in zip(keys, texts):
-                data, score = codec.encode(value or "")
-                yield key, np.frombuffer(data, dtype="<u4").astype(np.int32), score
+            for key, data in zip(keys, codec.encode_all([value or "" for value in texts])):
+                ids = np.frombuffer(data, dtype="<u4")
+                yield key, ids.astype(np.int32), codec.score(ids)
 
     return map_rows(_chosen(docs, doc_id, text), run, "doc_id long, ids array<int>, score double",
                     batch_rows=256)
@@ -230,12 +325,15 @@ def digests(docs: DataFrame, file: str = "piece_bpe_32k.model", doc_id: str = "d
         single = np.zeros(len(pieces.surface), dtype=bool)
         single[pieces.byte_ids] = True
         for keys, texts in batches:
-            for key, value in zip(keys, texts):
-                data, score = codec.encode(value or "")
+            texts = [value or "" for value in texts]
+            for key, value, data in zip(keys, texts, codec.encode_all(texts)):
                 ids = np.frombuffer(data, dtype="<u4")
-                back = codec.decode(ids.tolist())
-                yield (key, len(ids), zlib.crc32(data), float(score), int(single[ids].sum()),
-                       zlib.crc32(back.encode()), back == (value or ""))
+                back = codec.surface(ids.tolist())
+                same = back == value.encode("utf-8", "replace")
+                if not same:  # pieces need not join to valid UTF-8
+                    back = back.decode("utf-8", "replace").encode()
+                yield (key, len(ids), zlib.crc32(data), codec.score(ids), int(single[ids].sum()),
+                       zlib.crc32(back), same)
 
     return map_rows(_chosen(docs, doc_id, text), run,
                     "doc_id long, n_pieces long, ids_crc32 long, score double, n_bytes long, "
