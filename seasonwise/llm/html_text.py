@@ -16,7 +16,9 @@ from seasonwise.llm.common import map_rows
 
 # Elements by kind (fixed values of the HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|template|noscript|textarea|iframe|svg|math|object|canvas"
+RAW = "script|style|template|noscript|textarea|iframe"
+# Elements of other languages, which may close themselves and end where a block begins.
+FOREIGN = frozenset(("svg", "math"))
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu "
@@ -29,7 +31,7 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 # Elements, roles and words of class or id that mark what is not the article.
 BOILERPLATE = frozenset(
-    "head title nav aside footer form button select option input label dialog menu".split())
+    "head title nav aside footer form button select option input dialog menu svg".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu "
                   "menubar toolbar".split())
 WORDS = frozenset(
@@ -40,6 +42,8 @@ WORDS = frozenset(
     "login comment comments commentlist respond reply replies disqus discussion pagination pager "
     "widget widgets toolbar skip tags outbrain taboola".split())
 ARTICLE = frozenset("article main".split())
+# Words that say a container has, or lacks, what comes next; it is not that itself.
+ABOUT = frozenset("has have with no not non without hide hides show shows is".split())
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
@@ -57,6 +61,8 @@ class Tree:
 
     def __init__(self, page: str):
         self.tag, self.parent, self.junk = ["#root"], [-1], [False]
+        # Elements with a word of boilerplate in class or id, which may still hold the article.
+        self.marked = [False]
         # Events in page order: (element, text) and (element, None) at a block's edge.
         self.events: list[tuple[int, str | None]] = []
         open_elements = [0]
@@ -83,12 +89,18 @@ class Tree:
                     self.events.append((open_elements[-1], None))
             else:
                 attributes = match["attributes"] or match["attributes2"] or ""
-                junk = tag in BOILERPLATE or (attributes and self._marked(tag, attributes))
+                if attributes.endswith("/") and (tag in FOREIGN or any(
+                        self.tag[k] in FOREIGN for k in open_elements[-8:])):
+                    continue
+                hidden, marked = self._kind(tag, attributes) if attributes else (False, False)
+                junk = tag in BOILERPLATE or hidden
                 if tag == "header":  # an article's own head holds its title
                     junk = not any(self.tag[k] in ARTICLE for k in open_elements)
+                    marked = marked and junk
                 self.tag.append(tag)
                 self.parent.append(open_elements[-1])
-                self.junk.append(bool(junk))
+                self.junk.append(junk)
+                self.marked.append(marked)
                 open_elements.append(len(self.tag) - 1)
                 if tag in BLOCK:
                     self.events.append((open_elements[-1], None))
@@ -105,6 +117,14 @@ class Tree:
                 return  # an inline end does not close a block
 
     def _imply_ends(self, tag: str, open_elements: list[int]) -> None:
+        if tag in BLOCK and tag != "title":
+            for depth in range(len(open_elements) - 1, 0, -1):
+                name = self.tag[open_elements[depth]]
+                if name in FOREIGN:
+                    del open_elements[depth:]
+                    break
+                if name in BLOCK:
+                    break
         if tag in BLOCK:
             for depth in range(len(open_elements) - 1, 0, -1):
                 name = self.tag[open_elements[depth]]
@@ -125,19 +145,62 @@ class Tree:
                         break
 
     @staticmethod
-    def _marked(tag: str, attributes: str) -> bool:
+    def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
+        """Whether attributes hide an element or give it a role that is no article, and whether
+        they name boilerplate in its class or id."""
+        hidden = marked = False
         if tag in ("html", "body"):
-            return False
+            return hidden, marked
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-            if name == "role" and value in ROLES:
-                return True
-            if name in ("class", "id") and tag not in ARTICLE \
-                    and not WORDS.isdisjoint(_WORD.findall(value)):
-                return True
-        return False
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (
+                    name == "role" and value in ROLES):
+                hidden = True
+            if name in ("class", "id") and tag not in ARTICLE:
+                marked = marked or any(_names_boilerplate(v) for v in value.split())
+        return hidden, marked
+
+
+def _names_boilerplate(name: str) -> bool:
+    """Whether a class or id holds a word of boilerplate that is not only talked about."""
+    about = False
+    for word in _WORD.findall(name):
+        if word in WORDS and not about:
+            return True
+        about = word in ABOUT
+    return False
+
+
+def _junk(tree: Tree, points: list[float]) -> list[bool]:
+    """Elements that are dropped, with all they hold.
+
+    A marked container is dropped unless it holds an article or main element. If that leaves no
+    paragraph, the marked container with the most points outside other marked ones is taken back,
+    until one is left or there is none.
+    """
+    n, parent = len(tree.tag), tree.parent
+    holds = [t in ARTICLE and not j for t, j in zip(tree.tag, tree.junk)]
+    for k in range(n - 1, 0, -1):
+        holds[parent[k]] = holds[parent[k]] or holds[k]
+    marked = [m and not h for m, h in zip(tree.marked, holds)]
+    while True:
+        # The nearest marked element of each: itself, or that of its parent; -2 below junk.
+        owner, junk = [-1] * n, list(tree.junk)
+        for k in range(1, n):
+            owner[k] = k if marked[k] else owner[parent[k]]
+            junk[k] = junk[k] or marked[k] or junk[parent[k]]
+        hard = list(tree.junk)
+        by_owner: dict[int, float] = {}
+        for k in range(1, n):
+            hard[k] = hard[k] or hard[parent[k]]
+            if points[k] and not hard[k]:
+                by_owner[owner[k]] = by_owner.get(owner[k], 0.0) + points[k]
+        if -1 in by_owner or not by_owner:
+            return junk
+        back = max(by_owner, key=lambda k: (by_owner[k], -k))
+        while back > 0:  # with all that is around it
+            marked[back] = False
+            back = parent[back]
 
 
 def main_text(page: str | None) -> str:
@@ -147,39 +210,25 @@ def main_text(page: str | None) -> str:
     tree = Tree(page)
     n = len(tree.tag)
     parent, tag = tree.parent, tree.tag
-    junk, linked = list(tree.junk), [False] * n
-    for k in range(1, n):  # parents come before their children
-        junk[k] = junk[k] or junk[parent[k]]
-        linked[k] = linked[parent[k]] or tag[k] == "a"
-    length, links, commas = [0] * n, [0] * n, [0] * n
-    for k, text in tree.events:
-        if text is not None and not junk[k]:
-            size = len(text) if not text.isspace() else 0
-            length[k] += size
-            commas[k] += text.count(",") + text.count("、") + text.count("，")
-            if linked[k]:
-                links[k] += size
-    for k in range(n - 1, 0, -1):
-        length[parent[k]] += length[k]
-        links[parent[k]] += links[k]
-        commas[parent[k]] += commas[k]
+    points = _paragraph_points(tree, [False] * n)[0]
+    junk = _junk(tree, points)
+    points, length, links = _paragraph_points(tree, junk)
     score: dict[int, float] = {}
     for k in range(1, n):
-        if tag[k] in PARAGRAPHS and not junk[k] and length[k] >= 25:
-            points = 1 + commas[k] + min(length[k] / 100, 3)
+        if points[k] and not junk[k]:
             at = parent[k]
             for step in range(6):
                 if at < 0:
                     break
-                score[at] = score.get(at, 0) + points / (1 if step == 0 else 2 if step == 1
-                                                         else 3 * step)
+                score[at] = score.get(at, 0) + points[k] / (1 if step == 0 else 2 if step == 1
+                                                            else 3 * step)
                 at = parent[at]
     best, most = None, 0.0
-    for k, points in score.items():
-        points *= 1 - links[k] / max(1, length[k])
-        score[k] = points
-        if points > most and not junk[k]:
-            best, most = k, points
+    for k, value in score.items():
+        value *= 1 - links[k] / max(1, length[k])
+        score[k] = value
+        if value > most and not junk[k]:
+            best, most = k, value
     if best is None:  # no paragraph counts: the article if there is one, else all
         longest = max((k for k in range(1, n) if tag[k] in ARTICLE and not junk[k]),
                       key=lambda k: length[k], default=0)
@@ -201,24 +250,53 @@ def main_text(page: str | None) -> str:
     return "\n".join(block for block in out if block)
 
 
+def _paragraph_points(tree: Tree, junk: list[bool]) -> tuple[list[float], list[int], list[int]]:
+    """Points of paragraphs, length of text and of text in links of all elements, without junk."""
+    n, parent, tag = len(tree.tag), tree.parent, tree.tag
+    linked = [False] * n
+    for k in range(1, n):  # parents come before their children
+        linked[k] = linked[parent[k]] or tag[k] == "a"
+    length, links, commas = [0] * n, [0] * n, [0] * n
+    for k, text in tree.events:
+        if text is not None and not junk[k]:
+            size = len(text) if not text.isspace() else 0
+            length[k] += size
+            commas[k] += text.count(",") + text.count("、") + text.count("，")
+            if linked[k]:
+                links[k] += size
+    for k in range(n - 1, 0, -1):
+        length[parent[k]] += length[k]
+        links[parent[k]] += links[k]
+        commas[parent[k]] += commas[k]
+    points = [1 + commas[k] + min(length[k] / 100, 3)
+              if tag[k] in PARAGRAPHS and length[k] >= 25 else 0.0 for k in range(n)]
+    return points, length, links
+
+
 def _with_siblings(best, most, score, tree, junk, length, links) -> set[int]:
     """The best container, or the article around it, and siblings that look like its text."""
     tag, parent = tree.tag, tree.parent
-    at = best
+    core, at = best, best
     while at > 0:
         if tag[at] in ARTICLE:
-            return {at}
+            core = at
+            break
         at = parent[at]
-    keep = {best}
-    if tag[best] in ("#root", "html", "body"):
+    keep = {core}
+    if tag[core] in ("#root", "html", "body"):
         return keep
+    # What stands beside an article directly in the page need not belong to it, but another one.
+    around = tag[core] in ARTICLE and tag[parent[core]] in ("#root", "html", "body")
     for k in range(1, len(tag)):
-        if parent[k] != parent[best] or junk[k]:
+        if parent[k] != parent[core] or junk[k]:
             continue
         density = links[k] / max(1, length[k])
-        if score.get(k, 0) >= max(10, 0.2 * most) or (
-                tag[k] in PARAGRAPHS and length[k] and density < 0.25) or (
-                tag[k] in ("h1", "h2", "h3", "h4", "h5", "h6") and density < 0.5):
+        if tag[k] in ARTICLE and score.get(k, 0) > 0 and density < 0.25:
+            keep.add(k)
+        elif not around and (
+                score.get(k, 0) >= max(10, 0.2 * most) or (
+                    tag[k] in PARAGRAPHS and length[k] and density < 0.25) or (
+                    tag[k] in ("h1", "h2", "h3", "h4", "h5", "h6") and density < 0.5)):
             keep.add(k)
     return keep
 

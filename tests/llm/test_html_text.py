@@ -36,6 +36,34 @@ LONG = "This is a long sentence, with commas, that tells something about the mat
     (f"<div class=heading-address><p>{LONG}</p></div>", LONG),
     (f"<div class='cookie-notice'>{LONG}</div><article><p>{LONG}</p></article>", LONG),
     (f"<p title='a > b'>{LONG}</p>", LONG), (f'<p title="never closed>{LONG}</p>', LONG),
+    # Elements of other languages, closed by themselves, by a tag, or by the next block.
+    (f"<article><p>{LONG}</p><svg width=1 /><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><svg><title>x</title><path d=M0 /><text>y</text></svg><p>Two</p>",
+     f"{LONG}\nTwo"),
+    (f"<article><p>{LONG}</p><svg><path d=M0><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><object data=x><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><canvas id=c></canvas><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    (f"<article><p>{LONG} <math><mi>a</mi><mo>+</mo><mi>b</mi></math> end</p></article>",
+     f"{LONG} a+b end"),
+    (f"<article><p>{LONG} <label>so called</label> end</p></article>", f"{LONG} so called end"),
+    (f"<div><p>{LONG}</p></div><form><label>Name</label><input></form>", LONG),
+    # Containers named after what they hold beside the article.
+    (f"<div class='content has-sidebar'><p>{LONG}</p><div class=sidebar><p>{LONG}</p></div></div>",
+     LONG),
+    (f"<div id=post-with-comments><p>{LONG}</p><div class=comments><p>{LONG} {LONG}</p></div></div>",
+     LONG),
+    (f"<div class=page-header><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div class=widget><p>{LONG}</p></div>", LONG),
+    (f"<div class=widget><div class=social><p>{LONG}</p></div></div><div class=ad>x</div>", LONG),
+    (f"<div class='no-js post'><p>{LONG}</p></div><div class=promo><p>{LONG} {LONG}</p></div>", LONG),
+    # More than one article, and a title beside it.
+    (f"<main><article><p>{LONG}</p></article><article><p>Two: {LONG}</p></article></main>",
+     f"{LONG}\nTwo: {LONG}"),
+    (f"<body><article><p>{LONG}</p></article><article><p>Two: {LONG}</p></article><p>© me</p>",
+     f"{LONG}\nTwo: {LONG}"),
+    (f"<main><h1>Title</h1><article><p>{LONG}</p></article><ul class=related><li>x</ul></main>",
+     f"Title\n{LONG}"),
+    (f"<body><article><p>{LONG}</p></article><article><p><a href=x>{LONG}</a></p></article>", LONG),
     ("<article><pre>a  b\n c</pre></article>", "a b c"),
 ])
 def test_pages(page, text):
