@@ -49,7 +49,8 @@ def test_year_reaches_the_scan_and_columns_are_pruned(spark):
 
 
 @pytest.mark.parametrize("name", ["xyz4_class", "cor3_parent_model", "sea2_threshold",
-                                  "mod14_fitted_series", "sea9_extreme_days", "prm_group_months"])
+                                  "mod14_fitted_series", "sea9_extreme_days", "prm_group_months",
+                                  "sel3_ranges", "mod_any_span_fitted"])
 def test_facts_are_read_once(spark, name):
     plan = final(QUERIES[name](spark, SF_DIR))
     assert len(re.findall(r"FileScan parquet \[[^\]]*l_", plan)) == 1
