@@ -90,3 +90,17 @@ def test_odd_rows(spark):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, SF_DIR)
         assert empty.count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_key", "_v", "_n", "_spread", "_id", "_none", "d", "i", "n", "kept", "component_id"]
+    words = " ".join(f"word{k}" for k in range(30))
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t), *names) for i, t in [(1, words), (2, words), (2, words),
+                                                        (3, words + " more things")]],
+        SCHEMA + ", " + ", ".join(f"`{n}` string" for n in names))
+    for stage in (pipeline.drop_near_duplicates, pipeline.mask_secrets):
+        out = stage(spark, docs, SF_DIR)
+        assert out.dtypes == docs.dtypes
+        assert all(tuple(r)[5:] == tuple(names) for r in out.collect())
+    assert [r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect()] == [1]
