@@ -29,14 +29,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     verdict = minhash.near_duplicates(docs, width=5, percent=80)
     gone = verdict.filter(~F.col("kept")).select(
         F.col("doc_id").alias("_id"), F.lit(0).cast("long").alias("_none")).distinct()
-    # Rows without id are spread by their text; none of them is a repetition.
+    # Rows without id are spread by their text; none of them is a repetition. The document is one
+    # column meanwhile, so that its columns may have any name.
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
-    keyed = docs.withColumn("_spread", spread)
-    kept = keyed.join(gone, (keyed["doc_id"] == gone["_id"])
-                      & (keyed["_spread"] == gone["_none"]), "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_spread").orderBy("text"))
-    return (kept.withColumn("_n", first).filter((F.col("_n") == 1) | F.col("doc_id").isNull())
-            .select(*[f"`{c}`" for c in docs.columns]))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"),
+                        F.col("doc_id").alias("i"), spread.alias("spread"))
+    kept = keyed.join(gone, (keyed["i"] == gone["_id"]) & (keyed["spread"] == gone["_none"]),
+                      "left_anti")
+    first = F.row_number().over(Window.partitionBy("i", "spread").orderBy("d.text"))
+    return kept.withColumn("n", first).filter((F.col("n") == 1) | F.col("i").isNull()).select("d.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
