@@ -129,8 +129,10 @@ def near_duplicates(table: DataFrame, least: float = 0.98, vec_id: str = "vec_id
     # Copies of a vector act as one.
     classes = cut_lineage(points.groupBy("_label", "embedding").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    largest = classes.groupBy("_label").count().agg(F.max("count"), F.sum("count")).first()
-    most, n = largest[0] or 0, largest[1] or 0
+    largest = classes.groupBy("_label").agg(
+        F.count("*").alias("n"), F.max(F.size("embedding")).alias("widest")).agg(
+        F.max("n"), F.sum("n"), F.max("widest")).first()
+    most, n, widest = (value or 0 for value in largest)
     depth = min(DEEPEST, max(0, int(np.ceil(np.log2(max(1, most) / leaf)))))
     gap = float(np.sqrt(max(0.0, 2 - 2 * least)))
     if depth:
@@ -138,7 +140,8 @@ def near_duplicates(table: DataFrame, least: float = 0.98, vec_id: str = "vec_id
         rows = classes.filter(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < share * 1_000_000
                               ).select("rep", "embedding").collect()
         rows.sort()
-        sample = np.zeros((len(rows), max(len(r.embedding) for r in rows)))
+        # As wide as the longest vector of the table, which need not be in the sample.
+        sample = np.zeros((len(rows), widest))
         for k, row in enumerate(rows):
             sample[k, :len(row.embedding)] = row.embedding / np.linalg.norm(row.embedding)
         forest = plant(sample, depth, trees, gap)

@@ -66,6 +66,19 @@ def test_families_in_many_leaves(spark, monkeypatch, leaf, block):
     assert result(got) == brute_force(rows)
 
 
+def test_vectors_longer_than_any_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 40)
+    rng = np.random.default_rng(6)
+    points = [rng.standard_normal(8) for _ in range(160)] + [rng.standard_normal(3)
+                                                             for _ in range(30)]
+    points += family(rng, points[0], 5, 0.02) + family(rng, points[-1], 5, 0.02)
+    points += [rng.standard_normal(40)] * 2 + [rng.standard_normal(41)]
+    rows = [(i, [float(np.float32(x)) for x in p], 1) for i, p in enumerate(points)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(
+        [(*r, "x") for r in rows], COLUMNS), leaf=8)
+    assert result(got) == brute_force(rows)
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None),
@@ -81,6 +94,13 @@ def test_empty_table(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], COLUMNS)).count() == 0
 
 
+def test_whole_table_in_small_leaves(spark):
+    """Every label has trees."""
+    frame = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding, r.label) for r in frame.collect()]
+    assert result(embedding_dedup.near_duplicates(frame, leaf=8)) == brute_force(rows)
+
+
 def test_whole_table(spark):
     table = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()
     got = result(QUERIES["op7_embedding_dedup"](spark, SF_DIR))
