@@ -28,11 +28,12 @@ def tokenizer_path(name: str) -> str:
 
 
 def map_rows(df: DataFrame, function: Callable[[Iterator[list]], Iterable[tuple]],
-             schema: str, batch_rows: int = 4096) -> DataFrame:
+             schema: str, batch_rows: int = 4096, read_rows: int | None = None) -> DataFrame:
     """``df`` through a generator over its rows, in Arrow batches.
 
     ``function`` gets an iterator over the rows of a partition, each batch as a list of
-    columns (Python lists), and yields output rows as tuples.
+    columns (Python lists), and yields output rows as tuples. With ``read_rows`` at most so many
+    rows of a batch are Python objects at a time.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -40,7 +41,8 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[list]], Iterable[tuple]
 
     def run(batches):
         rows = []
-        source = ([column.to_pylist() for column in batch.columns] for batch in batches)
+        source = ([column.to_pylist() for column in part.columns] for batch in batches
+                  for part in _parts(batch, read_rows))
         for row in function(source):
             rows.append(row)
             if len(rows) >= batch_rows:
@@ -52,6 +54,11 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[list]], Iterable[tuple]
     return df.mapInArrow(run, schema)
 
 
+def _parts(batch: pa.RecordBatch, rows: int | None) -> Iterator[pa.RecordBatch]:
+    step = rows or max(1, batch.num_rows)
+    return (batch.slice(at, step) for at in range(0, max(1, batch.num_rows), step))
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows))
     return pa.RecordBatch.from_arrays(

@@ -5,14 +5,17 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonwise.llm.common import cut_lineage, map_rows
+from seasonwise.llm.common import map_rows, written
 from seasonwise.llm.units import PreTokens, Remembered
 
 # Pre-tokens whose counts every task holds: about 100 bytes each at most.
 HEAD = 131_072
 HEAD_CHARS = 32
 # Distinct units a task gathers before it passes their counts on.
-GATHERED = 300_000
+GATHERED = 150_000
+# Units whose counts a task remembers, and rows that are Python objects at a time.
+REMEMBERED = 200_000
+READ_ROWS = 512
 TAIL = 1 << 40
 
 
@@ -30,7 +33,6 @@ def pre_token_table(docs: DataFrame, file: str, text: str = "text") -> DataFrame
                     counts.update(words.units(value))
                 if len(counts) >= GATHERED:
                     yield from _pre_tokens(words, counts)
-                    counts.clear()
         yield from _pre_tokens(words, counts)
 
     def pieces(batches):
@@ -38,9 +40,11 @@ def pre_token_table(docs: DataFrame, file: str, text: str = "text") -> DataFrame
         for names, totals in batches:
             yield from zip(names, totals, words.pieces(names))
 
-    totals = (map_rows(docs.select(F.col(f"`{text}`")), count, "pre_token string, n long")
+    totals = (map_rows(docs.select(F.col(f"`{text}`")), count, "pre_token string, n long",
+                       read_rows=READ_ROWS)
               .groupBy("pre_token").agg(F.sum("n").alias("total")))
-    return map_rows(totals, pieces, "pre_token string, total long, n_pieces long")
+    return map_rows(totals, pieces, "pre_token string, total long, n_pieces long",
+                    read_rows=4096)
 
 
 def _most_frequent(table: DataFrame, most: int) -> DataFrame:
@@ -61,7 +65,8 @@ def _most_frequent(table: DataFrame, most: int) -> DataFrame:
 
 def _pre_tokens(words: PreTokens, units: Counter):
     totals = Counter()
-    for unit, n in units.items():
+    while units:  # each unit is given up once its pre-tokens are counted
+        unit, n = units.popitem()
         for word in words.of_unit(unit):
             totals[word] += n
     return totals.items()
@@ -78,7 +83,7 @@ def token_counts(docs: DataFrame, file: str = "word_bpe_49k.json", limit: int =
     """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                        F.col(f"`{text}`").alias("text"))
-    table = cut_lineage(pre_token_table(docs, file))
+    table = written(pre_token_table(docs, file), "pre-tokens")
     short = table.filter(F.length("pre_token") <= HEAD_CHARS)
     known = {r[0]: r[1] for r in _most_frequent(short, head).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(known)
@@ -91,7 +96,7 @@ def token_counts(docs: DataFrame, file: str = "word_bpe_49k.json", limit: int =
             value = sum(pieces.get(p, 0) for p in parts)
             return value + TAIL if any(p not in pieces for p in parts) else value
 
-        units = Remembered(look_up, 400_000)
+        units = Remembered(look_up, REMEMBERED)
         for ids, texts, keys in batches:
             for i, value, key in zip(ids, texts, keys):
                 found = words.units(value) if value else []
@@ -105,7 +110,7 @@ def token_counts(docs: DataFrame, file: str = "word_bpe_49k.json", limit: int =
 
     rows = map_rows(docs.withColumn("key", F.xxhash64("text")), per_document,
                     "doc_id long, key long, n_bytes long, n_tokens long, copies long, "
-                    "pre_token string, n long")
+                    "pre_token string, n long", read_rows=READ_ROWS)
     # A document's own row needs no partner; a name of its own keeps it off the hot null key.
     rows = rows.withColumn("pre_token", F.coalesce(
         "pre_token", F.concat(F.lit(" "), F.col("key").cast("string"))))

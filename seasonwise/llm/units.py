@@ -8,6 +8,7 @@ import array
 import json
 import re
 import sys
+from functools import cached_property
 
 from seasonwise.llm.common import tokenizer_path
 
@@ -113,12 +114,27 @@ class PreTokens:
                            rf"|[^\s{LETTERS}{NUMBERS}]+")
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(tokenizer_path(file))
+        self.file = file
         with open(tokenizer_path(file), encoding="utf-8") as handle:
             special = [t["content"] for t in json.load(handle)["added_tokens"]]
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")")
 
+    @cached_property
+    def library(self):
+        """The whole tokenizer, loaded when a task first counts pieces."""
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(tokenizer_path(self.file))
+
+    @cached_property
+    def rules(self):
+        """Its normalisation and cutting alone, without the vocabulary."""
+        from tokenizers import Tokenizer
+        with open(tokenizer_path(self.file), encoding="utf-8") as handle:
+            described = json.load(handle)
+        bare = {"type": "BPE", "vocab": {}, "merges": []}
+        return Tokenizer.from_str(json.dumps(described | {
+            "model": bare, "added_tokens": [], "post_processor": None}))
+
     @staticmethod
     def units(text: str) -> list[str]:
         """Runs without white space of Unicode."""
@@ -133,8 +149,8 @@ class PreTokens:
                     for p in ([part] if k % 2 else self.of_unit(part))]
         if LATIN.fullmatch(unit):
             return self.PRE_TOKEN.findall(unit.lower())
-        normal = self.library.normalizer.normalize_str(unit)
-        return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        normal = self.rules.normalizer.normalize_str(unit)
+        return [normal[a:b] for _, (a, b) in self.rules.pre_tokenizer.pre_tokenize_str(normal)]
 
     def pieces(self, pre_tokens: list[str]) -> list[int]:
         """Pieces of each pre-token by the library."""
