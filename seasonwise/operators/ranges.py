@@ -5,7 +5,7 @@ of its days. A range is the running total at its end minus the one before its st
 are read once, however many ranges are asked for.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasonwise.functions.dates import month_start
@@ -51,36 +51,32 @@ def range_totals(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
     open, a start after the end gives 0, an entity without sales has nulls. Many ranges may ask
     for one entity: both look-ups are salted.
     """
-    spans = blocks.groupBy(*ENTITY).agg(F.min("month_start").alias("_first"),
-                                        F.max("month_start").alias("_last"))
+    spans = blocks.groupBy(*ENTITY).agg(
+        F.max("month_start").alias("_last"),
+        F.max_by(F.get("upto", F.lit(30)), "month_start").alias("_u"),
+        F.max_by(F.get("days", F.lit(30)), "month_start").alias("_n"))
     columns = [F.col(f"`{c}`") for c in ranges.columns]
     asked = ranges.withColumn("_r", F.struct(*columns))
     salt = ["_r"]
     asked = salted_join(asked, spans, ENTITY, salt_by=salt, how="left")
-
-    def place(side: str, date: Column, open_month: Column, open_day: int):
-        """Month and day of a look-up; a month before the first one finds nothing."""
-        late = date >= F.add_months("_last", 1)
-        month = F.when(date.isNull(), open_month).when(late, F.col("_last")).otherwise(
-            month_start(date))
-        day = F.when(date.isNull(), open_day).when(late, 31).otherwise(F.dayofmonth(date))
-        return [month.alias(f"_m{side}"), day.cast("int").alias(f"_d{side}")]
-
-    before = F.date_sub("start_date", 1)
+    start, end, after = F.date_sub("start_date", 1), F.col("end_date"), F.add_months("_last", 1)
     asked = asked.select(
-        "_r", *ENTITY, "_first", *place("0", before, F.add_months("_first", -1), 31),
-        *place("1", F.col("end_date"), F.col("_last"), 31),
-        (F.col("start_date") > F.col("end_date")).alias("_empty"))
+        "_r", *ENTITY, "_last", "_u", "_n",
+        (F.col("start_date") > F.col("end_date")).alias("_empty"),
+        # A range that is open or ends after the last month takes all there is.
+        (start >= after).alias("_all0"), (end.isNull() | (end >= after)).alias("_all1"),
+        *[c for side, date in (("0", start), ("1", end)) for c in (
+            month_start(date).alias(f"_m{side}"), F.dayofmonth(date).alias(f"_d{side}"))])
     for side in "01":
         looked = blocks.select(*ENTITY, F.col("month_start").alias(f"_m{side}"),
                                F.col("upto").alias(f"_u{side}"), F.col("days").alias(f"_n{side}"))
         asked = salted_join(asked, looked, [*ENTITY, f"_m{side}"], salt_by=salt, how="left")
 
     def difference(values: str, none):
-        # Before the first month nothing has been sold.
-        ends = [F.coalesce(F.get(F.col(f"_{values}{side}"), F.col(f"_d{side}") - 1), none)
-                for side in "01"]
-        return F.when(F.col("_first").isNull(), None).when(F.col("_empty"), none).otherwise(
+        # Before the first month nothing has been sold, and a missing start is before it.
+        ends = [F.when(F.col(f"_all{side}"), F.col(f"_{values}")).otherwise(F.coalesce(
+            F.get(F.col(f"_{values}{side}"), F.col(f"_d{side}") - 1), none)) for side in "01"]
+        return F.when(F.col("_last").isNull(), None).when(F.col("_empty"), none).otherwise(
             ends[1] - ends[0])
 
     return asked.select(

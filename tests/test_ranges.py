@@ -9,7 +9,7 @@ from seasonwise.operators import ranges
 from tests.helpers import day
 
 DAYS = [("product", "1", "2020-01-31", 5.0), ("product", "1", "2020-02-01", 2.0),
-        ("product", "1", "2020-02-29", 0.0), ("product", "1", "2020-07-15", 7.0),
+        ("product", "1", "2020-02-29", 0.0), ("product", "1", "2020-07-15", 7.0), ("product", "1", "2020-07-20", -3.0),
         ("group", "g", "2021-12-31", 1.0)]
 
 
