@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -157,6 +159,23 @@ def test_clear_clusters_are_told_by_few_cells(spark):
     assert silhouette.rate(points, fit, (64,), most_cells=3) == {}
 
 
+def test_many_points_meet_many_cells_fast(spark):
+    """8,000 different points and some thousand cells, 12 dimensions."""
+    points, fit = fitted_points(spark, np.round(RNG.normal(0, 1, (8000, 12)) * 1e6))
+    start = time.perf_counter()
+    bounds = silhouette.rate(points, fit, (512,))
+    assert time.perf_counter() - start < 20
+    assert sorted(bounds) == [3, 4, 5, 6] and all(low <= high for low, high in bounds.values())
+
+
+@pytest.mark.parametrize("largest", [5, 3_000_000, 1 << 29])
+def test_nearest_rows(largest):
+    """Also of integers that doubles do not hold, and the first one on ties."""
+    x, centres = (RNG.integers(-largest, largest, (n, 3), endpoint=True) for n in (700, 300))
+    plain = [[sum((int(p) - int(q)) ** 2 for p, q in zip(a, b)) for b in centres] for a in x]
+    assert silhouette.nearest_rows(x, centres).tolist() == [d.index(min(d)) for d in plain]
+
+
 def test_best_and_certain():
     assert silhouette.best({}) is None and silhouette.certain({})
     assert silhouette.best({3: (0.1, 0.2), 4: (0.15, 0.15)}) == 3
