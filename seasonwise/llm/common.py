@@ -5,7 +5,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from seasonwise.session import cut_lineage, scratch_path
+from seasonwise.session import cut_lineage, written
 
 __all__ = ["read", "cut_lineage", "written", "map_rows", "tokenizer_path"]
 
@@ -14,13 +14,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a compressed table in the shared folder: cuts lineage like a checkpoint."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file; the same on every machine."""
     import public_tokenizers

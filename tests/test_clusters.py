@@ -192,3 +192,12 @@ def test_silhouette_of_given_labels(spark, fit, data):
     rated = vectors.join(fit.labels(5).withColumn("prediction", F.col("cluster").cast("double")),
                          "product_code")
     assert got.k == 5 and got.silhouette == pytest.approx(ClusteringEvaluator().evaluate(rated))
+
+
+def test_labels_do_not_read_the_facts_again(spark):
+    """Once fitted, labels come from the written points."""
+    made = clusters.monthly_profiles(clusters.product_months(sales(spark, 6)))
+    labels = clusters.fit_clusters(made, range(3, 4)).labels()
+    plan = labels._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan
+    assert [r["product_code"] for r in labels.orderBy("product_code").collect()] == [*range(1, 7)]
