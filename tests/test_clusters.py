@@ -201,3 +201,37 @@ def test_labels_do_not_read_the_facts_again(spark):
     plan = labels._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Window" not in plan
     assert [r["product_code"] for r in labels.orderBy("product_code").collect()] == [*range(1, 7)]
+
+
+def test_points_are_dealt_by_number(spark, monkeypatch):
+    """However few cores were known when the fit began, a task holds a bounded number of points."""
+    monkeypatch.setattr(clusters, "POINTS_PER_TASK", 2)
+    made = clusters.monthly_profiles(clusters.product_months(sales(spark, 40)))
+    fit = clusters.fit_clusters(made, range(3, 4), keep=True)
+    assert fit.points.rdd.getNumPartitions() >= 20
+    assert fit.labels().count() == 40
+    fit.release()
+
+
+@pytest.mark.parametrize("largest", [3, 3_000_000])
+def test_passes_find_the_nearest_centres_as_labels_do(spark, largest):
+    points = spark.createDataFrame(
+        [(i, [int(v) for v in row]) for i, row in
+         enumerate(RNG.integers(-largest, largest, (300, 3), endpoint=True))],
+        "id long, x array<bigint>").repartition(5)
+    centres = {k: [[int(v) for v in row] for row in
+                   RNG.integers(-largest, largest, (k, 3), endpoint=True)] for k in (3, 4)}
+    rows = kmeans.labelled(points, centres).withColumn("plain", F.array(*[
+        kmeans.nearest("x", vectors) for vectors in centres.values()])).collect()
+    assert len(rows) == 300 and all(r["ls"] == r["plain"] for r in rows)
+    sums = kmeans._sums(points, centres)
+    for at, k in enumerate(centres):
+        for c in range(k):
+            mine = [r["x"] for r in rows if r["ls"][at] == c]
+            assert sums[k, c] == [len(mine), *(sum(x[j] for x in mine) for j in range(3))]
+
+
+def test_distances_beyond_64_bits_are_refused():
+    far = np.array([[1 << 31, 0], [-(1 << 31), 1]])
+    with pytest.raises(OverflowError):
+        silhouette.nearest_rows(far, far)
