@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seasonwise.session import cut_lineage, written
 
-__all__ = ["read", "cut_lineage", "written", "map_rows", "tokenizer_path"]
+__all__ = ["read", "cut_lineage", "written", "map_rows", "map_columns", "tokenizer_path"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +47,23 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[list]], Iterable[tuple]
     return df.mapInArrow(run, schema)
 
 
+def map_columns(df: DataFrame, function: Callable[[Iterator[list]], Iterable[list]],
+                schema: str, read_rows: int | None = None) -> DataFrame:
+    """As ``map_rows``, but ``function`` yields batches: a list of values for every column."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        for columns in function([column.to_pylist() for column in part.columns]
+                                for batch in batches for part in _parts(batch, read_rows)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values, type=field.type) for values, field in zip(columns, arrow)],
+                schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def _parts(batch: pa.RecordBatch, rows: int | None) -> Iterator[pa.RecordBatch]:
     step = rows or max(1, batch.num_rows)
     return (batch.slice(at, step) for at in range(0, max(1, batch.num_rows), step))

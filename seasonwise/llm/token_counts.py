@@ -1,22 +1,24 @@
 """Token counts of documents from piece counts of distinct pre-tokens; no ids are made."""
 
 from collections import Counter
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonwise.llm.common import map_rows, written
+from seasonwise.llm.common import map_columns, written
 from seasonwise.llm.units import PreTokens, Remembered
 
 # Pre-tokens whose counts every task holds: about 100 bytes each at most.
 HEAD = 131_072
 HEAD_CHARS = 32
 # Distinct units a task gathers before it passes their counts on.
-GATHERED = 150_000
+GATHERED = 100_000
 # Units whose counts a task remembers, and rows that are Python objects at a time.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 READ_ROWS = 512
-TAIL = 1 << 40
+# Pre-tokens that are passed on at a time.
+GIVEN_ROWS = 4096
 
 
 def pre_token_table(docs: DataFrame, file: str, text: str = "text") -> DataFrame:
@@ -38,13 +40,13 @@ def pre_token_table(docs: DataFrame, file: str, text: str = "text") -> DataFrame
     def pieces(batches):
         words = PreTokens(file)
         for names, totals in batches:
-            yield from zip(names, totals, words.pieces(names))
+            yield names, totals, words.pieces(names)
 
-    totals = (map_rows(docs.select(F.col(f"`{text}`")), count, "pre_token string, n long",
-                       read_rows=READ_ROWS)
+    totals = (map_columns(docs.select(F.col(f"`{text}`")), count, "pre_token string, n long",
+                          read_rows=READ_ROWS)
               .groupBy("pre_token").agg(F.sum("n").alias("total")))
-    return map_rows(totals, pieces, "pre_token string, total long, n_pieces long",
-                    read_rows=4096)
+    return map_columns(totals, pieces, "pre_token string, total long, n_pieces long",
+                       read_rows=4096)
 
 
 def _most_frequent(table: DataFrame, most: int) -> DataFrame:
@@ -64,12 +66,15 @@ def _most_frequent(table: DataFrame, most: int) -> DataFrame:
 
 
 def _pre_tokens(words: PreTokens, units: Counter):
-    totals = Counter()
+    """Batches of the pre-tokens of ``units``, which is empty afterwards."""
+    totals, of_unit = {}, words.of_unit
     while units:  # each unit is given up once its pre-tokens are counted
         unit, n = units.popitem()
-        for word in words.of_unit(unit):
-            totals[word] += n
-    return totals.items()
+        for word in of_unit(unit):
+            totals[word] = totals.get(word, 0) + n
+    rows = iter(totals.items())
+    while part := list(islice(rows, GIVEN_ROWS)):
+        yield tuple(zip(*part))
 
 
 def token_counts(docs: DataFrame, file: str = "word_bpe_49k.json", limit: int = 2048,
@@ -92,28 +97,42 @@ def token_counts(docs: DataFrame, file: str = "word_bpe_49k.json", limit: int =
         words, pieces = PreTokens(file), shared.value
 
         def look_up(unit):
+            """Pieces of held pre-tokens, with the others if there are any, or one other alone."""
             parts = words.of_unit(unit)
+            if len(parts) == 1:
+                return pieces.get(parts[0], parts[0])
+            others = [p for p in parts if p not in pieces]
             value = sum(pieces.get(p, 0) for p in parts)
-            return value + TAIL if any(p not in pieces for p in parts) else value
+            return (value, others) if others else value
 
         units = Remembered(look_up, REMEMBERED)
         for ids, texts, keys in batches:
-            for i, value, key in zip(ids, texts, keys):
-                found = words.units(value) if value else []
-                total = sum(map(units.__getitem__, found))
-                yield i, key, len(value.encode()) if value else 0, total % TAIL, 1, None, None
-                if total >= TAIL:
-                    rare = Counter(p for unit in found if units[unit] >= TAIL
-                                   for p in words.of_unit(unit) if p not in pieces)
-                    for word, n in rare.items():
-                        yield i, key, 0, 0, 0, word, n
-
-    rows = map_rows(docs.withColumn("key", F.xxhash64("text")), per_document,
-                    "doc_id long, key long, n_bytes long, n_tokens long, copies long, "
-                    "pre_token string, n long", read_rows=READ_ROWS)
+            n_bytes, n_tokens, rare, times = [], [], [], []
+            for value in texts:
+                total, counts = 0, {None: 0}  # the first entry is that of the document itself
+                for found in map(units.__getitem__, words.units(value) if value else ()):
+                    if type(found) is int:
+                        total += found
+                    elif type(found) is str:
+                        counts[found] = counts.get(found, 0) + 1
+                    else:
+                        total += found[0]
+                        for p in found[1]:
+                            counts[p] = counts.get(p, 0) + 1
+                n_bytes.append(len(value.encode()) if value else 0)
+                n_tokens.append(total)
+                rare.append(list(counts))
+                times.append(list(counts.values()))
+            yield ids, keys, n_bytes, n_tokens, rare, times
+
+    rows = map_columns(docs.withColumn("key", F.xxhash64("text")), per_document,
+                       "doc_id long, key long, n_bytes long, n_tokens long, "
+                       "rare array<string>, times array<long>", read_rows=READ_ROWS)
     # A document's own row needs no partner; a name of its own keeps it off the hot null key.
-    rows = rows.withColumn("pre_token", F.coalesce(
-        "pre_token", F.concat(F.lit(" "), F.col("key").cast("string"))))
+    rows = rows.selectExpr("*", "posexplode(rare) AS (at, word)").selectExpr(
+        "doc_id", "key", "IF(at = 0, n_bytes, 0) AS n_bytes", "IF(at = 0, n_tokens, 0) AS n_tokens",
+        "IF(at = 0, 1, 0) AS copies", "IF(at = 0, NULL, times[at]) AS n",
+        "IF(at = 0, concat(' ', CAST(key AS STRING)), word) AS pre_token")
     joined = rows.join(table.select("pre_token", "n_pieces"), "pre_token", "left")
     sums = joined.groupBy("doc_id", "key").agg(
         F.sum("copies").alias("copies"), F.sum("n_bytes").alias("n_bytes"),

@@ -144,6 +144,8 @@ class PreTokens:
 
     def of_unit(self, unit: str) -> list[str]:
         """Normalised pre-tokens of a unit; a special string is a pre-token of its own."""
+        if unit.isascii() and unit.isalpha():
+            return [unit if unit.islower() else unit.lower()]
         if "<|" in unit and self.special.search(unit):
             return [p for k, part in enumerate(self.special.split(unit)) if part
                     for p in ([part] if k % 2 else self.of_unit(part))]

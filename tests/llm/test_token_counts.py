@@ -42,3 +42,26 @@ def test_whole_table(spark, library):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     got = {r.doc_id: r.n_tokens for r in QUERIES["op9_token_counts"](spark, SF_DIR).collect()}
     assert got == {i: expected(library, t) for i, t in docs.items()}
+
+
+def test_rare_words_leave_a_task_in_the_row_of_their_document(spark, library):
+    """Of all documents, tasks give one row each; words are told apart by Spark."""
+    texts = ["Alpha beta, beta gamma", "delta-delta x", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted = token_counts(docs, head=0)
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(rare" in plan
+    assert {r.doc_id: r.n_tokens for r in counted.collect()} == \
+        {i: expected(library, t) for i, t in enumerate(texts)}
+
+
+def test_pre_tokens_are_given_in_batches():
+    from collections import Counter
+
+    from seasonwise.llm.token_counts import GIVEN_ROWS, _pre_tokens
+    from seasonwise.llm.units import PreTokens
+    units = Counter({f"w{chr(97 + i % 26)}{i}": 2 for i in range(GIVEN_ROWS)}) + Counter(["Ab", "ab"])
+    given = list(_pre_tokens(PreTokens("word_bpe_49k.json"), units))
+    assert not units and all(len(names) == len(ns) <= GIVEN_ROWS for names, ns in given)
+    totals = {w: n for names, ns in given for w, n in zip(names, ns)}
+    assert totals["ab"] == 2 and totals["wa"] == 2 * len(range(0, GIVEN_ROWS, 26))
