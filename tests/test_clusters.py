@@ -235,3 +235,21 @@ def test_distances_beyond_64_bits_are_refused():
     far = np.array([[1 << 31, 0], [-(1 << 31), 1]])
     with pytest.raises(OverflowError):
         silhouette.nearest_rows(far, far)
+
+
+@pytest.mark.parametrize("points, cores", [(0, 8), (1000, 8), (60_000, 12), (360_000, 12), (5, 1)])
+def test_tasks_fill_whole_rounds_of_all_cores(points, cores):
+    parts = clusters.tasks(points, cores)
+    assert parts % cores == 0 and points <= parts * clusters.POINTS_PER_TASK
+    assert parts == cores or points > (parts - cores) * clusters.POINTS_PER_TASK
+
+
+def test_labels_of_all_k_are_found_in_one_pass(spark, fit):
+    labels = fit.all_labels()
+    plan = labels._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("MapInArrow") == 1
+    assert labels.dtypes == [("product_code", "bigint"), ("cluster", "int"), ("k", "int")]
+    for k in fit.fit.centres:
+        assert rows_of(labels.filter(F.col("k") == k), "product_code", "cluster") == \
+            rows_of(fit.labels(k), "product_code", "cluster")
+    assert labels.count() == 30 * len(fit.fit.centres)
