@@ -12,6 +12,7 @@ the weights of the partitions are averaged by the number of positions.
 """
 
 import hashlib
+import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonwise.llm.common import map_rows, written
+from seasonwise.llm.common import map_columns, map_rows, written
 from seasonwise.llm.units import Remembered
 
 GROUPS, IN_GROUP = 64, 128
@@ -31,6 +32,8 @@ PAD = SIZE
 GATHERED = 300_000
 HELD = 131_072  # counted words that every task holds; rarer ones are joined
 LONG = 64
+CACHED, MOVED = 2048, 16_384  # rows of logits, weights: they stay in the cache of a core
+SAFE = 60.0  # exponentials of logits up to here need no shift
 
 
 @dataclass
@@ -64,16 +67,20 @@ def vocabulary(docs: DataFrame, text: str = "text", held: int = HELD) -> Vocabul
     has ``max(n, 1)`` in ``1 + all tokens of the class`` (the one is for all unseen words)."""
     def count(batches):
         counts = Counter()
+
+        def gathered():
+            return [[_key(w) for w in counts], [_ending(w) for w in counts], list(counts.values())]
+
         for (texts,) in batches:
             for value in texts:
                 if value:
                     counts.update(value.lower().split())
                 if len(counts) > GATHERED:
-                    yield from ((_key(w), _ending(w), n) for w, n in counts.items())
+                    yield gathered()
                     counts.clear()
-        yield from ((_key(w), _ending(w), n) for w, n in counts.items())
+        yield gathered()
 
-    totals = map_rows(docs.select(F.col(f"`{text}`")), count, "word string, ending int, n long")
+    totals = map_columns(docs.select(F.col(f"`{text}`")), count, "word string, ending int, n long")
     counts = written(totals.groupBy("word", "ending").agg(F.sum("n").alias("n")), "words")
     tokens = np.zeros(ENDINGS)
     for r in counts.groupBy("ending").agg(F.sum("n").alias("n")).collect():
@@ -111,7 +118,44 @@ def token_ids(words: dict[str, int]) -> Remembered:
     def find(word):
         known = words.get(_key(word))
         return SIZE - ENDINGS + _ending(word) if known is None else known
-    return Remembered(find, 200_000)
+    found = Remembered(find, 200_000 + len(words))
+    found.update(words)
+    return found
+
+
+def encoded(docs: DataFrame, known: Vocabulary, doc_id: str = "doc_id",
+            text: str = "text") -> DataFrame:
+    """``row, doc_id, h, ids, rare, times``: ids of all words of every text, four bytes each.
+
+    ``h`` is a hash of the document's key and length. ``rare`` has the different words of the
+    text that share a class and are not held, ``times`` how often each occurs, where some of them
+    are to be joined.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(known.words)
+    joined_rest = known.rest is not None
+
+    def run(batches):
+        of_word, first = token_ids(shared.value), SIZE - ENDINGS
+        for rows, keys, hashes, texts in batches:
+            found, rare, times = [], [], []
+            for value in texts:
+                split = value.lower().split() if value else []
+                ids = np.fromiter(map(of_word.__getitem__, split), np.int32, len(split))
+                places = np.flatnonzero((ids >= first) & (ids < SIZE)) if joined_rest else ids[:0]
+                counts = Counter([split[k] for k in places.tolist()])
+                found.append(ids.tobytes())
+                rare.append([_key(word) for word in counts])
+                times.append(list(counts.values()))
+            yield rows, keys, hashes, found, rare, times
+
+    value = F.col(f"`{text}`")
+    return map_columns(
+        docs.select(F.monotonically_increasing_id().alias("row"),
+                    F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
+                    F.xxhash64(F.col(f"`{doc_id}`"), F.length(value)).alias("h"),
+                    value.alias("text")),
+        run, "row long, doc_id long, h long, ids binary, rare array<string>, times array<long>",
+        read_rows=1024)
 
 
 @dataclass
@@ -180,37 +224,74 @@ class Network:
                 [weights, np.zeros((HIDDEN, 1)), weights[:, more]], axis=1)],
             [*self.within_bias[:-1], np.concatenate([bias, [-np.inf], extra])])
 
-    def log_probabilities(self, ids: np.ndarray, block: int = 16_384) -> np.ndarray:
+    def tables(self) -> list[np.ndarray]:
+        """What a token adds to the hidden values from each side."""
+        return [self.embed @ self.into[k * WIDTH:(k + 1) * WIDTH] for k in range(len(SIDES))]
+
+    def log_probabilities(self, ids: np.ndarray, block: int = 16_384,
+                          tables: list[np.ndarray] | None = None) -> np.ndarray:
         """Conditional log-probability of every token, from both sides.
 
-        Padding between documents keeps them apart; its own values mean nothing.
+        Padding between documents keeps them apart; its own values mean nothing. ``tables`` spares
+        making them anew.
         """
         padded = np.concatenate([[PAD] * 2, ids, [PAD] * 2])
-        tables = [self.embed @ self.into[k * WIDTH:(k + 1) * WIDTH] for k in range(len(SIDES))]
+        tables = tables or self.tables()
         out = np.empty(len(ids), dtype=np.float32)
         for at in range(0, len(ids), block):
             n = min(block, len(ids) - at)
+            order, target, ends = _by_group(np.minimum(ids[at:at + n], SIZE - 1))
             hidden = np.tile(self.bias, (n, 1))
             for table, side in zip(tables, SIDES):
-                hidden += table[padded[at + 2 + side:at + 2 + side + n]]
-            hidden = np.tanh(hidden)
-            target = np.minimum(ids[at:at + n], SIZE - 1)
+                hidden += np.take(table, padded[at + 2 + side:at + 2 + side + n][order], axis=0)
+            np.tanh(hidden, out=hidden)
             group, inside = target // IN_GROUP, target % IN_GROUP
-            part = _chosen_log_softmax(hidden @ self.group + self.group_bias, group)
-            order = np.argsort(group, kind="stable")
-            ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
+            part = np.empty(n, np.float32)
+            for rows in _slices(0, n):
+                part[rows] = _chosen_log_softmax(
+                    hidden[rows] @ self.group + self.group_bias, group[rows])
             for g in range(GROUPS):
-                own = order[ends[g]:ends[g + 1]]
-                if len(own):
-                    part[own] += _chosen_log_softmax(
-                        hidden[own] @ self.within[g] + self.within_bias[g], inside[own])
-            out[at:at + n] = part
+                for rows in _slices(ends[g], ends[g + 1]):
+                    part[rows] += _chosen_log_softmax(
+                        hidden[rows] @ self.within[g] + self.within_bias[g], inside[rows])
+            out[at + order] = part
         return out
 
 
+def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """An order in which the targets of a group stand together, they in it, and the groups' ends."""
+    group = (target // IN_GROUP).astype(np.uint8)  # sorted by digits
+    order = np.argsort(group, kind="stable")
+    return order, target[order], [0, *np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()]
+
+
+def _slices(start: int, end: int) -> list[slice]:
+    return [slice(at, min(at + CACHED, end)) for at in range(start, end, CACHED)]
+
+
+def _centred(logits: np.ndarray) -> np.ndarray:
+    """Less the row's largest where exponentials could leave the range of single precision."""
+    if not (logits.size and logits.min() > -SAFE and logits.max() < SAFE):
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
+
+
+def _exponentials(logits: np.ndarray) -> np.ndarray:
+    """Sums of the exponentials by row; ``logits`` become the exponentials."""
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], logits.dtype)
+
+
 def _chosen_log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    return logits[np.arange(len(logits)), chosen] - np.log(np.exp(logits).sum(axis=1))
+    picked = _centred(logits)[np.arange(len(logits)), chosen]
+    return picked - np.log(_exponentials(logits))
+
+
+def _slopes(logits: np.ndarray, chosen: np.ndarray, n: int) -> np.ndarray:
+    """Softmax less one at the chosen places, by ``n``: ``logits`` times the factor of the row."""
+    total = _exponentials(_centred(logits))
+    logits[np.arange(len(logits)), chosen] -= total
+    return 1 / (total * np.float32(n))
 
 
 class Trainer:
@@ -220,13 +301,22 @@ class Trainer:
         self.network, self.rate, self.batch = Network(*[a.copy() for a in network.arrays()]), rate, batch
         self.squares = [np.full(a.shape, damping, np.float32) for a in network.arrays()]
         self.held_context, self.held_target, self.held, self.seen = [], [], 0, 0
+        self.room = {}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that every step takes again: new ones cost about as much as the products."""
+        size = math.prod(shape)
+        if name not in self.room or self.room[name].size < size:
+            self.room[name] = np.empty(size, np.float32)
+        return self.room[name][:size].reshape(shape)
 
     def add(self, ids: np.ndarray, stride: int, offset: int) -> None:
         """Positions ``offset, offset + stride, ...`` of a document as targets."""
         at = np.arange(offset % stride, len(ids), stride)
         if not len(at):
             return
-        padded = np.concatenate([[PAD] * 2, ids, [PAD] * 2])
+        gap = np.full(2, PAD, np.int16)
+        padded = np.concatenate([gap, ids, gap])
         self.held_context.append(np.stack([padded[at + 2 + s] for s in SIDES], axis=1))
         self.held_target.append(ids[at])
         self.held += len(at)
@@ -248,43 +338,71 @@ class Trainer:
     def _step(self, context: np.ndarray, target: np.ndarray) -> None:
         net, n = self.network, len(target)
         self.seen += n
-        x = net.embed[context].reshape(n, -1)
-        hidden = np.tanh(x @ net.into + net.bias)
-        group, inside = target // IN_GROUP, target % IN_GROUP
-        slope = _softmax(hidden @ net.group + net.group_bias)
-        slope[np.arange(n), group] -= 1
-        d_hidden = slope @ net.group.T
-        d_within, d_within_bias = np.zeros_like(net.within), np.zeros_like(net.within_bias)
-        for g in np.unique(group):
-            own = np.flatnonzero(group == g)
-            part = _softmax(hidden[own] @ net.within[g] + net.within_bias[g])
-            part[np.arange(len(own)), inside[own]] -= 1
-            d_within[g], d_within_bias[g] = hidden[own].T @ part, part.sum(axis=0)
-            d_hidden[own] += part @ net.within[g].T
-        d_z = d_hidden * (1 - hidden ** 2)
+        order, target, ends = _by_group(target)
+        context = context[order].ravel().astype(np.uint16)  # sorted by digits below
+        x = np.take(net.embed, context, axis=0, mode="clip",
+                    out=self._room("x", context.size, WIDTH)).reshape(n, -1)
+        hidden = np.matmul(x, net.into, out=self._room("hidden", n, HIDDEN))
+        hidden += net.bias
+        np.tanh(hidden, out=hidden)
+        slope = np.matmul(hidden, net.group, out=self._room("slope", n, GROUPS))
+        slope += net.group_bias
+        # Rows of slopes lack a factor each, which the narrower sides of the products get.
+        factor = _slopes(slope, target // IN_GROUP, n)
+        d_hidden = np.matmul(slope, net.group.T, out=self._room("d_hidden", n, HIDDEN))
+        d_hidden *= factor[:, None]
+        scaled = np.multiply(hidden, factor[:, None], out=self._room("scaled", n, HIDDEN))
+        d_group, d_group_bias = scaled.T @ slope, factor @ slope
+        part, more = self._room("part", n, IN_GROUP), self._room("more", n, HIDDEN)
+        groups = [(g, slice(ends[g], ends[g + 1])) for g in range(GROUPS) if ends[g] < ends[g + 1]]
+        for g, own in groups:
+            np.matmul(hidden[own], net.within[g], out=part[own])
+            part[own] += net.within_bias[g]
+        factor = _slopes(part, target % IN_GROUP, n)
+        np.multiply(hidden, factor[:, None], out=scaled)
+        d_within = self._room("d_within", *net.within.shape)
+        d_within_bias = np.zeros_like(net.within_bias)
+        d_within.fill(0)
+        for g, own in groups:
+            np.matmul(scaled[own].T, part[own], out=d_within[g])
+            np.matmul(factor[own], part[own], out=d_within_bias[g])
+            np.matmul(part[own], net.within[g].T, out=more[own])
+        more *= factor[:, None]
+        d_hidden += more
+        hidden *= hidden
+        d_z = np.multiply(d_hidden, np.subtract(1, hidden, out=hidden), out=d_hidden)
         # Embeddings in the batch only: the others have no slope.
-        order = np.argsort(context, axis=None, kind="stable")
-        rows, starts = np.unique(context.ravel()[order], return_index=True)
-        d_embed = np.add.reduceat((d_z @ net.into.T).reshape(-1, WIDTH)[order], starts) / n
-        self.squares[0][rows] += d_embed ** 2
-        net.embed[rows] -= self.rate * d_embed / np.sqrt(self.squares[0][rows])
-        slopes = [x.T @ d_z, d_z.sum(axis=0), hidden.T @ slope, slope.sum(axis=0),
-                  d_within, d_within_bias]
+        d_x = np.matmul(d_z, net.into.T, out=self._room("d_x", n, x.shape[1]))
+        order = np.argsort(context, kind="stable")
+        sorted_context = context[order]
+        starts = np.flatnonzero(np.diff(sorted_context, prepend=sorted_context[0] ^ 1))
+        rows = sorted_context[starts]
+        d_embed = np.add.reduceat(np.take(d_x.reshape(-1, WIDTH), order, axis=0, mode="clip",
+                                          out=self._room("d_embed", context.size, WIDTH)), starts)
+        squares = self.squares[0][rows] + d_embed ** 2
+        self.squares[0][rows] = squares
+        net.embed[rows] -= self.rate * d_embed / np.sqrt(squares)
+        slopes = [x.T @ d_z, d_z.sum(axis=0), d_group, d_group_bias, d_within, d_within_bias]
         for value, gradient, square in zip(net.arrays()[1:], slopes, self.squares[1:]):
-            gradient /= n
-            square += gradient ** 2
-            value -= self.rate * gradient / np.sqrt(square)
+            _move(value.reshape(-1), gradient.reshape(-1), square.reshape(-1), self.rate)
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    out = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return out / out.sum(axis=1, keepdims=True)
+def _move(value: np.ndarray, gradient: np.ndarray, square: np.ndarray, rate: float) -> None:
+    for at in range(0, len(value), MOVED):
+        some = slice(at, at + MOVED)
+        step = gradient[some] * gradient[some]
+        square[some] += step
+        np.sqrt(square[some], out=step)
+        np.divide(gradient[some], step, out=step)
+        step *= np.float32(rate)
+        value[some] -= step
 
 
 @dataclass
 class Model:
     vocabulary: Vocabulary
     classes: Network  # over the ids of the network
+    rows: DataFrame | None = None  # what was learned from, as ``encoded``
 
     @property
     def words(self) -> dict[str, int]:
@@ -295,11 +413,6 @@ class Model:
         return self.classes.of_words(self.vocabulary)
 
 
-def _ids(text: str | None, of_word) -> np.ndarray:
-    return np.fromiter(map(of_word.__getitem__, text.lower().split()), dtype=np.int64) \
-        if text else np.empty(0, np.int64)
-
-
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 2000,
         stride: int = 1, passes: int = 3) -> Model:
     """A model of all documents.
@@ -309,34 +422,31 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
     ``stride``, every so many-th; the first one changes from document to document); the results
     are averaged.
     """
-    chosen = docs.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{doc_id}`"),
-                                                                        F.length(F.col(f"`{text}`"))).alias("h"))
-    known = vocabulary(chosen, "text")
-    shared_words = docs.sparkSession.sparkContext.broadcast((known.words, known.outputs))
-    total = chosen.count()
-    share = min(1.0, sample / max(1, total))
-
-    def encode(batches):
-        of_word, outputs = token_ids(shared_words.value[0]), shared_words.value[1]
-        for hashes, texts in batches:
-            for h, value in zip(hashes, texts):
-                yield h, outputs[_ids(value, of_word)].astype(np.int16).tobytes()
-
-    first = chosen.filter(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).select("h", "text")
-    rows = sorted((r.h, bytes(r.ids)) for r in map_rows(first, encode, "h long, ids binary").collect())
+    known = vocabulary(docs, text)
+    rows = written(encoded(docs, known, doc_id, text), "ids")
+    return Model(known, _trained(rows.select("h", "ids"), known, sample, stride, passes), rows)
+
+
+def _trained(rows: DataFrame, known: Vocabulary, sample: int, stride: int, passes: int) -> Network:
+    """The network of ``fit`` from ``h, ids``, which are read twice."""
+    context = rows.sparkSession.sparkContext
+    outputs = known.outputs.astype(np.int16)
+    share = min(1.0, sample / max(1, rows.count()))
+    first = sorted((r.h, outputs[np.frombuffer(r.ids, np.int32)].tobytes()) for r in rows.filter(
+        F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).collect())
     trainer = Trainer(Network.fresh().started(known.totals), damping=1e-6)
     for turn in range(passes):
-        for h, data in rows:
-            trainer.add(np.frombuffer(data, np.int16).astype(np.int64), 4, (h + turn) % 4)
+        for h, data in first:
+            trainer.add(np.frombuffer(data, np.int16), 4, (h + turn) % 4)
     trainer.flush()
-    start = docs.sparkSession.sparkContext.broadcast(trainer.network)
+    start, shared_outputs = context.broadcast(trainer.network), context.broadcast(outputs)
 
     def train(batches):
-        of_word, outputs = token_ids(shared_words.value[0]), shared_words.value[1]
+        outputs = shared_outputs.value
         local = Trainer(start.value, rate=0.02, batch=4096, damping=1e-6)
         for hashes, texts in batches:
-            for h, value in zip(hashes, texts):
-                local.add(outputs[_ids(value, of_word)], stride, h % stride)
+            for h, ids in zip(hashes, texts):
+                local.add(outputs[np.frombuffer(ids, np.int32)], stride, h % stride)
         local.flush()
         if local.seen:
             weights = local.network.flat()
@@ -352,62 +462,58 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
         for k, total_sum in sums.items():
             yield k, (total_sum / counts[k]).astype(np.float32).tobytes()
 
-    trained = map_rows(chosen.select("h", "text"), train, "part int, seen long, weights binary",
-                       batch_rows=16)
-    averaged = map_rows(trained.repartition(16, "part"), average, "part int, weights binary")
+    locally = map_rows(rows, train, "part int, seen long, weights binary", batch_rows=16)
+    averaged = map_rows(locally.repartition(16, "part"), average, "part int, weights binary")
     parts = sorted((r.part, bytes(r.weights)) for r in averaged.collect())
     network = trainer.network
     if parts:
         network = network.with_flat(np.concatenate(
             [np.frombuffer(data, np.float32) for _, data in parts]))
-    return Model(known, network)
+    return network
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text",
+          rows: DataFrame | None = None) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, mean_log_prob, perplexity`` of every whole text.
 
     Null, empty and blank texts have no tokens, a sum of 0 and null means. Repeated rows each
-    get a row; other columns are not looked at; an empty table gives no rows.
+    get a row; other columns are not looked at; an empty table gives no rows. With ``rows``, these
+    documents as ``encoded`` (``model.rows`` of those it learned from), no word is looked up again.
     """
     known = model.vocabulary
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (known.words, known.outputs, known.shares, model.classes))
-    joined_rest = known.rest is not None
+    if rows is None:
+        rows = encoded(docs, known, doc_id, text)
+        rows = rows if known.rest is None else written(rows, "ids")  # read twice then
+    shared = rows.sparkSession.sparkContext.broadcast((known.outputs, known.shares, model.classes))
 
     def run(batches):
-        words, outputs, shares, network = shared.value
-        of_word, first = token_ids(words), SIZE - ENDINGS
-        for rows, keys, texts in batches:
-            ids = [_ids(value, of_word) for value in texts]
-            # Documents one after the other, padded apart: one pass for the batch.
-            gap = np.full(2, PAD)
-            for at in range(0, len(ids), 64):
-                some = ids[at:at + 64]
-                joined = np.concatenate([part for one in some for part in (one, gap)])
-                found = network.log_probabilities(outputs[joined]) + shares[joined]
+        outputs, shares, network = shared.value
+        tables, gap = network.tables(), np.full(2, PAD)
+        for numbers, keys, texts in batches:
+            # Documents one after the other, padded apart: one pass for some of them.
+            for at in range(0, len(numbers), 64):
+                ids = [np.frombuffer(data, np.int32) for data in texts[at:at + 64]]
+                joined = np.concatenate([part for one in ids for part in (one, gap)])
+                found = network.log_probabilities(outputs[joined], tables=tables) + shares[joined]
                 end = 0
-                for k, one in enumerate(some, at):
+                for k, one in enumerate(ids, at):
                     total = float(found[end:end + len(one)].sum(dtype=np.float64))
                     end += len(one) + 2
-                    # A blank keeps the row's own entry from any word, and rows apart.
-                    yield rows[k], keys[k], len(one), total, f" {rows[k]}", 0
-                    rare = (one >= first) & (one < SIZE) if joined_rest else None
-                    if joined_rest and rare.any():
-                        split = texts[k].lower().split()
-                        for word, n in Counter(split[j] for j in np.flatnonzero(rare)).items():
-                            yield rows[k], None, None, None, _key(word), n
-
-    chosen = docs.select(F.monotonically_increasing_id().alias("row"),
-                         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
-                         F.col(f"`{text}`").alias("text"))
-    scored = map_rows(chosen, run, "row long, doc_id long, n_tokens long, log_likelihood double, "
-                                   "word string, times long")
-    if joined_rest:
+                    yield numbers[k], keys[k], len(one), total
+
+    sums = map_rows(rows.select("row", "doc_id", "ids"), run,
+                    "row long, doc_id long, n_tokens long, log_likelihood double")
+    if known.rest is not None:
         # Words seen n times, not held: the class's share of a single word, times n.
-        share = F.coalesce("log_likelihood", F.col("times") * F.log(F.coalesce("n", F.lit(1))))
-        scored = scored.join(known.rest, "word", "left").groupBy("row").agg(
+        more = (rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w"))
+                .select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
+                .join(known.rest, "word").select(
+                    "row", F.lit(None).cast("long").alias("doc_id"),
+                    F.lit(None).cast("long").alias("n_tokens"),
+                    (F.col("times") * F.log("n")).alias("log_likelihood")))
+        sums = sums.unionByName(more).groupBy("row").agg(
             F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
-            F.sum(share).alias("log_likelihood"))
+            F.sum("log_likelihood").alias("log_likelihood"))
     mean = F.col("log_likelihood") / F.nullif("n_tokens", F.lit(0))
-    return scored.select("doc_id", "n_tokens", "log_likelihood", mean.alias("mean_log_prob"),
-                         F.when(mean.isNotNull(), F.exp(F.least(-mean, F.lit(700.0)))).alias("perplexity"))
+    return sums.select("doc_id", "n_tokens", "log_likelihood", mean.alias("mean_log_prob"),
+                       F.when(mean.isNotNull(), F.exp(F.least(-mean, F.lit(700.0)))).alias("perplexity"))

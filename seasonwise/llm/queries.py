@@ -106,7 +106,8 @@ def op6_secrets(spark, sf_dir):
 @query
 def op5_pseudo_likelihood(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs))
+    model = pseudo_likelihood.fit(docs)
+    return pseudo_likelihood.score(docs, model, rows=model.rows)
 
 
 @query

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from seasonwise.llm import pseudo_likelihood as pl
 from seasonwise.llm.queries import QUERIES
@@ -150,3 +151,71 @@ def test_every_position_is_a_target(spark, monkeypatch):
     pl.fit(docs)
     trained = next(frame for schema, frame in frames if "seen" in schema)
     assert sum(r.seen for r in trained.filter("part = 0").collect()) == 120
+
+
+def plain_step(net, squares, context, target, rate):
+    """A step as its formulas say, with shifted exponentials and every product by itself."""
+    n, at = len(target), np.arange(len(target))
+
+    def softmax(logits):
+        out = np.exp(logits - logits.max(axis=1, keepdims=True))
+        return out / out.sum(axis=1, keepdims=True)
+
+    x = net.embed[context].reshape(n, -1)
+    hidden = np.tanh(x @ net.into + net.bias)
+    group, inside = target // pl.IN_GROUP, target % pl.IN_GROUP
+    slope = softmax(hidden @ net.group + net.group_bias)
+    slope[at, group] -= 1
+    d_hidden, d_within = slope @ net.group.T, np.zeros_like(net.within)
+    d_within_bias = np.zeros_like(net.within_bias)
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        part = softmax(hidden[own] @ net.within[g] + net.within_bias[g])
+        part[np.arange(len(own)), inside[own]] -= 1
+        d_within[g], d_within_bias[g] = hidden[own].T @ part, part.sum(axis=0)
+        d_hidden[own] += part @ net.within[g].T
+    d_z = d_hidden * (1 - hidden ** 2)
+    d_embed = np.zeros_like(net.embed)
+    np.add.at(d_embed, context.ravel(), (d_z @ net.into.T).reshape(-1, pl.WIDTH))
+    for value, gradient, square in zip(net.arrays(), [
+            d_embed, x.T @ d_z, d_z.sum(axis=0), hidden.T @ slope, slope.sum(axis=0), d_within,
+            d_within_bias], squares):
+        square += (gradient / n) ** 2
+        value -= rate * gradient / n / np.sqrt(square)
+
+
+@pytest.mark.parametrize("scale", [1, 60])
+def test_steps_are_those_of_the_formulas(scale):
+    """Also of logits that exponentials cannot hold, and when a smaller batch follows."""
+    rng, start = np.random.default_rng(3), pl.Network.fresh()
+    start.within *= scale
+    trainer = pl.Trainer(start, rate=0.02)
+    plain = start.with_flat(start.flat().astype(np.float64))
+    plain = pl.Network(*[a.astype(np.float64) for a in plain.arrays()])
+    squares = [np.full(a.shape, 1e-2) for a in plain.arrays()]
+    for n in (700, 700, 9):
+        context = rng.integers(0, pl.SIZE + 1, (n, 4))
+        target = np.minimum(rng.zipf(1.3, n) - 1, pl.SIZE - 1)
+        trainer._step(context.astype(np.int16), target.astype(np.int16))
+        plain_step(plain, squares, context, target, 0.02)
+    for got, want in zip(trainer.network.arrays(), plain.arrays()):
+        assert np.allclose(got, want, atol=2e-4 * scale)
+
+
+def test_words_are_looked_up_once(spark, monkeypatch):
+    """Training and scoring share the ids; results are those of scoring by itself."""
+    docs = spark.createDataFrame([(i, f"a b w{i % 7} once{i}") for i in range(40)] + [(None, None)],
+                                 "doc_id long, text string")
+    made, plain = [], pl.encoded
+    monkeypatch.setattr(pl, "encoded", lambda *args: made.append(1) or plain(*args))
+    model = pl.fit(docs)
+    got = {r.doc_id: r for r in pl.score(docs, model, rows=model.rows).collect()}
+    assert len(made) == 1 and len(got) == 41 and got[None].n_tokens == 0
+    assert got == {r.doc_id: r for r in pl.score(docs, model).collect()} and len(made) == 2
+
+
+def test_scoring_reuses_its_tables(monkeypatch):
+    network, ids = pl.Network.fresh(), np.arange(50) * 7
+    want, tables = network.log_probabilities(ids), network.tables()
+    monkeypatch.setattr(pl.Network, "tables", None)
+    assert np.array_equal(network.log_probabilities(ids, tables=tables), want)
