@@ -159,6 +159,19 @@ def test_clear_clusters_are_told_by_few_cells(spark):
     assert silhouette.rate(points, fit, (64,), most_cells=3) == {}
 
 
+def test_too_many_combinations_of_clusters_still_have_bounds(spark):
+    """Many unlike points: cells of all k together are too many, those of each k are not."""
+    rows = np.round(RNG.normal(0, 1, (400, 4)) * 1e6)
+    points, fit = fitted_points(spark, rows)
+    bounds = silhouette.rate(points, fit, (8, 16), most_cells=16 * 6)
+    assert sorted(bounds) == sorted(fit.centres) == [3, 4, 5, 6]
+    wide = silhouette.rate(points, fit, (8,), most_cells=8 * 6)
+    for k, (low, high) in bounds.items():
+        labels = np.array([r["cluster"] for r in fit.labels(points, k).orderBy("id").collect()])
+        assert low - 1e-9 <= plain_silhouette(rows / 1e6, labels) <= high + 1e-9
+        assert high - low < wide[k][1] - wide[k][0]
+
+
 def test_many_points_meet_many_cells_fast(spark):
     """8,000 different points and some thousand cells, 12 dimensions."""
     points, fit = fitted_points(spark, np.round(RNG.normal(0, 1, (8000, 12)) * 1e6))
