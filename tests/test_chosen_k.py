@@ -108,3 +108,7 @@ def test_pairs_of_any_integers(spark, largest):
                                        (1_000_000, (64, 512, 4096))])
 def test_levels_are_less_work_than_pairs(n, levels):
     assert silhouette.worthwhile(n) == levels
+
+
+def test_clu5_labels(few_cells, plain):
+    assert dict(rows_of(few_cells("clu5_labels"), "product_code", "cluster")) == plain[1]
