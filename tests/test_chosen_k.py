@@ -112,3 +112,9 @@ def test_levels_are_less_work_than_pairs(n, levels):
 
 def test_clu5_labels(few_cells, plain):
     assert dict(rows_of(few_cells("clu5_labels"), "product_code", "cluster")) == plain[1]
+
+
+def test_clu6_table(few_cells, plain):
+    rows = few_cells("clu6_table").collect()
+    assert [r["product_code"] for r in rows] == [p for p, *_ in PRODUCTS]
+    assert {r["product_code"]: r["cluster"] for r in rows} == plain[1]
