@@ -118,3 +118,15 @@ def test_clu6_table(few_cells, plain):
     rows = few_cells("clu6_table").collect()
     assert [r["product_code"] for r in rows] == [p for p, *_ in PRODUCTS]
     assert {r["product_code"]: r["cluster"] for r in rows} == plain[1]
+
+
+def curves(spark, sales, labels):
+    """Mean turnover of each cluster and month, from plain labels."""
+    frame = spark.createDataFrame([*labels.items()], "product_code long, cluster int")
+    return rows_of(catalog.tidy(clusters.cluster_profiles(frame, clusters.product_months(sales))),
+                   "cluster", "month", "mean_turnover")
+
+
+def test_clu7_fitted_profiles(spark, sales, few_cells, plain):
+    assert rows_of(few_cells("clu7_fitted_profiles"), "cluster", "month", "mean_turnover") == \
+        curves(spark, sales, plain[1])
