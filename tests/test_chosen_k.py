@@ -130,3 +130,8 @@ def curves(spark, sales, labels):
 def test_clu7_fitted_profiles(spark, sales, few_cells, plain):
     assert rows_of(few_cells("clu7_fitted_profiles"), "cluster", "month", "mean_turnover") == \
         curves(spark, sales, plain[1])
+
+
+def test_view_cluster_graph(spark, sales, few_cells, plain):
+    assert rows_of(few_cells("view_cluster_graph"), "cluster", "month", "mean_turnover") == \
+        curves(spark, sales, plain[1])
